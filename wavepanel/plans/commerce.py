@@ -62,6 +62,7 @@ AGE_CUTS = (
 AGES = P.AgeSpec(birth="birth_date_parsed", registration="registration_date_parsed", as_of=AS_OF, age_col="age_at_as_of", cuts=AGE_CUTS)
 
 MIN_CELL = 3
+MIN_GROUP = 20  # group-total floor of the share headlines
 MAIN_PARTIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 ACTIVE_STATUS = "O"
 INACTIVE_STATUS = "F"
@@ -173,6 +174,7 @@ def snapshot(spark: SparkSession, sf_dir: str, with_static: bool = True) -> Data
             F.when(F.col("s_nationkey").isNotNull(), zip5("s_nationkey")).alias("zip"),
             F.col("o_orderpriority").alias("party"),
             F.col("o_orderstatus").alias("status"),
+            F.concat(F.lit("orders_"), F.date_format("o_orderdate", "yyyyMM")).alias("source_file"),
         )
     )
     if not with_static:

@@ -1 +1,168 @@
-"""Placeholder."""
+"""Profile / sanity queries Q1-Q12 printed by the reference after each load."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wavepanel.functions.scalar import pct
+from wavepanel.plans import commerce as C
+from wavepanel.plans.exports import ordered
+from wavepanel.plans.oracle import sql
+from wavepanel.plans.registry import register
+
+P1 = C.PERIODS[0].label
+
+
+@register(
+    "q01_profile_top10",
+    sql(
+        "SELECT county AS county_code, status AS voter_status, party AS party_affiliation, COUNT(*) AS n FROM snap "
+        f"WHERE extract_month = '{P1}' GROUP BY 1, 2, 3 ORDER BY n DESC, 1, 2, 3 LIMIT 10",
+        "snap",
+    ),
+)
+def q01(spark, d):
+    """Top-10 (county, status, party) cells of one snapshot period."""
+    s = C.snapshot(spark, d, with_static=False).filter(F.col("extract_month") == P1)
+    cells = s.groupBy(F.col("county").alias("county_code"), F.col("status").alias("voter_status"), F.col("party").alias("party_affiliation")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return cells.orderBy(F.col("n").desc(), F.col("county_code").asc_nulls_last(), "voter_status", "party_affiliation").limit(10)
+
+
+@register(
+    "q02_rows_files_ids_per_period",
+    sql(
+        "SELECT extract_month, COUNT(*) AS rows, COUNT(DISTINCT source_file) AS files, COUNT(DISTINCT county) AS counties, "
+        "COUNT(DISTINCT entity_id) AS distinct_entity_ids, COUNT(*) - COUNT(DISTINCT entity_id) AS duplicate_rows FROM snap GROUP BY extract_month",
+        "snap",
+    ),
+)
+def q02(spark, d):
+    s = C.snapshot(spark, d, with_static=False)
+    out = s.groupBy("extract_month").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("source_file").alias("files"),
+        F.countDistinct("county").alias("counties"),
+        F.countDistinct("entity_id").alias("distinct_entity_ids"),
+    )
+    return ordered(out.withColumn("duplicate_rows", F.col("rows") - F.col("distinct_entity_ids")), "extract_month")
+
+
+@register(
+    "q03_event_totals",
+    sql(
+        "SELECT COUNT(*) AS total_rows, COUNT(DISTINCT entity_id) AS entities, COUNT(DISTINCT (election_date, election_type)) AS elections FROM ev",
+        "ev",
+    ),
+)
+def q03(spark, d):
+    e = C.events(spark, d)
+    # distinct over the tuple, NULL parts counted (struct form, not count(distinct a, b))
+    return e.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.countDistinct("entity_id").alias("entities"),
+        F.countDistinct(F.struct("election_date", "election_type")).alias("elections"),
+    )
+
+
+@register(
+    "q04_history_code_distribution",
+    sql(
+        "SELECT history_code, COUNT(*) AS rows, 100.0 * CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS pct FROM ev GROUP BY history_code",
+        "ev",
+    ),
+)
+def q04(spark, d):
+    cells = C.events(spark, d).groupBy("history_code").agg(F.count(F.lit(1)).alias("rows"))
+    # grand total as a 1-row broadcast rather than an empty-partition window
+    total = cells.agg(F.sum("rows").alias("_t"))
+    return ordered(cells.crossJoin(F.broadcast(total)).select("history_code", "rows", pct("rows", "_t").alias("pct")), "history_code")
+
+
+@register("q05_election_type_distribution", sql("SELECT election_type, COUNT(*) AS rows FROM ev GROUP BY election_type", "ev"))
+def q05(spark, d):
+    return C.events(spark, d).groupBy("election_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register(
+    "q06_event_date_range",
+    sql(
+        "SELECT MIN(election_date) AS min_date, MAX(election_date) AS max_date, COUNT(DISTINCT EXTRACT(YEAR FROM election_date)) AS years "
+        "FROM ev WHERE election_date IS NOT NULL",
+        "ev",
+    ),
+)
+def q06(spark, d):
+    e = C.events(spark, d).filter(F.col("election_date").isNotNull())
+    return e.agg(F.min("election_date").alias("min_date"), F.max("election_date").alias("max_date"), F.countDistinct(F.year("election_date")).alias("years"))
+
+
+@register(
+    "q07_presence_patterns",
+    sql("SELECT appeared_in_p1, appeared_in_p2, appeared_in_p3, COUNT(*) AS voters FROM panel GROUP BY 1, 2, 3", "panel"),
+)
+def q07(spark, d):
+    p = C.panel(spark, d)
+    return p.groupBy("appeared_in_p1", "appeared_in_p2", "appeared_in_p3").agg(F.count(F.lit(1)).alias("voters")).orderBy(F.col("voters").desc())
+
+
+_Q8 = ["new_in_p2", "new_in_p3", "missing_after_p1", "missing_after_p2"] + [
+    f"{a}_changed_{x}_{y}" for a in ("county", "zip", "party", "status") for x, y in (("p1", "p2"), ("p2", "p3"))
+]
+
+
+@register("q08_global_flag_sums", sql("SELECT " + ", ".join(f"CAST(SUM(CAST({f} AS INT)) AS BIGINT) AS {f}" for f in _Q8) + " FROM panel", "panel"))
+def q08(spark, d):
+    return C.panel(spark, d).agg(*[F.sum(F.col(f).cast("int")).cast("bigint").alias(f) for f in _Q8])
+
+
+@register("q09_age_band_distribution", sql("SELECT age_band, COUNT(*) AS voters FROM panel GROUP BY age_band", "panel"))
+def q09(spark, d):
+    return ordered(C.panel(spark, d).groupBy("age_band").agg(F.count(F.lit(1)).alias("voters")), "age_band")
+
+
+@register(
+    "q10_value_series_counts",
+    sql(
+        "SELECT COUNT(*) AS rows, COUNT(DISTINCT zip_code) AS zips, COUNT(DISTINCT year_month) AS months FROM zip_home_values", "zip_home_values"
+    ),
+)
+def q10(spark, d):
+    hv = C.zip_home_values(spark, d)
+    return hv.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("zip_code").alias("zips"), F.countDistinct("year_month").alias("months"))
+
+
+@register(
+    "q11_affordability_band_profile",
+    sql(
+        "SELECT affordability_band, COUNT(*) AS zips, ROUND(AVG(home_value_to_income_ratio), 6) AS mean_ratio, "
+        "ROUND(AVG(typical_home_value_latest), 6) AS mean_home_value, ROUND(AVG(mean_agi_per_return), 6) AS mean_agi "
+        "FROM zip_affordability GROUP BY affordability_band",
+        "zip_affordability",
+    ),
+)
+def q11(spark, d):
+    a = C.zip_affordability(spark, d)
+    out = a.groupBy("affordability_band").agg(
+        F.count(F.lit(1)).alias("zips"),
+        F.round(F.avg("home_value_to_income_ratio"), 6).alias("mean_ratio"),
+        F.round(F.avg("typical_home_value_latest"), 6).alias("mean_home_value"),
+        F.round(F.avg("mean_agi_per_return"), 6).alias("mean_agi"),
+    )
+    return ordered(out, "affordability_band")
+
+
+@register(
+    "q12_metric_coverage",
+    sql(
+        "SELECT COUNT(*) AS zips, COUNT(hv_growth_since_first) AS zips_with_growth, COUNT(real_income_change) AS zips_with_income_change "
+        "FROM zip_pressure",
+        "zip_pressure",
+    ),
+)
+def q12(spark, d):
+    z = C.zip_pressure(spark, d)
+    return z.agg(
+        F.count(F.lit(1)).alias("zips"), F.count("hv_growth_since_first").alias("zips_with_growth"), F.count("real_income_change").alias("zips_with_income_change")
+    )
