@@ -49,6 +49,15 @@ def rows_of(cols, rows):
     return [cols[i] for i in order], sorted(out, key=repr)
 
 
+SPARK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+
+
+def type_mismatches(sdf, res):
+    spark_t = {f.name: SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    duck_t = {d[0]: str(d[1]) for d in res.description}
+    return {c: (spark_t[c], duck_t.get(c)) for c in spark_t if c in duck_t and spark_t[c] != duck_t[c]}
+
+
 def compare(spark, con, name, fn, oracle, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -63,6 +72,9 @@ def compare(spark, con, name, fn, oracle, sf_dir):
     dcols, o = rows_of(dcols, drows)
     ok = scols == dcols and s == o
     info = dict(name=name, ok=ok, rows=len(s), oracle_rows=len(o), spark_s=round(t1 - t0, 2))
+    tm = type_mismatches(sdf, res)
+    if tm:
+        info["types"] = tm
     if not ok:
         if scols != dcols:
             info["cols"] = (scols, dcols)

@@ -1 +1,208 @@
-"""Placeholder."""
+"""Ingest round-trips (S1, S4-S8) and operator-level tables.
+
+The ingest queries render a driver table to the source format (tab lines,
+JSON documents, CSV lines, a wide pivot), damage some rows by a rule on the
+key, and parse them back with the library's readers; the oracle derives the
+surviving rows directly from the table.  Every row of the table is rendered
+and parsed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wavepanel.functions.scalar import decode
+from wavepanel.operators import panel as P
+from wavepanel.plans import commerce as C
+from wavepanel.plans.oracle import _case, add_cte, sql
+from wavepanel.plans.registry import register
+from wavepanel.sources import external as X
+from wavepanel.sources import text as TX
+
+ORDER_FIELDS = ("order_key", "entity", "status", "order_date", "priority")
+
+
+def _order_lines(spark, d):
+    o = C.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    r = F.col("o_orderkey") % 10
+    status = F.when(r == 6, F.concat(F.lit(" "), "o_orderstatus", F.lit(" "))).otherwise(F.col("o_orderstatus"))
+    prio = F.when(r == 3, F.lit("")).when(r == 4, F.concat(F.lit('"'), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    head = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), status, F.date_format("o_orderdate", "MM/dd/yyyy")]
+    line = (
+        F.when(r == 5, F.lit(""))  # blank line
+        .when(r == 1, F.concat_ws("\t", *head))  # short row
+        .when(r == 2, F.concat_ws("\t", *head, prio, F.lit("EXTRA")))  # over-long row
+        .otherwise(F.concat_ws("\t", *head, prio))
+    )
+    return o.select(line.alias("value"))
+
+
+@register(
+    "s01_snapshot_lines_parsed",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS order_key, CAST(o_custkey AS VARCHAR) AS entity, "
+    "CASE WHEN o_orderkey % 10 = 6 THEN ' ' || o_orderstatus || ' ' ELSE o_orderstatus END AS status, "
+    "strftime(o_orderdate, '%m/%d/%Y') AS order_date, "
+    "CASE WHEN o_orderkey % 10 = 3 THEN NULL WHEN o_orderkey % 10 = 4 THEN '\"' || o_orderpriority ELSE o_orderpriority END AS priority "
+    "FROM orders WHERE o_orderkey % 10 NOT IN (1, 5)",
+)
+def s01(spark, d):
+    good, _ = TX.split_rows(_order_lines(spark, d), ORDER_FIELDS)
+    return good
+
+
+@register(
+    "s04_quarantine_summary",
+    "SELECT CASE WHEN o_orderkey % 10 = 1 THEN 'short' ELSE 'blank' END AS reason, COUNT(*) AS lines FROM orders "
+    "WHERE o_orderkey % 10 IN (1, 5) GROUP BY 1",
+)
+def s04(spark, d):
+    _, bad = TX.split_rows(_order_lines(spark, d), ORDER_FIELDS)
+    return TX.quarantine_summary(bad)
+
+
+def _event_lines(spark, d):
+    li = C.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    o = C.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    ds = F.date_format("l_shipdate", "MM/dd/yyyy")
+    date_str = (
+        F.when(F.col("l_linenumber") == 5, F.lit("*"))
+        .when(F.col("l_linenumber") == 6, F.concat(F.lit("02/30/"), F.year("l_shipdate").cast("string")))
+        .when(F.col("l_linenumber") == 7, F.concat(ds, F.lit(" ")))
+        .otherwise(ds)
+    )
+    fields = [
+        F.col("o_orderstatus"),
+        F.col("o_custkey").cast("string"),
+        date_str,
+        decode("o_orderpriority", C.PRIORITY_TYPES, None),
+        decode("l_linenumber", C.LINE_CODES, None),
+    ]
+    return j.select(F.concat_ws("\t", *fields).alias("value"))
+
+
+@register(
+    "s05_event_lines_parsed",
+    "SELECT o_orderstatus AS county_code, CAST(o_custkey AS VARCHAR) AS voter_id, "
+    "CASE l_linenumber WHEN 5 THEN '*' WHEN 6 THEN '02/30/' || CAST(year(l_shipdate) AS VARCHAR) "
+    "WHEN 7 THEN strftime(l_shipdate, '%m/%d/%Y') || ' ' ELSE strftime(l_shipdate, '%m/%d/%Y') END AS election_date_str, "
+    + _case("o_orderpriority", C.PRIORITY_TYPES, None)
+    + " AS election_type, "
+    + _case("l_linenumber", C.LINE_CODES, None)
+    + " AS history_code, CASE WHEN l_linenumber IN (5, 6) THEN NULL ELSE CAST(l_shipdate AS DATE) END AS election_date "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+)
+def s05(spark, d):
+    good, _ = TX.parse_events(_event_lines(spark, d))
+    return good
+
+
+def _cpi_docs(spark, d):
+    monthly = C.cpi_series(spark, d)
+    y = F.substring("year_month", 1, 4)
+    recs = monthly.select(
+        y.alias("year"),
+        F.concat(F.lit("M"), F.substring("year_month", 6, 2)).alias("period"),
+        # unpublished months appear as '-'
+        F.when(F.col("year_month").between("2001-10", "2001-12"), F.lit("-")).otherwise(F.col("cpi_value").cast("string")).alias("value"),
+    )
+    annual = monthly.groupBy(y.alias("year")).agg(F.lit("M13").alias("period"), F.avg("cpi_value").cast("string").alias("value"))
+    recs = recs.unionByName(annual)
+    docs = recs.groupBy("year").agg(F.collect_list(F.struct("year", "period", "value")).alias("data"))
+    doc = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("data").alias("data"))).alias("series")).alias("Results")))
+    return docs.select(doc.alias("json"))
+
+
+@register(
+    "s06_price_index_json",
+    sql("SELECT year_month, cpi_value FROM cpi_raw WHERE year_month NOT BETWEEN '2001-10' AND '2001-12'", "cpi_raw"),
+)
+def s06(spark, d):
+    """Nested JSON documents (one per year, 12 months + annual M13) -> monthly rows."""
+    return X.cpi_from_documents(_cpi_docs(spark, d))
+
+
+BRACKET_LINE_DDL = "STATE STRING, zipcode BIGINT, N1 BIGINT, A00100 BIGINT, tax_year BIGINT"
+
+
+@register(
+    "s07_income_bracket_csv",
+    sql("SELECT STATE, CAST(zipcode AS BIGINT) AS zipcode, N1, A00100, CAST(tax_year AS BIGINT) AS tax_year FROM brackets", "brackets"),
+)
+def s07(spark, d):
+    b = C.income_brackets(spark, d)
+    lines = b.select(F.concat_ws(",", "STATE", F.col("zipcode").cast("string"), F.col("N1").cast("string"), F.col("A00100").cast("string"), F.col("tax_year").cast("string")).alias("value"))
+    return X.brackets_from_lines(lines, BRACKET_LINE_DDL)
+
+
+@register(
+    "s08_wide_series_unpivot",
+    sql("SELECT zip_code, city, county, metro, month_date, strftime(month_date, '%Y-%m') AS year_month, typical_home_value FROM hv_long", "hv_long"),
+)
+def s08(spark, d):
+    """Wide file shape (one column per month-end date) -> long rows."""
+    ids = ["zip_code", "city", "county", "metro"]
+    long = C.home_values_long(spark, d).withColumn("month_key", F.date_format("month_date", "yyyy-MM-dd"))
+    wide = long.groupBy(*ids).pivot("month_key").agg(F.first("typical_home_value"))
+    return X.wide_to_long(wide, ids)
+
+
+# ---------------------------------------------------------------- operator tables
+_DEDUP_COLS = ["entity_id", "extract_month", "county", "zip", "party", "status", "birth_date", "registration_date", "gender", "race"]
+
+
+@register("c01_dedupe_snapshot", sql("SELECT " + ", ".join(_DEDUP_COLS) + " FROM dedup", "dedup"))
+def c01(spark, d):
+    return P.dedupe_snapshot(C.snapshot(spark, d), C.SPEC).select(*_DEDUP_COLS)
+
+
+@register("c02_pivot_panel", sql("SELECT * FROM pv", "pv"))
+def c02(spark, d):
+    """Unfused path: dedupe by (entity, period), then pivot by entity."""
+    return P.pivot_panel(P.dedupe_snapshot(C.snapshot(spark, d), C.SPEC), C.SPEC)
+
+
+@register("c03_change_panel", sql("SELECT * FROM panel", "panel"))
+def c03(spark, d):
+    return C.panel(spark, d)
+
+
+@register("c05_deflators", sql("SELECT * FROM cpi_monthly", "cpi_monthly"))
+def c05(spark, d):
+    return C.cpi_monthly(spark, d)
+
+
+@register("c06_area_income", sql("SELECT * FROM zip_income", "zip_income"))
+def c06(spark, d):
+    return C.zip_income(spark, d)
+
+
+@register("c07_area_series", sql("SELECT * FROM zip_home_values", "zip_home_values"))
+def c07(spark, d):
+    return C.zip_home_values(spark, d)
+
+
+@register("c08_affordability", sql("SELECT * FROM zip_affordability", "zip_affordability"))
+def c08(spark, d):
+    return C.zip_affordability(spark, d)
+
+
+@register("c09_transitions_movers", sql("SELECT * FROM movers", "movers"))
+def c09(spark, d):
+    return C.movers(spark, d)
+
+
+@register("c12_area_pressure", sql("SELECT * REPLACE (ROUND(log_growth_cagr, 9) AS log_growth_cagr) FROM zip_pressure", "zip_pressure"))
+def c12(spark, d):
+    z = C.zip_pressure(spark, d)
+    return z.withColumn("log_growth_cagr", F.round("log_growth_cagr", 9))
+
+
+@register("c13_attach_area", sql("SELECT * FROM vpl", "vpl"))
+def c13(spark, d):
+    return C.entity_pressure(spark, d)
+
+
+@register("c14_enrich_events", sql("SELECT * FROM vhe", "vhe"))
+def c14(spark, d):
+    return C.enriched_events(spark, d)
