@@ -1 +1,612 @@
-"""Placeholder."""
+"""Report measures D1-D25: questions the report pages answer from the tables.
+
+All run on the panel, the mover/enriched-event tables or the area tables
+with built-in aggregates and windows over small aggregated frames.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from wavepanel.functions.scalar import band, decode, pct, safe_div
+from wavepanel.operators import events as EV
+from wavepanel.operators import measures as M
+from wavepanel.operators import transitions as T
+from wavepanel.plans import commerce as C
+from wavepanel.plans.exports import MAIN_SQL, ordered
+from wavepanel.plans.headlines import general_voters, method_shift
+from wavepanel.plans.oracle import RACE_CASE, add_cte, sql
+from wavepanel.plans.registry import REGISTRY, register
+
+K = C.MIN_CELL
+MIN_BASE = 50
+P1, P2, P3 = C.PERIODS
+WINDOWS = C.SPEC.windows()
+ACT, INA = C.ACTIVE_STATUS, C.INACTIVE_STATUS
+
+
+def _wl(a, b) -> str:
+    return T.window_label(a, b)
+
+
+# ----------------------------------------------------------------- D1 / D2 / D3 / D7
+def _net_sql(attr: str, name: str) -> str:
+    return (
+        f"{name} AS (SELECT {attr}, CAST(SUM(f) AS BIGINT) AS n_first, CAST(SUM(l) AS BIGINT) AS n_last, "
+        "CAST(SUM(l) - SUM(f) AS BIGINT) AS net_change, 100.0 * CAST(SUM(l) - SUM(f) AS DOUBLE) / NULLIF(SUM(f), 0) AS pct_change "
+        f"FROM (SELECT {attr}_p1 AS {attr}, 1 AS f, 0 AS l FROM panel UNION ALL SELECT {attr}_p3, 0, 1 FROM panel) t "
+        f"WHERE {attr} IS NOT NULL GROUP BY {attr})"
+    )
+
+
+add_cte("net_county", ("panel",), _net_sql("county", "net_county"))
+add_cte("net_zip", ("panel",), _net_sql("zip", "net_zip"))
+
+
+@register("d01_net_change_by_county", sql("SELECT * FROM net_county", "net_county"))
+def d01(spark, d):
+    return ordered(M.net_change(C.panel(spark, d), "county", "county_p1", "county_p3"), "county")
+
+
+def net_zip(spark, d) -> DataFrame:
+    return M.net_change(C.panel(spark, d), "zip", "zip_p1", "zip_p3")
+
+
+@register(
+    "d02_top_bottom_zips_by_net_change",
+    sql(
+        "SELECT * FROM (SELECT n.*, ROW_NUMBER() OVER (ORDER BY net_change DESC, zip) AS rank, 'top' AS side FROM net_zip n) t WHERE rank <= 5 "
+        "UNION ALL SELECT * FROM (SELECT n.*, ROW_NUMBER() OVER (ORDER BY net_change ASC, zip) AS rank, 'bottom' AS side FROM net_zip n) t WHERE rank <= 5",
+        "net_zip",
+    ),
+)
+def d02(spark, d):
+    return M.top_bottom(net_zip(spark, d), "zip", "net_change", 5)
+
+
+@register(
+    "d03_outlier_areas",
+    sql(
+        "SELECT zip, pct_change, ROUND((pct_change - m) / NULLIF(sd, 0), 9) AS z_score, "
+        "COALESCE(ABS((pct_change - m) / NULLIF(sd, 0)) >= 1.5, FALSE) AS outlier FROM net_zip "
+        "CROSS JOIN (SELECT AVG(pct_change) AS m, STDDEV_SAMP(pct_change) AS sd FROM net_zip) s",
+        "net_zip",
+    ),
+)
+def d03(spark, d):
+    z = M.zscore(net_zip(spark, d), "pct_change", "_z")
+    return z.select("zip", "pct_change", F.round("_z", 9).alias("z_score"), F.coalesce(F.abs("_z") >= 1.5, F.lit(False)).alias("outlier"))
+
+
+TIER_CUTS = ((3.8, "small"), (4.2, "mid"))
+
+
+@register(
+    "d07_tier_growth",
+    sql(
+        "SELECT tier, COUNT(*) AS areas, CAST(SUM(n_first) AS BIGINT) AS n_first, CAST(SUM(n_last) AS BIGINT) AS n_last, "
+        "CAST(SUM(n_last) - SUM(n_first) AS BIGINT) AS net_change, 100.0 * CAST(SUM(n_last) - SUM(n_first) AS DOUBLE) / NULLIF(SUM(n_first), 0) AS pct_change "
+        "FROM (SELECT n.*, CASE WHEN share IS NULL THEN 'unknown' WHEN share < 3.8 THEN 'small' WHEN share < 4.2 THEN 'mid' ELSE 'large' END AS tier "
+        "FROM (SELECT n.*, 100.0 * CAST(n_first AS DOUBLE) / t.tot AS share FROM net_zip n CROSS JOIN (SELECT SUM(n_first) AS tot FROM net_zip) t) n) x "
+        "GROUP BY tier",
+        "net_zip",
+    ),
+)
+def d07(spark, d):
+    n = net_zip(spark, d)
+    tot = n.agg(F.sum("n_first").alias("_tot"))
+    tiers = n.crossJoin(F.broadcast(tot)).withColumn("tier", band(pct("n_first", "_tot"), TIER_CUTS, "large"))
+    out = tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("areas"), F.sum("n_first").alias("n_first"), F.sum("n_last").alias("n_last"))
+    out = out.withColumn("net_change", F.col("n_last") - F.col("n_first")).withColumn("pct_change", pct(F.col("n_last") - F.col("n_first"), "n_first"))
+    return ordered(out, "tier")
+
+
+# ----------------------------------------------------------------- D4 party-share change
+@register(
+    "d04_party_share_change_by_county",
+    sql(
+        "SELECT county, party, n_first, n_last, share_first, share_last, share_last - share_first AS change_pp FROM ("
+        "SELECT county, party, n_first, n_last, 100.0 * CAST(n_first AS DOUBLE) / NULLIF(tf, 0) AS share_first, "
+        "100.0 * CAST(n_last AS DOUBLE) / NULLIF(tl, 0) AS share_last, tf FROM ("
+        "SELECT county, party, n_first, n_last, SUM(n_first) OVER (PARTITION BY county) AS tf, SUM(n_last) OVER (PARTITION BY county) AS tl FROM ("
+        "SELECT county, party, CAST(SUM(f) AS BIGINT) AS n_first, CAST(SUM(l) AS BIGINT) AS n_last FROM ("
+        "SELECT county_p1 AS county, party_p1 AS party, 1 AS f, 0 AS l FROM panel UNION ALL SELECT county_p3, party_p3, 0, 1 FROM panel) u "
+        f"WHERE county IS NOT NULL AND party IS NOT NULL GROUP BY 1, 2) c) w) s WHERE tf >= {MIN_BASE}",
+        "panel",
+    ),
+)
+def d04(spark, d):
+    p = C.panel(spark, d)
+    sides = p.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("county_p1").alias("county"), F.col("party_p1").alias("party"), F.lit(1).alias("f"), F.lit(0).alias("l")),
+                F.struct(F.col("county_p3").alias("county"), F.col("party_p3").alias("party"), F.lit(0).alias("f"), F.lit(1).alias("l")),
+            )
+        ).alias("_s")
+    ).select("_s.*")
+    cells = (
+        sides.filter(F.col("county").isNotNull() & F.col("party").isNotNull())
+        .groupBy("county", "party")
+        .agg(F.sum("f").cast("bigint").alias("n_first"), F.sum("l").cast("bigint").alias("n_last"))
+    )
+    w = Window.partitionBy("county")
+    out = cells.withColumn("_tf", F.sum("n_first").over(w)).withColumn("_tl", F.sum("n_last").over(w))
+    out = out.withColumn("share_first", pct("n_first", "_tf")).withColumn("share_last", pct("n_last", "_tl"))
+    out = out.filter(F.col("_tf") >= MIN_BASE).withColumn("change_pp", F.col("share_last") - F.col("share_first"))
+    return ordered(out.drop("_tf", "_tl"), "county", "party")
+
+
+# ----------------------------------------------------------------- D5 / D6 / D11 flows
+def _pairs_sql(attr: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{_wl(a, b)}' AS window, {attr}_{a.short} AS src, {attr}_{b.short} AS dst FROM panel" for a, b in WINDOWS
+    )
+
+
+add_cte(
+    "flow_party",
+    ("panel",),
+    f"flow_party AS (SELECT \"window\", src, dst, COUNT(*) AS entities FROM ({_pairs_sql('party')}) p WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3)",
+)
+add_cte(
+    "flow_status",
+    ("panel",),
+    f"flow_status AS (SELECT \"window\", src, dst, COUNT(*) AS entities FROM ({_pairs_sql('status')}) p WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2, 3)",
+)
+
+
+@register("d05_party_flow_matrix", sql("SELECT * FROM flow_party", "flow_party"))
+def d05(spark, d):
+    return T.flow_matrix(C.panel(spark, d), C.SPEC, "party")
+
+
+@register(
+    "d06_party_ledger",
+    sql(
+        "SELECT \"window\", value, CAST(SUM(g) AS BIGINT) AS gained, CAST(SUM(l) AS BIGINT) AS lost, CAST(SUM(g) - SUM(l) AS BIGINT) AS net FROM ("
+        "SELECT \"window\", dst AS value, entities AS g, 0 AS l FROM flow_party WHERE src <> dst "
+        "UNION ALL SELECT \"window\", src, 0, entities FROM flow_party WHERE src <> dst) t GROUP BY 1, 2",
+        "flow_party",
+    ),
+)
+def d06(spark, d):
+    return T.ledger(T.flow_matrix(C.panel(spark, d), C.SPEC, "party"))
+
+
+@register(
+    "d11_status_transitions",
+    sql(
+        "SELECT f.\"window\", f.src, f.dst, f.entities, COALESCE(r.entities, 0) AS reverse_entities, "
+        "f.entities - COALESCE(r.entities, 0) AS net, CAST(f.entities AS DOUBLE) / NULLIF(r.entities, 0) AS ratio "
+        "FROM flow_status f LEFT JOIN flow_status r ON f.\"window\" = r.\"window\" AND f.src = r.dst AND f.dst = r.src WHERE f.src <> f.dst",
+        "flow_status",
+    ),
+)
+def d11(spark, d):
+    f = T.flow_matrix(C.panel(spark, d), C.SPEC, "status").filter(F.col("src") != F.col("dst"))
+    r = f.select(F.col("window").alias("_w"), F.col("src").alias("_rs"), F.col("dst").alias("_rd"), F.col("entities").alias("_re"))
+    j = f.join(r, (f.window == r._w) & (f.src == r._rd) & (f.dst == r._rs), "left")
+    rev = F.coalesce("_re", F.lit(0).cast("bigint"))
+    return j.select(
+        "window", "src", "dst", "entities", rev.alias("reverse_entities"), (F.col("entities") - rev).alias("net"), safe_div(F.col("entities").cast("double"), "_re").alias("ratio")
+    )
+
+
+# ----------------------------------------------------------------- D8 / D12 / D13 presence
+PATTERN_LABELS = [
+    ("YYY", "present in all"),
+    ("YYN", "left after p2"),
+    ("YNN", "left after p1"),
+    ("NYY", "joined in p2"),
+    ("NNY", "joined in p3"),
+    ("NYN", "p2 only"),
+    ("YNY", "boomerang"),
+    ("NNN", "never present"),
+]
+
+
+def _pattern_sql() -> str:
+    yn = " || ".join(f"CASE WHEN appeared_in_{p.long} THEN 'Y' ELSE 'N' END" for p in C.PERIODS)
+    lab = "CASE pattern " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PATTERN_LABELS) + " END"
+    return (
+        f"SELECT pattern, {lab} AS label, entities, 100.0 * CAST(entities AS DOUBLE) / SUM(entities) OVER () AS pct FROM "
+        f"(SELECT {yn} AS pattern, COUNT(*) AS entities FROM panel GROUP BY 1) t"
+    )
+
+
+@register("d08_presence_pattern_table", sql(_pattern_sql(), "panel"))
+def d08(spark, d):
+    p = C.panel(spark, d)
+    yn = F.concat(*[F.when(F.col(f"appeared_in_{q.long}"), F.lit("Y")).otherwise(F.lit("N")) for q in C.PERIODS])
+    cells = p.groupBy(yn.alias("pattern")).agg(F.count(F.lit(1)).alias("entities"))
+    tot = cells.agg(F.sum("entities").alias("_t"))
+    out = cells.crossJoin(F.broadcast(tot)).select("pattern", decode("pattern", PATTERN_LABELS, None).alias("label"), "entities", pct("entities", "_t").alias("pct"))
+    return ordered(out, "pattern")
+
+
+@register(
+    "d12_boomerangs_and_single_period",
+    sql(
+        "SELECT CAST(SUM(CASE WHEN appeared_in_p1 AND NOT appeared_in_p2 AND appeared_in_p3 THEN 1 ELSE 0 END) AS BIGINT) AS boomerangs, "
+        "CAST(SUM(CASE WHEN appeared_in_p1 AND NOT appeared_in_p2 AND NOT appeared_in_p3 THEN 1 ELSE 0 END) AS BIGINT) AS single_p1, "
+        "CAST(SUM(CASE WHEN NOT appeared_in_p1 AND appeared_in_p2 AND NOT appeared_in_p3 THEN 1 ELSE 0 END) AS BIGINT) AS single_p2, "
+        "CAST(SUM(CASE WHEN NOT appeared_in_p1 AND NOT appeared_in_p2 AND appeared_in_p3 THEN 1 ELSE 0 END) AS BIGINT) AS single_p3, "
+        "CAST(SUM(CASE WHEN appeared_in_p1 AND appeared_in_p2 AND appeared_in_p3 THEN 1 ELSE 0 END) AS BIGINT) AS present_all FROM panel",
+        "panel",
+    ),
+)
+def d12(spark, d):
+    a1, a2, a3 = (F.col(f"appeared_in_{p.long}") for p in C.PERIODS)
+    return C.panel(spark, d).agg(
+        F.count_if(a1 & ~a2 & a3).alias("boomerangs"),
+        F.count_if(a1 & ~a2 & ~a3).alias("single_p1"),
+        F.count_if(~a1 & a2 & ~a3).alias("single_p2"),
+        F.count_if(~a1 & ~a2 & a3).alias("single_p3"),
+        F.count_if(a1 & a2 & a3).alias("present_all"),
+    )
+
+
+def _window_rows(p: DataFrame, fields) -> DataFrame:
+    """One row per (entity, window) with the given per-window expressions."""
+    structs = [F.struct(F.lit(_wl(a, b)).alias("window"), *[fn(a.short, b.short).alias(n) for n, fn in fields]) for a, b in WINDOWS]
+    return p.select(F.explode(F.array(*structs)).alias("_w")).select("_w.*")
+
+
+def _both(x, y):
+    return lambda a, b: (F.col(f"{x}_changed_{a}_{b}") & F.col(f"{y}_changed_{a}_{b}")).cast("int")
+
+
+@register(
+    "d13_double_switchers",
+    sql(
+        "SELECT \"window\", CAST(SUM(cp) AS BIGINT) AS county_and_party, CAST(SUM(zp) AS BIGINT) AS zip_and_party FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{_wl(a, b)}' AS window, CAST(county_changed_{a.short}_{b.short} AND party_changed_{a.short}_{b.short} AS INT) AS cp, "
+            f"CAST(zip_changed_{a.short}_{b.short} AND party_changed_{a.short}_{b.short} AS INT) AS zp FROM panel"
+            for a, b in WINDOWS
+        )
+        + ") t GROUP BY \"window\"",
+        "panel",
+    ),
+)
+def d13(spark, d):
+    rows = _window_rows(C.panel(spark, d), [("cp", _both("county", "party")), ("zp", _both("zip", "party"))])
+    return ordered(rows.groupBy("window").agg(F.sum("cp").cast("bigint").alias("county_and_party"), F.sum("zp").cast("bigint").alias("zip_and_party")), "window")
+
+
+# ----------------------------------------------------------------- D9 per-week rates
+def _days(a, b) -> int:
+    import datetime as dt
+
+    starts = dict(zip([p.short for p in C.PERIODS], C.PERIOD_STARTS))
+    return (dt.date.fromisoformat(starts[b.short]) - dt.date.fromisoformat(starts[a.short])).days
+
+
+_D9 = [("new_entities", "new_in_{bl}"), ("departures", "missing_after_{al}"), ("zip_changes", "zip_changed_{a}_{b}"), ("party_changes", "party_changed_{a}_{b}")]
+
+
+@register(
+    "d09_weekly_rates",
+    sql(
+        " UNION ALL ".join(
+            f"SELECT '{_wl(a, b)}' AS window, {_days(a, b)} AS days, "
+            + ", ".join(f"CAST(SUM(CAST({t.format(a=a.short, b=b.short, al=a.long, bl=b.long)} AS INT)) AS BIGINT) AS {n}" for n, t in _D9)
+            + ", "
+            + ", ".join(f"7.0 * CAST(SUM(CAST({t.format(a=a.short, b=b.short, al=a.long, bl=b.long)} AS INT)) AS DOUBLE) / {_days(a, b)} AS {n}_per_week" for n, t in _D9)
+            + " FROM panel"
+            for a, b in WINDOWS
+        ),
+        "panel",
+    ),
+)
+def d09(spark, d):
+    p = C.panel(spark, d)
+    structs = []
+    for a, b in WINDOWS:
+        fields = [F.lit(_wl(a, b)).alias("window"), F.lit(_days(a, b)).alias("days")]
+        fields += [F.col(t.format(a=a.short, b=b.short, al=a.long, bl=b.long)).cast("int").alias(n) for n, t in _D9]
+        structs.append(F.struct(*fields))
+    rows = p.select(F.explode(F.array(*structs)).alias("_w")).select("_w.*")
+    out = rows.groupBy("window", "days").agg(*[F.sum(n).cast("bigint").alias(n) for n, _ in _D9])
+    for n, _ in _D9:
+        out = out.withColumn(f"{n}_per_week", F.lit(7.0) * F.col(n).cast("double") / F.col("days"))
+    return ordered(out, "window")
+
+
+# ----------------------------------------------------------------- D10 cohorts
+@register(
+    "d10_cohort_vs_base",
+    sql(
+        "SELECT c.cohort, c.party, c.n, 100.0 * CAST(c.n AS DOUBLE) / SUM(c.n) OVER (PARTITION BY c.cohort) AS pct_of_cohort, b.base_n, "
+        "b.pct_of_base, 100.0 * CAST(c.n AS DOUBLE) / SUM(c.n) OVER (PARTITION BY c.cohort) - b.pct_of_base AS diff_pp FROM ("
+        "SELECT cohort, party, COUNT(*) AS n FROM ("
+        "SELECT 'new' AS cohort, party_last_known AS party FROM panel WHERE new_in_p2 OR new_in_p3 "
+        "UNION ALL SELECT 'removed', party_last_known FROM panel WHERE missing_after_p1 OR missing_after_p2) u "
+        "WHERE party IS NOT NULL GROUP BY 1, 2) c LEFT JOIN ("
+        "SELECT party_last_known AS party, COUNT(*) AS base_n, 100.0 * CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS pct_of_base "
+        "FROM panel WHERE party_last_known IS NOT NULL GROUP BY 1) b ON c.party = b.party",
+        "panel",
+    ),
+)
+def d10(spark, d):
+    p = C.panel(spark, d).filter(F.col("party_last_known").isNotNull())
+    is_new = F.col("new_in_p2") | F.col("new_in_p3")
+    gone = F.col("missing_after_p1") | F.col("missing_after_p2")
+    cohorts = p.select(
+        F.col("party_last_known").alias("party"),
+        F.explode(F.filter(F.array(F.when(is_new, F.lit("new")), F.when(gone, F.lit("removed"))), lambda x: x.isNotNull())).alias("cohort"),
+    )
+    cells = M.share_within(cohorts.groupBy("cohort", "party").agg(F.count(F.lit(1)).alias("n")), ["cohort"], "n", "pct_of_cohort")
+    base = M.share_within(p.groupBy(F.col("party_last_known").alias("party")).agg(F.count(F.lit(1)).alias("base_n")), [], "base_n", "pct_of_base")
+    j = cells.join(F.broadcast(base), "party", "left")
+    return ordered(j.withColumn("diff_pp", F.col("pct_of_cohort") - F.col("pct_of_base")), "cohort", "party")
+
+
+# ----------------------------------------------------------------- D14 rates by age band
+def _react_sql(cond: str) -> str:
+    return " + ".join(cond.format(a=a.short, b=b.short) for a, b in WINDOWS)
+
+
+@register(
+    "d14_change_and_reactivation_rates",
+    sql(
+        "SELECT age_band, COUNT(*) AS entities, CAST(SUM(CAST(party_changed_p1_p2 AS INT) + CAST(party_changed_p2_p3 AS INT)) AS BIGINT) AS party_changes, "
+        "100.0 * CAST(SUM(CAST(party_changed_p1_p2 AS INT) + CAST(party_changed_p2_p3 AS INT)) AS DOUBLE) / COUNT(*) AS party_change_rate, "
+        f"CAST(SUM({_react_sql(f'(CASE WHEN status_{{a}} = {INA!r} AND status_{{b}} = {ACT!r} THEN 1 ELSE 0 END)')}) AS BIGINT) AS reactivations, "
+        f"CAST(SUM({_react_sql(f'(CASE WHEN status_{{a}} = {INA!r} AND status_{{b}} IS NOT NULL THEN 1 ELSE 0 END)')}) AS BIGINT) AS at_risk, "
+        f"100.0 * CAST(SUM({_react_sql(f'(CASE WHEN status_{{a}} = {INA!r} AND status_{{b}} = {ACT!r} THEN 1 ELSE 0 END)')}) AS DOUBLE) / "
+        f"NULLIF(SUM({_react_sql(f'(CASE WHEN status_{{a}} = {INA!r} AND status_{{b}} IS NOT NULL THEN 1 ELSE 0 END)')}), 0) AS reactivation_rate "
+        "FROM panel GROUP BY age_band",
+        "panel",
+    ),
+)
+def d14(spark, d):
+    p = C.panel(spark, d)
+
+    def per_window(cond):
+        expr = None
+        for a, b in WINDOWS:
+            term = F.when(cond(a.short, b.short), 1).otherwise(0)
+            expr = term if expr is None else expr + term
+        return F.sum(expr).cast("bigint")
+
+    react = per_window(lambda a, b: (F.col(f"status_{a}") == INA) & (F.col(f"status_{b}") == ACT))
+    risk = per_window(lambda a, b: (F.col(f"status_{a}") == INA) & F.col(f"status_{b}").isNotNull())
+    out = p.groupBy("age_band").agg(
+        F.count(F.lit(1)).alias("entities"),
+        M.window_sum(["party_changed_p1_p2", "party_changed_p2_p3"]).alias("party_changes"),
+        react.alias("reactivations"),
+        risk.alias("at_risk"),
+    )
+    out = M.rates(out, {"party_change_rate": "party_changes", "reactivation_rate": "reactivations"}, "entities")
+    out = out.withColumn("reactivation_rate", pct("reactivations", "at_risk"))
+    return ordered(out.select("age_band", "entities", "party_changes", "party_change_rate", "reactivations", "at_risk", "reactivation_rate"), "age_band")
+
+
+# ----------------------------------------------------------------- D15 / D16 / D17 / D18 / D19 segments
+@register(
+    "d15_plurality_by_age_band",
+    sql(
+        "SELECT age_band, party AS plurality_value, n AS plurality_n, CAST(tot AS BIGINT) AS group_total, 100.0 * CAST(n AS DOUBLE) / tot AS plurality_share FROM ("
+        "SELECT age_band, party, n, SUM(n) OVER (PARTITION BY age_band) AS tot, ROW_NUMBER() OVER (PARTITION BY age_band ORDER BY n DESC, party) AS rk FROM ("
+        "SELECT age_band, party_last_known AS party, COUNT(*) AS n FROM panel WHERE party_last_known IS NOT NULL GROUP BY 1, 2) c) r WHERE rk = 1",
+        "panel",
+    ),
+)
+def d15(spark, d):
+    cells = C.panel(spark, d).filter(F.col("party_last_known").isNotNull()).groupBy("age_band", "party_last_known").agg(F.count(F.lit(1)).alias("n"))
+    out = M.plurality(cells, ["age_band"], "party_last_known", "n")
+    return ordered(out.withColumn("plurality_share", pct("plurality_n", "group_total")), "age_band")
+
+
+@register(
+    "d16_attribute_by_party_shares",
+    sql(
+        "SELECT dimension, value, party, n, 100.0 * CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY dimension, value) AS pct FROM ("
+        "SELECT dimension, value, party, COUNT(*) AS n FROM ("
+        "SELECT 'gender' AS dimension, gender AS value, party_last_known AS party FROM panel "
+        "UNION ALL SELECT 'status', status_last_known, party_last_known FROM panel) u WHERE party IS NOT NULL GROUP BY 1, 2, 3) c",
+        "panel",
+    ),
+)
+def d16(spark, d):
+    p = C.panel(spark, d).filter(F.col("party_last_known").isNotNull())
+    rows = p.select(
+        F.col("party_last_known").alias("party"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("gender").alias("dimension"), F.col("gender").alias("value")),
+                F.struct(F.lit("status").alias("dimension"), F.col("status_last_known").alias("value")),
+            )
+        ).alias("_d"),
+    ).select("_d.*", "party")
+    cells = rows.groupBy("dimension", "value", "party").agg(F.count(F.lit(1)).alias("n"))
+    return ordered(M.share_within(cells, ["dimension", "value"], "n", "pct"), "dimension", "value", "party")
+
+
+@register(
+    "d17_race_age_party_cube",
+    sql(
+        "SELECT race_label, age_band, party, COUNT(*) AS voters, CAST(GROUPING(race_label, age_band, party) AS BIGINT) AS grouping_id FROM ("
+        f"SELECT {RACE_CASE.format(race='race')} AS race_label, age_band, party_last_known AS party FROM panel) t "
+        f"GROUP BY CUBE (race_label, age_band, party) HAVING COUNT(*) >= {K}",
+        "panel",
+    ),
+)
+def d17(spark, d):
+    p = C.panel(spark, d).select(decode("race", EV.RACE_LABELS, "9 Unknown").alias("race_label"), "age_band", F.col("party_last_known").alias("party"))
+    out = p.cube("race_label", "age_band", "party").agg(F.count(F.lit(1)).alias("voters"), F.grouping_id().cast("bigint").alias("grouping_id"))
+    return M.suppress(out, K)
+
+
+@register(
+    "d18_overlapping_district_rollup",
+    sql(
+        "SELECT system, district, party, COUNT(*) AS voters FROM ("
+        "SELECT 'supplier_nation' AS system, p.zip_last_known AS district, p.party_last_known AS party FROM panel p "
+        "UNION ALL SELECT 'supplier_region', p.county_last_known, p.party_last_known FROM panel p "
+        "UNION ALL SELECT 'customer_nation', LPAD(CAST(c.c_nationkey AS VARCHAR), 5, '0'), p.party_last_known FROM panel p JOIN customer c ON p.entity_id = c.c_custkey "
+        "UNION ALL SELECT 'market_segment', c.c_mktsegment, p.party_last_known FROM panel p JOIN customer c ON p.entity_id = c.c_custkey) u "
+        f"WHERE district IS NOT NULL GROUP BY 1, 2, 3 HAVING COUNT(*) >= {K}",
+        "panel",
+    ),
+)
+def d18(spark, d):
+    """Several district systems overlap the same entities: unpivot the system
+    columns into (system, district) and roll up once."""
+    cust = C.table(spark, d, "customer").select(F.col("c_custkey").alias("_c"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("customer_nation"), F.col("c_mktsegment").alias("market_segment"))
+    p = C.panel(spark, d).select("entity_id", F.col("zip_last_known").alias("supplier_nation"), F.col("county_last_known").alias("supplier_region"), F.col("party_last_known").alias("party"))
+    j = p.join(cust, p.entity_id == cust._c, "left")
+    long = j.unpivot(["party"], ["supplier_nation", "supplier_region", "customer_nation", "market_segment"], "system", "district")
+    out = long.filter(F.col("district").isNotNull()).groupBy("system", "district", "party").agg(F.count(F.lit(1)).alias("voters"))
+    return ordered(M.suppress(out, K), "system", "district", "party")
+
+
+@register(
+    "d19_mean_tenure_by_party",
+    sql("SELECT party_last_known AS party, COUNT(*) AS entities, AVG(registration_age_years) AS mean_tenure_years FROM panel GROUP BY 1", "panel"),
+)
+def d19(spark, d):
+    out = C.panel(spark, d).groupBy(F.col("party_last_known").alias("party")).agg(
+        F.count(F.lit(1)).alias("entities"), F.avg("registration_age_years").alias("mean_tenure_years")
+    )
+    return ordered(out, "party")
+
+
+# ----------------------------------------------------------------- D20-D24 events
+@register(
+    "d20_event_coverage",
+    sql(
+        "SELECT COUNT(*) AS entities, CAST(SUM(has) AS BIGINT) AS entities_with_events, 100.0 * CAST(SUM(has) AS DOUBLE) / COUNT(*) AS pct_with_events, "
+        f"CAST(SUM(CASE WHEN status_last_known = '{ACT}' THEN 1 ELSE 0 END) AS BIGINT) AS active_entities, "
+        f"CAST(SUM(CASE WHEN status_last_known = '{ACT}' THEN has ELSE 0 END) AS BIGINT) AS active_with_events, "
+        f"100.0 * CAST(SUM(CASE WHEN status_last_known = '{ACT}' THEN has ELSE 0 END) AS DOUBLE) / "
+        f"NULLIF(SUM(CASE WHEN status_last_known = '{ACT}' THEN 1 ELSE 0 END), 0) AS pct_active_with_events "
+        "FROM (SELECT p.status_last_known, CASE WHEN e.entity_id IS NULL THEN 0 ELSE 1 END AS has FROM panel p "
+        "LEFT JOIN (SELECT DISTINCT entity_id FROM ev) e ON p.entity_id = e.entity_id) t",
+        "panel",
+        "ev",
+    ),
+)
+def d20(spark, d):
+    ids = C.events(spark, d).groupBy(F.col("entity_id").alias("_e")).agg(F.lit(1).alias("has"))
+    p = C.panel(spark, d).select("entity_id", "status_last_known")
+    j = p.join(ids, p.entity_id == ids._e, "left").withColumn("has", F.coalesce("has", F.lit(0)))
+    act = F.col("status_last_known") == ACT
+    out = j.agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.sum("has").cast("bigint").alias("entities_with_events"),
+        F.count_if(act).alias("active_entities"),
+        F.sum(F.when(act, F.col("has")).otherwise(0)).cast("bigint").alias("active_with_events"),
+    )
+    return out.select(
+        "entities",
+        "entities_with_events",
+        pct("entities_with_events", "entities").alias("pct_with_events"),
+        "active_entities",
+        "active_with_events",
+        pct("active_with_events", "active_entities").alias("pct_active_with_events"),
+    )
+
+
+@register(
+    "d21_rejection_rates",
+    sql(
+        "SELECT CASE WHEN GROUPING(age_band) = 1 THEN 'all' ELSE COALESCE(age_band, 'unmatched') END AS age_band, "
+        "CAST(SUM(CASE WHEN history_code IN ('A','B','L') THEN 1 ELSE 0 END) AS BIGINT) AS mail_total, "
+        "CAST(SUM(CASE WHEN history_code IN ('B','L') THEN 1 ELSE 0 END) AS BIGINT) AS rejected, "
+        "100.0 * CAST(SUM(CASE WHEN history_code IN ('B','L') THEN 1 ELSE 0 END) AS DOUBLE) / "
+        "NULLIF(SUM(CASE WHEN history_code IN ('A','B','L') THEN 1 ELSE 0 END), 0) AS rejection_rate FROM vhe GROUP BY ROLLUP (age_band)",
+        "vhe",
+    ),
+)
+def d21(spark, d):
+    e = C.enriched_events(spark, d)
+    out = e.rollup("age_band").agg(
+        F.grouping("age_band").alias("_g"),
+        F.count_if(F.col("history_code").isin("A", "B", "L")).alias("mail_total"),
+        F.count_if(F.col("history_code").isin("B", "L")).alias("rejected"),
+    )
+    label = F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.coalesce("age_band", F.lit("unmatched")))
+    return ordered(out.select(label.alias("age_band"), "mail_total", "rejected", pct("rejected", "mail_total").alias("rejection_rate")), "age_band")
+
+
+@register(
+    "d22_method_share_change_pp",
+    "SELECT party, method_bucket, MAX(CASE WHEN era = 'pre' THEN pct END) AS pct_pre, MAX(CASE WHEN era = 'post' THEN pct END) AS pct_post, "
+    "MAX(CASE WHEN era = 'post' THEN pct END) - MAX(CASE WHEN era = 'pre' THEN pct END) AS change_pp FROM ("
+    + REGISTRY["h10_method_share_pre_post"][1]
+    + ") y GROUP BY 1, 2",
+)
+def d22(spark, d):
+    s = method_shift(spark, d)
+    out = s.groupBy("party", "method_bucket").agg(
+        F.max(F.when(F.col("era") == "pre", F.col("pct"))).alias("pct_pre"), F.max(F.when(F.col("era") == "post", F.col("pct"))).alias("pct_post")
+    )
+    return ordered(out.withColumn("change_pp", F.col("pct_post") - F.col("pct_pre")), "party", "method_bucket")
+
+
+@register(
+    "d23_general_dropoff",
+    sql(
+        "SELECT election_year, party, voters, LAG(voters) OVER (PARTITION BY party ORDER BY election_year) AS prev_voters, "
+        "100.0 * CAST(voters - LAG(voters) OVER (PARTITION BY party ORDER BY election_year) AS DOUBLE) / "
+        "LAG(voters) OVER (PARTITION BY party ORDER BY election_year) AS change_pct, "
+        "100.0 * CAST(voters AS DOUBLE) / SUM(voters) OVER (PARTITION BY election_year) AS pct_of_year FROM ("
+        "SELECT election_year, party_last_known AS party, COUNT(DISTINCT entity_id) AS voters FROM vhe "
+        f"WHERE election_type = 'GEN' AND counted_vote = 1 AND election_year IN {tuple(C.CYCLE_YEARS)} AND party_last_known IN {MAIN_SQL} GROUP BY 1, 2) g",
+        "vhe",
+    ),
+)
+def d23(spark, d):
+    g = general_voters(spark, d)
+    prev = F.lag("voters").over(Window.partitionBy("party").orderBy("election_year"))
+    out = g.withColumn("prev_voters", prev).withColumn("change_pct", pct(F.col("voters") - F.col("prev_voters"), "prev_voters"))
+    out = M.share_within(out, ["election_year"], "voters", "pct_of_year")
+    return ordered(out, "party", "election_year")
+
+
+@register(
+    "d24_race_by_method_share",
+    sql(
+        "SELECT race_label, method_bucket, votes, 100.0 * CAST(votes AS DOUBLE) / SUM(votes) OVER (PARTITION BY race_label) AS pct FROM ("
+        "SELECT race_label, method_bucket, CAST(SUM(counted_vote) AS BIGINT) AS votes FROM vhe WHERE counted_vote = 1 GROUP BY 1, 2) t",
+        "vhe",
+    ),
+)
+def d24(spark, d):
+    e = C.enriched_events(spark, d).filter(F.col("counted_vote") == 1)
+    cells = e.groupBy("race_label", "method_bucket").agg(F.sum("counted_vote").cast("bigint").alias("votes"))
+    return ordered(M.share_within(cells, ["race_label"], "votes", "pct"), "race_label", "method_bucket")
+
+
+# ----------------------------------------------------------------- D25 data quality
+@register(
+    "d25_data_quality_by_period",
+    sql(
+        "SELECT extract_month, COUNT(*) AS rows, COUNT(DISTINCT entity_id) AS entities, COUNT(*) - COUNT(DISTINCT entity_id) AS duplicate_rows, "
+        "CAST(SUM(CASE WHEN county IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_county_rows, "
+        "CAST(SUM(CASE WHEN TRY_STRPTIME(birth_date, '%m/%d/%Y') IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS masked_birth_rows, "
+        "CAST(SUM(CASE WHEN zip IS NOT NULL AND a.zip_code IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmatched_area_rows "
+        f"FROM snap s LEFT JOIN (SELECT zip_code FROM zip_income WHERE tax_year = {C.INCOME_YEAR}) a ON s.zip = a.zip_code GROUP BY extract_month",
+        "snap",
+        "zip_income",
+    ),
+)
+def d25(spark, d):
+    s = C.snapshot(spark, d)
+    areas = C.zip_income(spark, d).filter(F.col("tax_year") == C.INCOME_YEAR).select(F.col("zip_code").alias("_a"))
+    j = s.join(F.broadcast(areas), s.zip == areas._a, "left")
+    from wavepanel.functions.scalar import try_date
+
+    out = j.groupBy("extract_month").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("entity_id").alias("entities"),
+        F.count_if(F.col("county").isNull()).alias("null_county_rows"),
+        F.count_if(try_date("birth_date").isNull()).alias("masked_birth_rows"),
+        F.count_if(F.col("zip").isNotNull() & F.col("_a").isNull()).alias("unmatched_area_rows"),
+    )
+    out = out.withColumn("duplicate_rows", F.col("rows") - F.col("entities"))
+    return ordered(out.select("extract_month", "rows", "entities", "duplicate_rows", "null_county_rows", "masked_birth_rows", "unmatched_area_rows"), "extract_month")
