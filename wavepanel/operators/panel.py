@@ -149,9 +149,12 @@ class AgeSpec:
 def build_panel(snapshot: DataFrame, spec: PanelSpec, ages: AgeSpec | None = None) -> DataFrame:
     """Snapshot rows -> one row per entity with values, flags, last-known and ages."""
     panel = change_flags(build_panel_wide(snapshot, spec), spec)
-    if ages is not None:
-        panel = derive_years(panel, ages.birth, ages.as_of, ages.age_col)
-        panel = derive_age_band(panel, ages.age_col, ages.cuts)
-        if ages.registration:
-            panel = derive_years(panel, ages.registration, ages.as_of, "registration_age_years")
-    return panel
+    if ages is None:
+        return panel
+    as_of = F.lit(ages.as_of).cast("date")
+    age = year_diff(F.col(ages.birth), as_of)
+    cols = {ages.age_col: age}
+    if ages.registration:
+        cols["registration_age_years"] = year_diff(F.col(ages.registration), as_of)
+    cols["age_band"] = band(age, ages.cuts, "unknown", "unknown")
+    return panel.withColumns(cols)

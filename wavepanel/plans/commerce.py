@@ -108,6 +108,32 @@ PRIORITY_TYPES = [("1-URGENT", "GEN"), ("2-HIGH", "PRI"), ("3-MEDIUM", "PPP"), (
 GENDER_CODES = [(0, "F"), (1, "M"), (2, "U")]
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def shared(fn):
+    """Reuse the lazy DataFrame a builder returns for the same session and data
+    folder.  Only the plan object is kept (no data is cached), so repeated
+    sub-plans are built and analysed once per session instead of once per
+    use; identical sub-plans inside one query also become one object, which
+    lets Spark reuse their exchanges."""
+
+    def wrapper(spark: SparkSession, sf_dir: str, *args, **kw):
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, fn.__name__, args, tuple(sorted(kw.items())))
+        if key not in _PLANS:
+            _PLANS[key] = fn(spark, sf_dir, *args, **kw)
+        return _PLANS[key]
+
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    wrapper.__wrapped__ = fn
+    return wrapper
+
+
+def clear_plans() -> None:
+    _PLANS.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -124,6 +150,7 @@ def first_line_supplier(lineitem: DataFrame) -> DataFrame:
     )
 
 
+@shared
 def customer_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = table(spark, sf_dir, "customer").select("c_custkey")
     first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("_first_order"))
@@ -146,6 +173,7 @@ def period_of(date_col: str) -> F.Column:
     )
 
 
+@shared
 def snapshot(spark: SparkSession, sf_dir: str, with_static: bool = True) -> DataFrame:
     """Stand-in snapshot rows: one per order in the 18-month window."""
     orders = (
@@ -183,21 +211,25 @@ def snapshot(spark: SparkSession, sf_dir: str, with_static: bool = True) -> Data
     return rows.join(static, rows.entity_id == static._ck, "left").drop("_ck")
 
 
+@shared
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-entity change panel (voter_changes equivalent)."""
     return P.build_panel(snapshot(spark, sf_dir), SPEC, AGES)
 
 
 # ---------------------------------------------------------------- areas
+@shared
 def cpi_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_extendedprice")
     return li.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("year_month")).agg(exact_mean("l_extendedprice").alias("cpi_value"))
 
 
+@shared
 def cpi_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.deflators(cpi_series(spark, sf_dir), BASE_MONTH)
 
 
+@shared
 def income_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bracket rows: (STATE, zipcode, tax_year, agi_stub, N1, A00100 in thousands)."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
@@ -212,10 +244,12 @@ def income_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def zip_income(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.area_income(income_brackets(spark, sf_dir), cpi_monthly(spark, sf_dir), INCOME)
 
 
+@shared
 def home_values_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area x month values with place attributes (one row per area-month)."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
@@ -234,18 +268,22 @@ def home_values_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(exact_mean("l_extendedprice").alias("typical_home_value"))
 
 
+@shared
 def zip_home_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.area_series(home_values_long(spark, sf_dir))
 
 
+@shared
 def zip_affordability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.affordability(zip_income(spark, sf_dir), zip_home_values(spark, sf_dir), INCOME_YEAR, INCOME_BASE_YEAR, VALUE_MONTH)
 
 
+@shared
 def zip_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.area_pressure(zip_home_values(spark, sf_dir), zip_income(spark, sf_dir), PRESSURE)
 
 
+@shared
 def entity_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel LEFT JOIN pressure metrics on last-known zip."""
     cols = [
@@ -260,6 +298,7 @@ def entity_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.attach_area(panel(spark, sf_dir), zip_pressure(spark, sf_dir).select(*cols))
 
 
+@shared
 def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
     inc = zip_income(spark, sf_dir).filter(F.col("tax_year") == INCOME_YEAR)
     return T.movers(
@@ -277,6 +316,7 @@ def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- events
+@shared
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in event log: one row per line (entity, date string, type, code)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
@@ -293,5 +333,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.enrich_events(events(spark, sf_dir), panel(spark, sf_dir))
