@@ -167,8 +167,8 @@ def customer_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 def period_of(date_col: str) -> F.Column:
     c = F.col(date_col)
     return (
-        F.when(c < F.lit(PERIOD_STARTS[1]).cast("timestamp"), F.lit(PERIODS[0].label))
-        .when(c < F.lit(PERIOD_STARTS[2]).cast("timestamp"), F.lit(PERIODS[1].label))
+        F.when(c < F.lit(PERIOD_STARTS[1]).cast("timestamp_ntz"), F.lit(PERIODS[0].label))
+        .when(c < F.lit(PERIOD_STARTS[2]).cast("timestamp_ntz"), F.lit(PERIODS[1].label))
         .otherwise(F.lit(PERIODS[2].label))
     )
 
@@ -179,8 +179,8 @@ def snapshot(spark: SparkSession, sf_dir: str, with_static: bool = True) -> Data
     orders = (
         table(spark, sf_dir, "orders")
         .filter(
-            (F.col("o_orderdate") >= F.lit(PERIOD_STARTS[0]).cast("timestamp"))
-            & (F.col("o_orderdate") < F.lit(PERIOD_END).cast("timestamp"))
+            (F.col("o_orderdate") >= F.lit(PERIOD_STARTS[0]).cast("timestamp_ntz"))
+            & (F.col("o_orderdate") < F.lit(PERIOD_END).cast("timestamp_ntz"))
         )
         .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     )
