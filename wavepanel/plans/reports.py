@@ -554,7 +554,8 @@ def d22(spark, d):
         "SELECT election_year, party, voters, LAG(voters) OVER (PARTITION BY party ORDER BY election_year) AS prev_voters, "
         "100.0 * CAST(voters - LAG(voters) OVER (PARTITION BY party ORDER BY election_year) AS DOUBLE) / "
         "LAG(voters) OVER (PARTITION BY party ORDER BY election_year) AS change_pct, "
-        "100.0 * CAST(voters AS DOUBLE) / SUM(voters) OVER (PARTITION BY election_year) AS pct_of_year FROM ("
+        "100.0 * CAST(voters AS DOUBLE) / SUM(voters) OVER (PARTITION BY election_year) AS pct_of_year, "
+        "voters - MAX(voters) OVER (PARTITION BY election_year) AS gap_to_leader FROM ("
         "SELECT election_year, party_last_known AS party, COUNT(DISTINCT entity_id) AS voters FROM vhe "
         f"WHERE election_type = 'GEN' AND counted_vote = 1 AND election_year IN {tuple(C.CYCLE_YEARS)} AND party_last_known IN {MAIN_SQL} GROUP BY 1, 2) g",
         "vhe",
@@ -565,6 +566,7 @@ def d23(spark, d):
     prev = F.lag("voters").over(Window.partitionBy("party").orderBy("election_year"))
     out = g.withColumn("prev_voters", prev).withColumn("change_pct", pct(F.col("voters") - F.col("prev_voters"), "prev_voters"))
     out = M.share_within(out, ["election_year"], "voters", "pct_of_year")
+    out = out.withColumn("gap_to_leader", F.col("voters") - F.max("voters").over(Window.partitionBy("election_year")))
     return ordered(out, "party", "election_year")
 
 
@@ -610,3 +612,65 @@ def d25(spark, d):
     )
     out = out.withColumn("duplicate_rows", F.col("rows") - F.col("entities"))
     return ordered(out.select("extract_month", "rows", "entities", "duplicate_rows", "null_county_rows", "masked_birth_rows", "unmatched_area_rows"), "extract_month")
+
+
+@register(
+    "d24b_county_consistency",
+    sql(
+        "SELECT v.county_last_known AS county, COUNT(*) AS entities, AVG(pv.general_votes) AS mean_general_votes, "
+        f"CAST(SUM(CASE WHEN pv.general_votes = {len(C.CYCLE_YEARS)} THEN 1 ELSE 0 END) AS BIGINT) AS always_voters, "
+        f"100.0 * CAST(SUM(CASE WHEN pv.general_votes = {len(C.CYCLE_YEARS)} THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS pct_always "
+        "FROM (SELECT entity_id, CAST(SUM(CASE WHEN election_type = 'GEN' AND election_year IN "
+        + "(" + ", ".join(str(y) for y in C.CYCLE_YEARS) + ")"
+        + " AND counted_vote = 1 THEN 1 ELSE 0 END) AS BIGINT) AS general_votes FROM vhe WHERE election_year IN "
+        + "(" + ", ".join(str(y) for y in C.CYCLE_YEARS) + ")"
+        + " GROUP BY entity_id) pv LEFT JOIN panel v ON pv.entity_id = v.entity_id GROUP BY 1",
+        "vhe",
+        "panel",
+    ),
+)
+def d24b(spark, d):
+    """Consistency by area: mean counted general votes per entity and share of always-voters."""
+    per = EV.per_entity_cycle_votes(C.enriched_events(spark, d), C.CYCLE_YEARS)
+    pan = C.panel(spark, d).select(F.col("entity_id").alias("_e"), "county_last_known")
+    j = per.join(pan, per.entity_id == pan._e, "left")
+    out = j.groupBy(F.col("county_last_known").alias("county")).agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.avg("general_votes").alias("mean_general_votes"),
+        F.count_if(F.col("general_votes") == len(C.CYCLE_YEARS)).alias("always_voters"),
+    )
+    return ordered(out.withColumn("pct_always", pct("always_voters", "entities")), "county")
+
+
+@register(
+    "d24c_type_participation_by_party",
+    sql(
+        "SELECT election_type_label, party, votes, 100.0 * CAST(votes AS DOUBLE) / SUM(votes) OVER (PARTITION BY election_type_label) AS pct FROM ("
+        "SELECT election_type_label, party_last_known AS party, CAST(SUM(counted_vote) AS BIGINT) AS votes FROM vhe "
+        "WHERE counted_vote = 1 AND party_last_known IS NOT NULL GROUP BY 1, 2) t",
+        "vhe",
+    ),
+)
+def d24c(spark, d):
+    e = C.enriched_events(spark, d).filter((F.col("counted_vote") == 1) & F.col("party_last_known").isNotNull())
+    cells = e.groupBy("election_type_label", F.col("party_last_known").alias("party")).agg(F.sum("counted_vote").cast("bigint").alias("votes"))
+    return ordered(M.share_within(cells, ["election_type_label"], "votes", "pct"), "election_type_label", "party")
+
+
+_DOMAIN_COLS = ("party", "status", "gender", "race")
+
+
+@register(
+    "d25b_code_domains",
+    sql(
+        "SELECT code_column, code, COUNT(*) AS rows FROM ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS code_column, {c} AS code FROM snap" for c in _DOMAIN_COLS)
+        + ") t GROUP BY 1, 2",
+        "snap",
+    ),
+)
+def d25b(spark, d):
+    """Code-domain check: every value (NULL included) of each coded column, with row counts."""
+    s = C.snapshot(spark, d).select(*_DOMAIN_COLS)
+    long = s.unpivot([], list(_DOMAIN_COLS), "code_column", "code")
+    return ordered(long.groupBy("code_column", "code").agg(F.count(F.lit(1)).alias("rows")), "code_column", "code")
