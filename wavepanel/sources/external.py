@@ -85,11 +85,21 @@ def brackets_from_lines(lines: DataFrame, ddl: str, value: str = "value", header
     return body.select(F.from_csv(F.col(value), ddl).alias("_r")).select("_r.*")
 
 
-def read_income_brackets(spark: SparkSession, year_paths: Mapping[int, str], ddl: str = BRACKET_DDL) -> DataFrame:
-    """Headered CSV per tax year; only the used columns, typed explicitly."""
-    frames = [
-        spark.read.option("header", True).schema(ddl).csv(p).withColumn("tax_year", F.lit(int(y))) for y, p in year_paths.items()
-    ]
+def read_income_brackets(spark: SparkSession, year_paths: Mapping[int, str]) -> DataFrame:
+    """Headered CSV per tax year; only the four used columns, picked by name
+    (a declared schema would map columns by position) and typed tolerantly."""
+    frames = []
+    for y, p in year_paths.items():
+        raw = spark.read.option("header", True).csv(p)
+        frames.append(
+            raw.select(
+                F.col("STATE"),
+                F.expr("try_cast(zipcode AS BIGINT)").alias("zipcode"),
+                F.expr("try_cast(N1 AS DOUBLE)").alias("N1"),
+                F.expr("try_cast(A00100 AS DOUBLE)").alias("A00100"),
+                F.lit(int(y)).alias("tax_year"),
+            )
+        )
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -105,14 +115,16 @@ def wide_to_long(wide: DataFrame, id_cols: Sequence[str], value: str = "typical_
     """S8 + R1: discover the date columns from the schema, unpivot, drop NULLs,
     key by month."""
     dates = date_columns(wide.columns)
-    long = wide.unpivot(list(id_cols), dates, "date_str", value).filter(F.col(value).isNotNull())
-    d = F.col("date_str").cast("date")
+    cells = wide.select(*id_cols, *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in dates])
+    long = cells.unpivot(list(id_cols), dates, "date_str", value).filter(F.col(value).isNotNull())
+    d = F.expr("try_cast(date_str AS DATE)")
     return long.select(*id_cols, d.alias("month_date"), month_key(d).alias("year_month"), F.col(value))
 
 
 def read_wide_series(spark: SparkSession, path: str, id_cols: Sequence[str], state: str | None = None) -> DataFrame:
-    """Headered wide CSV (one column per month-end date)."""
-    wide = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    """Headered wide CSV (one column per month-end date), read as strings
+    (no inference pass); values are cast after the unpivot."""
+    wide = spark.read.option("header", True).csv(path)
     if state is not None:
         wide = wide.filter(F.col("State") == state)
     return wide_to_long(wide, id_cols)
