@@ -56,32 +56,49 @@ class EventSpec:
     code_col: str = "history_code"
 
 
-def enrich_events(events: DataFrame, panel: DataFrame, spec: EventSpec = EventSpec(), panel_cols: Sequence[str] | None = None) -> DataFrame:
-    """C14: labels, year, counted flag, method bucket + current entity attributes.
+def label_events(events: DataFrame, spec: EventSpec = EventSpec()) -> DataFrame:
+    """Event labels, year, counted flag and method bucket; NULL dates dropped.
 
-    Rows with a NULL event date are dropped; events of entities missing from
-    the panel keep NULL attributes (left join).
+    No join: per-entity rollups aggregate these rows first (the partial
+    aggregate collapses a hot entity before any shuffle) and attach entity
+    attributes afterwards, one row per entity.
     """
-    cols = list(panel_cols or ["party_last_known", "age_band", "race", "county_last_known"])
-    right = panel.select(F.col(spec.entity).alias("_e"), *cols)
     ev = events.filter(F.col(spec.date).isNotNull())
-    j = ev.join(right, ev[spec.entity] == right["_e"], "left")
-    return j.select(
+    return ev.select(
         *[c for c in events.columns if c != "election_date_str"],
         F.year(spec.date).cast("bigint").alias("election_year"),
         decode(spec.type_col, ELECTION_LABELS, "9 Unknown").alias("election_type_label"),
         decode(spec.code_col, METHOD_LABELS, "9 Unknown").alias("method_label"),
         F.when(F.col(spec.code_col).isin(list(COUNTED_CODES)), 1).otherwise(0).alias("counted_vote"),
         bucket(spec.code_col, METHOD_BUCKETS, "other").alias("method_bucket"),
-        *[F.col(c) for c in cols if c != "race"],
-        decode("race", RACE_LABELS, "9 Unknown").alias("race_label"),
     )
 
 
+def attach_entity(df: DataFrame, panel: DataFrame, entity: str, cols: Sequence[str], how: str = "left") -> DataFrame:
+    """Entity attributes from the panel (race decoded to its label)."""
+    right = panel.select(F.col(entity).alias("_e"), *cols)
+    j = df.join(right, df[entity] == right["_e"], how)
+    extra = [F.col(c) for c in cols if c != "race"]
+    if "race" in cols:
+        extra.append(decode("race", RACE_LABELS, "9 Unknown").alias("race_label"))
+    return j.select(*[df[c] for c in df.columns], *extra)
+
+
+def enrich_events(events: DataFrame, panel: DataFrame, spec: EventSpec = EventSpec(), panel_cols: Sequence[str] | None = None) -> DataFrame:
+    """C14: labelled events + current entity attributes (left join on entity).
+
+    Rows with a NULL event date are dropped; events of entities missing from
+    the panel keep NULL attributes.  The panel side is pruned to the columns
+    the cuts use.
+    """
+    cols = list(panel_cols or ["party_last_known", "age_band", "race", "county_last_known"])
+    return attach_entity(label_events(events, spec), panel, spec.entity, cols)
+
+
 CONSISTENCY_LABELS = [(0, "0 (none)"), (1, "1"), (2, "2"), (3, "3"), (4, "4"), (5, "5 (every general)")]
 
 
-def per_entity_cycle_votes(enriched: DataFrame, cycle_years: Sequence[int], general: str = "GEN", prefilter: bool = True, entity: str = "entity_id") -> DataFrame:
+def per_entity_cycle_votes(labelled: DataFrame, cycle_years: Sequence[int], general: str = "GEN", prefilter: bool = True, entity: str = "entity_id") -> DataFrame:
     """A17 step 1: counted general-election votes per entity over the cycle years.
 
     ``prefilter`` keeps only rows in the cycle years before grouping (so an
@@ -89,7 +106,7 @@ def per_entity_cycle_votes(enriched: DataFrame, cycle_years: Sequence[int], gene
     with any event gets a row, possibly with 0.
     """
     years = [int(y) for y in cycle_years]
-    rows = enriched.filter(F.col("election_year").isin(years)) if prefilter else enriched
+    rows = labelled.filter(F.col("election_year").isin(years)) if prefilter else labelled
     hit = (F.col("election_type") == general) & F.col("election_year").isin(years) & (F.col("counted_vote") == 1)
     return rows.groupBy(entity).agg(F.sum(F.when(hit, 1).otherwise(0)).cast("bigint").alias("general_votes"))
 

@@ -148,7 +148,12 @@ class AgeSpec:
 
 def build_panel(snapshot: DataFrame, spec: PanelSpec, ages: AgeSpec | None = None) -> DataFrame:
     """Snapshot rows -> one row per entity with values, flags, last-known and ages."""
-    panel = change_flags(build_panel_wide(snapshot, spec), spec)
+    return build_panel_from_wide(build_panel_wide(snapshot, spec), spec, ages)
+
+
+def build_panel_from_wide(wide: DataFrame, spec: PanelSpec, ages: AgeSpec | None = None) -> DataFrame:
+    """Flags, last-known values and ages on an already pivoted frame."""
+    panel = change_flags(wide, spec)
     if ages is None:
         return panel
     as_of = F.lit(ages.as_of).cast("date")

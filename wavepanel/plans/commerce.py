@@ -211,10 +211,33 @@ def snapshot(spark: SparkSession, sf_dir: str, with_static: bool = True) -> Data
     return rows.join(static, rows.entity_id == static._ck, "left").drop("_ck")
 
 
+SPEC_CORE = P.PanelSpec(
+    entity=SPEC.entity, period=SPEC.period, periods=SPEC.periods, tracked=SPEC.tracked, witness=SPEC.witness, order_by=SPEC.order_by
+)
+
+
+def attach_static(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join the entity-level attributes after the entity aggregate.
+
+    Joining them to the snapshot rows instead would put every row of a hot
+    entity into one join task whose partitioning the aggregate then reuses
+    (so AQE could not split it); after the aggregate both sides have one row
+    per entity (or per entity and period).
+    """
+    static = customer_static(spark, sf_dir)
+    return df.join(static, df.entity_id == static._ck, "left").drop("_ck")
+
+
 @shared
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The per-entity change panel (voter_changes equivalent)."""
-    return P.build_panel(snapshot(spark, sf_dir), SPEC, AGES)
+    """The per-entity change panel (voter_changes equivalent).
+
+    Static attributes are constant per customer in this preset, so the max
+    over the kept rows equals the entity's attribute; they are attached
+    after the aggregate (see ``attach_static``).
+    """
+    wide = attach_static(P.build_panel_wide(snapshot(spark, sf_dir, with_static=False), SPEC_CORE), spark, sf_dir)
+    return P.build_panel_from_wide(wide, SPEC, AGES)
 
 
 # ---------------------------------------------------------------- areas
@@ -333,6 +356,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
+def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.label_events(events(spark, sf_dir))
+
+
 @shared
 def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.enrich_events(events(spark, sf_dir), panel(spark, sf_dir))

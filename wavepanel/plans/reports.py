@@ -631,7 +631,7 @@ def d25(spark, d):
 )
 def d24b(spark, d):
     """Consistency by area: mean counted general votes per entity and share of always-voters."""
-    per = EV.per_entity_cycle_votes(C.enriched_events(spark, d), C.CYCLE_YEARS)
+    per = EV.per_entity_cycle_votes(C.labelled_events(spark, d), C.CYCLE_YEARS)
     pan = C.panel(spark, d).select(F.col("entity_id").alias("_e"), "county_last_known")
     j = per.join(pan, per.entity_id == pan._e, "left")
     out = j.groupBy(F.col("county_last_known").alias("county")).agg(

@@ -153,13 +153,16 @@ _DEDUP_COLS = ["entity_id", "extract_month", "county", "zip", "party", "status",
 
 @register("c01_dedupe_snapshot", sql("SELECT " + ", ".join(_DEDUP_COLS) + " FROM dedup", "dedup"))
 def c01(spark, d):
-    return P.dedupe_snapshot(C.snapshot(spark, d), C.SPEC).select(*_DEDUP_COLS)
+    rows = P.dedupe_snapshot(C.snapshot(spark, d, with_static=False), C.SPEC_CORE)
+    return C.attach_static(rows, spark, d).select(*_DEDUP_COLS)
 
 
 @register("c02_pivot_panel", sql("SELECT * FROM pv", "pv"))
 def c02(spark, d):
-    """Unfused path: dedupe by (entity, period), then pivot by entity."""
-    return P.pivot_panel(P.dedupe_snapshot(C.snapshot(spark, d), C.SPEC), C.SPEC)
+    """Unfused path: dedupe by (entity, period), then pivot by entity (the
+    second aggregate reuses the first one's partitioning on the entity)."""
+    wide = P.pivot_panel(P.dedupe_snapshot(C.snapshot(spark, d, with_static=False), C.SPEC_CORE), C.SPEC_CORE)
+    return C.attach_static(wide, spark, d)
 
 
 @register("c03_change_panel", sql("SELECT * FROM panel", "panel"))
