@@ -120,6 +120,8 @@ def shared(fn):
 
     def wrapper(spark: SparkSession, sf_dir: str, *args, **kw):
         key = (id(spark), spark.sparkContext.applicationId, sf_dir, fn.__name__, args, tuple(sorted(kw.items())))
+        if not args and not kw:
+            key = _key(spark, sf_dir, fn.__name__)
         if key not in _PLANS:
             _PLANS[key] = fn(spark, sf_dir, *args, **kw)
         return _PLANS[key]
@@ -130,10 +132,20 @@ def shared(fn):
     return wrapper
 
 
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    return (id(spark), spark.sparkContext.applicationId, sf_dir, name, (), ())
+
+
 def clear_plans() -> None:
     _PLANS.clear()
 
 
+def override(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> None:
+    """Make builder ``name`` return ``df`` (e.g. a materialized copy) for this
+    session and folder; builders created afterwards read it."""
+    _PLANS[_key(spark, sf_dir, name)] = df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
