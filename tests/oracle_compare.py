@@ -8,9 +8,12 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 import sys
 import time
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"  # compare doubles at full precision
+
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,7 +36,7 @@ def _norm(v):
         f = float(v)
         if math.isnan(f):
             return "nan"
-        return float(f"{f:.9g}")
+        return f if STRICT else float(f"{f:.9g}")
     if isinstance(v, int):
         return float(v)
     if isinstance(v, (dt.datetime, dt.date)):

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from wavepanel.functions.scalar import band
 from wavepanel.operators import areas as A
 from wavepanel.operators import measures as M
 from wavepanel.plans import registration as R
@@ -34,7 +35,7 @@ def test_affordability_single_area_and_bands(spark):
 
 def test_pressure_band_edges(spark):
     df = spark.createDataFrame([(-0.75,), (-0.25,), (0.25,), (0.75,), (-0.7500001,)], "z double")
-    got = [r[0] for r in df.select(__import__("wavepanel.functions.scalar", fromlist=["band"]).band("z", A.PRESSURE_CUTS, A.PRESSURE_TOP)).collect()]
+    got = [r[0] for r in df.select(band("z", A.PRESSURE_CUTS, A.PRESSURE_TOP)).collect()]
     assert got == ["2: below average", "3: average", "4: above average", "5: high pressure", "1: low pressure"]
 
 

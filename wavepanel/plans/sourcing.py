@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wavepanel.functions.scalar import decode
 from wavepanel.operators import panel as P
 from wavepanel.plans import commerce as C
-from wavepanel.plans.oracle import _case, add_cte, sql
+from wavepanel.plans.oracle import _case, sql
 from wavepanel.plans.registry import register
 from wavepanel.sources import external as X
 from wavepanel.sources import text as TX
