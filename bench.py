@@ -49,7 +49,11 @@ def main() -> None:
     which = os.environ.get("BENCH_QUERIES")
     names = which.split(",") if which else HEADLINE
     ncpu = int(cpus) if cpus.isdigit() else os.cpu_count() or 8
-    spark = local_session(cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", 2 * ncpu)), app="wavepanel-bench")
+    extra = {}
+    # tiny shuffles at this size: let AQE merge partitions up to its advisory size
+    if os.environ.get("BENCH_COALESCE_BY_SIZE", "1") == "1":
+        extra["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
+    spark = local_session(cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", 2 * ncpu)), app="wavepanel-bench", extra=extra)
     reg = load_all()
     # warm-up (JVM, parquet footers, codegen caches)
     reg["q05_election_type_distribution"][0](spark, sf_dir).write.format("noop").mode("overwrite").save()

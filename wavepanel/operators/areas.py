@@ -2,8 +2,9 @@
 
 Every output here is keyed by area (ZIP-like code) or by area x period, so its
 row count is bounded by the number of areas times periods, not by the number
-of entities.  That bound is what makes the broadcasts below safe; the 1-row
-statistics frames are broadcast for the same reason.
+of entities.  That bound is what makes the broadcasts below safe.  Whole-table
+statistics (z-score moments, latest month, deflation base) are uncorrelated
+scalar subqueries.
 """
 
 from __future__ import annotations
@@ -27,17 +28,12 @@ def deflators(cpi: DataFrame, base_month: str) -> DataFrame:
     (the chosen month is carried in ``base_month``).  Input columns:
     ``year_month`` ('yyyy-MM'), ``cpi_value``.
     """
-    base = cpi.agg(
-        F.coalesce(F.max(F.when(F.col("year_month") == base_month, F.col("cpi_value"))), F.max_by("cpi_value", "year_month")).alias(
-            "_base_cpi"
-        ),
-        F.coalesce(F.max(F.when(F.col("year_month") == base_month, F.col("year_month"))), F.max("year_month")).alias("base_month"),
-    )
-    return (
-        cpi.crossJoin(F.broadcast(base))
-        .withColumn("real_factor", F.col("_base_cpi") / F.col("cpi_value"))
-        .drop("_base_cpi")
-    )
+    # uncorrelated scalar subqueries (Catalyst merges them into one aggregate)
+    base_cpi = cpi.agg(
+        F.coalesce(F.max(F.when(F.col("year_month") == base_month, F.col("cpi_value"))), F.max_by("cpi_value", "year_month"))
+    ).scalar()
+    base_ym = cpi.agg(F.coalesce(F.max(F.when(F.col("year_month") == base_month, F.col("year_month"))), F.max("year_month"))).scalar()
+    return cpi.select("year_month", "cpi_value", base_ym.alias("base_month"), (base_cpi / F.col("cpi_value")).alias("real_factor"))
 
 
 # --------------------------------------------------------------------------
@@ -135,9 +131,9 @@ PRESSURE_CUTS = ((-0.75, "1: low pressure"), (-0.25, "2: below average"), (0.25,
 PRESSURE_TOP = "5: high pressure"
 
 
-def latest_month(series: DataFrame) -> DataFrame:
-    """1-row frame with the latest 'yyyy-MM' of a series."""
-    return series.agg(F.max("year_month").alias("_month"))
+def latest_month(series: DataFrame):
+    """Latest 'yyyy-MM' of a series as a scalar subquery."""
+    return series.agg(F.max("year_month")).scalar()
 
 
 def affordability(
@@ -155,7 +151,7 @@ def affordability(
     """
     inc = income.filter(F.col("tax_year") == income_year).select("zip_code", "mean_agi_per_return", "real_mean_agi", "income_band")
     if value_month is None:
-        hv = series.join(F.broadcast(latest_month(series)), F.col("year_month") == F.col("_month")).drop("_month")
+        hv = series.filter(F.col("year_month") == latest_month(series))
     else:
         hv = series.filter(F.col("year_month") == value_month)
     hv = hv.select(
@@ -180,13 +176,12 @@ def affordability(
         .join(growth, "zip_code", "left")
         .withColumn("home_value_to_income_ratio", safe_div("typical_home_value_latest", "mean_agi_per_return"))
     )
-    stats = combined.filter(F.col("home_value_to_income_ratio").isNotNull()).agg(
-        F.avg("home_value_to_income_ratio").alias("_mean"), F.stddev_samp("home_value_to_income_ratio").alias("_sd")
-    )
-    score = safe_div(F.col("home_value_to_income_ratio") - F.col("_mean"), F.col("_sd"))
+    ratios = combined.filter(F.col("home_value_to_income_ratio").isNotNull())
+    mean = ratios.agg(F.avg("home_value_to_income_ratio")).scalar()
+    sd = ratios.agg(F.stddev_samp("home_value_to_income_ratio")).scalar()
+    score = safe_div(F.col("home_value_to_income_ratio") - mean, sd)
     return (
-        combined.crossJoin(F.broadcast(stats))
-        .withColumn("_score", score)
+        combined.withColumn("_score", score)
         .withColumn(
             "affordability_band",
             F.when(F.col("home_value_to_income_ratio").isNull(), F.lit("unknown")).otherwise(
@@ -194,7 +189,7 @@ def affordability(
             ),
         )
         .withColumn("affordability_pressure_score", F.round("_score", score_digits))
-        .drop("_mean", "_sd", "_score")
+        .drop("_score")
     )
 
 

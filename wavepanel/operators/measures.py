@@ -2,7 +2,7 @@
 
 All of these run on already-aggregated frames (cells), whose size is bounded
 by the product of the key domains, so the windows here partition by group
-keys of small frames.  Whole-frame totals use a 1-row broadcast instead of an
+keys of small frames.  Whole-frame totals are scalar subqueries instead of an
 empty-partition window (which would pull everything into one task).
 """
 
@@ -27,11 +27,8 @@ def suppress(df: DataFrame, min_cell: int, count_cols: Sequence[str] = ("voters"
 
 def share_within(df: DataFrame, group: Sequence[str], n: str, out: str = "pct", total_out: str | None = None) -> DataFrame:
     """C17: 100 * n / sum(n) within ``group`` (window over an aggregated frame)."""
-    total = F.sum(n).over(Window.partitionBy(*group)) if group else None
-    if total is None:
-        tot = df.agg(F.sum(n).alias("_total"))
-        res = df.crossJoin(F.broadcast(tot)).withColumn(out, pct(n, "_total"))
-        return res.withColumnRenamed("_total", total_out) if total_out else res.drop("_total")
+    # grand total: a scalar subquery, not an empty-partition window
+    total = F.sum(n).over(Window.partitionBy(*group)) if group else df.agg(F.sum(n)).scalar()
     res = df.withColumn("_total", total).withColumn(out, pct(n, "_total"))
     return res.withColumnRenamed("_total", total_out) if total_out else res.drop("_total")
 
@@ -104,9 +101,9 @@ def top_bottom(df: DataFrame, key: str, measure: str, k: int) -> DataFrame:
 
 
 def zscore(df: DataFrame, col: str, out: str = "z") -> DataFrame:
-    """Sample z-score of a column across all rows (1-row broadcast stats)."""
-    stats = df.agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_sd"))
-    return df.crossJoin(F.broadcast(stats)).withColumn(out, safe_div(F.col(col) - F.col("_m"), "_sd")).drop("_m", "_sd")
+    """Sample z-score of a column across all rows (moments as scalar subqueries)."""
+    mean, sd = df.agg(F.avg(col)).scalar(), df.agg(F.stddev_samp(col)).scalar()
+    return df.withColumn(out, safe_div(F.col(col) - mean, sd))
 
 
 def plurality(df: DataFrame, group: Sequence[str], value: str, n: str) -> DataFrame:

@@ -75,9 +75,9 @@ def q03(spark, d):
 )
 def q04(spark, d):
     cells = C.events(spark, d).groupBy("history_code").agg(F.count(F.lit(1)).alias("rows"))
-    # grand total as a 1-row broadcast rather than an empty-partition window
-    total = cells.agg(F.sum("rows").alias("_t"))
-    return ordered(cells.crossJoin(F.broadcast(total)).select("history_code", "rows", pct("rows", "_t").alias("pct")), "history_code")
+    # grand total as a scalar subquery rather than an empty-partition window
+    total = cells.agg(F.sum("rows")).scalar()
+    return ordered(cells.select("history_code", "rows", pct("rows", total).alias("pct")), "history_code")
 
 
 @register("q05_election_type_distribution", sql("SELECT election_type, COUNT(*) AS rows FROM ev GROUP BY election_type", "ev"))

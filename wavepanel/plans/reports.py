@@ -95,8 +95,8 @@ TIER_CUTS = ((3.8, "small"), (4.2, "mid"))
 )
 def d07(spark, d):
     n = net_zip(spark, d)
-    tot = n.agg(F.sum("n_first").alias("_tot"))
-    tiers = n.crossJoin(F.broadcast(tot)).withColumn("tier", band(pct("n_first", "_tot"), TIER_CUTS, "large"))
+    tot = n.agg(F.sum("n_first")).scalar()
+    tiers = n.withColumn("tier", band(pct("n_first", tot), TIER_CUTS, "large"))
     out = tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("areas"), F.sum("n_first").alias("n_first"), F.sum("n_last").alias("n_last"))
     out = out.withColumn("net_change", F.col("n_last") - F.col("n_first")).withColumn("pct_change", pct(F.col("n_last") - F.col("n_first"), "n_first"))
     return ordered(out, "tier")
@@ -221,8 +221,8 @@ def d08(spark, d):
     p = C.panel(spark, d)
     yn = F.concat(*[F.when(F.col(f"appeared_in_{q.long}"), F.lit("Y")).otherwise(F.lit("N")) for q in C.PERIODS])
     cells = p.groupBy(yn.alias("pattern")).agg(F.count(F.lit(1)).alias("entities"))
-    tot = cells.agg(F.sum("entities").alias("_t"))
-    out = cells.crossJoin(F.broadcast(tot)).select("pattern", decode("pattern", PATTERN_LABELS, None).alias("label"), "entities", pct("entities", "_t").alias("pct"))
+    tot = cells.agg(F.sum("entities")).scalar()
+    out = cells.select("pattern", decode("pattern", PATTERN_LABELS, None).alias("label"), "entities", pct("entities", tot).alias("pct"))
     return ordered(out, "pattern")
 
 

@@ -20,10 +20,10 @@ SESSION_DEFAULTS = {
 }
 
 
-def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "wavepanel") -> SparkSession:
+def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "wavepanel", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench (never used on a cluster)."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    for k, v in SESSION_DEFAULTS.items():
+    for k, v in {**SESSION_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     builder = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
