@@ -83,3 +83,17 @@ def test_top_bottom_deterministic_ties(spark):
     df = spark.createDataFrame([("a", 5), ("b", 5), ("c", 1), ("d", 9)], "k string, m long")
     got = [(r["side"], r["rank"], r["k"]) for r in M.top_bottom(df, "k", "m", 2).collect()]
     assert sorted(got) == sorted([("top", 1, "d"), ("top", 2, "a"), ("bottom", 1, "c"), ("bottom", 2, "a")])
+
+
+def test_period_profile_exact_and_approx(spark):
+    df = spark.createDataFrame([("m1", "a"), ("m1", "a"), ("m1", "b"), ("m2", "c")], "p string, e string")
+    exact = {r["p"]: r for r in M.period_profile(df, "p", "e").collect()}
+    assert exact["m1"]["rows"] == 3 and exact["m1"]["distinct_entity_ids"] == 2 and exact["m1"]["duplicate_rows"] == 1
+    approx = {r["p"]: r for r in M.period_profile(df, "p", "e", approx=True).collect()}
+    assert approx["m1"]["distinct_entity_ids"] == 2  # exact at this size
+
+
+def test_pivot_counts_fills_missing(spark):
+    df = spark.createDataFrame([("g1", "x"), ("g1", "y"), ("g2", "x")], "g string, v string")
+    out = {r["g"]: r for r in M.pivot_counts(df, ["g"], "v", ["x", "y", "z"], ["x", "y", "z"]).collect()}
+    assert (out["g2"]["n_x"], out["g2"]["n_y"], out["g2"]["n_z"], out["g2"]["total"]) == (1, 0, 0, 1)

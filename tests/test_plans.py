@@ -53,3 +53,15 @@ def test_registry_complete():
     for i in range(1, 26):
         assert f"d{i:02d}" in ids
     assert all(q for _, (_, q) in reg.items())
+
+
+def test_no_cross_joins_or_python_udfs(spark):
+    """No registered query plans a cartesian product, a nested-loop join or a
+    Python UDF evaluation (everything stays JVM-side)."""
+    bad = {}
+    for name, (fn, _) in sorted(load_all().items()):
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython") if k in plan]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad

@@ -113,3 +113,40 @@ def plurality(df: DataFrame, group: Sequence[str], value: str, n: str) -> DataFr
         F.max(n).alias("plurality_n"),
         F.sum(n).alias("group_total"),
     )
+
+
+def pivot_counts(df: DataFrame, group: Sequence[str], pivot_col: Column | str, values: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Counts with one column per listed value (``n_<label>``) plus ``total``.
+
+    The values are given, so the pivot needs no extra job to discover them;
+    missing cells are 0.
+    """
+    pc = F.col(pivot_col) if isinstance(pivot_col, str) else pivot_col
+    wide = df.withColumn("_pv", pc).groupBy(*group).pivot("_pv", list(values)).agg(F.count(F.lit(1)))
+    cols = [F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("bigint").alias(f"n_{lab}") for v, lab in zip(values, labels)]
+    out = wide.select(*group, *cols)
+    total = None
+    for lab in labels:
+        total = F.col(f"n_{lab}") if total is None else total + F.col(f"n_{lab}")
+    return out.withColumn("total", total)
+
+
+def profile_top(df: DataFrame, cols: Sequence[str], k: int, count_name: str = "n") -> DataFrame:
+    """Q1: the k most frequent value combinations (ties broken by the values)."""
+    cells = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(count_name))
+    return cells.orderBy(F.col(count_name).desc(), *[F.col(c).asc_nulls_last() for c in cols]).limit(k)
+
+
+def period_profile(df: DataFrame, period: str, entity: str, distinct_cols: Sequence[str] = (), approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Q2: rows, distinct values and duplicate rows per period.
+
+    Exact distinct counts by default.  ``approx=True`` switches to
+    HyperLogLog++ (``approx_count_distinct``) for very large snapshots, where
+    several exact distincts in one aggregate multiply the rows shuffled.
+    """
+    dc = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs += [dc(c).alias(f"distinct_{c}") for c in distinct_cols]
+    aggs.append(dc(entity).alias("distinct_entity_ids"))
+    out = df.groupBy(period).agg(*aggs)
+    return out.withColumn("duplicate_rows", F.col("rows") - F.col("distinct_entity_ids"))

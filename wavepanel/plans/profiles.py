@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavepanel.functions.scalar import pct
+from wavepanel.operators.measures import period_profile, profile_top
 from wavepanel.plans import commerce as C
 from wavepanel.plans.exports import ordered
 from wavepanel.plans.oracle import sql
@@ -17,17 +18,15 @@ P1 = C.PERIODS[0].label
     "q01_profile_top10",
     sql(
         "SELECT county AS county_code, status AS voter_status, party AS party_affiliation, COUNT(*) AS n FROM snap "
-        f"WHERE extract_month = '{P1}' GROUP BY 1, 2, 3 ORDER BY n DESC, 1, 2, 3 LIMIT 10",
+        f"WHERE extract_month = '{P1}' GROUP BY 1, 2, 3 ORDER BY n DESC, 1 NULLS LAST, 2 NULLS LAST, 3 NULLS LAST LIMIT 10",
         "snap",
     ),
 )
 def q01(spark, d):
     """Top-10 (county, status, party) cells of one snapshot period."""
     s = C.snapshot(spark, d, with_static=False).filter(F.col("extract_month") == P1)
-    cells = s.groupBy(F.col("county").alias("county_code"), F.col("status").alias("voter_status"), F.col("party").alias("party_affiliation")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return cells.orderBy(F.col("n").desc(), F.col("county_code").asc_nulls_last(), "voter_status", "party_affiliation").limit(10)
+    s = s.select(F.col("county").alias("county_code"), F.col("status").alias("voter_status"), F.col("party").alias("party_affiliation"))
+    return profile_top(s, ["county_code", "voter_status", "party_affiliation"], 10)
 
 
 @register(
@@ -40,13 +39,9 @@ def q01(spark, d):
 )
 def q02(spark, d):
     s = C.snapshot(spark, d, with_static=False)
-    out = s.groupBy("extract_month").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("source_file").alias("files"),
-        F.countDistinct("county").alias("counties"),
-        F.countDistinct("entity_id").alias("distinct_entity_ids"),
-    )
-    return ordered(out.withColumn("duplicate_rows", F.col("rows") - F.col("distinct_entity_ids")), "extract_month")
+    out = period_profile(s, "extract_month", "entity_id", ["source_file", "county"])
+    out = out.withColumnRenamed("distinct_source_file", "files").withColumnRenamed("distinct_county", "counties")
+    return ordered(out, "extract_month")
 
 
 @register(

@@ -674,3 +674,33 @@ def d25b(spark, d):
     s = C.snapshot(spark, d).select(*_DOMAIN_COLS)
     long = s.unpivot([], list(_DOMAIN_COLS), "code_column", "code")
     return ordered(long.groupBy("code_column", "code").agg(F.count(F.lit(1)).alias("rows")), "code_column", "code")
+
+
+_PARTY_LABS = [("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"), ("other", "other")]
+
+
+@register(
+    "d15b_age_party_share_table",
+    sql(
+        "SELECT age_band, "
+        + ", ".join(f"n_{lab}" for _, lab in _PARTY_LABS)
+        + ", total, "
+        + ", ".join(f"100.0 * CAST(n_{lab} AS DOUBLE) / total AS share_{lab}" for _, lab in _PARTY_LABS)
+        + " FROM (SELECT age_band, "
+        + ", ".join(
+            f"CAST(SUM(CASE WHEN pg = '{v}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{lab}" for v, lab in _PARTY_LABS
+        )
+        + ", COUNT(*) AS total FROM (SELECT age_band, CASE WHEN party_last_known IN "
+        + MAIN_SQL
+        + " THEN party_last_known ELSE 'other' END AS pg FROM panel WHERE party_last_known IS NOT NULL) t GROUP BY age_band) c",
+        "panel",
+    ),
+)
+def d15b(spark, d):
+    """Share table: one row per age band, one count and share column per party
+    (main parties, the rest as 'other'), via a pivot with the values given."""
+    p = C.panel(spark, d).filter(F.col("party_last_known").isNotNull())
+    pg = F.when(F.col("party_last_known").isin(*[v for v, _ in _PARTY_LABS[:-1]]), F.col("party_last_known")).otherwise(F.lit("other"))
+    out = M.pivot_counts(p, ["age_band"], pg, [v for v, _ in _PARTY_LABS], [lab for _, lab in _PARTY_LABS])
+    out = out.withColumns({f"share_{lab}": pct(f"n_{lab}", "total") for _, lab in _PARTY_LABS})
+    return ordered(out, "age_band")
