@@ -19,3 +19,22 @@ def test_publish_exports(spark, tmp_path):
         assert back.count() == len(expected[n])
     d = spark.read.option("header", True).csv(str(tmp_path / "out" / "data_dictionary"))
     assert d.count() == len(names)
+
+
+def test_bucketed_core_joins_without_shuffle(spark):
+    from wavepanel.operators import events as EV
+    from wavepanel.plans.release import materialize_core
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        materialize_core(spark, SF)
+        j = EV.attach_entity(C.labelled_events(spark, SF), C.panel(spark, SF), "entity_id", ["party_last_known"])
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        per = EV.per_entity_cycle_votes(C.labelled_events(spark, SF), C.CYCLE_YEARS)
+        assert "Exchange" not in per._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        C.clear_plans()

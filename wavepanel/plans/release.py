@@ -18,10 +18,12 @@ from pyspark.sql import SparkSession
 
 from wavepanel.plans import commerce as C
 from wavepanel.plans.registry import load_all
-from wavepanel.sources.publish import data_dictionary, materialize, publish_csv
+from wavepanel.sources.publish import data_dictionary, materialize, materialize_bucketed, publish_csv
 
 # built in dependency order: later ones are built on the materialized earlier ones
 CORE = ("panel", "zip_income", "zip_home_values", "zip_affordability", "zip_pressure", "labelled_events", "enriched_events", "movers", "entity_pressure")
+# written bucketed by entity: their joins and per-entity aggregates need no shuffle
+BUCKETED = ("panel", "labelled_events")
 
 DESCRIPTIONS = {
     "e01_county_month_summary": "Rows by period x county x party x status (raw rows, duplicates included).",
@@ -37,13 +39,24 @@ DESCRIPTIONS = {
 }
 
 
-def materialize_core(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> str:
-    """Write the shared intermediates and make the builders read them; returns the run id."""
+def materialize_core(spark: SparkSession, sf_dir: str, run_id: str | None = None, buckets: int | None = None) -> str:
+    """Write the shared intermediates and make the builders read them; returns the run id.
+
+    The panel and the labelled events are bucketed by entity with the same
+    bucket count (default: the session's shuffle partitions), so the events x
+    panel join and per-entity rollups read co-located buckets.
+    """
     run = run_id or uuid.uuid4().hex[:12]
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     C.clear_plans()
     for name in CORE:
         df = getattr(C, name)(spark, sf_dir)
-        C.override(spark, sf_dir, name, materialize(spark, df, f"wavepanel-{run}/{name}"))
+        where = f"wavepanel-{run}/{name}"
+        if name in BUCKETED:
+            copy = materialize_bucketed(spark, df, where, "entity_id", n)
+        else:
+            copy = materialize(spark, df, where)
+        C.override(spark, sf_dir, name, copy)
     return run
 
 

@@ -41,6 +41,17 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialize_bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table bucketed and sorted by ``key`` in the shared folder.
+
+    Two tables bucketed on the same key with the same bucket count join and
+    group on that key without any shuffle (the scans report the bucketing).
+    """
+    table = "wp_" + "".join(ch if ch.isalnum() else "_" for ch in name)
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", shared_dir(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def publish_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> int:
     """S11 + S12: ordered CSV with header; returns the row count from the same
     execution (an observation), not by running the query twice.
