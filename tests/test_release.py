@@ -21,7 +21,12 @@ def test_publish_exports(spark, tmp_path):
     assert d.count() == len(names)
 
 
-def test_bucketed_core_joins_without_shuffle(spark):
+def test_bucketed_panel_is_not_shuffled(spark):
+    """Events pre-aggregated per (entity, cell) join the entity-bucketed panel.
+
+    The event side shuffles partially aggregated rows by (entity, cell) and
+    then the (small) aggregated cells by entity; the bucketed panel side is
+    never shuffled."""
     from wavepanel.operators import events as EV
     from wavepanel.plans.release import materialize_core
 
@@ -29,11 +34,11 @@ def test_bucketed_core_joins_without_shuffle(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         materialize_core(spark, SF)
-        j = EV.attach_entity(C.labelled_events(spark, SF), C.panel(spark, SF), "entity_id", ["party_last_known"])
-        plan = j._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
-        per = EV.per_entity_cycle_votes(C.labelled_events(spark, SF), C.CYCLE_YEARS)
-        assert "Exchange" not in per._jdf.queryExecution().executedPlan().toString()
+        cells = EV.entity_cells(C.labelled_events(spark, SF), C.panel(spark, SF), ["method_bucket"], ["party_last_known"])
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+        assert plan.count("Exchange") == 2
+        assert "partial_sum" in plan  # map-side pre-aggregation before the first exchange
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")

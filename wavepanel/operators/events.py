@@ -84,6 +84,26 @@ def attach_entity(df: DataFrame, panel: DataFrame, entity: str, cols: Sequence[s
     return j.select(*[df[c] for c in df.columns], *extra)
 
 
+def entity_cells(
+    labelled: DataFrame,
+    panel: DataFrame,
+    keys: Sequence,
+    panel_cols: Sequence[str],
+    measures: Sequence | None = None,
+    entity: str = "entity_id",
+) -> DataFrame:
+    """Pre-aggregate events per (entity, cell keys), then attach entity attributes.
+
+    The partial aggregate collapses a hot entity's events to at most one row
+    per cell before anything is shuffled for the join, so the join sees a
+    bounded number of rows per entity.  ``measures`` default to the counted
+    votes (``votes``).  Callers sum the measures over the cells they publish.
+    """
+    aggs = list(measures) if measures else [F.sum("counted_vote").cast("bigint").alias("votes")]
+    cells = labelled.groupBy(entity, *keys).agg(*aggs)
+    return attach_entity(cells, panel, entity, list(panel_cols))
+
+
 def enrich_events(events: DataFrame, panel: DataFrame, spec: EventSpec = EventSpec(), panel_cols: Sequence[str] | None = None) -> DataFrame:
     """C14: labelled events + current entity attributes (left join on entity).
 

@@ -22,8 +22,11 @@ from wavepanel.sources.publish import data_dictionary, materialize, materialize_
 
 # built in dependency order: later ones are built on the materialized earlier ones
 CORE = ("panel", "zip_income", "zip_home_values", "zip_affordability", "zip_pressure", "labelled_events", "enriched_events", "movers", "entity_pressure")
-# written bucketed by entity: their joins and per-entity aggregates need no shuffle
-BUCKETED = ("panel", "labelled_events")
+# The panel (one row per entity, so no bucket can be hot) is written bucketed
+# by entity; the events are not: a hot entity would make one bucket -- one
+# task -- hold a third of them.  Event cuts pre-aggregate per (entity, cell)
+# and then join the bucketed panel.
+BUCKETED = ("panel",)
 
 DESCRIPTIONS = {
     "e01_county_month_summary": "Rows by period x county x party x status (raw rows, duplicates included).",
@@ -42,9 +45,8 @@ DESCRIPTIONS = {
 def materialize_core(spark: SparkSession, sf_dir: str, run_id: str | None = None, buckets: int | None = None) -> str:
     """Write the shared intermediates and make the builders read them; returns the run id.
 
-    The panel and the labelled events are bucketed by entity with the same
-    bucket count (default: the session's shuffle partitions), so the events x
-    panel join and per-entity rollups read co-located buckets.
+    The panel is bucketed by entity (default bucket count: the session's
+    shuffle partitions), so joins against it shuffle only the other side.
     """
     run = run_id or uuid.uuid4().hex[:12]
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -523,11 +523,15 @@ def d20(spark, d):
     ),
 )
 def d21(spark, d):
-    e = C.enriched_events(spark, d)
-    out = e.rollup("age_band").agg(
-        F.grouping("age_band").alias("_g"),
-        F.count_if(F.col("history_code").isin("A", "B", "L")).alias("mail_total"),
-        F.count_if(F.col("history_code").isin("B", "L")).alias("rejected"),
+    per = EV.entity_cells(
+        C.labelled_events(spark, d),
+        C.panel(spark, d),
+        [],
+        ["age_band"],
+        [F.count_if(F.col("history_code").isin("A", "B", "L")).alias("_mail"), F.count_if(F.col("history_code").isin("B", "L")).alias("_rej")],
+    )
+    out = per.rollup("age_band").agg(
+        F.grouping("age_band").alias("_g"), F.sum("_mail").cast("bigint").alias("mail_total"), F.sum("_rej").cast("bigint").alias("rejected")
     )
     label = F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.coalesce("age_band", F.lit("unmatched")))
     return ordered(out.select(label.alias("age_band"), "mail_total", "rejected", pct("rejected", "mail_total").alias("rejection_rate")), "age_band")
@@ -579,8 +583,9 @@ def d23(spark, d):
     ),
 )
 def d24(spark, d):
-    e = C.enriched_events(spark, d).filter(F.col("counted_vote") == 1)
-    cells = e.groupBy("race_label", "method_bucket").agg(F.sum("counted_vote").cast("bigint").alias("votes"))
+    e = C.labelled_events(spark, d).filter(F.col("counted_vote") == 1)
+    c = EV.entity_cells(e, C.panel(spark, d), ["method_bucket"], ["race"])
+    cells = c.groupBy("race_label", "method_bucket").agg(F.sum("votes").cast("bigint").alias("votes"))
     return ordered(M.share_within(cells, ["race_label"], "votes", "pct"), "race_label", "method_bucket")
 
 
@@ -652,8 +657,9 @@ def d24b(spark, d):
     ),
 )
 def d24c(spark, d):
-    e = C.enriched_events(spark, d).filter((F.col("counted_vote") == 1) & F.col("party_last_known").isNotNull())
-    cells = e.groupBy("election_type_label", F.col("party_last_known").alias("party")).agg(F.sum("counted_vote").cast("bigint").alias("votes"))
+    e = C.labelled_events(spark, d).filter(F.col("counted_vote") == 1)
+    c = EV.entity_cells(e, C.panel(spark, d), ["election_type_label"], ["party_last_known"]).filter(F.col("party_last_known").isNotNull())
+    cells = c.groupBy("election_type_label", F.col("party_last_known").alias("party")).agg(F.sum("votes").cast("bigint").alias("votes"))
     return ordered(M.share_within(cells, ["election_type_label"], "votes", "pct"), "election_type_label", "party")
 
 
