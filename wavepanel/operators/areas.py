@@ -127,6 +127,7 @@ def area_series(long: DataFrame, area: str = "zip_code", date: str = "month_date
 # --------------------------------------------------------------------------
 # C8 affordability
 # --------------------------------------------------------------------------
+# Affordability z-score bands (upper-exclusive) and the top label.
 PRESSURE_CUTS = ((-0.75, "1: low pressure"), (-0.25, "2: below average"), (0.25, "3: average"), (0.75, "4: above average"))
 PRESSURE_TOP = "5: high pressure"
 

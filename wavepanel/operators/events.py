@@ -115,6 +115,7 @@ def enrich_events(events: DataFrame, panel: DataFrame, spec: EventSpec = EventSp
     return attach_entity(label_events(events, spec), panel, spec.entity, cols)
 
 
+# Consistency buckets (counted general-election votes over the cycles).
 CONSISTENCY_LABELS = [(0, "0 (none)"), (1, "1"), (2, "2"), (3, "3"), (4, "4"), (5, "5 (every general)")]
 
 

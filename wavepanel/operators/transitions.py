@@ -67,6 +67,7 @@ def absolute_direction(src: str | Column, dst: str | Column, delta: float, label
     )
 
 
+# Direction labels of the registration preset.
 INCOME_DIRECTION = {"unknown": "unknown", "up": "up (>=+15%)", "down": "down (<=-15%)", "lateral": "lateral (+/-15%)"}
 AFFORD_DIRECTION = {
     "unknown": "unknown",
