@@ -163,3 +163,26 @@ def build_panel_from_wide(wide: DataFrame, spec: PanelSpec, ages: AgeSpec | None
         cols["registration_age_years"] = year_diff(F.col(ages.registration), as_of)
     cols["age_band"] = band(age, ages.cuts, "unknown", "unknown")
     return panel.withColumns(cols)
+
+
+def cohort_flags(spec: PanelSpec, exclude_transient: bool = False) -> tuple[Column, Column]:
+    """(arrived, departed) cohort membership over the whole span.
+
+    Default: any arrival / any departure flag (event definition, as the flag
+    sums count).  ``exclude_transient`` keeps only lasting changes: arrivals
+    still present at the end and absent at the start, departures present at
+    the start and gone at the end (no middle-only entities, no boomerangs).
+    """
+    ps = spec.periods
+    w = spec.presence
+    first, last = F.col(f"{w}_{ps[0].short}").isNotNull(), F.col(f"{w}_{ps[-1].short}").isNotNull()
+    arrived = None
+    departed = None
+    for a, b in spec.windows():
+        pa, pb = F.col(f"{w}_{a.short}").isNotNull(), F.col(f"{w}_{b.short}").isNotNull()
+        arrived = (~pa & pb) if arrived is None else arrived | (~pa & pb)
+        departed = (pa & ~pb) if departed is None else departed | (pa & ~pb)
+    if exclude_transient:
+        arrived = arrived & last & ~first
+        departed = departed & first & ~last
+    return arrived, departed

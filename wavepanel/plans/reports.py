@@ -316,34 +316,53 @@ def d09(spark, d):
 
 
 # ----------------------------------------------------------------- D10 cohorts
-@register(
-    "d10_cohort_vs_base",
-    sql(
+def _d10_sql(exclude_transient: bool) -> str:
+    new = "(new_in_p2 OR new_in_p3)"
+    gone = "(missing_after_p1 OR missing_after_p2)"
+    if exclude_transient:
+        new += " AND county_p3 IS NOT NULL AND county_p1 IS NULL"
+        gone += " AND county_p1 IS NOT NULL AND county_p3 IS NULL"
+    return sql(
         "SELECT c.cohort, c.party, c.n, 100.0 * CAST(c.n AS DOUBLE) / SUM(c.n) OVER (PARTITION BY c.cohort) AS pct_of_cohort, b.base_n, "
         "b.pct_of_base, 100.0 * CAST(c.n AS DOUBLE) / SUM(c.n) OVER (PARTITION BY c.cohort) - b.pct_of_base AS diff_pp FROM ("
         "SELECT cohort, party, COUNT(*) AS n FROM ("
-        "SELECT 'new' AS cohort, party_last_known AS party FROM panel WHERE new_in_p2 OR new_in_p3 "
-        "UNION ALL SELECT 'removed', party_last_known FROM panel WHERE missing_after_p1 OR missing_after_p2) u "
+        f"SELECT 'new' AS cohort, party_last_known AS party FROM panel WHERE {new} "
+        f"UNION ALL SELECT 'removed', party_last_known FROM panel WHERE {gone}) u "
         "WHERE party IS NOT NULL GROUP BY 1, 2) c LEFT JOIN ("
         "SELECT party_last_known AS party, COUNT(*) AS base_n, 100.0 * CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS pct_of_base "
         "FROM panel WHERE party_last_known IS NOT NULL GROUP BY 1) b ON c.party = b.party",
         "panel",
-    ),
-)
-def d10(spark, d):
+    )
+
+
+def _d10(spark, d, exclude_transient: bool):
+    from wavepanel.operators.panel import cohort_flags
+
     p = C.panel(spark, d).filter(F.col("party_last_known").isNotNull())
-    is_new = F.col("new_in_p2") | F.col("new_in_p3")
-    gone = F.col("missing_after_p1") | F.col("missing_after_p2")
+    is_new, gone = cohort_flags(C.SPEC, exclude_transient)
     cohorts = p.select(
         F.col("party_last_known").alias("party"),
         F.explode(F.filter(F.array(F.when(is_new, F.lit("new")), F.when(gone, F.lit("removed"))), lambda x: x.isNotNull())).alias("cohort"),
     )
     cells = M.share_within(cohorts.groupBy("cohort", "party").agg(F.count(F.lit(1)).alias("n")), ["cohort"], "n", "pct_of_cohort")
     base = M.share_within(p.groupBy(F.col("party_last_known").alias("party")).agg(F.count(F.lit(1)).alias("base_n")), [], "base_n", "pct_of_base")
+    # base: one row per party value (bounded by the party domain)
     j = cells.join(F.broadcast(base), "party", "left")
     return ordered(j.withColumn("diff_pp", F.col("pct_of_cohort") - F.col("pct_of_base")), "cohort", "party")
 
 
+@register("d10_cohort_vs_base", _d10_sql(False))
+def d10(spark, d):
+    """New and removed cohorts by party against the base distribution (flag definition)."""
+    return _d10(spark, d, False)
+
+
+@register("d10b_cohort_vs_base_lasting", _d10_sql(True))
+def d10b(spark, d):
+    """Same, counting only lasting arrivals and departures (no middle-only entities, no boomerangs)."""
+    return _d10(spark, d, True)
+
+
 # ----------------------------------------------------------------- D14 rates by age band
 def _react_sql(cond: str) -> str:
     return " + ".join(cond.format(a=a.short, b=b.short) for a, b in WINDOWS)
