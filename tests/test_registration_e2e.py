@@ -104,3 +104,54 @@ def test_registration_chain(spark, tmp_path):
     got = {(r["voter_id"], r["method_bucket"], r["counted_vote"]) for r in enriched.collect()}
     assert ("1", "mail", 1) in got and ("7", "mail", 0) in got
     assert enriched.filter("voter_id = '7'").first()["party_last_known"] is None  # not in panel
+
+
+def _fixture_sources(tmp_path):
+    ex = tmp_path / "x"
+    rows = {
+        "20260310": [vrow("ALA", str(i), "32601", ["DEM", "REP", "NPA"][i % 3], birth=f"01/15/{1950 + i % 50}", race=str(1 + i % 7)) for i in range(40)],
+        "20260414": [vrow("ALA", str(i), "32605" if i % 4 == 0 else "32601", ["DEM", "REP", "NPA", "LPF"][i % 4], status="INA" if i % 5 == 0 else "ACT") for i in range(2, 40)],
+        "20260512": [vrow("BAY" if i % 6 == 0 else "ALA", str(i), "32605" if i % 4 == 0 else "32601", ["DEM", "REP", "NPA"][i % 3]) for i in range(3, 45)],
+    }
+    for day, lines in rows.items():
+        write(ex / day / "detail" / f"ALA_{day}.txt", lines)
+    write(ex / "history" / "h.txt", [f"ALA\t{i}\t11/0{3 + i % 5}/{2016 + 2 * (i % 5)}\tGEN\t{'AEYBN'[i % 5]}" for i in range(45)])
+    cpi = {"Results": {"series": [{"data": [{"year": str(y), "period": "M12", "value": str(250.0 + y - 2020)} for y in (2020, 2021, 2022)]
+                                  + [{"year": "2026", "period": "M05", "value": "320.0"}]}]}}
+    (tmp_path / "cpi.json").write_text(json.dumps(cpi))
+    inc = {}
+    for y in (2020, 2021, 2022):
+        f = tmp_path / f"irs{y}.csv"
+        f.write_text("STATE,zipcode,N1,A00100\nFL,32601,100,5000\nFL,32605,100,9000\n")
+        inc[y] = str(f)
+    z = tmp_path / "z.csv"
+    z.write_text("RegionName,City,State,CountyName,Metro,2000-01-31,2021-04-30,2026-04-30\n"
+                 "32601,Gainesville,FL,Alachua County,Gainesville,100000,300000,400000\n"
+                 "32605,Gainesville,FL,Alachua County,Gainesville,90000,150000,330000\n")
+    return R.Sources(
+        snapshots=(("2026-03", str(ex / "20260310/detail/*.txt")), ("2026-04", str(ex / "20260414/detail/*.txt")), ("2026-05", str(ex / "20260512/detail/*.txt"))),
+        events=str(ex / "history/*.txt"),
+        cpi=str(tmp_path / "cpi.json"),
+        income=tuple(sorted(inc.items())),
+        home_values=str(z),
+    )
+
+
+def test_published_exports_on_extracts(spark, tmp_path):
+    out = R.published_exports(spark, _fixture_sources(tmp_path))
+    assert len(out) == 26
+    results = {n: df.collect() for n, df in out.items()}
+    assert out["e05"].columns == ["age_band", "party_affiliation", "voters", "new_registrations", "departures", "zip_changes", "county_changes", "party_changes", "status_changes"]
+    assert out["e10"].columns == [
+        "voters_march", "voters_april", "voters_may", "active_voters_may", "dem_may", "rep_may", "npa_may", "other_party_may",
+        "new_in_april", "new_in_may", "missing_after_march", "missing_after_april",
+        "zip_changes_mar_apr", "zip_changes_apr_may", "county_changes_mar_apr", "county_changes_apr_may", "party_changes_mar_apr", "party_changes_apr_may",
+    ]
+    kpi = results["e10"][0]
+    assert (kpi["voters_march"], kpi["voters_april"], kpi["voters_may"]) == (40, 38, 42)
+    assert kpi["new_in_may"] - kpi["missing_after_april"] + kpi["new_in_april"] - kpi["missing_after_march"] == 42 - 40
+    assert out["e11"].columns == ["income_direction", "race_label", "party_after", "movers", "movers_who_also_changed_party", "crossed_county"]
+    assert out["e20"].columns == ["election_year", "party", "method_bucket", "counted_votes"]
+    assert sum(r["voters"] for r in results["e05"]) == 45  # every voter once
+    # suppression at the registration floor of 10
+    assert all(r["voters"] >= 10 for r in results["e08"]) and all(r["counted_votes"] >= 10 for r in results["e26"])

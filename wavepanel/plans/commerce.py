@@ -64,6 +64,7 @@ AGES = P.AgeSpec(birth="birth_date_parsed", registration="registration_date_pars
 MIN_CELL = 3
 MIN_GROUP = 20  # group-total floor of the share headlines
 MAIN_PARTIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+MAIN_KPIS = (("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"))
 ACTIVE_STATUS = "O"
 INACTIVE_STATUS = "F"
 
@@ -108,42 +109,7 @@ PRIORITY_TYPES = [("1-URGENT", "GEN"), ("2-HIGH", "PRI"), ("3-MEDIUM", "PPP"), (
 GENDER_CODES = [(0, "F"), (1, "M"), (2, "U")]
 
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def shared(fn):
-    """Reuse the lazy DataFrame a builder returns for the same session and data
-    folder.  Only the plan object is kept (no data is cached), so repeated
-    sub-plans are built and analysed once per session instead of once per
-    use; identical sub-plans inside one query also become one object, which
-    lets Spark reuse their exchanges."""
-
-    def wrapper(spark: SparkSession, sf_dir: str, *args, **kw):
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir, fn.__name__, args, tuple(sorted(kw.items())))
-        if not args and not kw:
-            key = _key(spark, sf_dir, fn.__name__)
-        if key not in _PLANS:
-            _PLANS[key] = fn(spark, sf_dir, *args, **kw)
-        return _PLANS[key]
-
-    wrapper.__name__ = fn.__name__
-    wrapper.__doc__ = fn.__doc__
-    wrapper.__wrapped__ = fn
-    return wrapper
-
-
-def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    return (id(spark), spark.sparkContext.applicationId, sf_dir, name, (), ())
-
-
-def clear_plans() -> None:
-    _PLANS.clear()
-
-
-def override(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> None:
-    """Make builder ``name`` return ``df`` (e.g. a materialized copy) for this
-    session and folder; builders created afterwards read it."""
-    _PLANS[_key(spark, sf_dir, name)] = df
+from wavepanel.plans.memo import clear_plans, override, shared  # noqa: E402,F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -385,3 +351,6 @@ def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @shared
 def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.enrich_events(events(spark, sf_dir), panel(spark, sf_dir))
+
+
+movers_long = movers  # uniform builder name across presets

@@ -10,14 +10,18 @@ against the real extracts.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavepanel.functions.scalar import zip5
 from wavepanel.operators import areas as A
 from wavepanel.operators import events as EV
 from wavepanel.operators import panel as P
 from wavepanel.operators import transitions as T
+from wavepanel.plans.memo import shared
+from wavepanel.sources import external as X
 from wavepanel.sources import text as TX
 
 # Periods of the surveyed extracts and the panel's as-of date.
@@ -25,6 +29,7 @@ PERIODS = (P.Period("2026-03", "mar", "march"), P.Period("2026-04", "apr", "apri
 AS_OF = "2026-05-01"
 MIN_CELL = 10
 MAIN_PARTIES = ("DEM", "REP", "NPA")
+MAIN_KPIS = (("DEM", "dem"), ("REP", "rep"), ("NPA", "npa"))
 ACTIVE_STATUS = "ACT"
 
 # Age bands (upper-exclusive), NULL and >= 120 -> 'unknown'.
@@ -54,8 +59,12 @@ PRESSURE = A.PressureSpec(
     income_change_cuts=((-0.05, "1 declined >5%"), (0.00, "2 declined 0-5%"), (0.05, "3 grew 0-5%"), (0.10, "4 grew 5-10%")),
     income_change_top="5 grew >=10%",
 )
+INCOME_YEAR = PRESSURE.income_year
+INCOME_BASE_YEAR = PRESSURE.base_year
 # Mover direction thresholds (ratio of area means; difference of ratios).
 MOVE_UP, MOVE_DOWN, AFFORD_DELTA = 1.15, 0.85, 1.0
+INCOME_DIRECTION = T.INCOME_DIRECTION
+AFFORD_DIRECTION = T.AFFORD_DIRECTION
 
 # Event cuts.
 CYCLE_YEARS = (2016, 2018, 2020, 2022, 2024)
@@ -106,3 +115,129 @@ def voter_changes(snapshot: DataFrame) -> DataFrame:
 
 def movers(panel: DataFrame, income: DataFrame, afford: DataFrame) -> DataFrame:
     return T.movers(panel, SPEC, income.filter(F.col("tax_year") == PRESSURE.income_year), afford, EV.RACE_LABELS, MOVE_UP, MOVE_DOWN, AFFORD_DELTA)
+
+
+# ---------------------------------------------------------------- builders over files
+@dataclass(frozen=True)
+class Sources:
+    """Where the extracts and public series live (hashable: it keys the plan memo)."""
+
+    snapshots: tuple[tuple[str, str], ...]  # (period label, glob of that period's files)
+    events: str  # glob of the newest event-history extract
+    cpi: str  # price-index JSON document
+    income: tuple[tuple[int, str], ...]  # (tax year, bracket CSV)
+    home_values: str  # wide home-value CSV
+    state: str = "FL"
+
+
+EVENT_SPEC = EV.EventSpec(entity="voter_id")
+
+
+@shared
+def snapshot_rows(spark: SparkSession, src: Sources) -> DataFrame:
+    rows, _ = TX.read_snapshots(spark, dict(src.snapshots))
+    return rows
+
+
+@shared
+def quarantine(spark: SparkSession, src: Sources) -> DataFrame:
+    _, bad = TX.read_snapshots(spark, dict(src.snapshots))
+    return bad
+
+
+@shared
+def snapshot(spark: SparkSession, src: Sources, with_static: bool = True) -> DataFrame:
+    """Snapshot rows with role names (county, zip, party, status)."""
+    rows = snapshot_rows(spark, src)
+    cols = ["voter_id", "extract_month", "source_file", *[F.col(c).alias(r) for c, r in ROLES.items()]]
+    if with_static:
+        cols += ["birth_date", "registration_date", "gender", "race"]
+    return rows.select(*cols)
+
+
+@shared
+def panel(spark: SparkSession, src: Sources) -> DataFrame:
+    return voter_changes(snapshot_rows(spark, src))
+
+
+@shared
+def cpi_monthly(spark: SparkSession, src: Sources) -> DataFrame:
+    return A.deflators(X.read_cpi(spark, src.cpi), BASE_MONTH)
+
+
+@shared
+def zip_income(spark: SparkSession, src: Sources) -> DataFrame:
+    spec = A.IncomeSpec(years=INCOME.years, cuts=INCOME.cuts, top_label=INCOME.top_label, state=src.state)
+    return A.area_income(X.read_income_brackets(spark, dict(src.income)), cpi_monthly(spark, src), spec)
+
+
+@shared
+def home_values_long(spark: SparkSession, src: Sources) -> DataFrame:
+    long = X.read_wide_series(spark, src.home_values, ["RegionName", "City", "CountyName", "Metro"], state=src.state)
+    return long.select(
+        zip5("RegionName").alias("zip_code"),
+        F.col("City").alias("city"),
+        F.col("CountyName").alias("county"),
+        F.col("Metro").alias("metro"),
+        "month_date",
+        "typical_home_value",
+    )
+
+
+@shared
+def zip_home_values(spark: SparkSession, src: Sources) -> DataFrame:
+    return A.area_series(home_values_long(spark, src))
+
+
+@shared
+def zip_affordability(spark: SparkSession, src: Sources) -> DataFrame:
+    return A.affordability(zip_income(spark, src), zip_home_values(spark, src), INCOME_YEAR, INCOME_BASE_YEAR)
+
+
+@shared
+def zip_pressure(spark: SparkSession, src: Sources) -> DataFrame:
+    return A.area_pressure(zip_home_values(spark, src), zip_income(spark, src), PRESSURE)
+
+
+@shared
+def entity_pressure(spark: SparkSession, src: Sources) -> DataFrame:
+    cols = ["zip_code", "hv_growth_since_first", "hv_growth_5yr", "real_income_change", "hv_growth_25yr_band", "hv_growth_5yr_band", "real_income_change_band"]
+    return A.attach_area(panel(spark, src), zip_pressure(spark, src).select(*cols))
+
+
+@shared
+def movers_long(spark: SparkSession, src: Sources) -> DataFrame:
+    return movers(panel(spark, src), zip_income(spark, src), zip_affordability(spark, src))
+
+
+@shared
+def events(spark: SparkSession, src: Sources) -> DataFrame:
+    ev, _ = TX.read_events(spark, src.events)
+    return ev
+
+
+@shared
+def labelled_events(spark: SparkSession, src: Sources) -> DataFrame:
+    return EV.label_events(events(spark, src), EVENT_SPEC)
+
+
+@shared
+def enriched_events(spark: SparkSession, src: Sources) -> DataFrame:
+    return EV.enrich_events(events(spark, src), panel(spark, src), EVENT_SPEC)
+
+
+def published_exports(spark: SparkSession, src: Sources) -> dict[str, DataFrame]:
+    """All 26 published cross-tabs (E1-E26) on the real extracts.
+
+    The same builders the registered queries use, run with this preset's
+    builders, names and fixed values.  Publish them with
+    ``sources.publish.publish_csv`` (or materialize the core first, as in
+    ``plans.release``).
+    """
+    import sys
+
+    from wavepanel.plans import exports
+
+    me = sys.modules[__name__]
+    names = sorted(n for n in dir(exports) if n[:1] == "e" and n[1:3].isdigit() and len(n) == 3)
+    return {n: getattr(exports, n)(spark, src, me) for n in names}
