@@ -155,3 +155,13 @@ def test_published_exports_on_extracts(spark, tmp_path):
     assert sum(r["voters"] for r in results["e05"]) == 45  # every voter once
     # suppression at the registration floor of 10
     assert all(r["voters"] >= 10 for r in results["e08"]) and all(r["counted_votes"] >= 10 for r in results["e26"])
+
+
+def test_headlines_and_profiles_on_extracts(spark, tmp_path):
+    out = R.headline_queries(spark, _fixture_sources(tmp_path))
+    assert len(out) == 24
+    got = {n: df.collect() for n, df in out.items()}
+    assert got["q02"][0]["rows"] == 40 and got["q07"]  # rows of the first extract; presence patterns
+    assert set(out["q07"].columns) >= {"appeared_in_march", "appeared_in_april", "appeared_in_may"}
+    assert out["q08"].columns[:2] == ["new_in_april", "new_in_may"]
+    assert {r["party"] for r in got["h12"]} <= {"DEM", "REP", "NPA"}

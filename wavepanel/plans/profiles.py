@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wavepanel.functions.scalar import pct
 from wavepanel.operators.measures import period_profile, profile_top
 from wavepanel.plans import commerce as C
-from wavepanel.plans.exports import ordered
+from wavepanel.plans.exports import Flags, ordered
 from wavepanel.plans.oracle import sql
 from wavepanel.plans.registry import register
 
@@ -22,9 +22,9 @@ P1 = C.PERIODS[0].label
         "snap",
     ),
 )
-def q01(spark, d):
+def q01(spark, d, P=C):
     """Top-10 (county, status, party) cells of one snapshot period."""
-    s = C.snapshot(spark, d, with_static=False).filter(F.col("extract_month") == P1)
+    s = P.snapshot(spark, d, with_static=False).filter(F.col("extract_month") == P.PERIODS[0].label)
     s = s.select(F.col("county").alias("county_code"), F.col("status").alias("voter_status"), F.col("party").alias("party_affiliation"))
     return profile_top(s, ["county_code", "voter_status", "party_affiliation"], 10)
 
@@ -37,9 +37,9 @@ def q01(spark, d):
         "snap",
     ),
 )
-def q02(spark, d):
-    s = C.snapshot(spark, d, with_static=False)
-    out = period_profile(s, "extract_month", "entity_id", ["source_file", "county"])
+def q02(spark, d, P=C):
+    s = P.snapshot(spark, d, with_static=False)
+    out = period_profile(s, "extract_month", P.SPEC.entity, ["source_file", "county"])
     out = out.withColumnRenamed("distinct_source_file", "files").withColumnRenamed("distinct_county", "counties")
     return ordered(out, "extract_month")
 
@@ -51,12 +51,12 @@ def q02(spark, d):
         "ev",
     ),
 )
-def q03(spark, d):
-    e = C.events(spark, d)
+def q03(spark, d, P=C):
+    e = P.events(spark, d)
     # distinct over the tuple, NULL parts counted (struct form, not count(distinct a, b))
     return e.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.countDistinct("entity_id").alias("entities"),
+        F.countDistinct(P.SPEC.entity).alias("entities"),
         F.countDistinct(F.struct("election_date", "election_type")).alias("elections"),
     )
 
@@ -68,16 +68,16 @@ def q03(spark, d):
         "ev",
     ),
 )
-def q04(spark, d):
-    cells = C.events(spark, d).groupBy("history_code").agg(F.count(F.lit(1)).alias("rows"))
+def q04(spark, d, P=C):
+    cells = P.events(spark, d).groupBy("history_code").agg(F.count(F.lit(1)).alias("rows"))
     # grand total as a scalar subquery rather than an empty-partition window
     total = cells.agg(F.sum("rows")).scalar()
     return ordered(cells.select("history_code", "rows", pct("rows", total).alias("pct")), "history_code")
 
 
 @register("q05_election_type_distribution", sql("SELECT election_type, COUNT(*) AS rows FROM ev GROUP BY election_type", "ev"))
-def q05(spark, d):
-    return C.events(spark, d).groupBy("election_type").agg(F.count(F.lit(1)).alias("rows"))
+def q05(spark, d, P=C):
+    return P.events(spark, d).groupBy("election_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register(
@@ -88,8 +88,8 @@ def q05(spark, d):
         "ev",
     ),
 )
-def q06(spark, d):
-    e = C.events(spark, d).filter(F.col("election_date").isNotNull())
+def q06(spark, d, P=C):
+    e = P.events(spark, d).filter(F.col("election_date").isNotNull())
     return e.agg(F.min("election_date").alias("min_date"), F.max("election_date").alias("max_date"), F.countDistinct(F.year("election_date")).alias("years"))
 
 
@@ -97,9 +97,9 @@ def q06(spark, d):
     "q07_presence_patterns",
     sql("SELECT appeared_in_p1, appeared_in_p2, appeared_in_p3, COUNT(*) AS voters FROM panel GROUP BY 1, 2, 3", "panel"),
 )
-def q07(spark, d):
-    p = C.panel(spark, d)
-    return p.groupBy("appeared_in_p1", "appeared_in_p2", "appeared_in_p3").agg(F.count(F.lit(1)).alias("voters")).orderBy(F.col("voters").desc())
+def q07(spark, d, P=C):
+    p = P.panel(spark, d)
+    return p.groupBy(*[f"appeared_in_{q.long}" for q in P.PERIODS]).agg(F.count(F.lit(1)).alias("voters")).orderBy(F.col("voters").desc())
 
 
 _Q8 = ["new_in_p2", "new_in_p3", "missing_after_p1", "missing_after_p2"] + [
@@ -108,13 +108,14 @@ _Q8 = ["new_in_p2", "new_in_p3", "missing_after_p1", "missing_after_p2"] + [
 
 
 @register("q08_global_flag_sums", sql("SELECT " + ", ".join(f"CAST(SUM(CAST({f} AS INT)) AS BIGINT) AS {f}" for f in _Q8) + " FROM panel", "panel"))
-def q08(spark, d):
-    return C.panel(spark, d).agg(*[F.sum(F.col(f).cast("int")).cast("bigint").alias(f) for f in _Q8])
+def q08(spark, d, P=C):
+    fl = Flags(P)
+    return P.panel(spark, d).agg(*[F.sum(F.col(f).cast("int")).cast("bigint").alias(f) for f in fl.per_flag()])
 
 
 @register("q09_age_band_distribution", sql("SELECT age_band, COUNT(*) AS voters FROM panel GROUP BY age_band", "panel"))
-def q09(spark, d):
-    return ordered(C.panel(spark, d).groupBy("age_band").agg(F.count(F.lit(1)).alias("voters")), "age_band")
+def q09(spark, d, P=C):
+    return ordered(P.panel(spark, d).groupBy("age_band").agg(F.count(F.lit(1)).alias("voters")), "age_band")
 
 
 @register(
@@ -123,8 +124,8 @@ def q09(spark, d):
         "SELECT COUNT(*) AS rows, COUNT(DISTINCT zip_code) AS zips, COUNT(DISTINCT year_month) AS months FROM zip_home_values", "zip_home_values"
     ),
 )
-def q10(spark, d):
-    hv = C.zip_home_values(spark, d)
+def q10(spark, d, P=C):
+    hv = P.zip_home_values(spark, d)
     return hv.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("zip_code").alias("zips"), F.countDistinct("year_month").alias("months"))
 
 
@@ -137,8 +138,8 @@ def q10(spark, d):
         "zip_affordability",
     ),
 )
-def q11(spark, d):
-    a = C.zip_affordability(spark, d)
+def q11(spark, d, P=C):
+    a = P.zip_affordability(spark, d)
     out = a.groupBy("affordability_band").agg(
         F.count(F.lit(1)).alias("zips"),
         F.round(F.avg("home_value_to_income_ratio"), 6).alias("mean_ratio"),
@@ -156,8 +157,8 @@ def q11(spark, d):
         "zip_pressure",
     ),
 )
-def q12(spark, d):
-    z = C.zip_pressure(spark, d)
+def q12(spark, d, P=C):
+    z = P.zip_pressure(spark, d)
     return z.agg(
         F.count(F.lit(1)).alias("zips"), F.count("hv_growth_since_first").alias("zips_with_growth"), F.count("real_income_change").alias("zips_with_income_change")
     )

@@ -28,6 +28,7 @@ from wavepanel.sources import text as TX
 PERIODS = (P.Period("2026-03", "mar", "march"), P.Period("2026-04", "apr", "april"), P.Period("2026-05", "may", "may"))
 AS_OF = "2026-05-01"
 MIN_CELL = 10
+MIN_GROUP = 100  # group-total floor of the share headlines
 MAIN_PARTIES = ("DEM", "REP", "NPA")
 MAIN_KPIS = (("DEM", "dem"), ("REP", "rep"), ("NPA", "npa"))
 ACTIVE_STATUS = "ACT"
@@ -241,3 +242,20 @@ def published_exports(spark: SparkSession, src: Sources) -> dict[str, DataFrame]
     me = sys.modules[__name__]
     names = sorted(n for n in dir(exports) if n[:1] == "e" and n[1:3].isdigit() and len(n) == 3)
     return {n: getattr(exports, n)(spark, src, me) for n in names}
+
+
+def headline_queries(spark: SparkSession, src: Sources) -> dict[str, DataFrame]:
+    """The printed headline rollups (H1-H12) and load profiles (Q1-Q12) on the real extracts."""
+    import sys
+
+    from wavepanel.plans import headlines, profiles
+
+    me = sys.modules[__name__]
+    out = {}
+    for mod, prefix in ((headlines, "h"), (profiles, "q")):
+        for n in sorted(dir(mod)):
+            if n[:1] == prefix and n[1:3].isdigit() and len(n) == 3:
+                out[n] = getattr(mod, n)(spark, src, me)
+    for n, band in (("h06", "hv_growth_25yr_band"), ("h07", "real_income_change_band"), ("h09", "hv_growth_5yr_band")):
+        out[n] = headlines._band_share(band)[1](spark, src, me)
+    return dict(sorted(out.items()))
