@@ -36,12 +36,18 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); library code
+    only reads it and never falls back to a machine-local folder."""
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    if not current:
+        raise RuntimeError("spark.checkpoint.dir is not set: name the cluster's shared folder there")
+    return current
 
-    On a cluster that setting names shared storage and is used as is.  Only
-    when it is unset (local tests) is a scratch folder created and set.
-    """
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Local sessions only: use ``spark.checkpoint.dir`` when set, otherwise
+    create a scratch folder for this local run and set it."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from wavepanel.session import checkpoint_dir
+
 
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), bucket_by: tuple[int, str] | None = None, name: str | None = None) -> None:
     """Drop-and-recreate a durable table (parquet).
@@ -27,10 +29,7 @@ def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), bucke
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Folder under the cluster's shared checkpoint location for a named table."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set")
-    return f"{base.rstrip('/')}/{name}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

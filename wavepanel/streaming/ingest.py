@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wavepanel.session import ensure_checkpoint_dir
+from wavepanel.session import checkpoint_dir
 from wavepanel.sources.text import SNAPSHOT_FIELDS, split_rows
 
 
@@ -43,7 +43,7 @@ def start_snapshot_ingest(
     Checkpoints live under ``checkpoint_root`` or the shared folder named by
     ``spark.checkpoint.dir``.
     """
-    root = (checkpoint_root or ensure_checkpoint_dir(spark)).rstrip("/")
+    root = (checkpoint_root or checkpoint_dir(spark)).rstrip("/")
     # one source per period folder, unioned: a file sink takes one writer
     lines = None
     for period, folder in period_folders.items():
