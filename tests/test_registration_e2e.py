@@ -165,3 +165,14 @@ def test_headlines_and_profiles_on_extracts(spark, tmp_path):
     assert set(out["q07"].columns) >= {"appeared_in_march", "appeared_in_april", "appeared_in_may"}
     assert out["q08"].columns[:2] == ["new_in_april", "new_in_may"]
     assert {r["party"] for r in got["h12"]} <= {"DEM", "REP", "NPA"}
+
+
+def test_report_measures_on_extracts(spark, tmp_path):
+    out = R.report_measures(spark, _fixture_sources(tmp_path))
+    assert len(out) >= 29
+    got = {n: df.collect() for n, df in out.items()}
+    assert out["d12"].columns == ["boomerangs", "single_mar", "single_apr", "single_may", "present_all"]
+    assert {r["window"] for r in got["d09"]} == {"2026-03 -> 2026-04", "2026-04 -> 2026-05"}
+    assert {r["days"] for r in got["d09"]} == {35, 28}  # gaps between extract dates
+    assert "share_dem" in out["d15b"].columns and "n_other" in out["d15b"].columns
+    assert sum(r["entities"] for r in got["d08"]) == 45

@@ -36,6 +36,7 @@ from wavepanel.operators import transitions as T
 PERIODS = (P.Period("1997-H1", "p1", "p1"), P.Period("1997-H2", "p2", "p2"), P.Period("1998-H1", "p3", "p3"))
 PERIOD_STARTS = ("1997-01-01", "1997-07-01", "1998-01-01")
 PERIOD_END = "1998-07-01"
+PERIOD_DATES = PERIOD_STARTS  # reference date of each period (weekly-rate denominators)
 AS_OF = "1998-07-01"
 TRACKED = ("county", "zip", "party", "status")
 STATIC = ("birth_date", "registration_date", "gender", "race")
@@ -354,3 +355,17 @@ def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 movers_long = movers  # uniform builder name across presets
+
+DISTRICT_SYSTEMS = ("supplier_nation", "supplier_region", "customer_nation", "market_segment")
+
+
+@shared
+def district_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per entity: party and the district of each overlapping system."""
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("_c"), zip5("c_nationkey").alias("customer_nation"), F.col("c_mktsegment").alias("market_segment")
+    )
+    p = panel(spark, sf_dir).select(
+        "entity_id", F.col("zip_last_known").alias("supplier_nation"), F.col("county_last_known").alias("supplier_region"), F.col("party_last_known").alias("party")
+    )
+    return p.join(cust, p.entity_id == cust._c, "left").select("party", *DISTRICT_SYSTEMS)

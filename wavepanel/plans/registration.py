@@ -27,6 +27,8 @@ from wavepanel.sources import text as TX
 # Periods of the surveyed extracts and the panel's as-of date.
 PERIODS = (P.Period("2026-03", "mar", "march"), P.Period("2026-04", "apr", "april"), P.Period("2026-05", "may", "may"))
 AS_OF = "2026-05-01"
+PERIOD_DATES = ("2026-03-10", "2026-04-14", "2026-05-12")  # extract dates (weekly-rate denominators)
+INACTIVE_STATUS = "INA"
 MIN_CELL = 10
 MIN_GROUP = 100  # group-total floor of the share headlines
 MAIN_PARTIES = ("DEM", "REP", "NPA")
@@ -227,6 +229,19 @@ def enriched_events(spark: SparkSession, src: Sources) -> DataFrame:
     return EV.enrich_events(events(spark, src), panel(spark, src), EVENT_SPEC)
 
 
+# The overlapping district systems of the extract.
+DISTRICT_SYSTEMS = ("congressional_district", "house_district", "senate_district", "county_commission_district", "school_board_district")
+
+
+@shared
+def district_frame(spark: SparkSession, src: Sources) -> DataFrame:
+    """One row per voter of the latest extract: party and the five districts
+    (the row of the lexically first file when a voter appears twice)."""
+    last = snapshot_rows(spark, src).filter(F.col("extract_month") == PERIODS[-1].label)
+    row = F.min_by(F.struct(F.col("party_affiliation").alias("party"), *[F.col(c) for c in DISTRICT_SYSTEMS]), F.col("source_file"))
+    return last.groupBy("voter_id").agg(row.alias("_r")).select("_r.*")
+
+
 def published_exports(spark: SparkSession, src: Sources) -> dict[str, DataFrame]:
     """All 26 published cross-tabs (E1-E26) on the real extracts.
 
@@ -259,3 +274,12 @@ def headline_queries(spark: SparkSession, src: Sources) -> dict[str, DataFrame]:
     for n, band in (("h06", "hv_growth_25yr_band"), ("h07", "real_income_change_band"), ("h09", "hv_growth_5yr_band")):
         out[n] = headlines._band_share(band)[1](spark, src, me)
     return dict(sorted(out.items()))
+
+
+def report_measures(spark: SparkSession, src: Sources) -> dict[str, DataFrame]:
+    """The report measures (D1-D25 and variants) on the real extracts."""
+    import sys
+
+    from wavepanel.plans import reports
+
+    return reports.report_queries(spark, src, sys.modules[__name__])

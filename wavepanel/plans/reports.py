@@ -14,7 +14,7 @@ from wavepanel.operators import events as EV
 from wavepanel.operators import measures as M
 from wavepanel.operators import transitions as T
 from wavepanel.plans import commerce as C
-from wavepanel.plans.exports import MAIN_SQL, ordered
+from wavepanel.plans.exports import MAIN_SQL, Flags, ordered
 from wavepanel.plans.headlines import general_voters, method_shift
 from wavepanel.plans.oracle import RACE_CASE, add_cte, sql
 from wavepanel.plans.registry import REGISTRY, register
@@ -45,12 +45,12 @@ add_cte("net_zip", ("panel",), _net_sql("zip", "net_zip"))
 
 
 @register("d01_net_change_by_county", sql("SELECT * FROM net_county", "net_county"))
-def d01(spark, d):
-    return ordered(M.net_change(C.panel(spark, d), "county", "county_p1", "county_p3"), "county")
+def d01(spark, d, P=C):
+    return ordered(M.net_change(P.panel(spark, d), "county", f"county_{P.PERIODS[0].short}", f"county_{P.PERIODS[-1].short}"), "county")
 
 
-def net_zip(spark, d) -> DataFrame:
-    return M.net_change(C.panel(spark, d), "zip", "zip_p1", "zip_p3")
+def net_zip(spark, d, P=C) -> DataFrame:
+    return M.net_change(P.panel(spark, d), "zip", f"zip_{P.PERIODS[0].short}", f"zip_{P.PERIODS[-1].short}")
 
 
 @register(
@@ -61,8 +61,8 @@ def net_zip(spark, d) -> DataFrame:
         "net_zip",
     ),
 )
-def d02(spark, d):
-    return M.top_bottom(net_zip(spark, d), "zip", "net_change", 5)
+def d02(spark, d, P=C):
+    return M.top_bottom(net_zip(spark, d, P), "zip", "net_change", 5)
 
 
 @register(
@@ -74,8 +74,8 @@ def d02(spark, d):
         "net_zip",
     ),
 )
-def d03(spark, d):
-    z = M.zscore(net_zip(spark, d), "pct_change", "_z")
+def d03(spark, d, P=C):
+    z = M.zscore(net_zip(spark, d, P), "pct_change", "_z")
     return z.select("zip", "pct_change", F.round("_z", 9).alias("z_score"), F.coalesce(F.abs("_z") >= 1.5, F.lit(False)).alias("outlier"))
 
 
@@ -93,8 +93,8 @@ TIER_CUTS = ((3.8, "small"), (4.2, "mid"))
         "net_zip",
     ),
 )
-def d07(spark, d):
-    n = net_zip(spark, d)
+def d07(spark, d, P=C):
+    n = net_zip(spark, d, P)
     tot = n.agg(F.sum("n_first")).scalar()
     tiers = n.withColumn("tier", band(pct("n_first", tot), TIER_CUTS, "large"))
     out = tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("areas"), F.sum("n_first").alias("n_first"), F.sum("n_last").alias("n_last"))
@@ -116,13 +116,13 @@ def d07(spark, d):
         "panel",
     ),
 )
-def d04(spark, d):
-    p = C.panel(spark, d)
+def d04(spark, d, P=C):
+    p = P.panel(spark, d)
     sides = p.select(
         F.explode(
             F.array(
-                F.struct(F.col("county_p1").alias("county"), F.col("party_p1").alias("party"), F.lit(1).alias("f"), F.lit(0).alias("l")),
-                F.struct(F.col("county_p3").alias("county"), F.col("party_p3").alias("party"), F.lit(0).alias("f"), F.lit(1).alias("l")),
+                F.struct(F.col(f"county_{P.PERIODS[0].short}").alias("county"), F.col(f"party_{P.PERIODS[0].short}").alias("party"), F.lit(1).alias("f"), F.lit(0).alias("l")),
+                F.struct(F.col(f"county_{P.PERIODS[-1].short}").alias("county"), F.col(f"party_{P.PERIODS[-1].short}").alias("party"), F.lit(0).alias("f"), F.lit(1).alias("l")),
             )
         ).alias("_s")
     ).select("_s.*")
@@ -158,8 +158,8 @@ add_cte(
 
 
 @register("d05_party_flow_matrix", sql("SELECT * FROM flow_party", "flow_party"))
-def d05(spark, d):
-    return T.flow_matrix(C.panel(spark, d), C.SPEC, "party")
+def d05(spark, d, P=C):
+    return T.flow_matrix(P.panel(spark, d), P.SPEC, "party")
 
 
 @register(
@@ -171,8 +171,8 @@ def d05(spark, d):
         "flow_party",
     ),
 )
-def d06(spark, d):
-    return T.ledger(T.flow_matrix(C.panel(spark, d), C.SPEC, "party"))
+def d06(spark, d, P=C):
+    return T.ledger(T.flow_matrix(P.panel(spark, d), P.SPEC, "party"))
 
 
 @register(
@@ -184,8 +184,8 @@ def d06(spark, d):
         "flow_status",
     ),
 )
-def d11(spark, d):
-    f = T.flow_matrix(C.panel(spark, d), C.SPEC, "status").filter(F.col("src") != F.col("dst"))
+def d11(spark, d, P=C):
+    f = T.flow_matrix(P.panel(spark, d), P.SPEC, "status").filter(F.col("src") != F.col("dst"))
     r = f.select(F.col("window").alias("_w"), F.col("src").alias("_rs"), F.col("dst").alias("_rd"), F.col("entities").alias("_re"))
     j = f.join(r, (f.window == r._w) & (f.src == r._rd) & (f.dst == r._rs), "left")
     rev = F.coalesce("_re", F.lit(0).cast("bigint"))
@@ -217,9 +217,9 @@ def _pattern_sql() -> str:
 
 
 @register("d08_presence_pattern_table", sql(_pattern_sql(), "panel"))
-def d08(spark, d):
-    p = C.panel(spark, d)
-    yn = F.concat(*[F.when(F.col(f"appeared_in_{q.long}"), F.lit("Y")).otherwise(F.lit("N")) for q in C.PERIODS])
+def d08(spark, d, P=C):
+    p = P.panel(spark, d)
+    yn = F.concat(*[F.when(F.col(f"appeared_in_{q.long}"), F.lit("Y")).otherwise(F.lit("N")) for q in P.PERIODS])
     cells = p.groupBy(yn.alias("pattern")).agg(F.count(F.lit(1)).alias("entities"))
     tot = cells.agg(F.sum("entities")).scalar()
     out = cells.select("pattern", decode("pattern", PATTERN_LABELS, None).alias("label"), "entities", pct("entities", tot).alias("pct"))
@@ -237,20 +237,29 @@ def d08(spark, d):
         "panel",
     ),
 )
-def d12(spark, d):
-    a1, a2, a3 = (F.col(f"appeared_in_{p.long}") for p in C.PERIODS)
-    return C.panel(spark, d).agg(
-        F.count_if(a1 & ~a2 & a3).alias("boomerangs"),
-        F.count_if(a1 & ~a2 & ~a3).alias("single_p1"),
-        F.count_if(~a1 & a2 & ~a3).alias("single_p2"),
-        F.count_if(~a1 & ~a2 & a3).alias("single_p3"),
-        F.count_if(a1 & a2 & a3).alias("present_all"),
-    )
-
-
-def _window_rows(p: DataFrame, fields) -> DataFrame:
+def d12(spark, d, P=C):
+    pres = [F.col(f"appeared_in_{p.long}") for p in P.PERIODS]
+    only = []
+    for i, p in enumerate(P.PERIODS):
+        cond = pres[i]
+        for j, q in enumerate(pres):
+            if j != i:
+                cond = cond & ~q
+        only.append(F.count_if(cond).alias(f"single_{p.short}"))
+    # absent in some middle period yet present at both ends
+    boomerang = pres[0] & pres[-1]
+    gap = None
+    for q in pres[1:-1]:
+        gap = ~q if gap is None else gap | ~q
+    everywhere = pres[0]
+    for q in pres[1:]:
+        everywhere = everywhere & q
+    return P.panel(spark, d).agg(F.count_if(boomerang & gap).alias("boomerangs"), *only, F.count_if(everywhere).alias("present_all"))
+
+
+def _window_rows(p: DataFrame, fields, windows=WINDOWS) -> DataFrame:
     """One row per (entity, window) with the given per-window expressions."""
-    structs = [F.struct(F.lit(_wl(a, b)).alias("window"), *[fn(a.short, b.short).alias(n) for n, fn in fields]) for a, b in WINDOWS]
+    structs = [F.struct(F.lit(_wl(a, b)).alias("window"), *[fn(a.short, b.short).alias(n) for n, fn in fields]) for a, b in windows]
     return p.select(F.explode(F.array(*structs)).alias("_w")).select("_w.*")
 
 
@@ -271,16 +280,16 @@ def _both(x, y):
         "panel",
     ),
 )
-def d13(spark, d):
-    rows = _window_rows(C.panel(spark, d), [("cp", _both("county", "party")), ("zp", _both("zip", "party"))])
+def d13(spark, d, P=C):
+    rows = _window_rows(P.panel(spark, d), [("cp", _both("county", "party")), ("zp", _both("zip", "party"))], P.SPEC.windows())
     return ordered(rows.groupBy("window").agg(F.sum("cp").cast("bigint").alias("county_and_party"), F.sum("zp").cast("bigint").alias("zip_and_party")), "window")
 
 
 # ----------------------------------------------------------------- D9 per-week rates
-def _days(a, b) -> int:
+def _days(a, b, P=C) -> int:
     import datetime as dt
 
-    starts = dict(zip([p.short for p in C.PERIODS], C.PERIOD_STARTS))
+    starts = dict(zip([p.short for p in P.PERIODS], P.PERIOD_DATES))
     return (dt.date.fromisoformat(starts[b.short]) - dt.date.fromisoformat(starts[a.short])).days
 
 
@@ -301,11 +310,11 @@ _D9 = [("new_entities", "new_in_{bl}"), ("departures", "missing_after_{al}"), ("
         "panel",
     ),
 )
-def d09(spark, d):
-    p = C.panel(spark, d)
+def d09(spark, d, P=C):
+    p = P.panel(spark, d)
     structs = []
-    for a, b in WINDOWS:
-        fields = [F.lit(_wl(a, b)).alias("window"), F.lit(_days(a, b)).alias("days")]
+    for a, b in P.SPEC.windows():
+        fields = [F.lit(_wl(a, b)).alias("window"), F.lit(_days(a, b, P)).alias("days")]
         fields += [F.col(t.format(a=a.short, b=b.short, al=a.long, bl=b.long)).cast("int").alias(n) for n, t in _D9]
         structs.append(F.struct(*fields))
     rows = p.select(F.explode(F.array(*structs)).alias("_w")).select("_w.*")
@@ -335,11 +344,11 @@ def _d10_sql(exclude_transient: bool) -> str:
     )
 
 
-def _d10(spark, d, exclude_transient: bool):
+def _d10(spark, d, exclude_transient: bool, P=C):
     from wavepanel.operators.panel import cohort_flags
 
-    p = C.panel(spark, d).filter(F.col("party_last_known").isNotNull())
-    is_new, gone = cohort_flags(C.SPEC, exclude_transient)
+    p = P.panel(spark, d).filter(F.col("party_last_known").isNotNull())
+    is_new, gone = cohort_flags(P.SPEC, exclude_transient)
     cohorts = p.select(
         F.col("party_last_known").alias("party"),
         F.explode(F.filter(F.array(F.when(is_new, F.lit("new")), F.when(gone, F.lit("removed"))), lambda x: x.isNotNull())).alias("cohort"),
@@ -352,15 +361,15 @@ def _d10(spark, d, exclude_transient: bool):
 
 
 @register("d10_cohort_vs_base", _d10_sql(False))
-def d10(spark, d):
+def d10(spark, d, P=C):
     """New and removed cohorts by party against the base distribution (flag definition)."""
-    return _d10(spark, d, False)
+    return _d10(spark, d, False, P)
 
 
 @register("d10b_cohort_vs_base_lasting", _d10_sql(True))
-def d10b(spark, d):
+def d10b(spark, d, P=C):
     """Same, counting only lasting arrivals and departures (no middle-only entities, no boomerangs)."""
-    return _d10(spark, d, True)
+    return _d10(spark, d, True, P)
 
 
 # ----------------------------------------------------------------- D14 rates by age band
@@ -381,21 +390,21 @@ def _react_sql(cond: str) -> str:
         "panel",
     ),
 )
-def d14(spark, d):
-    p = C.panel(spark, d)
+def d14(spark, d, P=C):
+    p = P.panel(spark, d)
 
     def per_window(cond):
         expr = None
-        for a, b in WINDOWS:
+        for a, b in P.SPEC.windows():
             term = F.when(cond(a.short, b.short), 1).otherwise(0)
             expr = term if expr is None else expr + term
         return F.sum(expr).cast("bigint")
 
-    react = per_window(lambda a, b: (F.col(f"status_{a}") == INA) & (F.col(f"status_{b}") == ACT))
-    risk = per_window(lambda a, b: (F.col(f"status_{a}") == INA) & F.col(f"status_{b}").isNotNull())
+    react = per_window(lambda a, b: (F.col(f"status_{a}") == P.INACTIVE_STATUS) & (F.col(f"status_{b}") == P.ACTIVE_STATUS))
+    risk = per_window(lambda a, b: (F.col(f"status_{a}") == P.INACTIVE_STATUS) & F.col(f"status_{b}").isNotNull())
     out = p.groupBy("age_band").agg(
         F.count(F.lit(1)).alias("entities"),
-        M.window_sum(["party_changed_p1_p2", "party_changed_p2_p3"]).alias("party_changes"),
+        M.window_sum(Flags(P).changes("party")).alias("party_changes"),
         react.alias("reactivations"),
         risk.alias("at_risk"),
     )
@@ -414,8 +423,8 @@ def d14(spark, d):
         "panel",
     ),
 )
-def d15(spark, d):
-    cells = C.panel(spark, d).filter(F.col("party_last_known").isNotNull()).groupBy("age_band", "party_last_known").agg(F.count(F.lit(1)).alias("n"))
+def d15(spark, d, P=C):
+    cells = P.panel(spark, d).filter(F.col("party_last_known").isNotNull()).groupBy("age_band", "party_last_known").agg(F.count(F.lit(1)).alias("n"))
     out = M.plurality(cells, ["age_band"], "party_last_known", "n")
     return ordered(out.withColumn("plurality_share", pct("plurality_n", "group_total")), "age_band")
 
@@ -430,8 +439,8 @@ def d15(spark, d):
         "panel",
     ),
 )
-def d16(spark, d):
-    p = C.panel(spark, d).filter(F.col("party_last_known").isNotNull())
+def d16(spark, d, P=C):
+    p = P.panel(spark, d).filter(F.col("party_last_known").isNotNull())
     rows = p.select(
         F.col("party_last_known").alias("party"),
         F.explode(
@@ -454,10 +463,10 @@ def d16(spark, d):
         "panel",
     ),
 )
-def d17(spark, d):
-    p = C.panel(spark, d).select(decode("race", EV.RACE_LABELS, "9 Unknown").alias("race_label"), "age_band", F.col("party_last_known").alias("party"))
+def d17(spark, d, P=C):
+    p = P.panel(spark, d).select(decode("race", EV.RACE_LABELS, "9 Unknown").alias("race_label"), "age_band", F.col("party_last_known").alias("party"))
     out = p.cube("race_label", "age_band", "party").agg(F.count(F.lit(1)).alias("voters"), F.grouping_id().cast("bigint").alias("grouping_id"))
-    return M.suppress(out, K)
+    return M.suppress(out, P.MIN_CELL)
 
 
 @register(
@@ -472,23 +481,21 @@ def d17(spark, d):
         "panel",
     ),
 )
-def d18(spark, d):
+def d18(spark, d, P=C):
     """Several district systems overlap the same entities: unpivot the system
     columns into (system, district) and roll up once."""
-    cust = C.table(spark, d, "customer").select(F.col("c_custkey").alias("_c"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("customer_nation"), F.col("c_mktsegment").alias("market_segment"))
-    p = C.panel(spark, d).select("entity_id", F.col("zip_last_known").alias("supplier_nation"), F.col("county_last_known").alias("supplier_region"), F.col("party_last_known").alias("party"))
-    j = p.join(cust, p.entity_id == cust._c, "left")
-    long = j.unpivot(["party"], ["supplier_nation", "supplier_region", "customer_nation", "market_segment"], "system", "district")
+    frame = P.district_frame(spark, d)
+    long = frame.unpivot(["party"], list(P.DISTRICT_SYSTEMS), "system", "district")
     out = long.filter(F.col("district").isNotNull()).groupBy("system", "district", "party").agg(F.count(F.lit(1)).alias("voters"))
-    return ordered(M.suppress(out, K), "system", "district", "party")
+    return ordered(M.suppress(out, P.MIN_CELL), "system", "district", "party")
 
 
 @register(
     "d19_mean_tenure_by_party",
     sql("SELECT party_last_known AS party, COUNT(*) AS entities, AVG(registration_age_years) AS mean_tenure_years FROM panel GROUP BY 1", "panel"),
 )
-def d19(spark, d):
-    out = C.panel(spark, d).groupBy(F.col("party_last_known").alias("party")).agg(
+def d19(spark, d, P=C):
+    out = P.panel(spark, d).groupBy(F.col("party_last_known").alias("party")).agg(
         F.count(F.lit(1)).alias("entities"), F.avg("registration_age_years").alias("mean_tenure_years")
     )
     return ordered(out, "party")
@@ -509,11 +516,11 @@ def d19(spark, d):
         "ev",
     ),
 )
-def d20(spark, d):
-    ids = C.events(spark, d).groupBy(F.col("entity_id").alias("_e")).agg(F.lit(1).alias("has"))
-    p = C.panel(spark, d).select("entity_id", "status_last_known")
-    j = p.join(ids, p.entity_id == ids._e, "left").withColumn("has", F.coalesce("has", F.lit(0)))
-    act = F.col("status_last_known") == ACT
+def d20(spark, d, P=C):
+    ids = P.events(spark, d).groupBy(F.col(P.SPEC.entity).alias("_e")).agg(F.lit(1).alias("has"))
+    p = P.panel(spark, d).select(P.SPEC.entity, "status_last_known")
+    j = p.join(ids, p[P.SPEC.entity] == ids._e, "left").withColumn("has", F.coalesce("has", F.lit(0)))
+    act = F.col("status_last_known") == P.ACTIVE_STATUS
     out = j.agg(
         F.count(F.lit(1)).alias("entities"),
         F.sum("has").cast("bigint").alias("entities_with_events"),
@@ -541,13 +548,14 @@ def d20(spark, d):
         "vhe",
     ),
 )
-def d21(spark, d):
+def d21(spark, d, P=C):
     per = EV.entity_cells(
-        C.labelled_events(spark, d),
-        C.panel(spark, d),
+        P.labelled_events(spark, d),
+        P.panel(spark, d),
         [],
         ["age_band"],
         [F.count_if(F.col("history_code").isin("A", "B", "L")).alias("_mail"), F.count_if(F.col("history_code").isin("B", "L")).alias("_rej")],
+        entity=P.SPEC.entity,
     )
     out = per.rollup("age_band").agg(
         F.grouping("age_band").alias("_g"), F.sum("_mail").cast("bigint").alias("mail_total"), F.sum("_rej").cast("bigint").alias("rejected")
@@ -563,8 +571,8 @@ def d21(spark, d):
     + REGISTRY["h10_method_share_pre_post"][1]
     + ") y GROUP BY 1, 2",
 )
-def d22(spark, d):
-    s = method_shift(spark, d)
+def d22(spark, d, P=C):
+    s = method_shift(spark, d, P)
     out = s.groupBy("party", "method_bucket").agg(
         F.max(F.when(F.col("era") == "pre", F.col("pct"))).alias("pct_pre"), F.max(F.when(F.col("era") == "post", F.col("pct"))).alias("pct_post")
     )
@@ -584,8 +592,8 @@ def d22(spark, d):
         "vhe",
     ),
 )
-def d23(spark, d):
-    g = general_voters(spark, d)
+def d23(spark, d, P=C):
+    g = general_voters(spark, d, P)
     prev = F.lag("voters").over(Window.partitionBy("party").orderBy("election_year"))
     out = g.withColumn("prev_voters", prev).withColumn("change_pct", pct(F.col("voters") - F.col("prev_voters"), "prev_voters"))
     out = M.share_within(out, ["election_year"], "voters", "pct_of_year")
@@ -601,9 +609,9 @@ def d23(spark, d):
         "vhe",
     ),
 )
-def d24(spark, d):
-    e = C.labelled_events(spark, d).filter(F.col("counted_vote") == 1)
-    c = EV.entity_cells(e, C.panel(spark, d), ["method_bucket"], ["race"])
+def d24(spark, d, P=C):
+    e = P.labelled_events(spark, d).filter(F.col("counted_vote") == 1)
+    c = EV.entity_cells(e, P.panel(spark, d), ["method_bucket"], ["race"], entity=P.SPEC.entity)
     cells = c.groupBy("race_label", "method_bucket").agg(F.sum("votes").cast("bigint").alias("votes"))
     return ordered(M.share_within(cells, ["race_label"], "votes", "pct"), "race_label", "method_bucket")
 
@@ -621,15 +629,15 @@ def d24(spark, d):
         "zip_income",
     ),
 )
-def d25(spark, d):
-    s = C.snapshot(spark, d)
-    areas = C.zip_income(spark, d).filter(F.col("tax_year") == C.INCOME_YEAR).select(F.col("zip_code").alias("_a"))
+def d25(spark, d, P=C):
+    s = P.snapshot(spark, d)
+    areas = P.zip_income(spark, d).filter(F.col("tax_year") == P.INCOME_YEAR).select(F.col("zip_code").alias("_a"))
     j = s.join(F.broadcast(areas), s.zip == areas._a, "left")
     from wavepanel.functions.scalar import try_date
 
     out = j.groupBy("extract_month").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("entity_id").alias("entities"),
+        F.countDistinct(P.SPEC.entity).alias("entities"),
         F.count_if(F.col("county").isNull()).alias("null_county_rows"),
         F.count_if(try_date("birth_date").isNull()).alias("masked_birth_rows"),
         F.count_if(F.col("zip").isNotNull() & F.col("_a").isNull()).alias("unmatched_area_rows"),
@@ -653,15 +661,15 @@ def d25(spark, d):
         "panel",
     ),
 )
-def d24b(spark, d):
+def d24b(spark, d, P=C):
     """Consistency by area: mean counted general votes per entity and share of always-voters."""
-    per = EV.per_entity_cycle_votes(C.labelled_events(spark, d), C.CYCLE_YEARS)
-    pan = C.panel(spark, d).select(F.col("entity_id").alias("_e"), "county_last_known")
-    j = per.join(pan, per.entity_id == pan._e, "left")
+    per = EV.per_entity_cycle_votes(P.labelled_events(spark, d), P.CYCLE_YEARS, entity=P.SPEC.entity)
+    pan = P.panel(spark, d).select(F.col(P.SPEC.entity).alias("_e"), "county_last_known")
+    j = per.join(pan, per[P.SPEC.entity] == pan._e, "left")
     out = j.groupBy(F.col("county_last_known").alias("county")).agg(
         F.count(F.lit(1)).alias("entities"),
         F.avg("general_votes").alias("mean_general_votes"),
-        F.count_if(F.col("general_votes") == len(C.CYCLE_YEARS)).alias("always_voters"),
+        F.count_if(F.col("general_votes") == len(P.CYCLE_YEARS)).alias("always_voters"),
     )
     return ordered(out.withColumn("pct_always", pct("always_voters", "entities")), "county")
 
@@ -675,9 +683,9 @@ def d24b(spark, d):
         "vhe",
     ),
 )
-def d24c(spark, d):
-    e = C.labelled_events(spark, d).filter(F.col("counted_vote") == 1)
-    c = EV.entity_cells(e, C.panel(spark, d), ["election_type_label"], ["party_last_known"]).filter(F.col("party_last_known").isNotNull())
+def d24c(spark, d, P=C):
+    e = P.labelled_events(spark, d).filter(F.col("counted_vote") == 1)
+    c = EV.entity_cells(e, P.panel(spark, d), ["election_type_label"], ["party_last_known"], entity=P.SPEC.entity).filter(F.col("party_last_known").isNotNull())
     cells = c.groupBy("election_type_label", F.col("party_last_known").alias("party")).agg(F.sum("votes").cast("bigint").alias("votes"))
     return ordered(M.share_within(cells, ["election_type_label"], "votes", "pct"), "election_type_label", "party")
 
@@ -694,14 +702,14 @@ _DOMAIN_COLS = ("party", "status", "gender", "race")
         "snap",
     ),
 )
-def d25b(spark, d):
+def d25b(spark, d, P=C):
     """Code-domain check: every value (NULL included) of each coded column, with row counts."""
-    s = C.snapshot(spark, d).select(*_DOMAIN_COLS)
+    s = P.snapshot(spark, d).select(*_DOMAIN_COLS)
     long = s.unpivot([], list(_DOMAIN_COLS), "code_column", "code")
     return ordered(long.groupBy("code_column", "code").agg(F.count(F.lit(1)).alias("rows")), "code_column", "code")
 
 
-_PARTY_LABS = [("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"), ("other", "other")]
+_PARTY_LABS = [*C.MAIN_KPIS, ("other", "other")]
 
 
 @register(
@@ -721,11 +729,18 @@ _PARTY_LABS = [("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"
         "panel",
     ),
 )
-def d15b(spark, d):
+def d15b(spark, d, P=C):
     """Share table: one row per age band, one count and share column per party
     (main parties, the rest as 'other'), via a pivot with the values given."""
-    p = C.panel(spark, d).filter(F.col("party_last_known").isNotNull())
-    pg = F.when(F.col("party_last_known").isin(*[v for v, _ in _PARTY_LABS[:-1]]), F.col("party_last_known")).otherwise(F.lit("other"))
-    out = M.pivot_counts(p, ["age_band"], pg, [v for v, _ in _PARTY_LABS], [lab for _, lab in _PARTY_LABS])
-    out = out.withColumns({f"share_{lab}": pct(f"n_{lab}", "total") for _, lab in _PARTY_LABS})
+    labs = [*P.MAIN_KPIS, ("other", "other")]
+    p = P.panel(spark, d).filter(F.col("party_last_known").isNotNull())
+    pg = F.when(F.col("party_last_known").isin(*[v for v, _ in labs[:-1]]), F.col("party_last_known")).otherwise(F.lit("other"))
+    out = M.pivot_counts(p, ["age_band"], pg, [v for v, _ in labs], [lab for _, lab in labs])
+    out = out.withColumns({f"share_{lab}": pct(f"n_{lab}", "total") for _, lab in labs})
     return ordered(out, "age_band")
+
+
+def report_queries(spark, src, P) -> dict:
+    """All report measures (D1-D25 and variants) for a preset and its sources."""
+    names = sorted(n for n in globals() if n[:1] == "d" and n[1:3].isdigit() and callable(globals()[n]))
+    return {n: globals()[n](spark, src, P) for n in names}
