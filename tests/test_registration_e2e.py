@@ -176,3 +176,14 @@ def test_report_measures_on_extracts(spark, tmp_path):
     assert {r["days"] for r in got["d09"]} == {35, 28}  # gaps between extract dates
     assert "share_dem" in out["d15b"].columns and "n_other" in out["d15b"].columns
     assert sum(r["entities"] for r in got["d08"]) == 45
+
+
+def test_release_on_extracts(spark, tmp_path):
+    from wavepanel.plans import memo
+    from wavepanel.plans.release import publish_exports
+
+    src = _fixture_sources(tmp_path)
+    expected = {n: df.count() for n, df in R.published_exports(spark, src).items()}
+    memo.clear_plans()
+    counts = publish_exports(spark, src, str(tmp_path / "out"), P=R)
+    assert {n.split("_")[0]: c for n, c in counts.items()} == expected

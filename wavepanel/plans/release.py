@@ -17,11 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from wavepanel.plans import commerce as C
+from wavepanel.plans.memo import override
 from wavepanel.plans.registry import load_all
 from wavepanel.sources.publish import data_dictionary, materialize, materialize_bucketed, publish_csv
 
 # built in dependency order: later ones are built on the materialized earlier ones
-CORE = ("panel", "zip_income", "zip_home_values", "zip_affordability", "zip_pressure", "labelled_events", "enriched_events", "movers", "entity_pressure")
+CORE = ("panel", "zip_income", "zip_home_values", "zip_affordability", "zip_pressure", "labelled_events", "enriched_events", "movers_long", "entity_pressure")
 # The panel (one row per entity, so no bucket can be hot) is written bucketed
 # by entity; the events are not: a hot entity would make one bucket -- one
 # task -- hold a third of them.  Event cuts pre-aggregate per (entity, cell)
@@ -42,7 +43,7 @@ DESCRIPTIONS = {
 }
 
 
-def materialize_core(spark: SparkSession, sf_dir: str, run_id: str | None = None, buckets: int | None = None) -> str:
+def materialize_core(spark: SparkSession, sf_dir, run_id: str | None = None, buckets: int | None = None, P=C) -> str:
     """Write the shared intermediates and make the builders read them; returns the run id.
 
     The panel is bucketed by entity (default bucket count: the session's
@@ -52,25 +53,29 @@ def materialize_core(spark: SparkSession, sf_dir: str, run_id: str | None = None
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     C.clear_plans()
     for name in CORE:
-        df = getattr(C, name)(spark, sf_dir)
+        fn = getattr(P, name)
+        df = fn(spark, sf_dir)
         where = f"wavepanel-{run}/{name}"
         if name in BUCKETED:
-            copy = materialize_bucketed(spark, df, where, "entity_id", n)
+            copy = materialize_bucketed(spark, df, where, P.SPEC.entity, n)
         else:
             copy = materialize(spark, df, where)
-        C.override(spark, sf_dir, name, copy)
+        override(spark, sf_dir, fn.__name__, copy)  # the memo key is the builder's own name
     return run
 
 
-def publish_exports(spark: SparkSession, sf_dir: str, out_dir: str, names: Sequence[str] | None = None, restore: bool = True) -> dict[str, int]:
-    """Materialize the core, publish every export (E-queries by default) and the dictionary."""
+def publish_exports(spark: SparkSession, sf_dir, out_dir: str, names: Sequence[str] | None = None, restore: bool = True, P=C) -> dict[str, int]:
+    """Materialize the core, publish every export (E-queries by default) and the dictionary.
+
+    ``P`` is the preset (commerce stand-in by default; ``plans.registration``
+    with a ``Sources`` value for the real extracts)."""
     reg = load_all()
     names = list(names or sorted(n for n in reg if n.startswith("e")))
-    materialize_core(spark, sf_dir)
+    materialize_core(spark, sf_dir, P=P)
     try:
         frames, counts = {}, {}
         for name in names:
-            df = reg[name][0](spark, sf_dir)
+            df = reg[name][0](spark, sf_dir, P)
             frames[name] = df
             counts[name] = publish_csv(df, f"{out_dir.rstrip('/')}/{name}")
         publish_csv(data_dictionary(spark, frames, DESCRIPTIONS), f"{out_dir.rstrip('/')}/data_dictionary", ["file"])
