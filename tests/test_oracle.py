@@ -3,10 +3,13 @@
 The driver runs the same comparison at sf0.01 (``python tests/oracle_compare.py``).
 """
 
+import os
+
 import pytest
 
-from tests.oracle_compare import compare, duck
-from wavepanel.plans.registry import load_all
+os.environ.setdefault("ORACLE_STRICT", "1")  # doubles compared at full precision
+from tests.oracle_compare import compare, duck  # noqa: E402
+from wavepanel.plans.registry import load_all  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 REG = load_all()
