@@ -187,3 +187,20 @@ def test_release_on_extracts(spark, tmp_path):
     memo.clear_plans()
     counts = publish_exports(spark, src, str(tmp_path / "out"), P=R)
     assert {n.split("_")[0]: c for n, c in counts.items()} == expected
+
+
+def test_release_prunes_periods(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from wavepanel.plans import memo
+    from wavepanel.plans.release import materialize_core
+
+    src = _fixture_sources(tmp_path)
+    try:
+        materialize_core(spark, src, P=R)
+        rows = R.snapshot(spark, src, with_static=False).filter(F.col("extract_month") == "2026-05")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(extract_month" in plan and "2026-05" in plan
+        assert rows.count() == 42
+    finally:
+        memo.clear_plans()

@@ -134,6 +134,21 @@ class Sources:
 
 
 EVENT_SPEC = EV.EventSpec(entity="voter_id")
+# Release run: the parsed text extracts are written once as parquet (snapshot
+# rows partitioned by period), then everything else is built on those copies.
+RELEASE_CORE = (
+    "snapshot_rows",
+    "events",
+    "panel",
+    "zip_income",
+    "zip_home_values",
+    "zip_affordability",
+    "zip_pressure",
+    "labelled_events",
+    "enriched_events",
+    "movers_long",
+    "entity_pressure",
+)
 
 
 @shared

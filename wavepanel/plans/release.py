@@ -28,6 +28,8 @@ CORE = ("panel", "zip_income", "zip_home_values", "zip_affordability", "zip_pres
 # task -- hold a third of them.  Event cuts pre-aggregate per (entity, cell)
 # and then join the bucketed panel.
 BUCKETED = ("panel",)
+# copies laid out by period (partition pruning for per-period cuts)
+PARTITIONED = {"snapshot_rows": ("extract_month",)}
 
 DESCRIPTIONS = {
     "e01_county_month_summary": "Rows by period x county x party x status (raw rows, duplicates included).",
@@ -52,14 +54,14 @@ def materialize_core(spark: SparkSession, sf_dir, run_id: str | None = None, buc
     run = run_id or uuid.uuid4().hex[:12]
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     C.clear_plans()
-    for name in CORE:
+    for name in getattr(P, "RELEASE_CORE", CORE):
         fn = getattr(P, name)
         df = fn(spark, sf_dir)
         where = f"wavepanel-{run}/{name}"
         if name in BUCKETED:
             copy = materialize_bucketed(spark, df, where, P.SPEC.entity, n)
         else:
-            copy = materialize(spark, df, where)
+            copy = materialize(spark, df, where, PARTITIONED.get(name, ()))
         override(spark, sf_dir, fn.__name__, copy)  # the memo key is the builder's own name
     return run
 

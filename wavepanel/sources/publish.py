@@ -32,11 +32,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (cuts lineage;
-    survives executor loss, unlike a local checkpoint)."""
+    survives executor loss, unlike a local checkpoint).  ``partition_by``
+    lays the copy out by those columns so later filters prune partitions."""
     path = shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 
