@@ -13,11 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 _PLANS: dict[tuple, DataFrame] = {}
 
 
+def _session(spark: SparkSession) -> tuple:
+    """Identity of a session (classic or Connect, where there is no SparkContext)."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        app = spark.conf.get("spark.app.id", None)
+    return (id(spark), app)
+
+
 def shared(fn):
     """Decorator: reuse the DataFrame a builder returns for the same session and source."""
 
     def wrapper(spark: SparkSession, sf_dir: str, *args, **kw):
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir, fn.__name__, args, tuple(sorted(kw.items())))
+        key = (*_session(spark), sf_dir, fn.__name__, args, tuple(sorted(kw.items())))
         if not args and not kw:
             key = _key(spark, sf_dir, fn.__name__)
         if key not in _PLANS:
@@ -31,7 +40,7 @@ def shared(fn):
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    return (id(spark), spark.sparkContext.applicationId, sf_dir, name, (), ())
+    return (*_session(spark), sf_dir, name, (), ())
 
 
 def clear_plans() -> None:
