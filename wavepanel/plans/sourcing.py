@@ -209,3 +209,103 @@ def c13(spark, d):
 @register("c14_enrich_events", sql("SELECT * FROM vhe", "vhe"))
 def c14(spark, d):
     return C.enriched_events(spark, d)
+
+
+_AGE_COLS = ["entity_id", "birth_date_parsed", "age_at_as_of", "age_band", "registration_date_parsed", "registration_age_years"]
+
+
+@register("c04_ages_and_tenure", sql("SELECT " + ", ".join(_AGE_COLS) + " FROM panel", "panel"))
+def c04(spark, d):
+    """C4: calendar-year ages and tenure at the as-of date, age band (NULL / >= 120 -> unknown)."""
+    return C.panel(spark, d).select(*_AGE_COLS)
+
+
+_DIR_COLS = ["entity_id", "window", "src_mean_agi", "dst_mean_agi", "income_direction"]
+
+
+@register("c10_relative_direction", sql("SELECT " + ", ".join(f'"{c}"' if c == "window" else c for c in _DIR_COLS) + " FROM movers", "movers"))
+def c10(spark, d):
+    """Ratio rule on the two ends' area means (up / down / lateral / unknown)."""
+    return C.movers(spark, d).select(*_DIR_COLS)
+
+
+_AFF_COLS = ["entity_id", "window", "src_hv_to_income", "dst_hv_to_income", "affordability_direction"]
+
+
+@register("c11_absolute_direction", sql("SELECT " + ", ".join(f'"{c}"' if c == "window" else c for c in _AFF_COLS) + " FROM movers", "movers"))
+def c11(spark, d):
+    """C11: difference rule on the two ends' value-to-income ratios."""
+    return C.movers(spark, d).select(*_AFF_COLS)
+
+
+@register(
+    "c15_suppress_cells",
+    sql(
+        "SELECT zip_last_known AS zip_code, party_last_known AS party, COUNT(*) AS voters FROM panel "
+        f"GROUP BY 1, 2 HAVING COUNT(*) >= {C.MIN_CELL}",
+        "panel",
+    ),
+)
+def c15(spark, d):
+    """Cells below the floor are dropped (primary count)."""
+    from wavepanel.operators.measures import suppress
+
+    cells = C.panel(spark, d).groupBy(F.col("zip_last_known").alias("zip_code"), F.col("party_last_known").alias("party")).agg(
+        F.count(F.lit(1)).alias("voters")
+    )
+    return suppress(cells, C.MIN_CELL)
+
+
+@register(
+    "c16_movement_counts",
+    sql(
+        "SELECT status_last_known AS status, COUNT(*) AS voters, "
+        "CAST(SUM(CAST(new_in_p2 AS INT) + CAST(new_in_p3 AS INT)) AS BIGINT) AS new_registrations, "
+        "CAST(SUM(CAST(status_changed_p1_p2 AS INT) + CAST(status_changed_p2_p3 AS INT)) AS BIGINT) AS status_changes "
+        "FROM panel GROUP BY 1",
+        "panel",
+    ),
+)
+def c16(spark, d):
+    """Count plus flag sums over the consecutive windows, by any key."""
+    from wavepanel.operators.measures import movement_counts
+
+    return movement_counts(
+        C.panel(spark, d),
+        [F.col("status_last_known").alias("status")],
+        {"new_registrations": ["new_in_p2", "new_in_p3"], "status_changes": ["status_changed_p1_p2", "status_changed_p2_p3"]},
+    )
+
+
+@register(
+    "c17_share_within",
+    sql(
+        "SELECT county, party, n, 100.0 * CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY county) AS pct FROM ("
+        "SELECT county_last_known AS county, party_last_known AS party, COUNT(*) AS n FROM panel GROUP BY 1, 2) t",
+        "panel",
+    ),
+)
+def c17(spark, d):
+    """C17: percentage of the group total (window over aggregated cells)."""
+    from wavepanel.operators.measures import share_within
+
+    cells = C.panel(spark, d).groupBy(F.col("county_last_known").alias("county"), F.col("party_last_known").alias("party")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return share_within(cells, ["county"], "n", "pct")
+
+
+@register(
+    "c18_rates",
+    sql(
+        "SELECT age_band, COUNT(*) AS voters, CAST(SUM(CAST(party_changed_p1_p2 AS INT)) AS BIGINT) AS party_changes, "
+        "100.0 * CAST(SUM(CAST(party_changed_p1_p2 AS INT)) AS DOUBLE) / NULLIF(COUNT(*), 0) AS pct_party_changes FROM panel GROUP BY 1",
+        "panel",
+    ),
+)
+def c18(spark, d):
+    """100 * numerator / NULLIF(denominator, 0), unrounded."""
+    from wavepanel.operators.measures import flag_sum, rates
+
+    out = C.panel(spark, d).groupBy("age_band").agg(F.count(F.lit(1)).alias("voters"), flag_sum("party_changed_p1_p2").alias("party_changes"))
+    return rates(out, {"pct_party_changes": "party_changes"}, "voters")
