@@ -21,7 +21,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'")
+    if os.environ.get("ORACLE_KEEP_TZ") != "1":  # set ORACLE_KEEP_TZ=1 to keep DuckDB's default zone
+        con.execute("SET TimeZone='UTC'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
