@@ -19,11 +19,11 @@ def test_results_do_not_depend_on_session_time_zone(spark):
 
     reg = load_all()
     names = ["e01_county_month_summary", "s05_event_lines_parsed", "q06_event_date_range", "c07_area_series"]
-    before = {n: sorted(map(tuple, reg[n][0](spark, "/root/testdata/sf0.001").collect())) for n in names}
+    before = {n: sorted(map(tuple, reg[n][0](spark, "/root/testdata/sf0.001").collect()), key=repr) for n in names}
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         memo.clear_plans()
-        after = {n: sorted(map(tuple, reg[n][0](spark, "/root/testdata/sf0.001").collect())) for n in names}
+        after = {n: sorted(map(tuple, reg[n][0](spark, "/root/testdata/sf0.001").collect()), key=repr) for n in names}
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         memo.clear_plans()
