@@ -97,3 +97,14 @@ def test_fused_equals_two_step(spark):
     fused = P.build_panel_wide(snap, R.SPEC)
     two = P.pivot_panel(P.dedupe_snapshot(snap, R.SPEC), R.SPEC).select(*fused.columns)
     assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_panel_independent_of_row_order_and_partitioning(spark):
+    import random
+
+    rows = _rows() * 1  # includes in-period duplicates with different values
+    shuffled = rows[:]
+    random.Random(7).shuffle(shuffled)
+    a = R.voter_changes(spark.createDataFrame(rows, COLS).coalesce(1))
+    b = R.voter_changes(spark.createDataFrame(shuffled, COLS).repartition(7))
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
