@@ -102,7 +102,7 @@ def test_fused_equals_two_step(spark):
 def test_panel_independent_of_row_order_and_partitioning(spark):
     import random
 
-    rows = _rows() * 1  # includes in-period duplicates with different values
+    rows = _rows()  # includes in-period duplicates with different values
     shuffled = rows[:]
     random.Random(7).shuffle(shuffled)
     a = R.voter_changes(spark.createDataFrame(rows, COLS).coalesce(1))
