@@ -48,3 +48,34 @@ def test_missing_december_and_zero_values(spark):
     long = spark.createDataFrame([("00001", d, 0.0 if i == 0 else 5.0) for i, d in enumerate(months)], "zip_code string, month_date date, typical_home_value double")
     last = A.area_series(long).orderBy("month_date").collect()[-1]
     assert last["hv_1y_ago"] == 0.0 and last["home_value_yoy_change"] is None  # NULLIF(0): no infinity, no error
+
+
+def test_salted_enrich_equals_plain_join_with_a_hot_entity(spark):
+    from wavepanel.plans import commerce as C
+
+    sf = "/root/testdata/sf0.001"
+    ev = C.events(spark, sf)
+    # make one entity hold about a third of all events
+    hot = ev.limit(1).select("entity_id").first()[0]
+    skewed = ev.unionByName(ev.withColumn("entity_id", F.lit(hot)))
+    panel = C.panel(spark, sf)
+    plain = EV.enrich_events(skewed, panel)
+    salted = EV.enrich_events(skewed, panel, salt_hot_keys=5)
+    assert salted.columns == plain.columns
+    a = sorted(map(tuple, plain.collect()), key=repr)
+    b = sorted(map(tuple, salted.collect()), key=repr)
+    assert a == b
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
+
+
+def test_salting_spreads_exact_copies(spark):
+    from wavepanel.operators.events import salted_attach
+
+    df = spark.createDataFrame([("hot", "same")] * 400 + [("cold", "x")], "entity_id string, v string").repartition(8)
+    panel = spark.createDataFrame([("hot", "DEM"), ("cold", "REP")], "entity_id string, party_last_known string")
+    out = salted_attach(df, panel, "entity_id", ["party_last_known"], hot_keys=1, salts=8)
+    assert out.count() == 401 and out.filter("party_last_known IS NULL").count() == 0
+    # the hot entity's identical rows do not all share one salt
+    salted = df.withColumn("_s", F.pmod(F.xxhash64("entity_id", "v", F.spark_partition_id()), F.lit(8)))
+    assert salted.filter("entity_id = 'hot'").select("_s").distinct().count() > 1

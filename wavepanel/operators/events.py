@@ -104,15 +104,50 @@ def entity_cells(
     return attach_entity(cells, panel, entity, list(panel_cols))
 
 
-def enrich_events(events: DataFrame, panel: DataFrame, spec: EventSpec = EventSpec(), panel_cols: Sequence[str] | None = None) -> DataFrame:
+def salted_attach(
+    df: DataFrame, panel: DataFrame, entity: str, cols: Sequence[str], hot_keys: int = 100, salts: int = 32
+) -> DataFrame:
+    """``attach_entity`` (left join) with the heaviest entities spread over salts.
+
+    The ``hot_keys`` entities with the most rows (a bounded list from a
+    distributed top-k, broadcast) get their rows spread over ``salts``
+    sub-keys; only their panel rows are replicated ``salts`` times.  Every other entity joins
+    on salt 0.  Same result as the plain join; use it where AQE cannot split
+    a skewed partition (AQE off, or the join's partitioning reused later).
+    """
+    hot = df.groupBy(entity).count().orderBy(F.col("count").desc(), F.col(entity)).limit(hot_keys).select(F.col(entity).alias("_hot"))
+    hot = F.broadcast(hot.withColumn("_is_hot", F.lit(True)))
+    left = df.join(hot, df[entity] == hot["_hot"], "left")
+    # hash of the row and its input partition: exact copies spread too, and a
+    # retried task (same partition, same input order) reproduces its salts
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id())
+    left = left.withColumn("_salt", F.when(F.col("_is_hot"), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0))).drop("_hot", "_is_hot")
+    right = panel.select(F.col(entity).alias("_e"), *cols).join(hot, F.col("_e") == hot["_hot"], "left")
+    right = right.withColumn(
+        "_salt", F.explode(F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    ).drop("_hot", "_is_hot")
+    j = left.join(right, (left[entity] == right["_e"]) & (left["_salt"] == right["_salt"]), "left")
+    extra = [F.col(c) for c in cols if c != "race"]
+    if "race" in cols:
+        extra.append(decode("race", RACE_LABELS, "9 Unknown").alias("race_label"))
+    return j.select(*[left[c] for c in df.columns], *extra)
+
+
+def enrich_events(
+    events: DataFrame, panel: DataFrame, spec: EventSpec = EventSpec(), panel_cols: Sequence[str] | None = None, salt_hot_keys: int = 0
+) -> DataFrame:
     """C14: labelled events + current entity attributes (left join on entity).
 
     Rows with a NULL event date are dropped; events of entities missing from
     the panel keep NULL attributes.  The panel side is pruned to the columns
-    the cuts use.
+    the cuts use.  ``salt_hot_keys > 0`` spreads that many heaviest entities
+    over salts (``salted_attach``) instead of relying on AQE's skew split.
     """
     cols = list(panel_cols or ["party_last_known", "age_band", "race", "county_last_known"])
-    return attach_entity(label_events(events, spec), panel, spec.entity, cols)
+    labelled = label_events(events, spec)
+    if salt_hot_keys:
+        return salted_attach(labelled, panel, spec.entity, cols, hot_keys=salt_hot_keys)
+    return attach_entity(labelled, panel, spec.entity, cols)
 
 
 # Consistency buckets (counted general-election votes over the cycles).
