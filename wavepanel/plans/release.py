@@ -42,6 +42,22 @@ DESCRIPTIONS = {
     "e08_zip_party_by_affordability": "Entities by affordability band x age band x party; small cells suppressed.",
     "e09_party_by_income_band": "Entities by area income band x party; small cells suppressed.",
     "e10_state_executive_summary": "Single-row KPI strip.",
+    "e11_movers_income_direction": "Movers by area-income direction, race and party after; small cells suppressed.",
+    "e12_movers_affordability_direction": "Movers by affordability direction, race and party after; small cells suppressed.",
+    "e13_movers_band_to_band": "Movers from income band to income band by race and party after; small cells suppressed.",
+    "e14_movers_party_change": "Movers who also changed party by direction, race and party pair; small cells suppressed.",
+    "e15_zip_pressure_metrics": "One row per area: first/last values, long-run and recent growth, real income change, bands.",
+    "e16_party_by_25yr_appreciation": "Entities by long-run value-growth band and party; small cells suppressed.",
+    "e17_party_by_real_income_change": "Entities by real-income-change band and party; small cells suppressed.",
+    "e18_movement_by_25yr_appreciation": "Movement events and rates by long-run value-growth band.",
+    "e19_partychange_by_25yr_appreciation": "Party changes and rate by long-run value-growth band.",
+    "e20_vh_method_by_party": "Counted votes by year, party and method; small cells suppressed.",
+    "e21_vh_method_by_age_band": "Counted votes by age band, party and method; small cells suppressed.",
+    "e22_vh_election_participation": "Counted votes by election, party and county; small cells suppressed.",
+    "e23_vh_voter_consistency": "Entities by general-election consistency, party, age band and race; small cells suppressed.",
+    "e24_vh_method_shift_pre_post": "Counted votes by era, party and method; small cells suppressed.",
+    "e25_vh_dropoff_general_cycles": "Distinct general-election voters by cycle year and party; small cells suppressed.",
+    "e26_vh_method_by_county": "Counted votes by county and method since the cut year; small cells suppressed.",
 }
 
 
