@@ -98,6 +98,8 @@ def main() -> None:
                 "sf": sf,
                 "input_rows_lineitem_plus_orders": rows,
                 "rows_per_sec_per_query": round(rows * len(times) / total) if total else None,
+                # input rows (lineitem + orders, read by every headline query) per second, per query
+                "input_rows_per_sec": {n: round(rows / t) for n, t in times.items() if t},
                 "cold_pass_seconds": round(sum(cold.values()), 3),
                 "release_all_exports": release,
                 "cold_queries": cold,
