@@ -43,3 +43,14 @@ def test_bucketed_panel_is_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         C.clear_plans()
+
+
+def test_register_views_for_sql(spark):
+    from wavepanel.plans.release import register_views
+
+    names = register_views(spark, SF)
+    assert "voter_changes" in names
+    n = spark.sql("SELECT COUNT(*) FROM voter_changes").first()[0]
+    assert n == C.panel(spark, SF).count()
+    m = spark.sql("SELECT income_direction, COUNT(*) AS movers FROM movers_long GROUP BY 1").count()
+    assert m >= 1

@@ -101,3 +101,24 @@ def publish_exports(spark: SparkSession, sf_dir, out_dir: str, names: Sequence[s
     finally:
         if restore:
             C.clear_plans()
+
+
+# view name -> builder (S10: reuse of a query by name, for SQL users)
+VIEWS = {
+    "voter_changes": "panel",
+    "zip_income": "zip_income",
+    "zip_home_values": "zip_home_values",
+    "zip_affordability": "zip_affordability",
+    "zip_pressure_metrics": "zip_pressure",
+    "voter_pressure_long": "entity_pressure",
+    "movers_long": "movers_long",
+    "voter_history_enriched": "enriched_events",
+}
+
+
+def register_views(spark: SparkSession, src, P=C) -> list[str]:
+    """Register a preset's core frames as temporary views (lazy: each view is
+    the builder's plan, or its materialized copy after ``materialize_core``)."""
+    for view, builder in VIEWS.items():
+        getattr(P, builder)(spark, src).createOrReplaceTempView(view)
+    return list(VIEWS)
