@@ -744,3 +744,20 @@ def report_queries(spark, src, P) -> dict:
     """All report measures (D1-D25 and variants) for a preset and its sources."""
     names = sorted(n for n in globals() if n[:1] == "d" and n[1:3].isdigit() and callable(globals()[n]))
     return {n: globals()[n](spark, src, P) for n in names}
+
+
+@register(
+    "d25c_hot_entity_share",
+    sql(
+        "SELECT extract_month, CAST(SUM(n) AS BIGINT) AS rows, MAX(n) AS max_rows_one_entity, "
+        "100.0 * CAST(MAX(n) AS DOUBLE) / SUM(n) AS pct_max_entity FROM ("
+        "SELECT extract_month, entity_id, COUNT(*) AS n FROM snap GROUP BY 1, 2) t GROUP BY extract_month",
+        "snap",
+    ),
+)
+def d25c(spark, d, P=C):
+    """Hot-key diagnostic: per period, the most rows any one entity has and its
+    share of the period (pre-aggregated per entity, then per period)."""
+    per = P.snapshot(spark, d, with_static=False).groupBy("extract_month", P.SPEC.entity).agg(F.count(F.lit(1)).alias("n"))
+    out = per.groupBy("extract_month").agg(F.sum("n").cast("bigint").alias("rows"), F.max("n").alias("max_rows_one_entity"))
+    return ordered(out.withColumn("pct_max_entity", pct("max_rows_one_entity", "rows")), "extract_month")
