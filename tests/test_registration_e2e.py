@@ -248,3 +248,45 @@ def test_flagship_on_extracts_matches_duckdb(spark, tmp_path):
     )
     duck_rows = sorted(map(tuple, duckdb.connect().execute(q).fetchall()), key=repr)
     assert spark_rows == duck_rows
+
+
+def test_age_and_kpi_exports_on_extracts_match_duckdb(spark, tmp_path):
+    """E5 (ages from raw date strings) and E10 (KPIs over raw rows), recomputed in DuckDB."""
+    import duckdb
+
+    src = _fixture_sources(tmp_path)
+    out = R.published_exports(spark, src)
+    idx = {n: i for i, n in enumerate(TX.SNAPSHOT_FIELDS)}
+    cols = "{" + ", ".join(repr(f"column{i:02d}") + ": 'VARCHAR'" for i in range(len(TX.SNAPSHOT_FIELDS))) + "}"
+    c = lambda n: f"column{idx[n]:02d}"
+    reads = " UNION ALL ".join(
+        f"SELECT '{m}' AS m, {c('voter_id')} AS voter_id, {c('county_code')} AS county, {c('party_affiliation')} AS party, "
+        f"{c('voter_status')} AS status, {c('birth_date')} AS birth, filename FROM read_csv('{g}', delim='\\t', header=false, quote='', "
+        f"escape='', filename=true, auto_detect=false, columns={cols})"
+        for m, g in src.snapshots
+    )
+    band = "CASE WHEN age IS NULL THEN 'unknown' " + " ".join(f"WHEN age < {u} THEN '{lab}'" for u, lab in R.AGE_CUTS) + " ELSE 'unknown' END"
+    con = duckdb.connect()
+    base = (
+        f"WITH raw AS ({reads}), dedup AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY m, voter_id ORDER BY filename) rn FROM raw) t WHERE rn = 1), "
+        "pv AS (SELECT voter_id, MAX(CASE WHEN m='2026-03' THEN county END) c1, MAX(CASE WHEN m='2026-04' THEN county END) c2, "
+        "MAX(CASE WHEN m='2026-05' THEN county END) c3, MAX(CASE WHEN m='2026-03' THEN party END) p1, MAX(CASE WHEN m='2026-04' THEN party END) p2, "
+        "MAX(CASE WHEN m='2026-05' THEN party END) p3, MAX(birth) birth FROM dedup GROUP BY voter_id), "
+        "ag AS (SELECT *, CAST(date_diff('year', CAST(TRY_STRPTIME(birth, '%m/%d/%Y') AS DATE), DATE '2026-05-01') AS INTEGER) AS age FROM pv) "
+    )
+    e5 = con.execute(
+        base + f"SELECT {band} AS age_band, COALESCE(p3, p2, p1) AS party_affiliation, COUNT(*) AS voters, "
+        "CAST(SUM(CAST(c1 IS NULL AND c2 IS NOT NULL AS INT) + CAST(c2 IS NULL AND c3 IS NOT NULL AS INT)) AS BIGINT) AS new_registrations, "
+        "CAST(SUM(CAST(c1 IS NOT NULL AND c2 IS NULL AS INT) + CAST(c2 IS NOT NULL AND c3 IS NULL AS INT)) AS BIGINT) AS departures "
+        "FROM ag GROUP BY 1, 2"
+    ).fetchall()
+    got5 = out["e05"].select("age_band", "party_affiliation", "voters", "new_registrations", "departures").collect()
+    assert sorted(map(tuple, got5), key=repr) == sorted(map(tuple, e5), key=repr)
+    e10 = con.execute(
+        f"WITH raw AS ({reads}) SELECT "
+        "COUNT(*) FILTER (WHERE m='2026-03'), COUNT(*) FILTER (WHERE m='2026-04'), COUNT(*) FILTER (WHERE m='2026-05'), "
+        "COUNT(*) FILTER (WHERE m='2026-05' AND status='ACT'), COUNT(*) FILTER (WHERE m='2026-05' AND party='DEM'), "
+        "COUNT(*) FILTER (WHERE m='2026-05' AND party NOT IN ('DEM','REP','NPA')) FROM raw"
+    ).fetchone()
+    k = out["e10"].first()
+    assert (k["voters_march"], k["voters_april"], k["voters_may"], k["active_voters_may"], k["dem_may"], k["other_party_may"]) == tuple(e10)
