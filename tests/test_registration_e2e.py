@@ -290,3 +290,13 @@ def test_age_and_kpi_exports_on_extracts_match_duckdb(spark, tmp_path):
     ).fetchone()
     k = out["e10"].first()
     assert (k["voters_march"], k["voters_april"], k["voters_may"], k["active_voters_may"], k["dem_may"], k["other_party_may"]) == tuple(e10)
+
+
+def test_release_entry_point(spark, tmp_path):
+    from wavepanel.__main__ import main
+
+    src = _fixture_sources(tmp_path)
+    argv = ["release", *[a for m, g in src.snapshots for a in ("--snapshot", f"{m}={g}")], "--events", src.events, "--cpi", src.cpi,
+            *[a for y, p in src.income for a in ("--income", f"{y}={p}")], "--home-values", src.home_values, "--out", str(tmp_path / "pub")]
+    counts = main(argv, spark)
+    assert len(counts) == 26 and (tmp_path / "pub" / "data_dictionary").exists()
