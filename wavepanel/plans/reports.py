@@ -623,7 +623,9 @@ def d24(spark, d, P=C):
         "SELECT extract_month, COUNT(*) AS rows, COUNT(DISTINCT entity_id) AS entities, COUNT(*) - COUNT(DISTINCT entity_id) AS duplicate_rows, "
         "CAST(SUM(CASE WHEN county IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_county_rows, "
         "CAST(SUM(CASE WHEN TRY_STRPTIME(birth_date, '%m/%d/%Y') IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS masked_birth_rows, "
-        "CAST(SUM(CASE WHEN zip IS NOT NULL AND a.zip_code IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmatched_area_rows "
+        "CAST(SUM(CASE WHEN zip IS NOT NULL AND a.zip_code IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmatched_area_rows, "
+        "100.0 * CAST(SUM(CASE WHEN TRY_STRPTIME(birth_date, '%m/%d/%Y') IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS pct_masked_birth, "
+        "100.0 * CAST(SUM(CASE WHEN zip IS NOT NULL AND a.zip_code IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS pct_unmatched_area "
         f"FROM snap s LEFT JOIN (SELECT zip_code FROM zip_income WHERE tax_year = {C.INCOME_YEAR}) a ON s.zip = a.zip_code GROUP BY extract_month",
         "snap",
         "zip_income",
@@ -643,7 +645,9 @@ def d25(spark, d, P=C):
         F.count_if(F.col("zip").isNotNull() & F.col("_a").isNull()).alias("unmatched_area_rows"),
     )
     out = out.withColumn("duplicate_rows", F.col("rows") - F.col("entities"))
-    return ordered(out.select("extract_month", "rows", "entities", "duplicate_rows", "null_county_rows", "masked_birth_rows", "unmatched_area_rows"), "extract_month")
+    out = out.withColumn("pct_masked_birth", pct("masked_birth_rows", "rows")).withColumn("pct_unmatched_area", pct("unmatched_area_rows", "rows"))
+    cols = ["extract_month", "rows", "entities", "duplicate_rows", "null_county_rows", "masked_birth_rows", "unmatched_area_rows"]
+    return ordered(out.select(*cols, "pct_masked_birth", "pct_unmatched_area"), "extract_month")
 
 
 @register(
