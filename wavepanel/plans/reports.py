@@ -21,6 +21,7 @@ from wavepanel.plans.registry import REGISTRY, register
 
 K = C.MIN_CELL
 MIN_BASE = 50
+LOSS_PCT = -10.0  # D3: a group losing at least this share between the first and last period
 P1, P2, P3 = C.PERIODS
 WINDOWS = C.SPEC.windows()
 ACT, INA = C.ACTIVE_STATUS, C.INACTIVE_STATUS
@@ -69,14 +70,21 @@ def d02(spark, d, P=C):
     "d03_outlier_areas",
     sql(
         "SELECT zip, pct_change, ROUND((pct_change - m) / NULLIF(sd, 0), 9) AS z_score, "
-        "COALESCE(ABS((pct_change - m) / NULLIF(sd, 0)) >= 1.5, FALSE) AS outlier FROM net_zip "
+        "COALESCE(ABS((pct_change - m) / NULLIF(sd, 0)) >= 1.5, FALSE) AS outlier, "
+        f"COALESCE(pct_change <= {LOSS_PCT}, FALSE) AS large_loss FROM net_zip "
         "CROSS JOIN (SELECT AVG(pct_change) AS m, STDDEV_SAMP(pct_change) AS sd FROM net_zip) s",
         "net_zip",
     ),
 )
 def d03(spark, d, P=C):
     z = M.zscore(net_zip(spark, d, P), "pct_change", "_z")
-    return z.select("zip", "pct_change", F.round("_z", 9).alias("z_score"), F.coalesce(F.abs("_z") >= 1.5, F.lit(False)).alias("outlier"))
+    return z.select(
+        "zip",
+        "pct_change",
+        F.round("_z", 9).alias("z_score"),
+        F.coalesce(F.abs("_z") >= 1.5, F.lit(False)).alias("outlier"),
+        F.coalesce(F.col("pct_change") <= LOSS_PCT, F.lit(False)).alias("large_loss"),
+    )
 
 
 TIER_CUTS = ((3.8, "small"), (4.2, "mid"))
