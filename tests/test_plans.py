@@ -25,6 +25,10 @@ def test_panel_single_entity_exchange(spark):
         plan = _plan(build_panel(snap, C.SPEC, C.AGES))
         assert plan.count("Exchange hashpartitioning(entity_id") == 1
         assert plan.count("Exchange") == 1
+        # a hot entity is collapsed map-side: the partial min_by sits below the exchange
+        lines = plan.splitlines()
+        ex = next(i for i, l in enumerate(lines) if "Exchange hashpartitioning(entity_id" in l)
+        assert any("partial_min_by" in l for l in lines[ex + 1 :])
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
