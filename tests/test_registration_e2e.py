@@ -300,3 +300,42 @@ def test_release_entry_point(spark, tmp_path):
             *[a for y, p in src.income for a in ("--income", f"{y}={p}")], "--home-values", src.home_values, "--out", str(tmp_path / "pub")]
     counts = main(argv, spark)
     assert len(counts) == 26 and (tmp_path / "pub" / "data_dictionary").exists()
+
+
+def test_vote_method_export_on_extracts_matches_duckdb(spark, tmp_path):
+    """E20 on the extract files: events parsed from raw TSV, party from the panel, floor 10."""
+    import duckdb
+
+    import dataclasses
+
+    src = _fixture_sources(tmp_path)
+    # denser history: every voter votes in three elections per cycle year, one per method
+    lines = [
+        f"ALA\t{i}\t11/0{3 + k}/{y}\t{t}\t{'AEY'[(i + k) % 3]}"
+        for i in range(45) for y in (2016, 2018, 2020, 2022, 2024) for k, t in enumerate(("GEN", "PRI", "PPP"))
+    ]
+    write(tmp_path / "dense" / "h.txt", lines)
+    src = dataclasses.replace(src, events=str(tmp_path / "dense" / "*.txt"))
+    got = sorted(map(tuple, R.published_exports(spark, src)["e20"].collect()), key=repr)
+    assert len(got) >= 10  # cells above the floor exist
+    idx = {n: i for i, n in enumerate(TX.SNAPSHOT_FIELDS)}
+    cols = "{" + ", ".join(repr(f"column{i:02d}") + ": 'VARCHAR'" for i in range(len(TX.SNAPSHOT_FIELDS))) + "}"
+    snaps = " UNION ALL ".join(
+        f"SELECT '{m}' AS m, column{idx['voter_id']:02d} AS voter_id, column{idx['county_code']:02d} AS county, "
+        f"column{idx['party_affiliation']:02d} AS party, filename FROM read_csv('{g}', delim='\\t', header=false, quote='', escape='', "
+        f"filename=true, auto_detect=false, columns={cols})"
+        for m, g in src.snapshots
+    )
+    q = (
+        f"WITH raw AS ({snaps}), dedup AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY m, voter_id ORDER BY filename) rn FROM raw) t WHERE rn = 1), "
+        "pv AS (SELECT voter_id, COALESCE(MAX(CASE WHEN m='2026-05' THEN party END), MAX(CASE WHEN m='2026-04' THEN party END), "
+        "MAX(CASE WHEN m='2026-03' THEN party END)) AS party FROM dedup GROUP BY voter_id), "
+        f"ev AS (SELECT c1 AS voter_id, CAST(TRY_STRPTIME(c2, '%m/%d/%Y') AS DATE) AS d, c4 AS code FROM read_csv('{src.events}', delim='\\t', "
+        "header=false, quote='', escape='', auto_detect=false, columns={'c0': 'VARCHAR', 'c1': 'VARCHAR', 'c2': 'VARCHAR', 'c3': 'VARCHAR', 'c4': 'VARCHAR'})) "
+        "SELECT CAST(year(ev.d) AS BIGINT) AS election_year, pv.party, CASE WHEN code IN ('A','L','B') THEN 'mail' WHEN code = 'E' THEN 'early' "
+        "WHEN code = 'Y' THEN 'polls' ELSE 'other' END AS method_bucket, COUNT(*) AS counted_votes "
+        "FROM ev LEFT JOIN pv ON ev.voter_id = pv.voter_id WHERE ev.d IS NOT NULL AND code IN ('A','E','Y') AND pv.party IS NOT NULL "
+        "AND year(ev.d) BETWEEN 2016 AND 2026 GROUP BY 1, 2, 3 HAVING COUNT(*) >= 10"
+    )
+    want = sorted(map(tuple, duckdb.connect().execute(q).fetchall()), key=repr)
+    assert got == want
