@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +86,24 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     For narrow rows (ids, names) only: the bound on rows then bounds the bytes.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` by a function of this package, which the workers may not have installed.
+
+    The package's source is sent along once for each Spark application, as
+    ``--py-files`` does; workers keep the module, and what it caches, between tasks.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _sent:
+        package = Path(__file__).resolve().parent.parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="wavepanel-py-"), "wavepanel_llm_files.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in [package / "__init__.py", *sorted(package.glob("llm/*.py"))]:
+                z.write(path, path.relative_to(package.parent))
+        sc.addPyFile(archive)
+        _sent.add(sc.applicationId)
+    return df.mapInArrow(function, schema)
+
+
+_sent: set[str] = set()
