@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm import exact_dedup, line_dedup, mixing, near_dedup, quality, url_filter
+from wavepanel.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +102,25 @@ FROM t
 """
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the text that they decode to, as digests."""
+    spec = bpe.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = bpe.decode(bpe.encode(docs, spec).drop("text"), spec)
+    return out.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under a unigram model over a public vocabulary, scored by rank."""
+    scores = token_counts.zipf_scores(token_counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), scores).drop("text")
+
+
 #: Hosts whose pages the list of URLs names.
 LISTED_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
 
@@ -178,6 +198,8 @@ QUERIES = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
     "op2_near_dedup": (op2_near_dedup, OP2_SQL),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op5_bpe": (op5_bpe, None),
+    "op6_token_counts": (op6_token_counts, None),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_quality_rules": (op10_quality_rules, None),
