@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavepanel.llm.common import forget, let, materialise
+from wavepanel.llm.common import checked_broadcast, forget, let, materialise
 
 MEAN_LINES = 3  # a chunk ends after a line with a chance of 1 in 3
 MULTIPLIER = 65_599  # of the rolling hash, modulo 2^32
@@ -81,11 +81,11 @@ def line_dedup(docs: DataFrame, *, mean_lines: int = MEAN_LINES) -> DataFrame:
     seen = cut.groupBy("h").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi")).where("lo != hi").select("h")
     seen = materialise(seen, "lines-hashes")
     # the text of those chunks only; equal bytes decide, not the hash
-    maybe = materialise(cut.join(seen, "h", "left_semi").select("h", "_id", "_th", "ref", "c.k", "c.n", "c.text"), "lines-maybe")
+    maybe = materialise(cut.join(checked_broadcast(seen), "h", "left_semi").select("h", "_id", "_th", "ref", "c.k", "c.n", "c.text"), "lines-maybe")
     first = maybe.groupBy("h", "text").agg(F.min("ref").alias("first"), F.max("ref").alias("last")).where("first != last")
     first = materialise(first.select("h", "text", "first"), "lines-first")
     gone = (
-        maybe.join(first, ["h", "text"])
+        maybe.join(first.hint("merge"), ["h", "text"])
         .where("ref != first")
         .select("_id", "_th", "k", "n")
         .distinct()
@@ -107,7 +107,7 @@ def line_dedup(docs: DataFrame, *, mean_lines: int = MEAN_LINES) -> DataFrame:
         every = F.sequence(F.lit(0).cast("long"), F.size(cs).cast("long") - 1)
         return let(F.transform(F.array_except(every, ks), lambda k: k.cast("int")), of)
 
-    joined = keyed.join(gone, ["_id", "_th"], "left").withColumn(
+    joined = keyed.join(gone.hint("merge"), ["_id", "_th"], "left").withColumn(
         "_gone",
         F.when(
             F.col("ks").isNotNull(),
