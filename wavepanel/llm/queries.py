@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, token_counts, url_filter
+from wavepanel.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,6 +121,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), scores).drop("text")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a classifier trained on labelled rows outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 #: Hosts whose pages the list of URLs names.
 LISTED_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
 
@@ -200,6 +208,7 @@ QUERIES = {
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op5_bpe": (op5_bpe, None),
     "op6_token_counts": (op6_token_counts, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_quality_rules": (op10_quality_rules, None),
