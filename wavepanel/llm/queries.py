@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, token_counts, toxicity, url_filter
+from wavepanel.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,37 @@ FROM t
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that an earlier document has."""
+    out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.coalesce(F.sha2("kept", 256), "text_sha256").alias("kept_sha256"),
+    )
+
+
+OP4_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS p FROM h)),
+m AS (SELECT s, min(doc_id) AS lo FROM g GROUP BY s),
+hit AS (SELECT g.doc_id, p FROM g JOIN m ON g.s = m.s WHERE lo < g.doc_id),
+mark AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true)::INTEGER AS new FROM hit),
+grp AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM mark),
+span AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM grp GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM span),
+cut AS (
+  SELECT gap.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, (2 * was + 1)::BIGINT, (2 * (a - was))::BIGINT), '' ORDER BY a) || substr(min(h), (2 * max(b) + 1)::BIGINT) AS rest
+  FROM gap JOIN h ON gap.doc_id = h.doc_id GROUP BY gap.doc_id)
+SELECT h.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM h LEFT JOIN cut ON h.doc_id = cut.doc_id
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text that they decode to, as digests."""
     spec = bpe.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
@@ -206,6 +237,7 @@ QUERIES = {
     "op1_mix_sources": (op1_mix_sources, OP1_SQL),
     "op2_near_dedup": (op2_near_dedup, OP2_SQL),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op4_suffix_dedup": (op4_suffix_dedup, OP4_SQL),
     "op5_bpe": (op5_bpe, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_toxicity": (op7_toxicity, None),
