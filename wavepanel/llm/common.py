@@ -32,6 +32,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(table: DataFrame, added: list[str], *read: str) -> DataFrame:
+    """The columns an operator reads, and in ``_row`` all columns but those that it adds: its own names can't clash."""
+    rest = [F.col(f"`{c}`") for c in table.columns if c.lower() not in added]
+    return table.select(*[F.col(c) for c in read], F.struct(*rest).alias("_row"))
+
+
+def unpacked(table: DataFrame, *added: Column | str, **replaced: Column) -> DataFrame:
+    """The columns of ``_row``, some of them replaced, and those added."""
+    names = table.schema["_row"].dataType.names
+    return table.select(*[(replaced[c] if c in replaced else F.col("_row")[c]).alias(c) for c in names], *added)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where unset (tests), one of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

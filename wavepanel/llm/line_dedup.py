@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavepanel.llm.common import checked_broadcast, forget, let, materialise
+from wavepanel.llm.common import checked_broadcast, forget, let, materialise, packed, unpacked
 
 MEAN_LINES = 3  # a chunk ends after a line with a chance of 1 in 3
 MULTIPLIER = 65_599  # of the rolling hash, modulo 2^32
@@ -67,8 +67,7 @@ def line_dedup(docs: DataFrame, *, mean_lines: int = MEAN_LINES) -> DataFrame:
     document: none of them is a repeat of another.  An empty table gives an
     empty table.
     """
-    own = ["n_lines", "n_removed_lines", "n_removed_chunks", "_id", "_th", "_gone"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
+    rows = packed(docs, ["n_lines", "n_removed_lines", "n_removed_chunks"], "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_th", F.xxhash64(text))
     ref = F.struct(F.col("doc_id"), F.col("_th"), F.col("c.k").alias("k"))
@@ -116,9 +115,10 @@ def line_dedup(docs: DataFrame, *, mean_lines: int = MEAN_LINES) -> DataFrame:
     )
     new_text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_gone.text"))
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return joined.select(
-        *[new_text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rows.columns],
+    return unpacked(
+        joined.withColumn("_text", new_text),
         n_lines.cast("long").alias("n_lines"),
         F.coalesce("_gone.n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
         F.coalesce("_gone.n_removed_chunks", F.lit(0)).cast("long").alias("n_removed_chunks"),
+        text=F.col("_text"),
     )

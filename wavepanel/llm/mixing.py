@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavepanel.llm.common import checked_broadcast, forget, let, materialise, words_of
+from wavepanel.llm.common import checked_broadcast, forget, let, materialise, packed, unpacked, words_of
 
 STEPS = 40  # of the bisection: the exponent is exact to 2^-40
 PARTS = 1_000_000_000  # weights are whole billionths
@@ -112,8 +112,7 @@ def mix(
     doc_id have one key: the partial pass takes all of them or none.  An empty
     table gives an empty table.
     """
-    own = ["n_tokens", "weight_ppb", "mix_pass", "mix_block", "mix_key"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
+    rows = packed(docs, ["n_tokens", "weight_ppb", "mix_pass", "mix_block", "mix_key"], "doc_id", "source", "text")
     key = _key(F.col("source"), F.col("doc_id"), "cut", seed)
     slim = materialise(rows.select("source", key.alias("_k"), F.size(words_of(F.col("text"))).cast("long").alias("n")), "mix-rows")
     # block sums: a hot source is summed in every task before the shuffle
@@ -149,8 +148,8 @@ def mix(
     ).otherwise(F.md5(F.concat_ws("|", F.col("mix_pass").cast("string"), F.col("_k")).cast("binary")))
     place = F.conv(F.substring("mix_key", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     block = F.least(F.floor((F.col("mix_pass") + place) / F.col("reps") * STREAM_BLOCKS), F.lit(STREAM_BLOCKS - 1))
-    return taken.withColumn("mix_key", mix_key).select(
-        *[F.col(f"`{c}`") for c in rows.columns],
+    return unpacked(
+        taken.withColumn("mix_key", mix_key),
         F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"),
         F.col("_w").alias("weight_ppb"),
         F.col("mix_pass").cast("int").alias("mix_pass"),

@@ -6,8 +6,10 @@ propose pairs; an odd sketch (the parity of how often the samples hit each of
 pairs that it doesn't rule out are confirmed on the full sets.
 
 No group is expanded into pairs.  Equal sets are one class.  The classes of a
-band bucket are compared with its smallest class first; then only those that are
-not connected yet are compared with one another.
+band bucket are compared with one of them, in a few rounds each with another;
+then only those that are still not connected are compared with one another.
+The parity bitmap of the full set, whose XOR count is never more than what two
+sets differ by, rules out most of the pairs under the threshold without loss.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavepanel.llm.common import forget, map_arrow, materialise
+from wavepanel.llm.common import checked_broadcast, forget, map_arrow, materialise
 from wavepanel.llm.textblocks import grouped, mix64, words_by_text
 
 SAMPLES = 512  # MinHash samples of a document, all folded into its sketch
 SKETCH_BITS = 512
 BANDS, ROWS = 24, 5  # of the first samples; a pair of similarity 0.85 is missed with a chance of 8e-7
+PARITY_BITS = 2048  # of the full set's own bitmap
+ROUNDS = 3  # with another leader in each bucket that is not connected
 SLACK = 5.0  # standard deviations of the sketch's estimate that a pair may lie under the threshold
 
 _rng = np.random.default_rng(20_177)
@@ -70,6 +74,12 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the full set: two of them differ in no more bits than the sets in members."""
+    counts = np.bincount((found % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(counts.astype(np.uint8)).view(np.int64)
+
+
 def bands(least: np.ndarray) -> np.ndarray:
     rows = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -89,14 +99,14 @@ def most_differing_bits(percent: int) -> int:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cid (digest of the set; null if empty), bands, sketch."""
+    """doc_id, n_shingles, cid (digest of the set; null if empty), bands, sketch, parity."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                n, cid, band, sketch = [], [], [], []
+                n, cid, band, sketch, own = [], [], [], [], []
                 for found in shingle_sets(part.column(1).to_pylist(), size):
                     n.append(len(found))
                     if len(found):
@@ -104,14 +114,17 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         cid.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                         band.append(bands(least))
                         sketch.append(odd_sketch(least))
+                        own.append(parity(found))
                     else:
-                        cid.append(None), band.append(None), sketch.append(None)
+                        cid.append(None), band.append(None), sketch.append(None), own.append(None)
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "cid", "bands", "sketch"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), *(pa.array(x, longs) for x in (band, sketch, own))],
+                    names=["doc_id", "n_shingles", "cid", "bands", "sketch", "parity"],
                 )
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {id_type}, n_shingles long, cid binary, bands array<long>, sketch array<long>")
+    schema = f"doc_id {id_type}, n_shingles long, cid binary, bands array<long>, sketch array<long>, parity array<long>"
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -144,13 +157,21 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
-def _differing(x: str, y: str) -> Column:
+def _differing(x: Column, y: Column, bits: int) -> Column:
     total = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
-        total = total + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
+    for i in range(bits // 64):
+        total = total + F.bit_count(x[i].bitwiseXOR(y[i]))
     return total
 
 
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two classes (structs with n, sketch, parity) can reach the similarity."""
+    x, y = F.col(x), F.col(y)
+    estimated = _differing(x["sketch"], y["sketch"], SKETCH_BITS) <= most_differing_bits(percent)
+    differing = _differing(x["parity"], y["parity"], PARITY_BITS)
+    return estimated & ((100 + percent) * differing <= (100 - percent) * (x["n"] + y["n"]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(cid, root): the smallest node of the component of each node in ``edges`` (a, b).
 
@@ -197,47 +218,56 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     """
     sig = materialise(signatures(docs, size), "near-signatures")
     known = sig.where("cid is not null")
-    one = F.min_by(F.struct("doc_id", "bands", "sketch"), F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
+    one = F.min_by(F.struct("doc_id", "bands", F.struct(F.col("n_shingles").alias("n"), "sketch", "parity").alias("of")), F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
     classes = materialise(known.groupBy("cid").agg(one.alias("x")).select("cid", "x.*"), "near-classes")
     rows = classes.select("cid", F.explode("bands").alias("band"))
-    least = materialise(rows.groupBy("band").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first != last").select("band", "first"), "near-buckets")
-    met = materialise(rows.join(least, "band"), "near-met")  # (band, cid, first) in buckets of several classes
-    sketch = classes.select("cid", "sketch")
-    close = _differing("x", "y") <= most_differing_bits(percent)
+    shared = rows.groupBy("band").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first != last").select("band")
+    shared = materialise(shared, "near-buckets")
+    met = materialise(rows.join(shared, "band"), "near-met")  # (band, cid) in buckets of several classes
+    of = classes.select("cid", "of")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "near-pairs")
+        """Links among pairs (a, b), each judged on the full sets."""
+        pairs = materialise(pairs.distinct(), "near-pairs")
         named = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
         wanted = materialise(classes.join(named, "cid", "left_semi").select("cid", F.col("doc_id").alias("_doc")), "near-wanted")
-        texts = docs.select("doc_id", "text").join(wanted.select("_doc").distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+        ids = checked_broadcast(wanted.select("_doc").distinct())
+        texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
         sets = full_sets(texts, size).join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("members").alias("members"))
         sets = materialise(sets, "near-sets")
         links = materialise(confirm(pairs, sets, percent), "near-links")
         forget(pairs, wanted, sets)
         return links
 
-    first = met.where("cid != first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    first = first.join(sketch.select(F.col("cid").alias("a"), F.col("sketch").alias("x")), "a")
-    first = first.join(sketch.select(F.col("cid").alias("b"), F.col("sketch").alias("y")), "b").where(close).select("a", "b")
-    links = checked(first)
-    roots = materialise(components(links), "near-roots")
-
-    # buckets whose classes are not all connected: their members once more, each with its component
-    labelled = met.join(roots, "cid", "left").select("band", "cid", "first", F.coalesce("root", "cid").alias("root"))
-    open_ = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    rest = labelled.join(open_, "band", "left_semi").join(sketch, "cid")
-    rest = materialise(rest.select("band", "cid", "first", "root", "sketch"), "near-rest")
-    a = rest.select("band", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("x"), F.col("first").alias("f"))
-    b = rest.select("band", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("y"))
-    # pairs with the first class of the bucket have been judged
-    more = a.join(b, "band").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("a") != F.col("f")) & close).select("a", "b").distinct()
-    later = checked(more)
-    everything = components(links.unionByName(later))
-    linked = classes.select("cid", "doc_id").join(materialise(everything, "near-components"), "cid", "left")
+    links = None
+    roots = materialise(classes.select("cid", F.col("cid").alias("root")).limit(0), "near-roots")
+    for turn in range(ROUNDS + 1):
+        # buckets whose classes are not all connected: their members, each with its component
+        labelled = met.join(roots, "cid", "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
+        open_ = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+        rest = materialise(labelled.join(open_, "band", "left_semi").join(of, "cid").select("band", "cid", "root", "of"), "near-rest")
+        if rest.isEmpty():
+            break
+        a = rest.select("band", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("of").alias("x"))
+        b = rest.select("band", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("of").alias("y"))
+        apart = (F.col("ra") != F.col("rb")) & _may_link("x", "y", percent)
+        if turn < ROUNDS:  # one class of each bucket, another in each round, with the rest
+            leader = F.min_by(F.struct("a", "ra", "x"), F.xxhash64("a", F.lit(turn)))
+            a = materialise(a.groupBy("band").agg(leader.alias("l")).select("band", "l.*"), "near-leaders")
+            pairs = a.join(b, "band").where(apart)
+        else:
+            pairs = a.join(b, "band").where((F.col("a") < F.col("b")) & apart)
+        found = checked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        if found.isEmpty():
+            continue
+        links = found if links is None else materialise(links.unionByName(found), "near-all-links")
+        roots = materialise(components(links), "near-roots")
+        forget(rest)
+    linked = classes.select("cid", "doc_id").join(roots, "cid", "left")
     best = linked.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = linked.join(best, "root", "left").select("cid", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     named = materialise(named, "near-named")
-    forget(least, met, rest, roots, links, later, classes)
+    forget(shared, met, classes)
     # read from files on both sides, so that AQE can split the partition of a large class
     out = sig.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavepanel.llm.common import checked_broadcast, let, words_of
+from wavepanel.llm.common import checked_broadcast, let, packed, unpacked, words_of
 
 BUCKETS = 10_000  # of hashed words and word pairs
 MIN_SCORE = -0.07  # nats for each n-gram: documents below are likelier as raw text than as trusted text by 7 % at each n-gram
@@ -147,7 +147,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS
         )
 
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lm_score", "base_failed", "kept"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added], let(let(words_of(F.col("text")), measured), judged).alias("_q"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "_q"], "_q.*")
+    rows = packed(docs, added, "text").withColumn("_q", let(let(words_of(F.col("text")), measured), judged))
+    rows = unpacked(rows, "_q.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lm_score") >= min_score))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavepanel.llm.common import materialise
+from wavepanel.llm.common import materialise, packed, unpacked
 
 WORDS = 8  # of 64 bits in a block
 BITS_FOR_URL = 12
@@ -84,8 +84,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, *, rules=RULES, most_blocks:
     empty host and path, no canonical form, and is allowed.  Repeated rows and
     repeated list entries change nothing; an empty list blocks nothing.
     """
-    own = ["host", "path", "canon", "maybe", "listed", "rule", "verdict"]
-    rows = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in own])
+    rows = packed(pages, ["host", "path", "canon", "maybe", "listed", "rule", "verdict"], "url")
     known = materialise(listed.select("canon").where("canon is not null").distinct(), "url-list")
     blocks = min(most_blocks, max(1, math.ceil(known.count() * BITS_FOR_URL / (64 * WORDS))))
     bloom = F.broadcast(bloom_filter(known, blocks))  # most_blocks rows of 72 bytes at most
@@ -94,9 +93,10 @@ def url_filter(pages: DataFrame, listed: DataFrame, *, rules=RULES, most_blocks:
     for i, b in enumerate(_bits(F.col("canon"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(b) != 0)
     tested = rows.withColumn("_block", _block(F.col("canon"), blocks)).join(bloom.withColumnRenamed("block", "_block"), "_block", "left")
-    tested = tested.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(hit & F.col("canon").isNotNull(), F.lit(False)).alias("maybe"))
+    tested = tested.select(*rows.columns, F.coalesce(hit & F.col("canon").isNotNull(), F.lit(False)).alias("maybe"))
     exact = known.withColumnRenamed("canon", "_canon").hint("shuffle_hash")
     passed = tested.where("maybe").join(exact, F.col("canon") == F.col("_canon"), "left").withColumn("listed", F.col("_canon").isNotNull()).drop("_canon")
     judged = passed.unionByName(tested.where("not maybe").withColumn("listed", F.lit(False)))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
+    verdict = F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))
+    return unpacked(judged, "host", "path", "canon", "maybe", "listed", rule.alias("rule"), verdict.alias("verdict"))
