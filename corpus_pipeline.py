@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavepanel.llm import bpe, line_dedup, mixing, near_dedup, quality
-from wavepanel.llm.common import materialise
+from wavepanel.llm.common import checked_broadcast, materialise
 from wavepanel.llm.queries import trusted
 
 
@@ -45,9 +45,12 @@ def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates; of repeated rows one stays."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates()
+    judged = materialise(near_dedup.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "kept"), "pipeline-near")
+    gone = checked_broadcast(judged.where("not kept").select("_id").distinct())
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    twice = checked_broadcast(judged.where("kept").groupBy("_id").count().where("count > 1").select("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
