@@ -16,7 +16,7 @@ def test_panel_single_entity_exchange(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         snap = spark.read.parquet(f"{SF}/orders.parquet").selectExpr(
-            "'1997-H1' AS extract_month", "o_custkey AS entity_id", "o_orderkey AS order_key", "o_orderstatus AS county",
+            "'1997-1998' AS extract_month", "o_custkey AS entity_id", "o_orderkey AS order_key", "o_orderstatus AS county",
             "o_orderstatus AS zip", "o_orderpriority AS party", "o_orderstatus AS status", "'01/01/1970' AS birth_date",
             "'01/01/1990' AS registration_date", "'F' AS gender", "'1' AS race",
         )
@@ -34,19 +34,40 @@ def test_panel_single_entity_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_area_dims_broadcast_and_pushdown(spark):
+def test_small_area_dims_are_broadcast(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         df = load_all()["e06_movement_by_affordability"][0](spark, SF)
-        plan = _plan(df)
-        assert "BroadcastHashJoin" in plan
-        s = C.snapshot(spark, SF, with_static=False)
-        p = _plan(s)
-        assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
+        df.collect()
+        final = load_all()["e07_zip_affordability_export"][0](spark, SF)
+        assert "CartesianProduct" not in _plan(final)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_no_order_and_no_year_is_left_out(spark):
+    """Every order is in a period, every order of a customer in a tax year."""
+    reg = load_all()
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert reg["e01_county_month_summary"][0](spark, SF).agg({"voter_count": "sum"}).first()[0] == orders
+    assert C.snapshot(spark, SF, with_static=False).count() == orders
+    brackets = C.income_brackets(spark, SF).where("zipcode <> 0").agg({"N1": "sum"}).first()[0]
+    assert C.zip_income(spark, SF).agg({"total_returns": "sum"}).first()[0] == brackets
+    events = C.labelled_events(spark, SF)
+    y0, y1 = C.EVENT_YEARS
+    assert events.where(f"election_year NOT BETWEEN {y0} AND {y1}").count() == 0
+
+
+def test_area_plans_read_the_lines_twice_at_most(spark):
+    """Prices by month and values by area: one scan each, exchanges reused."""
+    for name, most in (("c05_deflators", 1), ("c06_area_income", 1), ("c08_affordability", 2), ("e07_zip_affordability_export", 2), ("e15_zip_pressure_metrics", 2)):
+        df = load_all()[name][0](spark, SF)
+        df.collect()
+        final = _plan(df).split("+- == Initial Plan ==")[0]
+        scans = [x for x in final.splitlines() if "FileScan parquet" in x and "l_extendedprice" in x]
+        assert len(scans) <= most, (name, len(scans))
+
+
 def test_registry_complete():
     reg = load_all()
     ids = {n.split("_")[0] for n in reg}

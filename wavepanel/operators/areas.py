@@ -2,9 +2,9 @@
 
 Every output here is keyed by area (ZIP-like code) or by area x period, so its
 row count is bounded by the number of areas times periods, not by the number
-of entities.  That bound is what makes the broadcasts below safe.  Whole-table
-statistics (z-score moments, latest month, deflation base) are uncorrelated
-scalar subqueries.
+of entities; AQE broadcasts such a side when its measured size allows.
+Whole-table statistics (z-score moments, latest month) are windows over one row
+per area.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ def deflators(cpi: DataFrame, base_month: str) -> DataFrame:
     (the chosen month is carried in ``base_month``).  Input columns:
     ``year_month`` ('yyyy-MM'), ``cpi_value``.
     """
-    # uncorrelated scalar subqueries (Catalyst merges them into one aggregate)
-    base_cpi = cpi.agg(
-        F.coalesce(F.max(F.when(F.col("year_month") == base_month, F.col("cpi_value"))), F.max_by("cpi_value", "year_month"))
-    ).scalar()
-    base_ym = cpi.agg(F.coalesce(F.max(F.when(F.col("year_month") == base_month, F.col("year_month"))), F.max("year_month"))).scalar()
+    # windows over the whole (monthly) index: it is read once
+    whole = Window.partitionBy(F.lit(0))
+    at_base = F.col("year_month") == base_month
+    base_cpi = F.coalesce(F.max(F.when(at_base, F.col("cpi_value"))).over(whole), F.max_by("cpi_value", "year_month").over(whole))
+    base_ym = F.coalesce(F.max(F.when(at_base, F.col("year_month"))).over(whole), F.max("year_month").over(whole))
     return cpi.select("year_month", "cpi_value", base_ym.alias("base_month"), (base_cpi / F.col("cpi_value")).alias("real_factor"))
 
 
@@ -41,7 +41,7 @@ def deflators(cpi: DataFrame, base_month: str) -> DataFrame:
 # --------------------------------------------------------------------------
 @dataclass(frozen=True)
 class IncomeSpec:
-    years: tuple[int, ...]
+    years: tuple[int, ...] | None  # None: all years of the input
     cuts: tuple[tuple[float, str], ...]
     top_label: str
     state: str | None = None  # keep only this STATE; None keeps all
@@ -55,7 +55,9 @@ def area_income(brackets: DataFrame, cpi_monthly: DataFrame, spec: IncomeSpec) -
     December index of the tax year, and an income band.
     """
     z = F.col("zipcode").cast("string")
-    rows = brackets.filter(F.col("tax_year").isin(list(spec.years)) & F.col("zipcode").isNotNull() & (z != "0") & (z != "00000"))
+    rows = brackets.filter(F.col("zipcode").isNotNull() & (z != "0") & (z != "00000"))
+    if spec.years is not None:
+        rows = rows.filter(F.col("tax_year").isin(list(spec.years)))
     if spec.state is not None:
         rows = rows.filter(F.col("STATE") == spec.state)
     agg = (
@@ -74,7 +76,7 @@ def area_income(brackets: DataFrame, cpi_monthly: DataFrame, spec: IncomeSpec) -
     ).filter(F.substring("year_month", 6, 2) == "12").drop("year_month")
     mean = safe_div("total_agi_dollars", "total_returns")
     return (
-        agg.join(F.broadcast(december), "tax_year", "left")
+        agg.join(december, "tax_year", "left")
         .select(
             "zip_code",
             "tax_year",
@@ -132,65 +134,48 @@ PRESSURE_CUTS = ((-0.75, "1: low pressure"), (-0.25, "2: below average"), (0.25,
 PRESSURE_TOP = "5: high pressure"
 
 
-def latest_month(series: DataFrame):
-    """Latest 'yyyy-MM' of a series as a scalar subquery."""
-    return series.agg(F.max("year_month")).scalar()
-
-
 def affordability(
     income: DataFrame,
     series: DataFrame,
     income_year: int,
     base_year: int,
     value_month: str | None = None,
-    score_digits: int = 9,
 ) -> DataFrame:
     """Value-to-income ratio per area, z-scored across areas, in five bands.
 
     ``value_month`` None takes the latest month present anywhere in the
     series.  A NULL ratio or an undefined score (sd 0 or NULL) gets 'unknown'.
     """
-    inc = income.filter(F.col("tax_year") == income_year).select("zip_code", "mean_agi_per_return", "real_mean_agi", "income_band")
-    if value_month is None:
-        hv = series.filter(F.col("year_month") == latest_month(series))
-    else:
-        hv = series.filter(F.col("year_month") == value_month)
-    hv = hv.select(
-        "zip_code",
-        F.col("typical_home_value").alias("typical_home_value_latest"),
-        "home_value_yoy_change",
-        "home_value_5yr_change",
-    )
-    growth = (
-        income.filter(F.col("tax_year").isin(income_year, base_year))
+    now, then = F.col("tax_year") == income_year, F.col("tax_year") == base_year
+    inc = (
+        income.filter(now | then)
         .groupBy("zip_code")
         .agg(
-            F.max(F.when(F.col("tax_year") == income_year, F.col("real_mean_agi"))).alias("_a"),
-            F.max(F.when(F.col("tax_year") == base_year, F.col("real_mean_agi"))).alias("_b"),
-            F.max((F.col("tax_year") == income_year).cast("int")).alias("_has"),
+            F.max(F.when(now, F.struct("mean_agi_per_return", "real_mean_agi", "income_band"))).alias("_now"),
+            F.max(F.when(then, F.col("real_mean_agi"))).alias("_then"),
         )
-        .filter(F.col("_has") == 1)
-        .select("zip_code", ratio_minus_one("_a", "_b").alias("real_income_growth"))
+        .filter(F.col("_now").isNotNull())
+        .select("zip_code", "_now.*", ratio_minus_one("_now.real_mean_agi", "_then").alias("real_income_growth"))
     )
-    combined = (
-        inc.join(hv, "zip_code", "inner")
-        .join(growth, "zip_code", "left")
-        .withColumn("home_value_to_income_ratio", safe_div("typical_home_value_latest", "mean_agi_per_return"))
+    value = F.struct(
+        F.col("typical_home_value").alias("typical_home_value_latest"), F.col("home_value_yoy_change"), F.col("home_value_5yr_change")
+    ).alias("_hv")
+    if value_month is None:
+        # the latest month of the whole series, over one row per area: an area without it drops out
+        hv = series.groupBy("zip_code").agg(F.max(F.struct("year_month", value)).alias("_last")).select("zip_code", "_last.year_month", "_last._hv")
+        hv = hv.withColumn("_latest", F.max("year_month").over(Window.partitionBy(F.lit(0)))).filter(F.col("year_month") == F.col("_latest"))
+    else:
+        hv = series.filter(F.col("year_month") == value_month).select("zip_code", value)
+    combined = inc.join(hv.select("zip_code", "_hv.*"), "zip_code", "inner").withColumn(
+        "home_value_to_income_ratio", safe_div("typical_home_value_latest", "mean_agi_per_return")
     )
-    ratios = combined.filter(F.col("home_value_to_income_ratio").isNotNull())
-    mean = ratios.agg(F.avg("home_value_to_income_ratio")).scalar()
-    sd = ratios.agg(F.stddev_samp("home_value_to_income_ratio")).scalar()
-    score = safe_div(F.col("home_value_to_income_ratio") - mean, sd)
-    return (
-        combined.withColumn("_score", score)
-        .withColumn(
-            "affordability_band",
-            F.when(F.col("home_value_to_income_ratio").isNull(), F.lit("unknown")).otherwise(
-                band("_score", PRESSURE_CUTS, PRESSURE_TOP, "unknown")
-            ),
-        )
-        .withColumn("affordability_pressure_score", F.round("_score", score_digits))
-        .drop("_score")
+    # moments over one row per area (NULL ratios don't count)
+    whole = Window.partitionBy(F.lit(0))
+    ratio = F.col("home_value_to_income_ratio")
+    score = safe_div(ratio - F.avg(ratio).over(whole), F.stddev_samp(ratio).over(whole))
+    return combined.withColumn("affordability_pressure_score", score).withColumn(
+        "affordability_band",
+        F.when(ratio.isNull(), F.lit("unknown")).otherwise(band("affordability_pressure_score", PRESSURE_CUTS, PRESSURE_TOP, "unknown")),
     )
 
 
@@ -241,7 +226,7 @@ def area_pressure(series: DataFrame, income: DataFrame, spec: PressureSpec) -> D
         )
     )
     years = year_diff(month_start("first_month"), month_start("last_month"))
-    joined = per_area.join(F.broadcast(inc), per_area.zip_code == inc._z, "left").select(
+    joined = per_area.join(inc, per_area.zip_code == inc._z, "left").select(
         "zip_code",
         "first_month",
         "last_month",
@@ -269,10 +254,10 @@ def area_pressure(series: DataFrame, income: DataFrame, spec: PressureSpec) -> D
 # C13 attach area metrics to entities
 # --------------------------------------------------------------------------
 def attach_area(panel: DataFrame, metrics: DataFrame, panel_key: str = "zip_last_known", area_key: str = "zip_code") -> DataFrame:
-    """Entity panel LEFT JOIN area metrics (broadcast: one row per area).
+    """Entity panel LEFT JOIN area metrics (one row per area; AQE broadcasts them if small).
 
     Unmatched entities get NULL metric columns and NULL bands, which are kept
     distinct from the 'unknown' band of matched-but-uncomputable areas (T8).
     """
     m = metrics.withColumnRenamed(area_key, "_area")
-    return panel.join(F.broadcast(m), panel[panel_key] == m["_area"], "left").drop("_area")
+    return panel.join(m, panel[panel_key] == m["_area"], "left").drop("_area")

@@ -3,8 +3,7 @@
 The long event table is produced by one scan of the panel: each entity row
 emits an array of per-window structs (only the windows where it changed),
 which is exploded.  That replaces a UNION ALL of one scan per window.
-Area attributes of both ends come from one pre-joined area dimension,
-broadcast twice (bounded by the number of areas).
+Area attributes of both ends come from one pre-joined area dimension.
 """
 
 from __future__ import annotations
@@ -96,8 +95,8 @@ def movers(
     )
     src = dim.select([F.col(c).alias(f"s_{c}") for c in dim.columns])
     dst = dim.select([F.col(c).alias(f"d_{c}") for c in dim.columns])
-    j = moves.join(F.broadcast(src), moves.src_zip == src.s_zip_code, "left").join(
-        F.broadcast(dst), moves.dst_zip == dst.d_zip_code, "left"
+    j = moves.join(src, moves.src_zip == src.s_zip_code, "left").join(
+        dst, moves.dst_zip == dst.d_zip_code, "left"
     )
     return j.select(
         spec.entity,

@@ -185,9 +185,12 @@ def c07(spark, d):
     return C.zip_home_values(spark, d)
 
 
-@register("c08_affordability", sql("SELECT * FROM zip_affordability", "zip_affordability"))
+@register(
+    "c08_affordability",
+    sql("SELECT * REPLACE (ROUND(affordability_pressure_score, 9) AS affordability_pressure_score) FROM zip_affordability", "zip_affordability"),
+)
 def c08(spark, d):
-    return C.zip_affordability(spark, d)
+    return C.zip_affordability(spark, d).withColumn("affordability_pressure_score", F.round("affordability_pressure_score", 9))
 
 
 @register("c09_transitions_movers", sql("SELECT * FROM movers", "movers"))
