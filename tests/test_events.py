@@ -59,14 +59,18 @@ def test_salted_enrich_equals_plain_join_with_a_hot_entity(spark):
     hot = ev.limit(1).select("entity_id").first()[0]
     skewed = ev.unionByName(ev.withColumn("entity_id", F.lit(hot)))
     panel = C.panel(spark, sf)
-    plain = EV.enrich_events(skewed, panel)
-    salted = EV.enrich_events(skewed, panel, salt_hot_keys=5)
+    cols = ["party_last_known", "age_band", "race", "county_last_known"]
+    plain = EV.attach_entity(EV.label_events(skewed), panel, "entity_id", cols)
+    salted = EV.enrich_events(skewed, panel)
     assert salted.columns == plain.columns
     a = sorted(map(tuple, plain.collect()), key=repr)
     b = sorted(map(tuple, salted.collect()), key=repr)
     assert a == b
     plan = salted._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan
+    # the same holds against a materialised panel, as a release has it
+    copy = panel.select("entity_id", *cols).checkpoint()
+    assert "_salt" in EV.enrich_events(skewed, copy)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_salting_spreads_exact_copies(spark):
@@ -74,7 +78,7 @@ def test_salting_spreads_exact_copies(spark):
 
     df = spark.createDataFrame([("hot", "same")] * 400 + [("cold", "x")], "entity_id string, v string").repartition(8)
     panel = spark.createDataFrame([("hot", "DEM"), ("cold", "REP")], "entity_id string, party_last_known string")
-    out = salted_attach(df, panel, "entity_id", ["party_last_known"], hot_keys=1, salts=8)
+    out = salted_attach(df, panel, "entity_id", ["party_last_known"], salts=8)
     assert out.count() == 401 and out.filter("party_last_known IS NULL").count() == 0
     # the hot entity's identical rows do not all share one salt
     salted = df.withColumn("_s", F.pmod(F.xxhash64("entity_id", "v", F.spark_partition_id()), F.lit(8)))

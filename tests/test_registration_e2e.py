@@ -186,9 +186,35 @@ def test_release_on_extracts(spark, tmp_path):
     expected = {n: df.count() for n, df in R.published_exports(spark, src).items()}
     memo.clear_plans()
     counts = publish_exports(spark, src, str(tmp_path / "out"), P=R)
+    assert counts.pop("rejected_lines") == R.quarantine(spark, src).count()
     assert {n.split("_")[0]: c for n, c in counts.items()} == expected
 
 
+def test_dedupe_does_not_depend_on_the_order_of_rows(spark):
+    """Rows of one file that differ in birth date only: the same one is kept however they are dealt."""
+    cols = ["county_code", "voter_id", "residence_zipcode", "party_affiliation", "voter_status", "birth_date", "registration_date", "gender", "race", "extract_month", "source_file"]
+    rows = [("ALA", "1", "32601", "DEM", "ACT", f"0{d}/01/1980", "01/01/2000", "F", "5", "2026-03", "a.txt") for d in range(1, 8)]
+    kept = set()
+    for order in (rows, rows[::-1]):
+        for n in (1, 5):
+            df = spark.createDataFrame(order, ", ".join(f"{c} string" for c in cols)).repartition(n)
+            kept.add(str(R.voter_changes(df).first()["birth_date_parsed"]))
+    assert kept == {"1980-01-01"}
+
+
+def test_missing_december_stops_the_build(spark, tmp_path):
+    import dataclasses
+    import json
+
+    import pytest
+
+    src = _fixture_sources(tmp_path)
+    doc = {"Results": {"series": [{"data": [{"year": "2026", "period": "M05", "value": "320.0"}]}]}}
+    (tmp_path / "short.json").write_text(json.dumps(doc))
+    with pytest.raises(ValueError, match="December"):
+        R.zip_income(spark, dataclasses.replace(src, cpi=str(tmp_path / "short.json")))
+
+
 def test_release_prunes_periods(spark, tmp_path):
     from pyspark.sql import functions as F
 
@@ -299,7 +325,8 @@ def test_release_entry_point(spark, tmp_path):
     argv = ["release", *[a for m, g in src.snapshots for a in ("--snapshot", f"{m}={g}")], "--events", src.events, "--cpi", src.cpi,
             *[a for y, p in src.income for a in ("--income", f"{y}={p}")], "--home-values", src.home_values, "--out", str(tmp_path / "pub")]
     counts = main(argv, spark)
-    assert len(counts) == 26 and (tmp_path / "pub" / "data_dictionary").exists()
+    assert len(counts) == 27 and (tmp_path / "pub" / "data_dictionary").exists()
+    assert spark.read.parquet(str(tmp_path / "pub" / "rejected_lines")).count() == counts["rejected_lines"]
 
 
 def test_vote_method_export_on_extracts_matches_duckdb(spark, tmp_path):

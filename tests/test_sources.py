@@ -77,5 +77,5 @@ def test_wide_series_discovery(spark):
 
 def test_bracket_lines(spark):
     lines = spark.createDataFrame([("STATE,zipcode,N1,A00100",), ("FL,32601,100,5000",), ("FL,0,5,1",)], "value string")
-    got = [tuple(r) for r in X.brackets_from_lines(lines, X.BRACKET_DDL).collect()]
+    got = [tuple(r) for r in X.typed_brackets(X.brackets_from_lines(lines, ("STATE", "zipcode", "N1", "A00100"))).collect()]
     assert got == [("FL", 32601, 100, 5000), ("FL", 0, 5, 1)]

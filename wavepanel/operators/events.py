@@ -2,9 +2,8 @@
 
 ``enrich_events`` is the large-large join of the workload (events x panel on
 the entity key).  The panel side is pruned to the few columns the cuts use,
-so the shuffle carries only those; AQE splits skewed entity partitions.  When
-several cuts read the enriched events, persist it (or write it bucketed by
-entity to the shared checkpoint folder) instead of re-running the join.
+so the shuffle carries only those, and the rows of hot entities are spread over
+salts.  Cuts that count pre-aggregate per (entity, cell) instead and join after.
 """
 
 from __future__ import annotations
@@ -104,18 +103,21 @@ def entity_cells(
     return attach_entity(cells, panel, entity, list(panel_cols))
 
 
-def salted_attach(
-    df: DataFrame, panel: DataFrame, entity: str, cols: Sequence[str], hot_keys: int = 100, salts: int = 32
-) -> DataFrame:
-    """``attach_entity`` (left join) with the heaviest entities spread over salts.
+HOT_SHARE = 1000  # an entity with at least one row in so many is hot: there are at most 1,000 of them
+
+
+def salted_attach(df: DataFrame, panel: DataFrame, entity: str, cols: Sequence[str], hot_share: int = HOT_SHARE, salts: int = 32) -> DataFrame:
+    """``attach_entity`` (left join) with the rows of hot entities spread over salts.
 
-    The ``hot_keys`` entities with the most rows (a bounded list from a
-    distributed top-k, broadcast) get their rows spread over ``salts``
-    sub-keys; only their panel rows are replicated ``salts`` times.  Every other entity joins
-    on salt 0.  Same result as the plain join; use it where AQE cannot split
-    a skewed partition (AQE off, or the join's partitioning reused later).
+    AQE can't split a hot entity here: the panel side is an aggregate on the
+    entity (or a bucketed table), not a shuffle of its own.  Hot is who has at
+    least 1 / ``hot_share`` of the rows, so the list has ``hot_share`` entries at
+    most, whatever the input, and is broadcast.  Their rows get one of
+    ``salts`` sub-keys and their panel rows are replicated ``salts`` times;
+    every other entity joins on salt 0.  Same result as the plain join.
     """
-    hot = df.groupBy(entity).count().orderBy(F.col("count").desc(), F.col(entity)).limit(hot_keys).select(F.col(entity).alias("_hot"))
+    counts = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") * hot_share >= counts.agg(F.sum("_n")).scalar()).select(F.col(entity).alias("_hot"))
     hot = F.broadcast(hot.withColumn("_is_hot", F.lit(True)))
     left = df.join(hot, df[entity] == hot["_hot"], "left")
     # hash of the row and its input partition: exact copies spread too, and a
@@ -134,20 +136,16 @@ def salted_attach(
 
 
 def enrich_events(
-    events: DataFrame, panel: DataFrame, spec: EventSpec = EventSpec(), panel_cols: Sequence[str] | None = None, salt_hot_keys: int = 0
+    events: DataFrame, panel: DataFrame, spec: EventSpec = EventSpec(), panel_cols: Sequence[str] | None = None
 ) -> DataFrame:
     """C14: labelled events + current entity attributes (left join on entity).
 
     Rows with a NULL event date are dropped; events of entities missing from
     the panel keep NULL attributes.  The panel side is pruned to the columns
-    the cuts use.  ``salt_hot_keys > 0`` spreads that many heaviest entities
-    over salts (``salted_attach``) instead of relying on AQE's skew split.
+    the cuts use; the rows of hot entities are spread over salts.
     """
     cols = list(panel_cols or ["party_last_known", "age_band", "race", "county_last_known"])
-    labelled = label_events(events, spec)
-    if salt_hot_keys:
-        return salted_attach(labelled, panel, spec.entity, cols, hot_keys=salt_hot_keys)
-    return attach_entity(labelled, panel, spec.entity, cols)
+    return salted_attach(label_events(events, spec), panel, spec.entity, cols)
 
 
 # Consistency buckets (counted general-election votes over the cycles).

@@ -83,14 +83,14 @@ def net_change(df: DataFrame, group: str, first: str, last: str) -> DataFrame:
     )
 
 
-def top_bottom(df: DataFrame, key: str, measure: str, k: int) -> DataFrame:
+def top_bottom(df: DataFrame, key: str, measure: str, k: int, bottom_k: int | None = None) -> DataFrame:
     """Top-k and bottom-k groups by a measure with rank (ties broken by key).
 
     Each side is a distributed top-k (TakeOrderedAndProject); the rank is then
     assigned within the k kept rows.
     """
     top = df.orderBy(F.col(measure).desc(), F.col(key).asc()).limit(k)
-    bottom = df.orderBy(F.col(measure).asc(), F.col(key).asc()).limit(k)
+    bottom = df.orderBy(F.col(measure).asc(), F.col(key).asc()).limit(k if bottom_k is None else bottom_k)
     rt = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col(measure).desc(), F.col(key).asc()))).withColumn(
         "side", F.lit("top")
     )
@@ -140,13 +140,26 @@ def profile_top(df: DataFrame, cols: Sequence[str], k: int, count_name: str = "n
 def period_profile(df: DataFrame, period: str, entity: str, distinct_cols: Sequence[str] = (), approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """Q2: rows, distinct values and duplicate rows per period.
 
-    Exact distinct counts by default.  ``approx=True`` switches to
-    HyperLogLog++ (``approx_count_distinct``) for very large snapshots, where
-    several exact distincts in one aggregate multiply the rows shuffled.
+    Each distinct count has an aggregate of its own on (period, value), which
+    every task reduces first; the small per-period results are then combined.
+    One aggregate with several distinct counts would multiply the raw rows.
+    ``approx=True`` counts by HyperLogLog++ in one aggregate instead.
     """
-    dc = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    aggs += [dc(c).alias(f"distinct_{c}") for c in distinct_cols]
-    aggs.append(dc(entity).alias("distinct_entity_ids"))
-    out = df.groupBy(period).agg(*aggs)
-    return out.withColumn("duplicate_rows", F.col("rows") - F.col("distinct_entity_ids"))
+    if approx:
+        aggs = [F.approx_count_distinct(c, rsd).alias(f"distinct_{c}") for c in distinct_cols]
+        aggs.append(F.approx_count_distinct(entity, rsd).alias("distinct_entity_ids"))
+        out = df.groupBy(period).agg(F.count(F.lit(1)).alias("rows"), *aggs)
+        return out.withColumn("duplicate_rows", F.col("rows") - F.col("distinct_entity_ids"))
+    per = df.groupBy(period, entity).agg(F.count(F.lit(1)).alias("_n"))
+    out = per.groupBy(period).agg(F.sum("_n").cast("bigint").alias("rows"), F.count(entity).alias("distinct_entity_ids"))
+    for c in distinct_cols:
+        values = df.select(period, c).distinct().groupBy(F.col(period).alias("_p")).agg(F.count(c).alias(f"distinct_{c}"))
+        out = out.join(values, out[period].eqNullSafe(values["_p"])).drop("_p")
+    return out.select(period, "rows", *[f"distinct_{c}" for c in distinct_cols], "distinct_entity_ids").withColumn(
+        "duplicate_rows", F.col("rows") - F.col("distinct_entity_ids")
+    )
+
+
+def sample_rows(df: DataFrame, n: int) -> DataFrame:
+    """Any ``n`` rows, as a quick look at a loaded table."""
+    return df.limit(n)

@@ -65,6 +65,12 @@ AGES = P.AgeSpec(birth="birth_date_parsed", registration="registration_date_pars
 
 MIN_CELL = 3
 MIN_GROUP = 20  # group-total floor of the share headlines
+MIN_BASE = 50  # D4: smallest group that counts
+TOP_K, BOTTOM_K = 10, 5  # D2
+OUTLIER_Z = 1.5  # D3
+LOSS_PCT = -10.0  # D3: a group losing at least this share between the first and last period
+TIER_CUTS = ((3.8, "small"), (4.2, "mid"))  # D7: an area's share of the first period, in percent
+COUNTY_TIER_CUTS = ((19.0, "small"), (21.0, "mid"))
 MAIN_PARTIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 MAIN_KPIS = (("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"))
 ACTIVE_STATUS = "O"

@@ -47,7 +47,7 @@ def clear_plans() -> None:
     _PLANS.clear()
 
 
-def override(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> None:
-    """Make builder ``name`` return ``df`` (e.g. a materialized copy) for this
-    session and folder; builders created afterwards read it."""
-    _PLANS[_key(spark, sf_dir, name)] = df
+def override(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, **kw) -> None:
+    """Make builder ``name``, called with the same keywords, return ``df`` (e.g. a
+    materialized copy) for this session and folder; builders created afterwards read it."""
+    _PLANS[(*_session(spark), sf_dir, name, (), tuple(sorted(kw.items())))] = df

@@ -53,12 +53,11 @@ def q02(spark, d, P=C):
 )
 def q03(spark, d, P=C):
     e = P.events(spark, d)
-    # distinct over the tuple, NULL parts counted (struct form, not count(distinct a, b))
-    return e.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.countDistinct(P.SPEC.entity).alias("entities"),
-        F.countDistinct(F.struct("election_date", "election_type")).alias("elections"),
-    )
+    # each distinct on an aggregate of its own; NULL parts of the pair count
+    per = e.groupBy(P.SPEC.entity).agg(F.count(F.lit(1)).alias("_n"))
+    totals = per.agg(F.sum("_n").cast("bigint").alias("total_rows"), F.count(P.SPEC.entity).alias("entities"))
+    days = e.select("election_date", "election_type").distinct()
+    return totals.select("total_rows", "entities", days.agg(F.count(F.lit(1))).scalar().alias("elections"))
 
 
 @register(

@@ -31,6 +31,12 @@ PERIOD_DATES = ("2026-03-10", "2026-04-14", "2026-05-12")  # extract dates (week
 INACTIVE_STATUS = "INA"
 MIN_CELL = 10
 MIN_GROUP = 100  # group-total floor of the share headlines
+MIN_BASE = 50
+TOP_K, BOTTOM_K = 10, 5
+OUTLIER_Z = 1.5
+LOSS_PCT = -10.0
+TIER_CUTS = ((0.05, "small"), (0.2, "mid"))  # an area's share of the first period, in percent
+COUNTY_TIER_CUTS = ((0.5, "small"), (2.5, "mid"))
 MAIN_PARTIES = ("DEM", "REP", "NPA")
 MAIN_KPIS = (("DEM", "dem"), ("REP", "rep"), ("NPA", "npa"))
 ACTIVE_STATUS = "ACT"
@@ -100,13 +106,14 @@ def voter_changes(snapshot: DataFrame) -> DataFrame:
     """Snapshot rows (38 fields + extract_month + source_file) -> per-voter panel.
 
     Duplicates within a period keep the row of the lexically first source
-    file (ties broken by the row's own content, so the choice is stable).
+    file; ties are broken by all attributes that are kept, so the choice doesn't
+    depend on the order of rows or tasks.
     """
     rows = snapshot.select(
         "voter_id",
         "extract_month",
         "source_file",
-        F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in ("county_code", "residence_zipcode", "party_affiliation", "voter_status")]).alias("_line"),
+        F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in (*ROLES, "birth_date", "registration_date", "gender", "race")]).alias("_line"),
         *[F.col(src).alias(role) for src, role in ROLES.items()],
         "birth_date",
         "registration_date",
@@ -144,10 +151,9 @@ RELEASE_CORE = (
     "zip_home_values",
     "zip_affordability",
     "zip_pressure",
-    "labelled_events",
-    "enriched_events",
     "movers_long",
     "entity_pressure",
+    "quarantine",
 )
 
 
@@ -159,6 +165,7 @@ def snapshot_rows(spark: SparkSession, src: Sources) -> DataFrame:
 
 @shared
 def quarantine(spark: SparkSession, src: Sources) -> DataFrame:
+    """Lines of the snapshots that could not be read; a release writes and counts them."""
     _, bad = TX.read_snapshots(spark, dict(src.snapshots))
     return bad
 
@@ -186,7 +193,11 @@ def cpi_monthly(spark: SparkSession, src: Sources) -> DataFrame:
 @shared
 def zip_income(spark: SparkSession, src: Sources) -> DataFrame:
     spec = A.IncomeSpec(years=INCOME.years, cuts=INCOME.cuts, top_label=INCOME.top_label, state=src.state)
-    return A.area_income(X.read_income_brackets(spark, dict(src.income)), cpi_monthly(spark, src), spec)
+    cpi = cpi_monthly(spark, src)
+    absent = A.missing_december(cpi, [y for y, _ in src.income])
+    if absent:
+        raise ValueError(f"the price index lacks December of {absent}: real incomes of those years can't be given")
+    return A.area_income(X.read_income_brackets(spark, dict(src.income)), cpi, spec)
 
 
 @shared
@@ -253,7 +264,8 @@ def district_frame(spark: SparkSession, src: Sources) -> DataFrame:
     """One row per voter of the latest extract: party and the five districts
     (the row of the lexically first file when a voter appears twice)."""
     last = snapshot_rows(spark, src).filter(F.col("extract_month") == PERIODS[-1].label)
-    row = F.min_by(F.struct(F.col("party_affiliation").alias("party"), *[F.col(c) for c in DISTRICT_SYSTEMS]), F.col("source_file"))
+    kept = [F.col("party_affiliation").alias("party"), *[F.col(c) for c in DISTRICT_SYSTEMS]]
+    row = F.min(F.struct(F.col("source_file"), F.struct(*kept).alias("kept")))["kept"]  # ties: by all that is kept
     return last.groupBy("voter_id").agg(row.alias("_r")).select("_r.*")
 
 

@@ -1,12 +1,15 @@
 """Publish the export set the way a scheduled release runs.
 
-1. Materialize the intermediates every export shares (panel, labelled and
-   enriched events, area tables, mover events) once, as parquet in the
-   cluster's shared folder (``spark.checkpoint.dir``): this cuts the lineage,
-   survives executor loss, and stops each export from re-running the joins.
+1. Materialize the intermediates that several exports share (snapshot, panel,
+   area tables, mover events) once, as parquet in the cluster's shared folder
+   (``spark.checkpoint.dir``): this cuts the lineage, survives executor loss,
+   and stops each export from re-running the joins.  Events are read from
+   their source by each cut, which reduces them before any join.
 2. Point the plan builders at those copies.
 3. Write each export as one ordered CSV with its row count taken from the
-   same execution, then the data dictionary.
+   same execution, then the data dictionary; lines that could not be read go
+   to a folder of their own, with their count.
+4. Drop the copies of the run.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from pyspark.sql import SparkSession
 from wavepanel.plans import commerce as C
 from wavepanel.plans.memo import override
 from wavepanel.plans.registry import load_all
-from wavepanel.sources.publish import data_dictionary, materialize, materialize_bucketed, publish_csv
+from wavepanel.sources.publish import data_dictionary, drop_run, materialize, materialize_bucketed, publish_csv, save_table
 
 # built in dependency order: later ones are built on the materialized earlier ones
-CORE = ("panel", "zip_income", "zip_home_values", "zip_affordability", "zip_pressure", "labelled_events", "enriched_events", "movers_long", "entity_pressure")
+CORE = ("snapshot", "panel", "zip_income", "zip_home_values", "zip_affordability", "zip_pressure", "movers_long", "entity_pressure")
 # The panel (one row per entity, so no bucket can be hot) is written bucketed
 # by entity; the events are not: a hot entity would make one bucket -- one
 # task -- hold a third of them.  Event cuts pre-aggregate per (entity, cell)
@@ -72,13 +75,14 @@ def materialize_core(spark: SparkSession, sf_dir, run_id: str | None = None, buc
     C.clear_plans()
     for name in getattr(P, "RELEASE_CORE", CORE):
         fn = getattr(P, name)
-        df = fn(spark, sf_dir)
+        df = fn(spark, sf_dir, with_static=False) if name == "snapshot" else fn(spark, sf_dir)
         where = f"wavepanel-{run}/{name}"
         if name in BUCKETED:
             copy = materialize_bucketed(spark, df, where, P.SPEC.entity, n)
         else:
             copy = materialize(spark, df, where, PARTITIONED.get(name, ()))
-        override(spark, sf_dir, fn.__name__, copy)  # the memo key is the builder's own name
+        key = {"with_static": False} if name == "snapshot" else {}
+        override(spark, sf_dir, fn.__name__, copy, **key)  # the memo key is the builder's own name
     return run
 
 
@@ -89,7 +93,7 @@ def publish_exports(spark: SparkSession, sf_dir, out_dir: str, names: Sequence[s
     with a ``Sources`` value for the real extracts)."""
     reg = load_all()
     names = list(names or sorted(n for n in reg if n.startswith("e")))
-    materialize_core(spark, sf_dir, P=P)
+    run = materialize_core(spark, sf_dir, P=P)
     try:
         frames, counts = {}, {}
         for name in names:
@@ -97,10 +101,15 @@ def publish_exports(spark: SparkSession, sf_dir, out_dir: str, names: Sequence[s
             frames[name] = df
             counts[name] = publish_csv(df, f"{out_dir.rstrip('/')}/{name}")
         publish_csv(data_dictionary(spark, frames, DESCRIPTIONS), f"{out_dir.rstrip('/')}/data_dictionary", ["file"])
+        if hasattr(P, "quarantine"):
+            bad = P.quarantine(spark, sf_dir)
+            save_table(bad, f"{out_dir.rstrip('/')}/rejected_lines")
+            counts["rejected_lines"] = bad.count()
         return counts
     finally:
         if restore:
             C.clear_plans()
+            drop_run(spark, f"wavepanel-{run}", [n for n in getattr(P, "RELEASE_CORE", CORE) if n in BUCKETED])
 
 
 # view name -> builder (S10: reuse of a query by name, for SQL users)

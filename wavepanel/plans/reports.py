@@ -6,7 +6,7 @@ with built-in aggregates and windows over small aggregated frames.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavepanel.functions.scalar import band, decode, pct, safe_div
@@ -20,8 +20,6 @@ from wavepanel.plans.oracle import RACE_CASE, add_cte, sql
 from wavepanel.plans.registry import REGISTRY, register
 
 K = C.MIN_CELL
-MIN_BASE = 50
-LOSS_PCT = -10.0  # D3: a group losing at least this share between the first and last period
 P1, P2, P3 = C.PERIODS
 WINDOWS = C.SPEC.windows()
 ACT, INA = C.ACTIVE_STATUS, C.INACTIVE_STATUS
@@ -57,13 +55,26 @@ def net_zip(spark, d, P=C) -> DataFrame:
 @register(
     "d02_top_bottom_zips_by_net_change",
     sql(
-        "SELECT * FROM (SELECT n.*, ROW_NUMBER() OVER (ORDER BY net_change DESC, zip) AS rank, 'top' AS side FROM net_zip n) t WHERE rank <= 5 "
+        "SELECT * FROM (SELECT n.*, ROW_NUMBER() OVER (ORDER BY net_change DESC, zip) AS rank, 'top' AS side FROM net_zip n) t WHERE rank <= 10 "
         "UNION ALL SELECT * FROM (SELECT n.*, ROW_NUMBER() OVER (ORDER BY net_change ASC, zip) AS rank, 'bottom' AS side FROM net_zip n) t WHERE rank <= 5",
         "net_zip",
     ),
 )
 def d02(spark, d, P=C):
-    return M.top_bottom(net_zip(spark, d, P), "zip", "net_change", 5)
+    return M.top_bottom(net_zip(spark, d, P), "zip", "net_change", P.TOP_K, P.BOTTOM_K)
+
+
+@register(
+    "d02c_top_bottom_counties_by_net_change",
+    sql(
+        "SELECT *, 'top' AS side, row_number() OVER (ORDER BY net_change DESC, county) AS rank FROM net_county QUALIFY rank <= 10 "
+        "UNION ALL BY NAME SELECT *, 'bottom' AS side, row_number() OVER (ORDER BY net_change, county) AS rank FROM net_county QUALIFY rank <= 5",
+        "net_county",
+    ),
+)
+def d02c(spark, d, P=C):
+    """The counties that gained most and least."""
+    return M.top_bottom(d01(spark, d, P), "county", "net_change", P.TOP_K, P.BOTTOM_K)
 
 
 @register(
@@ -71,23 +82,37 @@ def d02(spark, d, P=C):
     sql(
         "SELECT zip, pct_change, ROUND((pct_change - m) / NULLIF(sd, 0), 9) AS z_score, "
         "COALESCE(ABS((pct_change - m) / NULLIF(sd, 0)) >= 1.5, FALSE) AS outlier, "
-        f"COALESCE(pct_change <= {LOSS_PCT}, FALSE) AS large_loss FROM net_zip "
+        "COALESCE(pct_change <= -10.0, FALSE) AS large_loss FROM net_zip "
         "CROSS JOIN (SELECT AVG(pct_change) AS m, STDDEV_SAMP(pct_change) AS sd FROM net_zip) s",
         "net_zip",
     ),
 )
 def d03(spark, d, P=C):
-    z = M.zscore(net_zip(spark, d, P), "pct_change", "_z")
+    return _outliers(net_zip(spark, d, P), "zip", P)
+
+
+def _outliers(net: DataFrame, key: str, P) -> DataFrame:
+    z = M.zscore(net, "pct_change", "_z")
     return z.select(
-        "zip",
+        key,
         "pct_change",
         F.round("_z", 9).alias("z_score"),
-        F.coalesce(F.abs("_z") >= 1.5, F.lit(False)).alias("outlier"),
-        F.coalesce(F.col("pct_change") <= LOSS_PCT, F.lit(False)).alias("large_loss"),
+        F.coalesce(F.abs("_z") >= P.OUTLIER_Z, F.lit(False)).alias("outlier"),
+        F.coalesce(F.col("pct_change") <= P.LOSS_PCT, F.lit(False)).alias("large_loss"),
     )
 
 
-TIER_CUTS = ((3.8, "small"), (4.2, "mid"))
+@register(
+    "d03c_outlier_counties",
+    sql(
+        "SELECT county, pct_change, round(z, 9) AS z_score, ifnull(abs(z) >= 1.5, false) AS outlier, ifnull(pct_change <= -10, false) AS large_loss FROM "
+        "(SELECT *, (pct_change - avg(pct_change) OVER ()) / nullif(stddev_samp(pct_change) OVER (), 0) AS z FROM net_county)",
+        "net_county",
+    ),
+)
+def d03c(spark, d, P=C):
+    """Counties whose change stands out, or that lost a large share."""
+    return _outliers(d01(spark, d, P), "county", P)
 
 
 @register(
@@ -102,14 +127,31 @@ TIER_CUTS = ((3.8, "small"), (4.2, "mid"))
     ),
 )
 def d07(spark, d, P=C):
-    n = net_zip(spark, d, P)
+    return _tiers(net_zip(spark, d, P), P.TIER_CUTS)
+
+
+def _tiers(n: DataFrame, cuts) -> DataFrame:
     tot = n.agg(F.sum("n_first")).scalar()
-    tiers = n.withColumn("tier", band(pct("n_first", tot), TIER_CUTS, "large"))
+    tiers = n.withColumn("tier", band(pct("n_first", tot), cuts, "large"))
     out = tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("areas"), F.sum("n_first").alias("n_first"), F.sum("n_last").alias("n_last"))
     out = out.withColumn("net_change", F.col("n_last") - F.col("n_first")).withColumn("pct_change", pct(F.col("n_last") - F.col("n_first"), "n_first"))
     return ordered(out, "tier")
 
 
+@register(
+    "d07c_county_tier_growth",
+    sql(
+        "SELECT tier, count(*) AS areas, sum(n_first)::BIGINT AS n_first, sum(n_last)::BIGINT AS n_last, (sum(n_last) - sum(n_first))::BIGINT AS net_change, "
+        "100.0 * (sum(n_last) - sum(n_first))::DOUBLE / nullif(sum(n_first), 0) AS pct_change FROM (SELECT *, 100.0 * n_first::DOUBLE / sum(n_first) OVER () AS share, "
+        "CASE WHEN share IS NULL THEN 'unknown' WHEN share >= 21 THEN 'large' WHEN share >= 19 THEN 'mid' ELSE 'small' END AS tier FROM net_county) GROUP BY tier",
+        "net_county",
+    ),
+)
+def d07c(spark, d, P=C):
+    """Growth by size tier of the counties."""
+    return _tiers(d01(spark, d, P), P.COUNTY_TIER_CUTS)
+
+
 # ----------------------------------------------------------------- D4 party-share change
 @register(
     "d04_party_share_change_by_county",
@@ -120,7 +162,7 @@ def d07(spark, d, P=C):
         "SELECT county, party, n_first, n_last, SUM(n_first) OVER (PARTITION BY county) AS tf, SUM(n_last) OVER (PARTITION BY county) AS tl FROM ("
         "SELECT county, party, CAST(SUM(f) AS BIGINT) AS n_first, CAST(SUM(l) AS BIGINT) AS n_last FROM ("
         "SELECT county_p1 AS county, party_p1 AS party, 1 AS f, 0 AS l FROM panel UNION ALL SELECT county_p3, party_p3, 0, 1 FROM panel) u "
-        f"WHERE county IS NOT NULL AND party IS NOT NULL GROUP BY 1, 2) c) w) s WHERE tf >= {MIN_BASE}",
+        f"WHERE county IS NOT NULL AND party IS NOT NULL GROUP BY 1, 2) c) w) s WHERE tf >= 50",
         "panel",
     ),
 )
@@ -142,7 +184,7 @@ def d04(spark, d, P=C):
     w = Window.partitionBy("county")
     out = cells.withColumn("_tf", F.sum("n_first").over(w)).withColumn("_tl", F.sum("n_last").over(w))
     out = out.withColumn("share_first", pct("n_first", "_tf")).withColumn("share_last", pct("n_last", "_tl"))
-    out = out.filter(F.col("_tf") >= MIN_BASE).withColumn("change_pp", F.col("share_last") - F.col("share_first"))
+    out = out.filter(F.col("_tf") >= P.MIN_BASE).withColumn("change_pp", F.col("share_last") - F.col("share_first"))
     return ordered(out.drop("_tf", "_tl"), "county", "party")
 
 
@@ -203,21 +245,31 @@ def d11(spark, d, P=C):
 
 
 # ----------------------------------------------------------------- D8 / D12 / D13 presence
-PATTERN_LABELS = [
-    ("YYY", "present in all"),
-    ("YYN", "left after p2"),
-    ("YNN", "left after p1"),
-    ("NYY", "joined in p2"),
-    ("NNY", "joined in p3"),
-    ("NYN", "p2 only"),
-    ("YNY", "boomerang"),
-    ("NNN", "never present"),
-]
+def pattern_labels(P) -> list[tuple[str, str]]:
+    """Labels of the presence patterns, in the words of the preset's periods."""
+    _, mid, last = (p.long for p in P.PERIODS)
+    first = P.PERIODS[0].long
+    return [
+        ("YYY", "present in all"),
+        ("YYN", f"left after {mid}"),
+        ("YNN", f"left after {first}"),
+        ("NYY", f"joined in {mid}"),
+        ("NNY", f"joined in {last}"),
+        ("NYN", f"{mid} only"),
+        ("YNY", "boomerang"),
+        ("NNN", "never present"),
+    ]
 
 
 def _pattern_sql() -> str:
     yn = " || ".join(f"CASE WHEN appeared_in_{p.long} THEN 'Y' ELSE 'N' END" for p in C.PERIODS)
-    lab = "CASE pattern " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PATTERN_LABELS) + " END"
+    lab = "CASE pattern " + " ".join(
+        f"WHEN '{k}' THEN '{v}'"
+        for k, v in zip(
+            ("YYY", "YYN", "YNN", "NYY", "NNY", "NYN", "YNY", "NNN"),
+            ("present in all", "left after p2", "left after p1", "joined in p2", "joined in p3", "p2 only", "boomerang", "never present"),
+        )
+    ) + " END"
     return (
         f"SELECT pattern, {lab} AS label, entities, 100.0 * CAST(entities AS DOUBLE) / SUM(entities) OVER () AS pct FROM "
         f"(SELECT {yn} AS pattern, COUNT(*) AS entities FROM panel GROUP BY 1) t"
@@ -230,7 +282,7 @@ def d08(spark, d, P=C):
     yn = F.concat(*[F.when(F.col(f"appeared_in_{q.long}"), F.lit("Y")).otherwise(F.lit("N")) for q in P.PERIODS])
     cells = p.groupBy(yn.alias("pattern")).agg(F.count(F.lit(1)).alias("entities"))
     tot = cells.agg(F.sum("entities")).scalar()
-    out = cells.select("pattern", decode("pattern", PATTERN_LABELS, None).alias("label"), "entities", pct("entities", tot).alias("pct"))
+    out = cells.select("pattern", decode("pattern", pattern_labels(P), None).alias("label"), "entities", pct("entities", tot).alias("pct"))
     return ordered(out, "pattern")
 
 
@@ -293,6 +345,24 @@ def d13(spark, d, P=C):
     return ordered(rows.groupBy("window").agg(F.sum("cp").cast("bigint").alias("county_and_party"), F.sum("zp").cast("bigint").alias("zip_and_party")), "window")
 
 
+@register(
+    "d13b_party_switched_twice",
+    sql(
+        "SELECT party_last_known AS party, count(*) AS switched_twice, count(*) FILTER (party_p1 = party_p3) AS returned FROM panel "
+        "WHERE party_changed_p1_p2 AND party_changed_p2_p3 GROUP BY ALL",
+        "panel",
+    ),
+)
+def d13b(spark, d, P=C):
+    """Entities whose party changed in every window, and those that came back to their first party."""
+    p = P.panel(spark, d)
+    for flag in Flags(P).changes("party"):
+        p = p.filter(F.col(flag))
+    back = F.col(f"party_{P.PERIODS[0].short}") == F.col(f"party_{P.PERIODS[-1].short}")
+    out = p.groupBy(F.col("party_last_known").alias("party")).agg(F.count(F.lit(1)).alias("switched_twice"), F.count_if(back).alias("returned"))
+    return ordered(out, "party")
+
+
 # ----------------------------------------------------------------- D9 per-week rates
 def _days(a, b, P=C) -> int:
     import datetime as dt
@@ -352,20 +422,45 @@ def _d10_sql(exclude_transient: bool) -> str:
     )
 
 
-def _d10(spark, d, exclude_transient: bool, P=C):
+def _d10(spark, d, exclude_transient: bool, P=C, key: str = "party", value: Column | None = None):
     from wavepanel.operators.panel import cohort_flags
 
-    p = P.panel(spark, d).filter(F.col("party_last_known").isNotNull())
+    value = F.col("party_last_known") if value is None else value
+    p = P.panel(spark, d).withColumn("_key", value).filter(F.col("_key").isNotNull())
     is_new, gone = cohort_flags(P.SPEC, exclude_transient)
     cohorts = p.select(
-        F.col("party_last_known").alias("party"),
+        F.col("_key").alias(key),
         F.explode(F.filter(F.array(F.when(is_new, F.lit("new")), F.when(gone, F.lit("removed"))), lambda x: x.isNotNull())).alias("cohort"),
     )
-    cells = M.share_within(cohorts.groupBy("cohort", "party").agg(F.count(F.lit(1)).alias("n")), ["cohort"], "n", "pct_of_cohort")
-    base = M.share_within(p.groupBy(F.col("party_last_known").alias("party")).agg(F.count(F.lit(1)).alias("base_n")), [], "base_n", "pct_of_base")
-    # base: one row per party value (bounded by the party domain)
-    j = cells.join(F.broadcast(base), "party", "left")
-    return ordered(j.withColumn("diff_pp", F.col("pct_of_cohort") - F.col("pct_of_base")), "cohort", "party")
+    cells = M.share_within(cohorts.groupBy("cohort", key).agg(F.count(F.lit(1)).alias("n")), ["cohort"], "n", "pct_of_cohort")
+    base = M.share_within(p.groupBy(F.col("_key").alias(key)).agg(F.count(F.lit(1)).alias("base_n")), [], "base_n", "pct_of_base")
+    j = cells.join(base, key, "left")
+    return ordered(j.withColumn("diff_pp", F.col("pct_of_cohort") - F.col("pct_of_base")), "cohort", key)
+
+
+def _cohort_sql(value: str, key: str) -> str:
+    """Cohort and base shares from one list of cohorts per entity."""
+    return sql(
+        "cohorts AS (SELECT unnest(list_filter(['base', CASE WHEN new_in_p2 OR new_in_p3 THEN 'new' END, "
+        f"CASE WHEN missing_after_p1 OR missing_after_p2 THEN 'removed' END], lambda x: x IS NOT NULL)) AS cohort, {value} AS {key} FROM panel LEFT JOIN races ON race = code), "
+        f"shares AS (SELECT cohort, {key}, count(*) AS n, 100.0 * count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY cohort) AS pct FROM cohorts GROUP BY cohort, {key}) "
+        f"SELECT c.cohort, c.{key}, c.n, c.pct AS pct_of_cohort, b.n AS base_n, b.pct AS pct_of_base, c.pct - b.pct AS diff_pp FROM shares c "
+        f"JOIN shares b ON b.cohort = 'base' AND b.{key} = c.{key} WHERE c.cohort <> 'base'",
+        "panel",
+        "races",
+    ).replace(") cohorts AS", "), cohorts AS")
+
+
+@register("d10c_cohort_vs_base_by_age", _cohort_sql("age_band", "age_band"))
+def d10c(spark, d, P=C):
+    """New and removed cohorts by age band against all entities."""
+    return _d10(spark, d, False, P, "age_band", F.col("age_band"))
+
+
+@register("d10d_cohort_vs_base_by_race", _cohort_sql("ifnull(race_label, '9 Unknown')", "race_label"))
+def d10d(spark, d, P=C):
+    """New and removed cohorts by race against all entities."""
+    return _d10(spark, d, False, P, "race_label", decode("race", EV.RACE_LABELS, "9 Unknown"))
 
 
 @register("d10_cohort_vs_base", _d10_sql(False))
@@ -473,7 +568,8 @@ def d16(spark, d, P=C):
 )
 def d17(spark, d, P=C):
     p = P.panel(spark, d).select(decode("race", EV.RACE_LABELS, "9 Unknown").alias("race_label"), "age_band", F.col("party_last_known").alias("party"))
-    out = p.cube("race_label", "age_band", "party").agg(F.count(F.lit(1)).alias("voters"), F.grouping_id().cast("bigint").alias("grouping_id"))
+    cells = p.groupBy("race_label", "age_band", "party").agg(F.count(F.lit(1)).alias("n"))  # the cube expands cells, not entities
+    out = cells.cube("race_label", "age_band", "party").agg(F.sum("n").cast("bigint").alias("voters"), F.grouping_id().cast("bigint").alias("grouping_id"))
     return M.suppress(out, P.MIN_CELL)
 
 
@@ -565,6 +661,7 @@ def d21(spark, d, P=C):
         [F.count_if(F.col("history_code").isin("A", "B", "L")).alias("_mail"), F.count_if(F.col("history_code").isin("B", "L")).alias("_rej")],
         entity=P.SPEC.entity,
     )
+    per = per.groupBy("age_band").agg(F.sum("_mail").alias("_mail"), F.sum("_rej").alias("_rej"))
     out = per.rollup("age_band").agg(
         F.grouping("age_band").alias("_g"), F.sum("_mail").cast("bigint").alias("mail_total"), F.sum("_rej").cast("bigint").alias("rejected")
     )
@@ -609,6 +706,28 @@ def d23(spark, d, P=C):
     return ordered(out, "party", "election_year")
 
 
+@register(
+    "d23b_two_party_gap",
+    sql(
+        "SELECT election_year, max(n) FILTER (party = '1-URGENT') AS first_party, max(n) FILTER (party = '2-HIGH') AS second_party, "
+        "ifnull(max(n) FILTER (party = '1-URGENT'), 0) - ifnull(max(n) FILTER (party = '2-HIGH'), 0) AS gap FROM "
+        "(SELECT election_year, party, count(*) AS n FROM (SELECT DISTINCT election_year, entity_id, party_last_known AS party FROM vhe "
+        "WHERE election_type = 'GEN' AND counted_vote = 1 AND election_year BETWEEN 1996 AND 2000 AND party_last_known IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) GROUP BY ALL) "
+        "GROUP BY election_year",
+        "vhe",
+    ),
+)
+def d23b(spark, d, P=C):
+    """General-election voters of the two leading parties of the preset per cycle, and the gap between them."""
+    one, two = P.MAIN_PARTIES[:2]
+    g = general_voters(spark, d, P)
+    out = g.groupBy("election_year").agg(
+        F.max(F.when(F.col("party") == one, F.col("voters"))).alias("first_party"), F.max(F.when(F.col("party") == two, F.col("voters"))).alias("second_party")
+    )
+    gap = F.coalesce("first_party", F.lit(0)) - F.coalesce("second_party", F.lit(0))
+    return ordered(out.withColumn("gap", gap.cast("bigint")), "election_year")
+
+
 @register(
     "d24_race_by_method_share",
     sql(
@@ -640,17 +759,30 @@ def d24(spark, d, P=C):
     ),
 )
 def d25(spark, d, P=C):
-    s = P.snapshot(spark, d)
-    areas = P.zip_income(spark, d).filter(F.col("tax_year") == P.INCOME_YEAR).select(F.col("zip_code").alias("_a"))
-    j = s.join(F.broadcast(areas), s.zip == areas._a, "left")
     from wavepanel.functions.scalar import try_date
 
-    out = j.groupBy("extract_month").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.countDistinct(P.SPEC.entity).alias("entities"),
-        F.count_if(F.col("county").isNull()).alias("null_county_rows"),
-        F.count_if(try_date("birth_date").isNull()).alias("masked_birth_rows"),
-        F.count_if(F.col("zip").isNotNull() & F.col("_a").isNull()).alias("unmatched_area_rows"),
+    e = P.SPEC.entity
+    areas = P.zip_income(spark, d).filter(F.col("tax_year") == P.INCOME_YEAR).select(F.col("zip_code").alias("_a")).distinct()
+    # a row per (period, entity, area, county there or not): a hot entity's rows are few before any join
+    birth = [] if hasattr(P, "attach_static") else ["birth_date"]
+    s = P.snapshot(spark, d, with_static=bool(birth)).withColumn("_no_county", F.col("county").isNull())
+    cells = s.groupBy("extract_month", e, "zip", "_no_county", *birth).agg(F.count(F.lit(1)).alias("_n"))
+    j = cells.join(areas, cells.zip == areas._a, "left")
+    masked = [F.sum(F.when(try_date("birth_date").isNull(), F.col("_n")).otherwise(0)).alias("_masked")] if birth else []
+    per = j.groupBy("extract_month", e).agg(
+        F.sum("_n").alias("_n"),
+        F.sum(F.when(F.col("_no_county"), F.col("_n")).otherwise(0)).alias("_no_county"),
+        F.sum(F.when(F.col("zip").isNotNull() & F.col("_a").isNull(), F.col("_n")).otherwise(0)).alias("_no_area"),
+        *masked,
+    )
+    if not birth:  # one row per (period, entity) meets the entity's attributes
+        per = P.attach_static(per, spark, d).withColumn("_masked", F.when(try_date("birth_date").isNull(), F.col("_n")).otherwise(0))
+    out = per.groupBy("extract_month").agg(
+        F.sum("_n").cast("bigint").alias("rows"),
+        F.count(e).alias("entities"),
+        F.sum("_no_county").cast("bigint").alias("null_county_rows"),
+        F.sum("_masked").cast("bigint").alias("masked_birth_rows"),
+        F.sum("_no_area").cast("bigint").alias("unmatched_area_rows"),
     )
     out = out.withColumn("duplicate_rows", F.col("rows") - F.col("entities"))
     out = out.withColumn("pct_masked_birth", pct("masked_birth_rows", "rows")).withColumn("pct_unmatched_area", pct("unmatched_area_rows", "rows"))
@@ -716,9 +848,39 @@ _DOMAIN_COLS = ("party", "status", "gender", "race")
 )
 def d25b(spark, d, P=C):
     """Code-domain check: every value (NULL included) of each coded column, with row counts."""
-    s = P.snapshot(spark, d).select(*_DOMAIN_COLS)
-    long = s.unpivot([], list(_DOMAIN_COLS), "code_column", "code")
-    return ordered(long.groupBy("code_column", "code").agg(F.count(F.lit(1)).alias("rows")), "code_column", "code")
+    if hasattr(P, "attach_static"):  # counts per entity meet the entity's attributes
+        s = P.snapshot(spark, d, with_static=False).groupBy(P.SPEC.entity, "party", "status").agg(F.count(F.lit(1)).alias("_n"))
+        s = P.attach_static(s, spark, d)
+    else:
+        s = P.snapshot(spark, d).withColumn("_n", F.lit(1))
+    cells = s.groupBy(*_DOMAIN_COLS).agg(F.sum("_n").alias("_n"))
+    long = cells.unpivot(["_n"], list(_DOMAIN_COLS), "code_column", "code")
+    return ordered(long.groupBy("code_column", "code").agg(F.sum("_n").cast("bigint").alias("rows")), "code_column", "code")
+
+
+@register(
+    "d15c_race_party_share_table",
+    sql(
+        "SELECT *, CASE WHEN n_urgent >= greatest(n_high, n_medium) THEN 'urgent' WHEN n_high >= n_medium THEN 'high' ELSE 'medium' END AS winner, "
+        "100.0 * n_urgent::DOUBLE / total AS share_urgent, 100.0 * n_high::DOUBLE / total AS share_high, 100.0 * n_medium::DOUBLE / total AS share_medium, "
+        "100.0 * n_other::DOUBLE / total AS share_other FROM (SELECT ifnull(race_label, '9 Unknown') AS race_label, count(*) FILTER (party_last_known = '1-URGENT') AS n_urgent, "
+        "count(*) FILTER (party_last_known = '2-HIGH') AS n_high, count(*) FILTER (party_last_known = '3-MEDIUM') AS n_medium, "
+        "count(*) FILTER (party_last_known NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS n_other, count(*) AS total "
+        "FROM panel LEFT JOIN races ON race = code WHERE party_last_known IS NOT NULL GROUP BY ALL)",
+        "panel",
+        "races",
+    ),
+)
+def d15c(spark, d, P=C):
+    """Share table by race, with the main party that has most entities (ties: the first of the preset's)."""
+    labs = [*P.MAIN_KPIS, ("other", "other")]
+    p = P.panel(spark, d).filter(F.col("party_last_known").isNotNull()).withColumn("race_label", decode("race", EV.RACE_LABELS, "9 Unknown"))
+    pg = F.when(F.col("party_last_known").isin(*[v for v, _ in labs[:-1]]), F.col("party_last_known")).otherwise(F.lit("other"))
+    out = M.pivot_counts(p, ["race_label"], pg, [v for v, _ in labs], [lab for _, lab in labs])
+    most = F.greatest(*[F.col(f"n_{lab}") for _, lab in P.MAIN_KPIS])
+    winner = F.coalesce(*[F.when(F.col(f"n_{lab}") == most, F.lit(lab)) for _, lab in P.MAIN_KPIS])
+    out = out.withColumns({f"share_{lab}": pct(f"n_{lab}", "total") for _, lab in labs}).withColumn("winner", winner)
+    return ordered(out, "race_label")
 
 
 _PARTY_LABS = [*C.MAIN_KPIS, ("other", "other")]

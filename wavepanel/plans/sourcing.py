@@ -122,17 +122,15 @@ def s06(spark, d):
     return X.cpi_from_documents(_cpi_docs(spark, d))
 
 
-BRACKET_LINE_DDL = "STATE STRING, zipcode BIGINT, N1 BIGINT, A00100 BIGINT, tax_year BIGINT"
-
-
 @register(
     "s07_income_bracket_csv",
-    sql("SELECT STATE, CAST(zipcode AS BIGINT) AS zipcode, N1, A00100, CAST(tax_year AS BIGINT) AS tax_year FROM brackets", "brackets"),
+    sql("SELECT STATE, CAST(zipcode AS BIGINT) AS zipcode, CAST(N1 AS DOUBLE) AS N1, CAST(A00100 AS DOUBLE) AS A00100, CAST(tax_year AS BIGINT) AS tax_year FROM brackets", "brackets"),
 )
 def s07(spark, d):
-    b = C.income_brackets(spark, d)
-    lines = b.select(F.concat_ws(",", "STATE", F.col("zipcode").cast("string"), F.col("N1").cast("string"), F.col("A00100").cast("string"), F.col("tax_year").cast("string")).alias("value"))
-    return X.brackets_from_lines(lines, BRACKET_LINE_DDL)
+    """Bracket rows as CSV lines with more columns than are used -> the reader's typed rows."""
+    header = ("STATE", "zipcode", "agi_stub", "N1", "A00100", "tax_year")
+    lines = C.income_brackets(spark, d).select(F.concat_ws(",", *[F.col(c).cast("string") for c in header]).alias("value"))
+    return X.typed_brackets(X.brackets_from_lines(lines, header), F.col("tax_year").cast("bigint").alias("tax_year"))
 
 
 @register(

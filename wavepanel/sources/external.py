@@ -75,31 +75,24 @@ def read_cpi(spark: SparkSession, path: str) -> DataFrame:
     return _cpi_rows(doc.select(F.explode(F.col("Results.series")[0]["data"]).alias("r")))
 
 
-BRACKET_COLUMNS = ("STATE", "zipcode", "N1", "A00100")
-BRACKET_DDL = "STATE STRING, zipcode BIGINT, N1 BIGINT, A00100 BIGINT"
+BRACKET_TYPES = {"STATE": "STRING", "zipcode": "BIGINT", "N1": "DOUBLE", "A00100": "DOUBLE"}
 
 
-def brackets_from_lines(lines: DataFrame, ddl: str, value: str = "value", header_prefix: str = "STATE") -> DataFrame:
-    """S7 on CSV lines: header lines dropped, fields parsed with a declared schema."""
-    body = lines.filter(~F.col(value).startswith(header_prefix))
+def typed_brackets(raw: DataFrame, *more: str) -> DataFrame:
+    """The used columns of headered rows, by name, typed tolerantly (what doesn't parse is NULL)."""
+    return raw.select(*[F.expr(f"try_cast(`{c}` AS {t})").alias(c) for c, t in BRACKET_TYPES.items()], *more)
+
+
+def brackets_from_lines(lines: DataFrame, header: Sequence[str], value: str = "value") -> DataFrame:
+    """S7 on CSV lines already in a frame: header lines dropped, fields named by ``header``."""
+    ddl = ", ".join(f"`{c}` STRING" for c in header)
+    body = lines.filter(~F.col(value).startswith(header[0]))
     return body.select(F.from_csv(F.col(value), ddl).alias("_r")).select("_r.*")
 
 
 def read_income_brackets(spark: SparkSession, year_paths: Mapping[int, str]) -> DataFrame:
-    """Headered CSV per tax year; only the four used columns, picked by name
-    (a declared schema would map columns by position) and typed tolerantly."""
-    frames = []
-    for y, p in year_paths.items():
-        raw = spark.read.option("header", True).csv(p)
-        frames.append(
-            raw.select(
-                F.col("STATE"),
-                F.expr("try_cast(zipcode AS BIGINT)").alias("zipcode"),
-                F.expr("try_cast(N1 AS DOUBLE)").alias("N1"),
-                F.expr("try_cast(A00100 AS DOUBLE)").alias("A00100"),
-                F.lit(int(y)).alias("tax_year"),
-            )
-        )
+    """Headered CSV per tax year (a declared schema would map columns by position)."""
+    frames = [typed_brackets(spark.read.option("header", True).csv(p)).withColumn("tax_year", F.lit(int(y))) for y, p in year_paths.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -55,6 +55,14 @@ def materialize_bucketed(spark: SparkSession, df: DataFrame, name: str, key: str
     return spark.table(table)
 
 
+def drop_run(spark: SparkSession, run: str, bucketed: Sequence[str] = ()) -> None:
+    """Drop the copies that ``materialize`` and ``materialize_bucketed`` wrote under ``run``."""
+    for name in bucketed:
+        spark.sql("DROP TABLE IF EXISTS wp_" + "".join(ch if ch.isalnum() else "_" for ch in f"{run}/{name}"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, run))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def publish_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> int:
     """S11 + S12: ordered CSV with header; returns the row count from the same
     execution (an observation), not by running the query twice.
@@ -71,6 +79,6 @@ def publish_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> int:
 
 
 def data_dictionary(spark: SparkSession, frames: Mapping[str, DataFrame], descriptions: Mapping[str, str]) -> DataFrame:
-    """One row per published file: file, columns, description."""
-    rows = [(f"{name}.csv", ", ".join(df.columns), descriptions.get(name, "")) for name, df in frames.items()]
+    """One row per published folder: its name, columns, description."""
+    rows = [(name, ", ".join(df.columns), descriptions.get(name, "")) for name, df in frames.items()]
     return spark.createDataFrame(rows, "file STRING, columns STRING, description STRING")
