@@ -30,7 +30,7 @@ SAMPLES = 512  # MinHash samples of a document, all folded into its sketch
 SKETCH_BITS = 512
 BANDS, ROWS = 24, 5  # of the first samples; a pair of similarity 0.85 is missed with a chance of 8e-7
 PARITY_BITS = 2048  # of the full set's own bitmap
-ROUNDS = 3  # with another leader in each bucket that is not connected
+ROUNDS = 2  # with another leader in each bucket that is not connected
 SLACK = 5.0  # standard deviations of the sketch's estimate that a pair may lie under the threshold
 
 _rng = np.random.default_rng(20_177)
@@ -185,16 +185,15 @@ def components(edges: DataFrame) -> DataFrame:
         least = near.groupBy("u").agg(F.min("v").alias("m"))
         if both_ways:  # larger neighbours of u go to its smallest neighbour, or to u itself
             least = least.select("u", F.least("u", "m").alias("m"))
-            return near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+            return near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         linked = e.join(least, "u")
         return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     was = now.agg(F.count("*"), mark).first()
     while was[0]:
-        step = materialise(star(now, True), "near-large-star")
-        then = materialise(star(step, False), "near-small-star")
-        forget(now, step)
+        then = materialise(star(star(now, True), False), "near-stars")
+        forget(now)
         now, seen = then, then.agg(F.count("*"), mark).first()
         if seen == was:
             break
@@ -226,20 +225,19 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     met = materialise(rows.join(shared, "band"), "near-met")  # (band, cid) in buckets of several classes
     of = classes.select("cid", "of")
 
+    # the full sets of those classes, from one more pass over the texts
+    ids = checked_broadcast(classes.join(met.select("cid").distinct(), "cid", "left_semi").select(F.col("doc_id").alias("_doc")).distinct())
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    sets = materialise(full_sets(texts, size).groupBy("cid").agg(F.first("members").alias("members")), "near-sets")
+
     def checked(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b), each judged on the full sets."""
         pairs = materialise(pairs.distinct(), "near-pairs")
-        named = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        wanted = materialise(classes.join(named, "cid", "left_semi").select("cid", F.col("doc_id").alias("_doc")), "near-wanted")
-        ids = checked_broadcast(wanted.select("_doc").distinct())
-        texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-        sets = full_sets(texts, size).join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("members").alias("members"))
-        sets = materialise(sets, "near-sets")
-        links = materialise(confirm(pairs, sets, percent), "near-links")
-        forget(pairs, wanted, sets)
+        named = checked_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        links = materialise(confirm(pairs, sets.join(named, "cid", "left_semi"), percent), "near-links")
+        forget(pairs)
         return links
 
-    links = None
     roots = materialise(classes.select("cid", F.col("cid").alias("root")).limit(0), "near-roots")
     for turn in range(ROUNDS + 1):
         # buckets whose classes are not all connected: their members, each with its component
@@ -260,14 +258,18 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
         found = checked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if found.isEmpty():
             continue
-        links = found if links is None else materialise(links.unionByName(found), "near-all-links")
-        roots = materialise(components(links), "near-roots")
+        # links between components, and what they make of the classes met so far
+        ends = found.join(roots.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a", "left")
+        ends = ends.join(roots.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b", "left")
+        joined = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        renamed = roots.join(joined.select(F.col("cid").alias("root"), F.col("root").alias("r")), "root", "left").select("cid", F.coalesce("r", "root").alias("root"))
+        roots = materialise(renamed.unionByName(joined.join(roots, "cid", "left_anti")), "near-roots")
         forget(rest)
     linked = classes.select("cid", "doc_id").join(roots, "cid", "left")
     best = linked.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = linked.join(best, "root", "left").select("cid", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     named = materialise(named, "near-named")
-    forget(shared, met, classes)
+    forget(shared, met, classes, sets)
     # read from files on both sides, so that AQE can split the partition of a large class
     out = sig.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
