@@ -241,9 +241,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     roots = materialise(classes.select("cid", F.col("cid").alias("root")).limit(0), "near-roots")
     for turn in range(ROUNDS + 1):
         # buckets whose classes are not all connected: their members, each with its component
-        labelled = met.join(roots, "cid", "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
-        open_ = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-        rest = materialise(labelled.join(open_, "band", "left_semi").join(of, "cid").select("band", "cid", "root", "of"), "near-rest")
+        labelled = met.withColumn("root", F.col("cid"))
+        if turn:  # before the first round no class is connected
+            labelled = met.join(roots, "cid", "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
+            open_ = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+            labelled = labelled.join(open_, "band", "left_semi")
+        rest = materialise(labelled.join(of, "cid").select("band", "cid", "root", "of"), "near-rest")
         if rest.isEmpty():
             break
         a = rest.select("band", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("of").alias("x"))
