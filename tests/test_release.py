@@ -15,10 +15,11 @@ def test_publish_exports(spark, tmp_path):
     counts = publish_exports(spark, SF, str(tmp_path / "out"), names)
     for n in names:
         assert counts[n] == len(expected[n])
-        back = spark.read.option("header", True).csv(str(tmp_path / "out" / n))
+        back = spark.read.option("header", True).csv(str(tmp_path / "out" / n.split("_", 1)[1]))
         assert back.count() == len(expected[n])
     d = spark.read.option("header", True).csv(str(tmp_path / "out" / "data_dictionary"))
-    assert d.count() == len(names)
+    rows = {r["file"]: r["description"] for r in d.collect()}
+    assert set(rows) == {n.split("_", 1)[1] for n in names} and all(rows.values())
 
 
 def test_bucketed_panel_is_not_shuffled(spark):

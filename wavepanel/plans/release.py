@@ -86,6 +86,11 @@ def materialize_core(spark: SparkSession, sf_dir, run_id: str | None = None, buc
     return run
 
 
+def published(name: str) -> str:
+    """Folder of an export: its query's name without the number."""
+    return name.split("_", 1)[1]
+
+
 def publish_exports(spark: SparkSession, sf_dir, out_dir: str, names: Sequence[str] | None = None, restore: bool = True, P=C) -> dict[str, int]:
     """Materialize the core, publish every export (E-queries by default) and the dictionary.
 
@@ -98,9 +103,10 @@ def publish_exports(spark: SparkSession, sf_dir, out_dir: str, names: Sequence[s
         frames, counts = {}, {}
         for name in names:
             df = reg[name][0](spark, sf_dir, P)
-            frames[name] = df
-            counts[name] = publish_csv(df, f"{out_dir.rstrip('/')}/{name}")
-        publish_csv(data_dictionary(spark, frames, DESCRIPTIONS), f"{out_dir.rstrip('/')}/data_dictionary", ["file"])
+            frames[published(name)] = df
+            counts[name] = publish_csv(df, f"{out_dir.rstrip('/')}/{published(name)}")
+        described = {published(n): text for n, text in DESCRIPTIONS.items()}
+        publish_csv(data_dictionary(spark, frames, described), f"{out_dir.rstrip('/')}/data_dictionary", ["file"])
         if hasattr(P, "quarantine"):
             bad = P.quarantine(spark, sf_dir)
             save_table(bad, f"{out_dir.rstrip('/')}/rejected_lines")
