@@ -44,13 +44,29 @@ def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates; of repeated rows one stays."""
-    judged = materialise(near_dedup.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "kept"), "pipeline-near")
-    gone = checked_broadcast(judged.where("not kept").select("_id").distinct())
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    twice = checked_broadcast(judged.where("kept").groupBy("_id").count().where("count > 1").select("_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates())
+    """One row of each group of near-duplicates: of the smallest doc_id (null after all others), then of the smallest MD5 of its text.
+
+    Texts without shingles belong to no group; of such rows only repeats of the whole row go.
+    """
+    columns = ["doc_id", "text_key", "root", "kept"]
+    judged = materialise(near_dedup.judged(docs).select(*columns), "pipeline-near")
+    kept = judged.where("kept")
+    # texts of one group that share the doc_id kept, or all lack one
+    tied = kept.where("root is not null").groupBy("root").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).where("least != most")
+    tied = checked_broadcast(materialise(tied.select("root", "least"), "pipeline-tied"))
+    gone = judged.where("not kept").unionByName(kept.join(tied, "root").where("text_key != least").select(*columns))
+    gone = checked_broadcast(materialise(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "pipeline-gone"))
+    twice = kept.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("n"), F.max("root").alias("root")).where("n > 1")
+    twice = materialise(twice.select("_id", "_key", F.col("root").isNotNull().alias("_group")), "pipeline-twice")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    keyed = docs.select("doc_id", near_dedup.text_key(F.col("text")).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = keyed.join(gone, same, "left_anti")
+    once = rows.join(checked_broadcast(twice.select("_id", "_key")), same, "left_anti").select("_row.*")
+    grouped = rows.join(checked_broadcast(twice.where("_group").select("_id", "_key")), same, "left_semi")
+    # rows of one doc_id and text: the least of their other columns, whatever order they come in
+    grouped = grouped.groupBy("doc_id", "_text").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
+    bare = rows.join(checked_broadcast(twice.where("not _group").select("_id", "_key")), same, "left_semi").select("_row.*").dropDuplicates()
+    return once.unionByName(grouped).unionByName(bare)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,21 @@ def test_stages_keep_the_columns_and_bear_odd_rows(spark, tmp_path):
         assert docs.count() <= 4 * len(rows) * (source is table)
     kept = corpus_pipeline.near_duplicates(spark, table, str(tmp_path))
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3]
+
+
+def test_near_duplicates_drops_the_rows_judged(docs, spark):
+    words = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(3, words("a")), (None, words("a") + " end"), (None, words("b")), (None, words("c"))]  # null ids: a near copy, two unique texts
+    rows += [(4, words("d")), (9, words("d") + " end"), (9, words("e"))]  # a near copy's doc_id, with a unique text
+    rows += [(5, words("f")), (5, words("f") + " end"), (6, words("f") + " of it")]  # near copies under one doc_id
+    rows += [(None, words("g")), (None, words("g") + " end")]  # near copies without a doc_id
+    rows += [(7, words("h")), (7, words("h")), (None, ""), (None, ""), (None, None)]
+    got = collections.Counter((r["doc_id"], (r["text"] or "-").split(" ")[0]) for r in corpus_pipeline.near_duplicates(spark, docs(rows), "").collect())
+    want = [(3, "a0"), (None, "b0"), (None, "c0"), (4, "d0"), (9, "e0"), (5, "f0"), (None, "g0"), (7, "h0"), (None, "-"), (None, "-")]
+    assert got == collections.Counter((i, w or "-") for i, w in want)
+
+
+def test_near_duplicates_of_one_id_and_text_differ_elsewhere(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    t = spark.createDataFrame([(1, text, "en", "y", 1), (1, text, "en", "x", 1), (None, text, "de", "x", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [(r["doc_id"], r["source"]) for r in corpus_pipeline.near_duplicates(spark, t, "").collect()] == [(1, "x")]

@@ -98,8 +98,13 @@ def most_differing_bits(percent: int) -> int:
     return math.ceil(mean + SLACK * math.hypot(of_samples, of_sketch))
 
 
+def text_key(text: Column) -> Column:
+    """MD5 of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cid (digest of the set; null if empty), bands, sketch, parity."""
+    """doc_id, text_key, n_shingles, cid (digest of the set; null if empty), bands, sketch, parity."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -119,12 +124,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         cid.append(None), band.append(None), sketch.append(None), own.append(None)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), *(pa.array(x, longs) for x in (band, sketch, own))],
-                    names=["doc_id", "n_shingles", "cid", "bands", "sketch", "parity"],
+                    [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), *(pa.array(x, longs) for x in (band, sketch, own))],
+                    names=["doc_id", "text_key", "n_shingles", "cid", "bands", "sketch", "parity"],
                 )
 
-    schema = f"doc_id {id_type}, n_shingles long, cid binary, bands array<long>, sketch array<long>, parity array<long>"
-    return map_arrow(docs.select("doc_id", "text"), run, schema)
+    schema = f"doc_id {id_type}, text_key binary, n_shingles long, cid binary, bands array<long>, sketch array<long>, parity array<long>"
+    return map_arrow(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")), run, schema)
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -215,6 +220,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     has no doc_id at all has a null component_id, and is kept.  An empty table
     gives an empty table.
     """
+    return judged(docs, size=size, percent=percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """``near_duplicates`` with text_key, which with doc_id tells the judged rows apart, and root.
+
+    root is the same for all rows of one component, those without a doc_id
+    too, and null where a text has no shingles.
+    """
     sig = materialise(signatures(docs, size), "near-signatures")
     known = sig.where("cid is not null")
     one = F.min_by(F.struct("doc_id", "bands", F.struct(F.col("n_shingles").alias("n"), "sketch", "parity").alias("of")), F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
@@ -270,10 +284,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
         forget(rest)
     linked = classes.select("cid", "doc_id").join(roots, "cid", "left")
     best = linked.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = linked.join(best, "root", "left").select("cid", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component_id = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    named = linked.join(best, "root", "left").select("cid", F.coalesce("root", "cid").alias("root"), component_id)
     named = materialise(named, "near-named")
     forget(shared, met, classes, sets)
     # read from files on both sides, so that AQE can split the partition of a large class
-    out = sig.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = sig.select("doc_id", "text_key", "n_shingles", "cid").join(named, "cid", "left")
+    component_id = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    out = out.select("doc_id", "text_key", "n_shingles", component_id, "root")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
