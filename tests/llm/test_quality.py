@@ -23,12 +23,14 @@ def grams(text, buckets):
 
 
 def plain(rows, trusted, buckets, least):
-    t, n = [1] * buckets, [1] * buckets
+    t, n = [0] * buckets, [0] * buckets
     for i, text in rows:
         for g in grams(text, buckets):
             n[g] += 1
             t[g] += i in trusted
-    ratio = [math.log(a / sum(t)) - math.log(b / sum(n)) for a, b in zip(t, n)] if sum(t) > buckets else [0.0] * buckets
+    # the trusted share, smoothed with as many n-grams again that are spread as the corpus is, over the corpus share
+    share = [b / sum(n) for b in n] if sum(n) else n
+    ratio = [math.log((a + sum(t) * p) / (2 * sum(t)) / p) if p and sum(t) else 0.0 for a, p in zip(t, share)]
     out = []
     for i, text in rows:
         text = text or ""
@@ -82,3 +84,27 @@ def test_no_trusted_rows_and_clashing_columns(spark, docs):
 def test_no_python_in_the_plan(spark, docs):
     plan = quality.quality_rules(docs([(1, "a b")]), spark.createDataFrame([(1,)], "doc_id long"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_verdicts_do_not_follow_the_size_of_the_table(spark, docs, sample):
+    ids = spark.createDataFrame([(i,) for i, _ in sample if i % 3], "doc_id long")
+    verdicts = lambda rows: {(r["doc_id"], r["kept"], round(r["lm_score"], 9)) for r in quality.quality_rules(docs(rows), ids).collect()}
+    assert verdicts(sample) == verdicts(sample * 4)
+    # one trusted document, alone or beside one other
+    line = "a clean line of words that says something about nothing at all"
+    one = spark.createDataFrame([(1,)], "doc_id long")
+    for rows in ([(1, line)], [(1, line), (2, line + " and more of it here")], [(1, line)] * 3 + [(2, "quite other words " * 3)]):
+        assert all(r["kept"] for r in quality.quality_rules(docs(rows), one).where("doc_id = 1").collect())
+
+
+def test_held_out_labels(spark):
+    """Trusted rows are those of four folds; the labels of the fifth tell how the fixed threshold does."""
+    from pyspark.sql import functions as F
+
+    at = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    judged = quality.quality_rules(spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text"), labels.where("quality = 1 and toxic = 0").where(~out).select("doc_id"))
+    rows = judged.where("not base_failed").join(labels.where(out), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    rate = {r["quality"]: r["kept"] / r["n"] for r in rows}
+    assert rate[1] >= 0.95 and rate[0] <= 0.5, rate

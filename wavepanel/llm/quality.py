@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from wavepanel.llm.common import checked_broadcast, let, packed, unpacked, words_of
 
 BUCKETS = 10_000  # of hashed words and word pairs
-MIN_SCORE = -0.07  # nats for each n-gram: documents below are likelier as raw text than as trusted text by 7 % at each n-gram
+MIN_SCORE = -0.04  # nats for each n-gram: documents below are likelier as raw text than as trusted text by 4 % at each n-gram
+PRIOR = 1.0  # weight of the corpus shares in the trusted shares, in trusted n-grams for each trusted n-gram
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5  # words
@@ -81,8 +82,13 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     return let(hashes, of)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """log(trusted share / corpus share) of every bucket, each count raised by one.
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
+    """log(trusted share / corpus share) of every bucket.
+
+    The trusted share is smoothed towards the corpus share: to ``nt`` trusted
+    n-grams come ``prior * nt`` spread as the corpus is.  An n-gram that no
+    trusted text has thus weighs log(prior / (1 + prior)) at any size, and a
+    table written several times over gives the same ratios.
 
     ``trusted`` has a ``doc_id`` for each trusted document.  Counted over every
     document in one pass; each task sums its own buckets before the shuffle.
@@ -96,14 +102,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
         .agg(F.sum("t").alias("t"), F.count("*").alias("n"))
         .collect()  # one row for each bucket at most
     )
-    target, raw = [1] * buckets, [1] * buckets
+    target, raw = [0] * buckets, [0] * buckets
     for r in counts:
         target[r["b"]] += r["t"]
         raw[r["b"]] += r["n"]
     nt, nr = sum(target), sum(raw)
-    if nt == buckets:  # nothing trusted, nothing to compare with
+    if not nt:  # nothing trusted, nothing to compare with
         return [0.0] * buckets
-    return [math.log(t / nt) - math.log(r / nr) for t, r in zip(target, raw)]
+    return [math.log((t / nt * (nr / r) + prior) / (1 + prior)) if r else 0.0 for t, r in zip(target, raw)]
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, min_score: float = MIN_SCORE) -> DataFrame:
