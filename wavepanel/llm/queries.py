@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity, url_filter
+from wavepanel.llm import bpe, byte_bpe, exact_dedup, fill_middle, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -229,6 +229,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, trusted(spark, sf_dir)).drop("text")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text transformed, and rebuilt from what came out, as digests."""
+    made = fill_middle.fill_middle(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return fill_middle.restore(made).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256")
+    )
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+h AS (
+  SELECT doc_id, x, n, ('0x' || k[1:8])::BIGINT % (n + 1) AS c1, ('0x' || k[9:16])::BIGINT % (n + 1) AS c2,
+         x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR ('0x' || k[17:24])::BIGINT % 100 >= 90 AS plain,
+         ('0x' || k[25:32])::BIGINT % 100 < 20 AS spm
+  FROM t),
+c AS (
+  SELECT doc_id, x, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, least(c1, c2) AS a, greatest(c1, c2) - least(c1, c2) AS b,
+         substring(x, 1, least(c1, c2)) AS p, substring(x, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS m, substring(x, greatest(c1, c2) + 1) AS s
+  FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM c
+"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the bytes that they decode to, as digests."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks, public_tokenizers.PATTERN)
+    return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
 
@@ -244,4 +279,6 @@ QUERIES = {
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op11_fill_middle": (op11_fill_middle, OP11_SQL),
+    "op13_byte_bpe": (op13_byte_bpe, None),
 }
