@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm import bpe, byte_bpe, exact_dedup, fill_middle, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity, url_filter
+from wavepanel.llm import bpe, byte_bpe, exact_dedup, fill_middle, line_dedup, mixing, near_dedup, phrases, quality, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -256,6 +256,37 @@ FROM c
 """
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-scored phrases of each language of the whole corpus."""
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 100),
+cut AS (SELECT lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:k], ' ') AS tail FROM c CROSS JOIN (VALUES (1), (2), (3), (4)) AS t(j) WHERE j < k),
+s AS (
+  SELECT cut.lang, cut.k, cut.phrase, a, j, x.n AS l, y.n AS r, total.n AS n, ((1000::HUGEINT * a * total.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail JOIN total ON total.lang = cut.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+alone AS (
+  SELECT * FROM best WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = best.lang AND c.k > best.k AND c.a >= best.a AND contains(' ' || c.phrase || ' ', ' ' || best.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM alone QUALIFY rank <= 2000
+"""
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the bytes that they decode to, as digests."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -280,5 +311,6 @@ QUERIES = {
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_quality_rules": (op10_quality_rules, None),
     "op11_fill_middle": (op11_fill_middle, OP11_SQL),
+    "op12_phrases": (op12_phrases, OP12_SQL),
     "op13_byte_bpe": (op13_byte_bpe, None),
 }
