@@ -1,9 +1,10 @@
 """Phrase mining by relations of occurrences (SETM), and collocation scores of the phrases.
 
 Words are counted first.  Occurrences of frequent words are written as a relation
-(block, at, id), bucketed by block and sorted by place.  ``at`` numbers the words
-of all texts and leaves a gap between pieces, so two words are neighbours in one
-piece if their places differ by one.  A merge join of the relation with itself on
+(block, at, id), bucketed by block and sorted by place.  Places number the words
+of all texts and leave a gap between pieces, so two words are neighbours in one
+piece if their places differ by one; ``at`` is a place within its block of 4,096,
+and a block has the first places of the next one, too.  A merge join of the relation with itself on
 adjacent places gives the occurrences of longer phrases; they are counted by
 group, and only those of frequent groups (a semi-join) make the next relation.
 
@@ -14,6 +15,7 @@ frequent phrases, of this corpus; another seed is taken where two are equal.
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -31,7 +33,7 @@ from wavepanel.llm.common import checked_broadcast, forget, map_arrow, materiali
 LEAST = 100  # occurrences of a phrase
 LONGEST = 5  # words
 TOP = 2000  # phrases of a language
-PART = 8 << 20  # bytes of text that are worked on together
+PART = 2 << 20  # bytes of text that are worked on together
 BLOCK = 12  # bits: places of a block
 FILTER = 26  # bits: 8 MiB, which words are frequent
 ROWS_A_BUCKET = 2_000_000
@@ -148,8 +150,9 @@ def _occurrences(seed: int, sent):
             near[[0, -1]] |= kept[[0, -1]]  # a text that goes on in the next run
             places, found = places[near], ids[w.which[near]].view(np.int64)
             block = places >> BLOCK
-            edge = (places & ((1 << BLOCK) - 1)) < LONGEST - 1
-            columns = [np.concatenate([block, block[edge] - 1]), np.concatenate([places, places[edge]]), np.concatenate([found, found[edge]])]
+            inside = (places & ((1 << BLOCK) - 1)).astype(np.int32)
+            edge = inside < LONGEST - 1
+            columns = [np.concatenate([block, block[edge] - 1]), np.concatenate([inside, inside[edge] + np.int32(1 << BLOCK)]), np.concatenate([found, found[edge]])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "at", "id"])
 
     return task
@@ -194,7 +197,13 @@ def _pairs(relation: Relation) -> DataFrame:
 
 def _own() -> Column:
     """Whether an occurrence is one of the block's own, not one that is repeated from the next."""
-    return F.shiftright("at", BLOCK) == F.col("block")
+    return F.col("at") < (1 << BLOCK)
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that have ended: it does so when the driver's JVM finds their plans unused."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _unique(table: DataFrame) -> bool:
@@ -236,8 +245,8 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
     rows = levels[0].agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_BUCKET))
     sent = spark.sparkContext.broadcast(_filter(levels[0]))  # 8 MiB
-    found = map_arrow(docs.select("lang", "text"), _occurrences(seed, sent), "block long, at long, id long")
-    relation = Relation(found.repartition(buckets, "block"), buckets)
+    relation = Relation(map_arrow(docs.select("lang", "text"), _occurrences(seed, sent), "block long, at int, id long").repartition(buckets, "block"), buckets)
+    _release(spark)
     with _joined_by_buckets(spark):
         for k in range(2, longest + 1):
             pairs = _pairs(relation)
@@ -263,6 +272,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
                 relation.drop()
                 relation = following
             forget(groups)
+            _release(spark)
     relation.drop()
     return levels, totals
 
