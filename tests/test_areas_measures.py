@@ -97,3 +97,33 @@ def test_pivot_counts_fills_missing(spark):
     df = spark.createDataFrame([("g1", "x"), ("g1", "y"), ("g2", "x")], "g string, v string")
     out = {r["g"]: r for r in M.pivot_counts(df, ["g"], "v", ["x", "y", "z"], ["x", "y", "z"]).collect()}
     assert (out["g2"]["n_x"], out["g2"]["n_y"], out["g2"]["n_z"], out["g2"]["total"]) == (1, 0, 0, 1)
+
+
+def test_calendar_lags_across_a_gap(spark):
+    months = [dt.date(2000 + m // 12, m % 12 + 1, 28) for m in range(75) if m != 20]
+    rows = [("00001", d, 100.0 + k) for k, d in enumerate(months)] + [("00002", dt.date(2001, 1, 31), 7.0), ("00002", dt.date(2002, 1, 31), 0.0), ("00002", dt.date(2003, 1, 31), None)]
+    long = spark.createDataFrame(rows, "zip_code string, month_date date, typical_home_value double")
+    value = {(z, d.year * 12 + d.month): v for z, d, v in rows if v is not None}
+    for r in A.area_series_calendar(long).collect():
+        z, m = r["zip_code"], r["month_date"].year * 12 + r["month_date"].month
+        for name, growth, k in (("hv_1y_ago", "home_value_yoy_change", 12), ("hv_5y_ago", "home_value_5yr_change", 60)):
+            ago = value.get((z, m - k))
+            assert r[name] == ago
+            assert r[growth] == (None if not ago else value[z, m] / ago - 1)
+    by_position = {(r["zip_code"], r["month_date"]): r["hv_1y_ago"] for r in A.area_series(long).collect()}
+    by_calendar = {(r["zip_code"], r["month_date"]): r["hv_1y_ago"] for r in A.area_series_calendar(long).collect()}
+    after = ("00001", dt.date(2002, 9, 28))  # a year after the month that is missing
+    assert by_calendar[after] is None and by_position[after] is not None
+    before = ("00001", dt.date(2001, 8, 28))
+    assert by_calendar[before] == by_position[before]
+
+
+def test_sample_is_the_same_for_any_order_and_mergeable(spark):
+    rows = [(f"g{i % 3}", i) for i in range(200)] + [(None, 900), (None, 901)]
+    t = spark.createDataFrame(rows, "g string, k long")
+    pick = lambda df: {tuple(r) for r in M.sample_rows(df, 5, ["k"], ["g"]).collect()}
+    want = pick(t)
+    assert len(want) == 17 and pick(t.orderBy(F.rand(3)).repartition(7)) == want
+    parts = [M.sample_rows(t.filter(F.col("k") % 2 == i), 5, ["k"], ["g"]) for i in (0, 1)]
+    assert pick(parts[0].unionByName(parts[1])) == want
+    assert M.sample_rows(t, 4, ["k"]).count() == 4

@@ -38,6 +38,9 @@ def parse(argv: list[str]) -> argparse.Namespace:
     r.add_argument("--home-values", required=True)
     r.add_argument("--state", default="FL")
     r.add_argument("--out", required=True)
+    a = sub.add_parser("append", help="load one period's extract into the stored snapshots; other periods stay as they are")
+    a.add_argument("--snapshot", required=True, help="PERIOD=GLOB")
+    a.add_argument("--out", required=True, help="folder of the stored snapshots")
     return p.parse_args(argv)
 
 
@@ -46,6 +49,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     from wavepanel.plans.release import publish_exports
 
     args = parse(sys.argv[1:] if argv is None else argv)
+    if args.command == "append":
+        from wavepanel.sources.text import append_period
+
+        spark = spark or SparkSession.builder.appName("wavepanel-append").getOrCreate()
+        ((period, glob),) = _pairs([args.snapshot])
+        counts = append_period(spark, args.out, period, glob)
+        print(json.dumps(counts, sort_keys=True))
+        return counts
     src = R.Sources(
         snapshots=_pairs(args.snapshot),
         events=args.events,

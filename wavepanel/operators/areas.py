@@ -126,6 +126,28 @@ def area_series(long: DataFrame, area: str = "zip_code", date: str = "month_date
     )
 
 
+def area_series_calendar(long: DataFrame, area: str = "zip_code", date: str = "month_date", value: str = "typical_home_value") -> DataFrame:
+    """``area_series`` with lags by the calendar: the value 12 and 60 months before, NULL where that month is missing.
+
+    A RANGE frame over the number of the month finds it without filling gaps.
+    Of several values in a month the latest date's is taken.
+    """
+    month = (F.year(date) * 12 + F.month(date)).cast("int")
+    base = long.filter(F.col(value).isNotNull()).withColumn("year_month", month_key(date)).withColumn("_m", month)
+
+    def before(months: int):
+        frame = Window.partitionBy(area).orderBy("_m").rangeBetween(-months, -months)
+        return F.max_by(value, date).over(frame)
+
+    return (
+        base.withColumn("hv_1y_ago", before(12))
+        .withColumn("hv_5y_ago", before(60))
+        .drop("_m")
+        .withColumn("home_value_yoy_change", ratio_minus_one(value, "hv_1y_ago"))
+        .withColumn("home_value_5yr_change", ratio_minus_one(value, "hv_5y_ago"))
+    )
+
+
 # --------------------------------------------------------------------------
 # C8 affordability
 # --------------------------------------------------------------------------

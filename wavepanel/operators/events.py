@@ -8,7 +8,7 @@ salts.  Cuts that count pre-aggregate per (entity, cell) instead and join after.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -136,16 +136,25 @@ def salted_attach(df: DataFrame, panel: DataFrame, entity: str, cols: Sequence[s
 
 
 def enrich_events(
-    events: DataFrame, panel: DataFrame, spec: EventSpec = EventSpec(), panel_cols: Sequence[str] | None = None
+    events: DataFrame,
+    panel: DataFrame,
+    spec: EventSpec = EventSpec(),
+    panel_cols: Sequence[str] | None = None,
+    once: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """C14: labelled events + current entity attributes (left join on entity).
 
     Rows with a NULL event date are dropped; events of entities missing from
     the panel keep NULL attributes.  The panel side is pruned to the columns
     the cuts use; the rows of hot entities are spread over salts.
+
+    The list of hot entities takes a pass over the entity column of the events,
+    and their number another.  ``once`` (``session.written``) is for events that
+    are costly to make: they are made once, and those passes read the copy.
     """
     cols = list(panel_cols or ["party_last_known", "age_band", "race", "county_last_known"])
-    return salted_attach(label_events(events, spec), panel, spec.entity, cols)
+    labelled = label_events(events, spec)
+    return salted_attach(once(labelled) if once else labelled, panel, spec.entity, cols)
 
 
 # Consistency buckets (counted general-election votes over the cycles).

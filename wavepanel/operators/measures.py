@@ -160,6 +160,15 @@ def period_profile(df: DataFrame, period: str, entity: str, distinct_cols: Seque
     )
 
 
-def sample_rows(df: DataFrame, n: int) -> DataFrame:
-    """Any ``n`` rows, as a quick look at a loaded table."""
-    return df.limit(n)
+def sample_rows(df: DataFrame, n: int, keys: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
+    """``n`` rows of each group, those with the smallest hash of their ``keys``.
+
+    The same rows on every run and cluster, whatever the order of the input;
+    samples of parts of a table, sampled again together, give that of the whole.
+    Each task keeps ``n`` rows of a group before the shuffle.
+    """
+    order = [F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), *[F.col(k) for k in keys]]
+    if not groups:
+        return df.orderBy(*order).limit(n)
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")

@@ -84,13 +84,52 @@ def build_panel_wide(snapshot: DataFrame, spec: PanelSpec) -> DataFrame:
         F.min_by(F.struct(*[F.col(a) for a in attrs]), F.when(F.col(spec.period) == F.lit(p.label), key)).alias(f"_s_{p.short}")
         for p in spec.periods
     ]
-    wide = snapshot.groupBy(spec.entity).agg(*aggs)
+    return wide_from_periods(snapshot.groupBy(spec.entity).agg(*aggs), spec)
+
+
+def period_rows(snapshot: DataFrame, spec: PanelSpec, period: Period) -> DataFrame:
+    """One row per entity of one period: the entity and its kept row as the struct ``_s_<short>``."""
+    attrs = list(spec.tracked) + list(spec.static)
+    row = F.min_by(F.struct(*[F.col(a) for a in attrs]), _order_key(spec.order_by)).alias(f"_s_{period.short}")
+    return snapshot.filter(F.col(spec.period) == F.lit(period.label)).groupBy(spec.entity).agg(row)
+
+
+def bring_forward(stored: DataFrame | None, rows: DataFrame, spec: PanelSpec, period: Period) -> DataFrame:
+    """Kept rows of the periods so far and of one more, one row per entity.
+
+    ``stored`` holds what earlier calls returned (None: nothing yet), ``rows``
+    the ``period_rows`` of the period.  A period that is stored already is
+    replaced, so that a repeated or corrected delivery counts once; entities
+    left without any period go.  Only ``rows`` is aggregated, and of a table
+    bucketed by entity only they are shuffled.
+    """
+    new = f"_s_{period.short}"
+    if stored is None:
+        return rows.select(spec.entity, new)
+    kept = [c for c in stored.columns if c not in (spec.entity, new)]
+    if not kept:
+        return rows.select(spec.entity, new)
+    # equality, so that the bucketing of the stored table serves the join; rows without an id are one entity, merged apart
+    left = stored.filter(F.col(spec.entity).isNotNull()).select(F.col(spec.entity).alias("_e"), *kept)
+    both = left.join(rows.filter(F.col(spec.entity).isNotNull()), F.col("_e") == F.col(spec.entity), "full")
+    out = both.select(F.coalesce("_e", spec.entity).alias(spec.entity), *kept, new)
+    none = stored.select(spec.entity, *kept).unionByName(rows.select(spec.entity, new), allowMissingColumns=True).filter(F.col(spec.entity).isNull())
+    out = out.unionByName(none.groupBy(spec.entity).agg(*[F.max(c).alias(c) for c in [*kept, new]]))
+    present = F.lit(False)
+    for c in [*kept, new]:
+        present = present | F.col(c).isNotNull()
+    return out.filter(present)
+
+
+def wide_from_periods(stored: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The frame that ``build_panel_wide`` returns, from the kept rows of each period."""
     cols = [F.col(spec.entity)]
     for attr in spec.tracked:
         cols += [F.col(f"_s_{p.short}.{attr}").alias(f"{attr}_{p.short}") for p in spec.periods]
     for s in spec.static:
-        cols.append(F.greatest(*[F.col(f"_s_{p.short}.{s}") for p in spec.periods]).alias(s))
-    return wide.select(*cols)
+        values = [F.col(f"_s_{p.short}.{s}") for p in spec.periods]
+        cols.append((F.greatest(*values) if len(values) > 1 else values[0]).alias(s))
+    return stored.select(*cols)
 
 
 def change_flags(wide: DataFrame, spec: PanelSpec) -> DataFrame:

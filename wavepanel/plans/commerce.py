@@ -32,6 +32,7 @@ from wavepanel.operators import areas as A
 from wavepanel.operators import events as EV
 from wavepanel.operators import panel as P
 from wavepanel.operators import transitions as T
+from wavepanel.session import written
 
 # ---------------------------------------------------------------- parameters
 # three periods that tile all dates: the first and the last have open ends
@@ -357,7 +358,7 @@ def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EV.enrich_events(events(spark, sf_dir), panel(spark, sf_dir))
+    return EV.enrich_events(events(spark, sf_dir), panel(spark, sf_dir), once=written)
 
 
 movers_long = movers  # uniform builder name across presets

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavepanel.functions.scalar import pct
-from wavepanel.operators.measures import period_profile, profile_top
+from wavepanel.operators.measures import period_profile, profile_top, sample_rows
 from wavepanel.plans import commerce as C
 from wavepanel.plans.exports import Flags, ordered
 from wavepanel.plans.oracle import sql
@@ -29,6 +29,20 @@ def q01(spark, d, P=C):
     return profile_top(s, ["county_code", "voter_status", "party_affiliation"], 10)
 
 
+@register(
+    "o04_sample_per_period",
+    sql(
+        "SELECT extract_month, order_key, entity_id, party FROM snap "
+        "QUALIFY row_number() OVER (PARTITION BY extract_month ORDER BY md5(order_key::VARCHAR), order_key) <= 3",
+        "snap",
+    ),
+)
+def o04(spark, d, P=C):
+    """A look at three rows of each period, the same ones every time."""
+    s = P.snapshot(spark, d, with_static=False)
+    return sample_rows(s, 3, ["order_key"], ["extract_month"]).select("extract_month", "order_key", "entity_id", "party")
+
+
 @register(
     "q02_rows_files_ids_per_period",
     sql(
@@ -53,11 +67,13 @@ def q02(spark, d, P=C):
 )
 def q03(spark, d, P=C):
     e = P.events(spark, d)
-    # each distinct on an aggregate of its own; NULL parts of the pair count
-    per = e.groupBy(P.SPEC.entity).agg(F.count(F.lit(1)).alias("_n"))
-    totals = per.agg(F.sum("_n").cast("bigint").alias("total_rows"), F.count(P.SPEC.entity).alias("entities"))
-    days = e.select("election_date", "election_type").distinct()
-    return totals.select("total_rows", "entities", days.agg(F.count(F.lit(1))).scalar().alias("elections"))
+    # the events are read once, into cells; NULL parts of a pair count
+    cells = e.groupBy(P.SPEC.entity, "election_date", "election_type").agg(F.count(F.lit(1)).alias("_n"))
+    return cells.agg(
+        F.sum("_n").cast("bigint").alias("total_rows"),
+        F.countDistinct(P.SPEC.entity).alias("entities"),
+        F.countDistinct(F.struct("election_date", "election_type")).alias("elections"),
+    )
 
 
 @register(

@@ -10,7 +10,7 @@ against the real extracts.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,7 +109,11 @@ def voter_changes(snapshot: DataFrame) -> DataFrame:
     file; ties are broken by all attributes that are kept, so the choice doesn't
     depend on the order of rows or tasks.
     """
-    rows = snapshot.select(
+    return P.build_panel(_panel_rows(snapshot), SPEC, AGES)
+
+
+def _panel_rows(snapshot: DataFrame) -> DataFrame:
+    return snapshot.select(
         "voter_id",
         "extract_month",
         "source_file",
@@ -120,7 +124,22 @@ def voter_changes(snapshot: DataFrame) -> DataFrame:
         "gender",
         "race",
     )
-    return P.build_panel(rows, SPEC, AGES)
+
+
+def append_to_panel(stored: DataFrame | None, snapshot: DataFrame, period: P.Period) -> DataFrame:
+    """The kept rows of each period, brought forward by ``period`` of the stored snapshots.
+
+    Of ``snapshot`` (``sources.text.stored_snapshots``) only that period's folder
+    is read; ``stored`` is the table of the periods before, bucketed by voter
+    (``sources.publish.save_table``), which is not shuffled.
+    """
+    return P.bring_forward(stored, P.period_rows(_panel_rows(snapshot), SPEC, period), SPEC, period)
+
+
+def panel_of_periods(stored: DataFrame, periods: tuple[P.Period, ...]) -> DataFrame:
+    """The per-voter panel over the stored periods named."""
+    spec = replace(SPEC, periods=periods)
+    return P.build_panel_from_wide(P.wide_from_periods(stored, spec), spec, AGES)
 
 
 def movers(panel: DataFrame, income: DataFrame, afford: DataFrame) -> DataFrame:
@@ -144,7 +163,7 @@ EVENT_SPEC = EV.EventSpec(entity="voter_id")
 # Release run: the parsed text extracts are written once as parquet (snapshot
 # rows partitioned by period), then everything else is built on those copies.
 RELEASE_CORE = (
-    "snapshot_rows",
+    "snapshot_lines",
     "events",
     "panel",
     "zip_income",
@@ -153,21 +172,24 @@ RELEASE_CORE = (
     "zip_pressure",
     "movers_long",
     "entity_pressure",
-    "quarantine",
 )
 
 
+@shared
+def snapshot_lines(spark: SparkSession, src: Sources) -> DataFrame:
+    """All lines of the snapshots, parsed once: good and rejected ones (a release writes them with a folder for each)."""
+    return TX.read_tagged(spark, dict(src.snapshots))
+
+
 @shared
 def snapshot_rows(spark: SparkSession, src: Sources) -> DataFrame:
-    rows, _ = TX.read_snapshots(spark, dict(src.snapshots))
-    return rows
+    return TX.good_rows(snapshot_lines(spark, src), TX.SNAPSHOT_FIELDS, ("extract_month", "source_file"))
 
 
 @shared
 def quarantine(spark: SparkSession, src: Sources) -> DataFrame:
     """Lines of the snapshots that could not be read; a release writes and counts them."""
-    _, bad = TX.read_snapshots(spark, dict(src.snapshots))
-    return bad
+    return TX.rejected_rows(snapshot_lines(spark, src), ("extract_month", "source_file"))
 
 
 @shared

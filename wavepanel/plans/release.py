@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 from wavepanel.plans import commerce as C
 from wavepanel.plans.memo import override
 from wavepanel.plans.registry import load_all
-from wavepanel.sources.publish import data_dictionary, drop_run, materialize, materialize_bucketed, publish_csv, save_table
+from wavepanel.sources.publish import data_dictionary, drop_run, materialize, materialize_bucketed, publish_csv, save_table, shared_dir
 
 # built in dependency order: later ones are built on the materialized earlier ones
 CORE = ("snapshot", "panel", "zip_income", "zip_home_values", "zip_affordability", "zip_pressure", "movers_long", "entity_pressure")
@@ -32,7 +32,10 @@ CORE = ("snapshot", "panel", "zip_income", "zip_home_values", "zip_affordability
 # and then join the bucketed panel.
 BUCKETED = ("panel",)
 # copies laid out by period (partition pruning for per-period cuts)
-PARTITIONED = {"snapshot_rows": ("extract_month",)}
+PARTITIONED = {"snapshot_lines": ("rejected", "extract_month")}
+
+# copies of which a folder is a frame of its own: one parse serves both
+FOLDERS = {"snapshot_lines": {"snapshot_rows": "rejected=false", "quarantine": "rejected=true"}}
 
 DESCRIPTIONS = {
     "e01_county_month_summary": "Rows by period x county x party x status (raw rows, duplicates included).",
@@ -81,6 +84,11 @@ def materialize_core(spark: SparkSession, sf_dir, run_id: str | None = None, buc
             copy = materialize_bucketed(spark, df, where, P.SPEC.entity, n)
         else:
             copy = materialize(spark, df, where, PARTITIONED.get(name, ()))
+        for part, folder in FOLDERS.get(name, {}).items():
+            at = f"{shared_dir(spark, where)}/{folder}"
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # else no line is of that kind
+                override(spark, sf_dir, part, spark.read.schema(getattr(P, part)(spark, sf_dir).schema).parquet(at))
         key = {"with_static": False} if name == "snapshot" else {}
         override(spark, sf_dir, fn.__name__, copy, **key)  # the memo key is the builder's own name
     return run

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavepanel.functions.scalar import decode
+from wavepanel.operators import areas as A
 from wavepanel.operators import panel as P
 from wavepanel.plans import commerce as C
 from wavepanel.plans.oracle import _case, sql
@@ -60,6 +61,17 @@ def s04(spark, d):
     return TX.quarantine_summary(bad)
 
 
+@register(
+    "s04b_one_parse_by_reason",
+    "SELECT CASE o_orderkey % 10 WHEN 1 THEN 'short' WHEN 5 THEN 'blank' END AS reason, o_orderkey % 10 IN (1, 5) AS rejected, COUNT(*) AS lines, "
+    "COUNT(*) FILTER (o_orderkey % 10 NOT IN (1, 5)) AS with_order_key FROM orders GROUP BY 1, 2",
+)
+def s04b(spark, d):
+    """Good and rejected lines of one parse, counted in one pass."""
+    tagged = TX.tag_rows(_order_lines(spark, d), ORDER_FIELDS)
+    return tagged.groupBy("reason", "rejected").agg(F.count(F.lit(1)).alias("lines"), F.count("order_key").alias("with_order_key"))
+
+
 def _event_lines(spark, d):
     li = C.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     o = C.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
@@ -163,6 +175,17 @@ def c02(spark, d):
     return C.attach_static(wide, spark, d)
 
 
+@register("c02b_panel_brought_forward", sql("SELECT * FROM pv", "pv"))
+def c02b(spark, d):
+    """The panel of two periods, brought forward by the rows of the third alone (and by the second once more)."""
+    rows = C.snapshot(spark, d, with_static=False)
+    stored = None
+    for k in (0, 1, 1, 2):
+        period = C.SPEC_CORE.periods[k]
+        stored = P.bring_forward(stored, P.period_rows(rows, C.SPEC_CORE, period), C.SPEC_CORE, period)
+    return C.attach_static(P.wide_from_periods(stored, C.SPEC_CORE), spark, d)
+
+
 @register("c03_change_panel", sql("SELECT * FROM panel", "panel"))
 def c03(spark, d):
     return C.panel(spark, d)
@@ -183,6 +206,25 @@ def c07(spark, d):
     return C.zip_home_values(spark, d)
 
 
+_LESS = "SELECT * FROM hv_long WHERE strftime(month_date, '%Y-%m') <> '1997-06'"
+_AGO = "(SELECT max(b.typical_home_value) FROM less b WHERE b.zip_code = a.zip_code AND last_day(b.month_date) = last_day(a.month_date - INTERVAL {} MONTH))"
+
+
+@register(
+    "c07b_area_series_calendar",
+    sql(
+        "SELECT *, typical_home_value / nullif(hv_1y_ago, 0) - 1 AS home_value_yoy_change, typical_home_value / nullif(hv_5y_ago, 0) - 1 AS home_value_5yr_change FROM ("
+        f"WITH less AS ({_LESS}) SELECT zip_code, city, county, metro, month_date, typical_home_value, strftime(month_date, '%Y-%m') AS year_month, "
+        f"{_AGO.format(12)} AS hv_1y_ago, {_AGO.format(60)} AS hv_5y_ago FROM less a)",
+        "hv_long",
+    ),
+)
+def c07b(spark, d):
+    """Lags by the calendar on a series in which a month is missing: NULL a year after the gap, right elsewhere."""
+    gap = C.home_values_long(spark, d).filter(F.date_format("month_date", "yyyy-MM") != "1997-06")
+    return A.area_series_calendar(gap)
+
+
 @register(
     "c08_affordability",
     sql("SELECT * REPLACE (ROUND(affordability_pressure_score, 9) AS affordability_pressure_score) FROM zip_affordability", "zip_affordability"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC for the naive timestamps of the inputs,
 # AQE for runtime re-planning (coalescing, skew-join splits, broadcast
@@ -56,3 +58,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, for plans that read it several times.
+
+    The lineage is cut in a way that survives lost executors.  The copy goes
+    when the driver ends.  Without ``spark.checkpoint.dir`` a local session
+    takes a folder of its own; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.split("[")[0] == "local":
+        ensure_checkpoint_dir(spark)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/wavepanel-once-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    _written[path] = spark
+    return spark.read.schema(schema).parquet(path)
+
+
+@atexit.register
+def _delete_written() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may be gone already; nothing is lost but disk
+            pass
+        _written.pop(path, None)

@@ -40,8 +40,9 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Seq
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    schema = df.schema  # the types of folder columns are not guessed from their names
     w.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def materialize_bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:

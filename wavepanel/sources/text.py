@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wavepanel.functions.scalar import try_date
@@ -85,6 +85,33 @@ def split_rows(lines: DataFrame, fields: Sequence[str], value: str = "value", se
     return good, bad
 
 
+def tag_rows(lines: DataFrame, fields: Sequence[str], value: str = "value", sep: str = "\t", keep: Sequence[str] = ()) -> DataFrame:
+    """S4 in one frame: the declared fields of good lines, and of rejected ones ``line``, ``n_fields`` and ``reason``.
+
+    ``rejected`` tells them apart, so one parse can be written with a folder for each.
+    """
+    n = len(fields)
+    parts = F.split(F.col(value), sep, -1)
+    tagged = lines.select(*keep, F.col(value), parts.alias("_parts")).withColumn("rejected", F.size("_parts") < n)
+    bad = F.col("rejected")
+    return tagged.select(
+        *keep,
+        *[F.when(~bad, F.nullif(F.get("_parts", F.lit(i)), F.lit(""))).alias(name) for i, name in enumerate(fields)],
+        F.when(bad, F.col(value)).alias("line"),
+        F.when(bad, F.size("_parts")).alias("n_fields"),
+        F.when(bad, F.when(F.trim(F.col(value)) == "", F.lit("blank")).otherwise(F.lit("short"))).alias("reason"),
+        "rejected",
+    )
+
+
+def good_rows(tagged: DataFrame, fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    return tagged.filter(~F.col("rejected")).select(*keep, *fields)
+
+
+def rejected_rows(tagged: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return tagged.filter("rejected").select(*keep, "line", "n_fields", "reason")
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Text lines with their file name (S3 lineage via the file metadata column)."""
     df = spark.read.text(path if isinstance(path, str) else list(path))
@@ -111,6 +138,47 @@ def read_snapshots(
     return rows, quarantine
 
 
+def read_tagged(
+    spark: SparkSession, period_globs: Mapping[str, str | Sequence[str]], fields: Sequence[str] = SNAPSHOT_FIELDS, period_col: str = "extract_month"
+) -> DataFrame:
+    """``read_snapshots`` as one frame of good and rejected lines (see ``tag_rows``)."""
+    out = None
+    for period, glob in period_globs.items():
+        part = tag_rows(read_lines(spark, glob).withColumn(period_col, F.lit(period)), fields, keep=(period_col, "source_file"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def append_period(
+    spark: SparkSession, path: str, period: str, glob: str | Sequence[str], fields: Sequence[str] = SNAPSHOT_FIELDS, period_col: str = "extract_month"
+) -> dict[str, int]:
+    """Load one period's files into the stored snapshot table, in one parse; returns rows and rejected lines.
+
+    The table lies in folders by ``rejected`` and period.  Only the period's own
+    folders are written anew (dynamic partition overwrite): other periods are
+    neither read nor touched, and a repeated or corrected delivery replaces the
+    one before.  A period that had rejected lines and now has none keeps no old ones.
+    """
+    seen = Observation(f"append-{period}")
+    tagged = read_tagged(spark, {period: glob}, fields, period_col)
+    tagged = tagged.observe(seen, F.count_if(~F.col("rejected")).alias("rows"), F.count_if("rejected").alias("rejected"))
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rejected", period_col).parquet(path)
+    counts = {k: int(v or 0) for k, v in seen.get.items()}
+    for flag, n in (("false", counts["rows"]), ("true", counts["rejected"])):
+        if not n:  # dynamic overwrite leaves a folder without new rows as it was
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/rejected={flag}/{period_col}={period}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return counts
+
+
+def stored_snapshots(spark: SparkSession, path: str, fields: Sequence[str] = SNAPSHOT_FIELDS, period_col: str = "extract_month") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines) of the table that ``append_period`` writes."""
+    kinds = ", ".join(f"`{f}` string" for f in ("source_file", *fields, "line"))
+    stored = spark.read.schema(f"{kinds}, n_fields int, reason string, rejected boolean, {period_col} string").parquet(path)
+    keep = (period_col, "source_file")
+    return good_rows(stored, fields, keep), rejected_rows(stored, keep)
+
+
 def parse_events(lines: DataFrame, fields: Sequence[str] = EVENT_FIELDS, date_field: str = "election_date_str", date_out: str = "election_date") -> tuple[DataFrame, DataFrame]:
     """S5 on a frame of lines: 5 string fields plus the tolerant parsed date."""
     good, bad = split_rows(lines, fields)
