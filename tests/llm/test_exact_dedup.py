@@ -1,5 +1,7 @@
 """Exact dedup: one batch, several batches, edges."""
 
+import hashlib
+import re
 import uuid
 
 import pytest
@@ -42,3 +44,30 @@ def test_clashing_columns(docs, index):
 
     t = docs([(1, "a")]).withColumn("digest", F.lit(1)).withColumn("n", F.lit(2)).withColumn("keep_id", F.lit(3))
     assert exact_dedup(t, index).first()["keep_id"] == 1
+
+
+def plain(rows):
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), i is None, i or 0, i))
+    return sorted(((i, min(groups[k])[3], len(groups[k])) for i, text in rows for k in [re.sub(r"[\x20\x09-\x0D]", "", text or "")]), key=repr)
+
+
+def test_batches_settled_are_one_batch(docs, index, sample):
+    rows = [*sample, *[(i + 5000, f" {t}\n" if i % 2 else t) for i, t in sample[::3]], (None, sample[0][1]), (None, None)]
+    for k in range(3):
+        exact_dedup(docs([r for j, r in enumerate(rows) if j % 3 == k]), index)
+    settled = {bytes(r["digest"]).hex(): (r["keep_id"], r["group_size"]) for r in index.settled().collect()}
+    sha = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()
+    assert sorted(((i, *settled[sha(t)]) for i, t in rows), key=repr) == plain(rows)
+    assert index.read().count() == len(settled) and index.spark.table(index.met).count() > 0
+
+
+def test_the_query_goes_through_its_index(spark, tmp_path):
+    from wavepanel.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in queries.op3_exact_dedup(spark, "/root/testdata/sf0.001").collect()), key=repr)
+    assert got == plain([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {t.name for t in spark.catalog.listTables()} == before  # and its tables are gone

@@ -1,6 +1,7 @@
 """Line dedup against a plain version."""
 
 import hashlib
+import random
 
 from wavepanel.llm import line_dedup
 
@@ -8,13 +9,9 @@ from wavepanel.llm import line_dedup
 def cut(text):
     lines = (text or "").split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    out, now = [], []
-    for i, line in enumerate(lines):
-        now.append(line)
-        if ((h[i - 1] if i else 0) * line_dedup.MULTIPLIER + h[i]) % (1 << 32) % line_dedup.MEAN_LINES == 0:
-            out.append(now)
-            now = []
-    return out + [now] if now else out
+    r = [((h[i - 1] if i else 0) * line_dedup.MULTIPLIER + x) % (1 << 32) for i, x in enumerate(h)]
+    ends = [i + 1 for i in range(1, len(lines) - 2) if r[i] < min(r[i - 1], r[i + 1])]
+    return [lines[a:b] for a, b in zip([0, *ends], [*ends, len(lines)])]
 
 
 def plain(rows):
@@ -59,3 +56,22 @@ def test_repeated_rows_null_ids_and_clashing_columns(docs):
     out = line_dedup.line_dedup(t).orderBy("doc_id").collect()
     assert out[0]["n_lines"] == 20 and out[1]["n_removed_lines"] > 0 and out[1]["ks"] == 2 and out[1]["c"] == 3
     assert line_dedup.line_dedup(docs([])).count() == 0
+
+
+def test_planted_passages_lose_lines(docs):
+    """Passages of over 50 words in several documents, found by comparing lines and not by the rule that cuts chunks."""
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(13))
+    rows, passages = [], []
+    for k in range(60):
+        passage = [line() for _ in range(rng.randint(4, 24))]
+        for c in range(3):
+            own = [line() for _ in range(rng.randint(0, 8))], [line() for _ in range(rng.randint(0, 8))]
+            rows.append((10 * k + c, "\n".join([*own[0], *passage, *own[1]])))
+            passages.append((10 * k + c, set(passage), {*own[0], *own[1]}))
+    kept = {r["doc_id"]: set(r["text"].split("\n")) for r in line_dedup.line_dedup(docs(rows)).collect()}
+    later = [(i, p, own) for i, p, own in passages if i % 10]
+    assert all(own <= kept[i] for i, _, own in passages) and all(p <= kept[i] for i, p, _ in passages if i % 10 == 0)
+    lost = [p - kept[i] for i, p, _ in later]
+    assert sum(map(bool, lost)) >= 0.9 * len(later)
+    assert sum(map(len, lost)) >= 0.7 * sum(len(p) for _, p, _ in later)

@@ -1,10 +1,11 @@
 """Line dedup: repeated chunks of lines, cut where the content says so.
 
-A rolling hash over the hashes of the last two lines ends a chunk where it is a
-multiple of ``MEAN_LINES``, so that an inserted or deleted line moves the
-boundaries near it only.  A chunk of at least two lines that occurs more than
-once in the corpus, compared byte by byte, is removed but for its first place.
-DataFrame expressions only.
+A rolling hash over the hashes of two lines stands at each line; a chunk ends
+where it is less than at the lines before and behind.  So an inserted or deleted
+line moves the boundaries near it only, two boundaries are never adjacent, and no
+chunk of a text of two lines or more is a single line.  A chunk that occurs more
+than once in the corpus, compared byte by byte, is removed but for its first
+place.  DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from wavepanel.llm.common import checked_broadcast, forget, let, materialise, packed, unpacked
 
-MEAN_LINES = 3  # a chunk ends after a line with a chance of 1 in 3
 MULTIPLIER = 65_599  # of the rolling hash, modulo 2^32
 
 
@@ -23,21 +23,23 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def chunk_starts(lines: Column, mean_lines: int = MEAN_LINES) -> Column:
+def chunk_starts(lines: Column) -> Column:
     """Index of the first line of each chunk of an array of lines."""
 
     def of(h):
-        def ends(i):
-            rolled = (F.coalesce(F.get(h, i - 2), F.lit(0)) * MULTIPLIER + F.get(h, i - 1)) % (1 << 32)
-            return (i == 0) | (rolled % mean_lines == 0)
+        rolled = F.transform(h, lambda x, i: (F.coalesce(F.get(h, i - 1), F.lit(0)) * MULTIPLIER + x) % (1 << 32))
 
-        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), ends)
+        def least(r):
+            low = F.filter(F.sequence(F.lit(1), F.size(r) - 3), lambda i: (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) < F.get(r, i + 1)))
+            return F.concat(F.array(F.lit(0)), F.transform(low, lambda i: i + 1))
+
+        return F.when(F.size(h) < 4, F.array(F.lit(0))).otherwise(let(rolled, least))
 
     return let(F.transform(lines, line_hash), of)
 
 
-def chunks(lines: Column, mean_lines: int = MEAN_LINES) -> Column:
-    """(index, first line, number of lines, text) of each chunk."""
+def chunks(lines: Column) -> Column:
+    """(index, number of lines, text) of each chunk."""
 
     def of(ls):
         def cut(s):
@@ -49,12 +51,12 @@ def chunks(lines: Column, mean_lines: int = MEAN_LINES) -> Column:
 
             return F.transform(s, chunk)
 
-        return let(chunk_starts(ls, mean_lines), cut)
+        return let(chunk_starts(ls), cut)
 
     return let(lines, of)
 
 
-def line_dedup(docs: DataFrame, *, mean_lines: int = MEAN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame) -> DataFrame:
     """Remove repeated multi-line chunks from each text.
 
     Returns the columns of ``docs`` with ``text`` replaced, and ``n_lines``,
@@ -64,15 +66,15 @@ def line_dedup(docs: DataFrame, *, mean_lines: int = MEAN_LINES) -> DataFrame:
 
     A null text stays null and counts as one empty line; a text whose lines all
     go becomes empty, its row stays.  Rows with one doc_id and one text are one
-    document: none of them is a repeat of another.  An empty table gives an
-    empty table.
+    document: none of them is a repeat of another.  A long text is one row's
+    array of lines, linear in its bytes.  An empty table gives an empty table.
     """
     rows = packed(docs, ["n_lines", "n_removed_lines", "n_removed_chunks"], "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_th", F.xxhash64(text))
     ref = F.struct(F.col("doc_id"), F.col("_th"), F.col("c.k").alias("k"))
     cut = (
-        keyed.select("doc_id", "_id", "_th", F.explode(chunks(F.split(text, "\n"), mean_lines)).alias("c"))
+        keyed.select("doc_id", "_id", "_th", F.explode(chunks(F.split(text, "\n"))).alias("c"))
         .where("c.n > 1")
         .select("doc_id", "_id", "_th", "c", F.xxhash64("c.text").alias("h"), ref.alias("ref"))
     )
@@ -110,7 +112,7 @@ def line_dedup(docs: DataFrame, *, mean_lines: int = MEAN_LINES) -> DataFrame:
         "_gone",
         F.when(
             F.col("ks").isNotNull(),
-            let(F.struct(chunks(F.split(text, "\n"), mean_lines).alias("cs"), F.col("ks").alias("ks")), lambda x: kept(x["cs"], x["ks"])),
+            let(F.struct(chunks(F.split(text, "\n")).alias("cs"), F.col("ks").alias("ks")), lambda x: kept(x["cs"], x["ks"])),
         ),
     )
     new_text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_gone.text"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavepanel.llm import bpe, byte_bpe, exact_dedup, fill_middle, line_dedup, mixing, near_dedup, phrases, quality, suffix_dedup, token_counts, toxicity, url_filter
+from wavepanel.llm.common import materialise, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +85,23 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN nearest ON nearest.a = w.doc
 """
 
 
+OP3_BATCHES = 2  # deliveries in which the table reaches the index
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document judged against a new index, which then holds all digests of the table."""
-    index = exact_dedup.DigestIndex(spark, f"llm_digests_{uuid.uuid4().hex}")
-    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), index)
+    """The table in two deliveries (by CRC-32 of the id) against one new index; the rows that stay are settled over both."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    batch = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % OP3_BATCHES
+    name = f"llm_digests_{uuid.uuid4().hex}"
+    index = exact_dedup.DigestIndex(spark, name, path=f"{shared_dir(spark)}/{name}")
+    judged = [exact_dedup.exact_dedup(docs.where(batch == k), index).select("doc_id", "text_sha256") for k in range(OP3_BATCHES)]
+    settled = materialise(index.settled(), "exact-settled")
+    index.drop()
+    rows = judged[0]
+    for more in judged[1:]:
+        rows = rows.unionByName(more)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return rows.join(settled, F.unhex("text_sha256") == F.col("digest")).select("doc_id", "keep_id", "group_size", kept, "text_sha256")
 
 
 OP3_SQL = r"""
@@ -207,10 +221,12 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
   FROM documents),
 h AS (SELECT *, ('0x' || md5(line)[1:8])::BIGINT AS h FROM l),
-e AS (
-  SELECT doc_id, line, i,
-         ((coalesce(lag(h) OVER d, 0) * 65599 + h) % 4294967296) % 3 = 0 AS ends
+r AS (
+  SELECT doc_id, line, i, (coalesce(lag(h) OVER d, 0) * 65599 + h) % 4294967296 AS r, count(*) OVER (PARTITION BY doc_id) AS n
   FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+e AS (
+  SELECT doc_id, line, i, coalesce(i BETWEEN 2 AND n - 2 AND r < lag(r) OVER d AND r < lead(r) OVER d, false) AS ends
+  FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 k AS (
   SELECT doc_id, line, i,
          coalesce(sum(ends::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
@@ -265,7 +281,8 @@ OP12_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 g AS (
