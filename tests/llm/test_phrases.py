@@ -91,7 +91,7 @@ def test_places_of_cut_texts(monkeypatch):
         runs = P.runs
         with monkeypatch.context() as m:
             m.setattr(P, "runs", lambda batches, most=most: runs(batches, most))
-            rows = [r for b in P._occurrences(0, sent)(iter([batch])) for r in b.to_pylist()]
+            rows = [dict(block=r["block"], at=a, id=i) for b in P._occurrences(0, sent)(iter([batch])) for r in b.to_pylist() for a, i in zip(r["at"], r["id"])]
         at = {(r["block"] << P.BLOCK) + r["at"]: names[r["id"] % (1 << 64)] for r in rows if r["at"] < 1 << P.BLOCK}
         assert collections.Counter((w, at[k + 1]) for k, w in at.items() if k + 1 in at) == pairs, most
 
@@ -114,7 +114,7 @@ def test_joins_use_the_buckets(spark, texts):
     t = spark.createDataFrame(texts, "lang string, text string")
     words, seed = P.words_of_corpus(t)
     sent = spark.sparkContext.broadcast(np.full(1 << P.FILTER - 3, 255, np.uint8))
-    relation = P.Relation(P.map_arrow(t, P._occurrences(seed, sent), "block long, at int, id long").repartition(4, "block"), 4)
+    relation = P.Relation(P.occurrences(t, seed, sent, 4), 4)
     with P._joined_by_buckets(spark):
         plan = P._pairs(relation)._jdf.queryExecution().executedPlan().toString()
     relation.drop()
