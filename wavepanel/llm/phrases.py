@@ -153,9 +153,9 @@ def _occurrences(seed: int, sent):
             near[[0, -1]] |= kept[[0, -1]]  # a text that goes on in the next run
             places, found = places[near], ids[w.which[near]].view(np.int64)
             block = places >> BLOCK
-            inside = (places & ((1 << BLOCK) - 1)).astype(np.int32)
+            inside = (places & ((1 << BLOCK) - 1)).astype(np.int16)
             edge = inside < LONGEST - 1
-            block, inside, found = (np.concatenate(x) for x in ((block, block[edge] - 1), (inside, inside[edge] + np.int32(1 << BLOCK)), (found, found[edge])))
+            block, inside, found = (np.concatenate(x) for x in ((block, block[edge] - 1), (inside, inside[edge] + np.int16(1 << BLOCK)), (found, found[edge])))
             order = np.lexsort((inside, block))
             blocks, starts = np.unique(block[order], return_index=True)
             offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
@@ -167,18 +167,20 @@ def _occurrences(seed: int, sent):
 
 def occurrences(docs: DataFrame, seed: int, sent, buckets: int) -> DataFrame:
     """(block, at, id), dealt out by block."""
-    blocks = map_arrow(docs.select("lang", "text"), _occurrences(seed, sent), "block long, at array<int>, id array<long>").repartition(buckets, "block")
-    return blocks.select("block", F.explode(F.arrays_zip("at", "id")).alias("x")).select("block", "x.at", "x.id")
+    blocks = map_arrow(docs.select("lang", "text"), _occurrences(seed, sent), "block long, at array<short>, id array<long>").repartition(buckets, "block")
+    return blocks.select("block", F.explode(F.arrays_zip("at", "id")).alias("x")).select("block", F.col("x.at").cast("int").alias("at"), "x.id")
 
 
 class Relation:
-    """A table of occurrences in the shared folder, bucketed by block and sorted by place."""
+    """A table of occurrences in the shared folder, bucketed by block and sorted by place; places are written as their differences."""
+
+    COMPACT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#at": "false"}
 
     def __init__(self, rows: DataFrame, buckets: int):
         self.spark = rows.sparkSession
         self.name = f"llm_occurrences_{uuid.uuid4().hex}"
         self.path = os.path.join(shared_dir(self.spark), self.name)
-        rows.write.bucketBy(buckets, "block").sortBy("block", "at").option("path", self.path).saveAsTable(self.name)
+        rows.write.options(**self.COMPACT).bucketBy(buckets, "block").sortBy("block", "at").option("path", self.path).saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
