@@ -33,6 +33,18 @@ def test_affordability_single_area_and_bands(spark):
     assert out[0]["typical_home_value_latest"] == 500.0  # latest month anywhere in the series
 
 
+def test_affordability_of_every_area(spark):
+    inc = _income(spark, [("00001", 2022, 100.0, 100.0, "x"), ("00002", 2022, 200.0, 200.0, "y"), ("00003", 2022, 0.0, 0.0, "z")])
+    hv = _series(spark, [("00001", "2026-05", 500.0, None, None), ("00003", "2026-05", 700.0, None, None), ("00002", "2026-04", 9.0, None, None)])
+    some = {r["zip_code"]: r for r in A.affordability(inc, hv, 2022, 2020).collect()}
+    every = {r["zip_code"]: r for r in A.affordability(inc, hv, 2022, 2020, every_area=True).collect()}
+    assert set(some) == {"00001", "00003"} and set(every) == {"00001", "00002", "00003"}
+    assert all(every[z] == some[z] for z in some)  # the scores don't change
+    assert every["00003"]["affordability_band"] == "unknown" and every["00003"]["home_value_to_income_ratio"] is None
+    left = every["00002"]  # no value in the latest month
+    assert left["income_band"] == "y" and left["affordability_band"] is None and left["typical_home_value_latest"] is None
+
+
 def test_pressure_band_edges(spark):
     df = spark.createDataFrame([(-0.75,), (-0.25,), (0.25,), (0.75,), (-0.7500001,)], "z double")
     got = [r[0] for r in df.select(band("z", A.PRESSURE_CUTS, A.PRESSURE_TOP)).collect()]

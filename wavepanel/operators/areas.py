@@ -162,11 +162,14 @@ def affordability(
     income_year: int,
     base_year: int,
     value_month: str | None = None,
+    every_area: bool = False,
 ) -> DataFrame:
     """Value-to-income ratio per area, z-scored across areas, in five bands.
 
     ``value_month`` None takes the latest month present anywhere in the
     series.  A NULL ratio or an undefined score (sd 0 or NULL) gets 'unknown'.
+    With ``every_area``, areas of the income year without a value in that month
+    stay with NULL metrics and a NULL band, so that one frame has all incomes too.
     """
     now, then = F.col("tax_year") == income_year, F.col("tax_year") == base_year
     inc = (
@@ -188,7 +191,8 @@ def affordability(
         hv = hv.withColumn("_latest", F.max("year_month").over(Window.partitionBy(F.lit(0)))).filter(F.col("year_month") == F.col("_latest"))
     else:
         hv = series.filter(F.col("year_month") == value_month).select("zip_code", value)
-    combined = inc.join(hv.select("zip_code", "_hv.*"), "zip_code", "inner").withColumn(
+    valued = hv.select("zip_code", "_hv.*", F.lit(True).alias("_valued"))
+    combined = inc.join(valued, "zip_code", "left" if every_area else "inner").withColumn(
         "home_value_to_income_ratio", safe_div("typical_home_value_latest", "mean_agi_per_return")
     )
     # moments over one row per area (NULL ratios don't count)
@@ -197,8 +201,8 @@ def affordability(
     score = safe_div(ratio - F.avg(ratio).over(whole), F.stddev_samp(ratio).over(whole))
     return combined.withColumn("affordability_pressure_score", score).withColumn(
         "affordability_band",
-        F.when(ratio.isNull(), F.lit("unknown")).otherwise(band("affordability_pressure_score", PRESSURE_CUTS, PRESSURE_TOP, "unknown")),
-    )
+        F.when(F.col("_valued") & ratio.isNull(), F.lit("unknown")).when(F.col("_valued"), band("affordability_pressure_score", PRESSURE_CUTS, PRESSURE_TOP, "unknown")),
+    ).drop("_valued")
 
 
 # --------------------------------------------------------------------------

@@ -79,7 +79,7 @@ AFFORD_DIRECTION = {
 def movers(
     panel: DataFrame,
     spec: PanelSpec,
-    income_latest: DataFrame,
+    income_latest: DataFrame | None,
     afford: DataFrame,
     race_labels,
     up: float,
@@ -88,11 +88,17 @@ def movers(
     income_labels=INCOME_DIRECTION,
     afford_labels=AFFORD_DIRECTION,
 ) -> DataFrame:
-    """Long mover events with both ends' area attributes and directions."""
+    """Long mover events with both ends' area attributes and directions.
+
+    ``income_latest`` None: ``afford`` has every area (``affordability(every_area=True)``)
+    and so the incomes, which then are not built a second time.
+    """
     moves = transitions(panel, spec, "zip", ["zip", "party", "county"], ["race"])
-    dim = income_latest.select("zip_code", "mean_agi_per_return", "income_band").join(
-        afford.select("zip_code", "affordability_band", "home_value_to_income_ratio"), "zip_code", "left"
-    )
+    metrics = ("affordability_band", "home_value_to_income_ratio")
+    if income_latest is None:
+        dim = afford.select("zip_code", "mean_agi_per_return", "income_band", *metrics)
+    else:
+        dim = income_latest.select("zip_code", "mean_agi_per_return", "income_band").join(afford.select("zip_code", *metrics), "zip_code", "left")
     src = dim.select([F.col(c).alias(f"s_{c}") for c in dim.columns])
     dst = dim.select([F.col(c).alias(f"d_{c}") for c in dim.columns])
     j = moves.join(src, moves.src_zip == src.s_zip_code, "left").join(

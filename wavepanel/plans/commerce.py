@@ -319,12 +319,12 @@ def entity_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inc = zip_income(spark, sf_dir).filter(F.col("tax_year") == INCOME_YEAR)
+    areas = A.affordability(zip_income(spark, sf_dir), zip_home_values(spark, sf_dir), INCOME_YEAR, INCOME_BASE_YEAR, VALUE_MONTH, every_area=True)
     return T.movers(
         panel(spark, sf_dir),
         SPEC,
-        inc,
-        zip_affordability(spark, sf_dir),
+        None,
+        areas,
         EV.RACE_LABELS,
         MOVE_UP,
         MOVE_DOWN,
