@@ -68,3 +68,7 @@ def test_whole_tables_and_edges(spark, docs, spec, pair):
     assert [r["decoded"] for r in out[:5]] == ["hello</w>", None, "", "hello</w>", "hello</w>"]
     assert len(out[5]["ids"]) == 80_000 and out[0]["a b"] == 1 and out[1]["ids"] is None
     assert bpe.encode(docs([]), spec).count() == 0
+    once = bpe.round_trip(t.withColumn("Decoded", F.lit(0)), spec)
+    assert once.columns == [*[c for c in t.columns if c not in ("text", "ids")], "ids", "decoded"]
+    assert sorted(map(str, once.select("doc_id", "ids", "decoded").collect())) == sorted(map(str, bpe.decode(bpe.encode(t, spec), spec).select("doc_id", "ids", "decoded").collect()))
+    assert bpe.round_trip(docs([]), spec).count() == 0

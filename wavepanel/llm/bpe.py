@@ -253,3 +253,26 @@ def encode(docs: DataFrame, spec: str) -> DataFrame:
 def decode(encoded: DataFrame, spec: str) -> DataFrame:
     """Add ``decoded`` (string) of the ``ids`` of every row; null ids give null. A column ``decoded`` is replaced."""
     return _mapped(encoded, "ids", "decoded", "string", pa.string(), spec, "decode")
+
+
+def round_trip(docs: DataFrame, spec: str) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded`` in place of ``text``: ``encode`` and ``decode`` in one pass.
+
+    One Python worker for each task in place of two.  A null text gives nulls, an
+    empty one an empty list and string; other columns pass unchanged, repeated
+    rows too; columns ``ids`` and ``decoded`` are replaced.
+    """
+    rest = [c for c in docs.columns if c.lower() not in ("ids", "decoded", "text")]
+    sent = docs.sparkSession.sparkContext.broadcast(spec)  # one tokenizer file, whatever the data
+
+    def run(batches):
+        work = _load(sent.value)
+        for batch in batches:
+            for part in _slices(batch, 0):
+                ids = [None if x is None else work.encode(x) for x in part.column(0).to_pylist()]
+                decoded = pa.array([None if x is None else work.decode(x) for x in ids], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(ids, pa.binary()), decoded], names=[*part.schema.names[1:], "ids", "decoded"])
+
+    rows = docs.select("text", *[f"`{c}`" for c in rest])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "ids binary, decoded string"])
+    return map_arrow(rows, run, schema)
