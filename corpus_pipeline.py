@@ -79,7 +79,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids (little-endian 32-bit), n_tokens, decoded of every row."""
     spec = bpe.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     texts = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    out = bpe.decode(bpe.encode(texts, spec).drop("text"), spec)
+    out = bpe.round_trip(texts, spec)
     return out.select("doc_id", "source", "ids", F.expr("octet_length(ids) div 4").alias("n_tokens"), "decoded")
 
 
