@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavepanel.functions.scalar import pct
-from wavepanel.operators.measures import period_profile, profile_top, sample_rows
+from wavepanel.operators.measures import distinct_sketches, estimated, period_profile, profile_top, sample_rows, unite_sketches
 from wavepanel.plans import commerce as C
 from wavepanel.plans.exports import Flags, ordered
 from wavepanel.plans.oracle import sql
@@ -58,6 +58,39 @@ def q02(spark, d, P=C):
     return ordered(out, "extract_month")
 
 
+@register(
+    "a03_distinct_by_sketches",
+    sql(
+        "SELECT COALESCE(extract_month, 'all') AS extract_month, COUNT(*) AS rows, COUNT(DISTINCT entity_id) AS entities, "
+        "COUNT(DISTINCT source_file) AS files, TRUE AS entities_close, TRUE AS files_close FROM snap GROUP BY ROLLUP (extract_month)",
+        "snap",
+    ),
+)
+def a03(spark, d, P=C):
+    """Distinct entities and files per period and over all, by sketches kept per (period, file); each within 4 % (five standard errors) of the exact count."""
+    s = P.snapshot(spark, d, with_static=False)
+    entity = P.SPEC.entity
+    kept = distinct_sketches(s.withColumn("file", F.col("source_file")), ["extract_month", "source_file"], [entity, "file"])
+    months = unite_sketches(kept, ["extract_month"])
+    over_all = unite_sketches(kept).withColumn("extract_month", F.lit("all"))
+    found = estimated(months.unionByName(over_all))
+    per = s.groupBy("extract_month", "source_file", entity).agg(F.lit(1).alias("_one"))
+    exact = per.rollup("extract_month").agg(F.countDistinct(entity).alias("entities"), F.countDistinct("source_file").alias("files"))
+    exact = exact.withColumn("extract_month", F.coalesce("extract_month", F.lit("all")))
+
+    def close(estimate, count):
+        return F.abs(F.col(estimate) - F.col(count)) * 100 <= F.col(count) * 4
+
+    out = found.join(exact, "extract_month")
+    return ordered(
+        out.select(
+            "extract_month", "rows", "entities", "files",
+            close(f"distinct_{entity}", "entities").alias("entities_close"), close("distinct_file", "files").alias("files_close"),
+        ),
+        "extract_month",
+    )
+
+
 @register(
     "q03_event_totals",
     sql(

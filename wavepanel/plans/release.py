@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +32,7 @@ CORE = ("snapshot", "panel", "zip_income", "zip_home_values", "zip_affordability
 # task -- hold a third of them.  Event cuts pre-aggregate per (entity, cell)
 # and then join the bucketed panel.
 BUCKETED = ("panel",)
+AT_ONCE = 4  # exports published at a time
 # copies laid out by period (partition pruning for per-period cuts)
 PARTITIONED = {"snapshot_lines": ("rejected", "extract_month")}
 
@@ -108,11 +110,14 @@ def publish_exports(spark: SparkSession, sf_dir, out_dir: str, names: Sequence[s
     names = list(names or sorted(n for n in reg if n.startswith("e")))
     run = materialize_core(spark, sf_dir, P=P)
     try:
-        frames, counts = {}, {}
-        for name in names:
-            df = reg[name][0](spark, sf_dir, P)
-            frames[published(name)] = df
-            counts[name] = publish_csv(df, f"{out_dir.rstrip('/')}/{published(name)}")
+        frames = {published(name): reg[name][0](spark, sf_dir, P) for name in names}
+
+        def publish(name: str) -> int:
+            return publish_csv(frames[published(name)], f"{out_dir.rstrip('/')}/{published(name)}")
+
+        # small jobs on the copies: several at once fill the cores that one leaves idle
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            counts = dict(zip(names, pool.map(publish, names)))
         described = {published(n): text for n, text in DESCRIPTIONS.items()}
         publish_csv(data_dictionary(spark, frames, described), f"{out_dir.rstrip('/')}/data_dictionary", ["file"])
         if hasattr(P, "quarantine"):

@@ -3,6 +3,8 @@ and a data dictionary built from the published frames' schemas."""
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -64,19 +66,58 @@ def drop_run(spark: SparkSession, run: str, bucketed: Sequence[str] = ()) -> Non
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def publish_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> int:
-    """S11 + S12: ordered CSV with header; returns the row count from the same
-    execution (an observation), not by running the query twice.
+def publish_csv(df: DataFrame, path: str, order: Sequence[str] = (), single_file_rows: int = 1_000_000) -> int:
+    """S11 + S12: ordered CSV with header; returns the row count.
 
-    The ordered result is written as one file because the published artifact
-    is a small aggregate (cells, bounded by the key domains).  With no
-    ``order`` the frame's own ordering is kept (coalesce does not reorder).
+    The query runs once, into a copy in the shared folder, whose count is
+    observed on the way.  At most ``single_file_rows`` rows become one file; more
+    are dealt by ranges of the order into numbered parts of about that many
+    rows, each sorted, with a header of its own: the parts in the order of their names
+    hold the rows in order.  Rows that tie, and those of a frame without
+    ``order``, keep the frame's own ordering, so that a hot value is split too.
+    Spark's CSV writer leaves out a row whose only column is null; it counts.
     """
+    spark = df.sparkSession
+    run = f"wavepanel-csv-{uuid.uuid4().hex}"
     obs = Observation("published")
     ordered = df.orderBy(*[F.col(c).asc_nulls_last() for c in order]) if order else df
-    ordered = ordered.observe(obs, F.count(F.lit(1)).alias("rows"))
-    ordered.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-    return int(obs.get["rows"])
+    placed = ordered.withColumn("_place", F.monotonically_increasing_id()).observe(obs, F.count(F.lit(1)).alias("rows"))
+    try:
+        copy = materialize(spark, placed, run)
+        rows = int(obs.get["rows"])
+        if rows <= single_file_rows:
+            out = copy.coalesce(1).sortWithinPartitions("_place")
+        else:
+            out = copy.repartitionByRange(math.ceil(rows / single_file_rows), "_place").sortWithinPartitions("_place")
+        out.drop("_place").write.mode("overwrite").option("header", True).csv(path)
+        return rows
+    finally:
+        drop_run(spark, run)
+
+
+def described(df: DataFrame, comments: Mapping[str, str]) -> DataFrame:
+    """``df`` with a comment on each named column, kept in the schema: Parquet copies and tables carry it."""
+    for c, text in comments.items():
+        df = df.withMetadata(c, {**df.schema[c].metadata, "comment": text})
+    return df
+
+
+def column_dictionary(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFrame:
+    """S13 by column: file, place (from 1), name, type and comment of every column, read from the schemas."""
+    rows = [(name, i, f.name, f.dataType.simpleString(), f.metadata.get("comment", "")) for name, df in frames.items() for i, f in enumerate(df.schema.fields, 1)]
+    return spark.createDataFrame(rows, "file STRING, place INT, column STRING, type STRING, comment STRING")
+
+
+def store_view(df: DataFrame, view: str, path: str, query: str = "SELECT * FROM {table}", partition_by: Sequence[str] = ()) -> str:
+    """Save ``df`` as a table of the catalog and a view over it; returns the table's name.
+
+    The view is the catalog's and not the session's: other sessions on that
+    catalog read it.  ``query`` is its text, ``{table}`` the saved table.
+    """
+    table = f"{view}_stored"
+    df.write.mode("overwrite").option("path", path).saveAsTable(table, partitionBy=list(partition_by) or None)
+    df.sparkSession.sql(f"CREATE OR REPLACE VIEW {view} AS " + query.format(table=table))
+    return table
 
 
 def data_dictionary(spark: SparkSession, frames: Mapping[str, DataFrame], descriptions: Mapping[str, str]) -> DataFrame:
