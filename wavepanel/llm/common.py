@@ -45,9 +45,11 @@ def unpacked(table: DataFrame, *added: Column | str, **replaced: Column) -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where unset (tests), one of this machine."""
+    """The folder that ``spark.checkpoint.dir`` names; where unset, one of this machine for a local session, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name the cluster's shared folder there")
         folder = "file://" + tempfile.mkdtemp(prefix="wavepanel-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
