@@ -80,3 +80,37 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) > 0.85
+
+
+def test_every_labelled_row_is_learnt_from(spark, docs):
+    from pyspark.sql import functions as F
+
+    rows = docs([(1, "long " * 5000 + "badword")]).unionByName(spark.range(2, 9000).selectExpr("id AS doc_id", "concat('w', id) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars"))
+    labels = spark.range(1, 9000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    got = T.training_rows(rows, labels).select("doc_id", F.length("text").alias("n"), "y").collect()
+    want = [i for i in range(1, 9000) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r["doc_id"] for r in got) == want and all(r["y"] == r["doc_id"] % 2 for r in got)
+    assert {r["n"] for r in got if r["doc_id"] == 1} == {25_007}
+
+
+def test_rounds_over_shards(docs, spark):
+    rows = [(r[0], r[1]) for r in made(1500, random.Random(6))]
+    labels = spark.createDataFrame([(i, y) for i, _, y in made(1500, random.Random(6))], "doc_id long, toxic int")
+    one, other = (T.fit(t, labels, size=30_000) for t in (docs(rows), docs(rows[::-1]).repartition(7)))
+    assert all(np.array_equal(a, b) for a, b in zip((one.keys, one.embeddings, one.thresholds), (other.keys, other.embeddings, other.thresholds)))
+    fresh = made(300, random.Random(8))
+    assert ((one.scores([r[1] for r in fresh]) >= 0.5) == [r[2] for r in fresh]).mean() > 0.95
+
+
+def test_long_texts_are_learnt_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    p = T.start(50, 1)
+    filters = [p[f"F{w}"] for w in T.WIDTHS]
+    own = rng.integers(0, 51, 500)
+    best, places = T._pooled(p["E"], filters, own)
+    for i, (w, f) in enumerate(zip(T.WIDTHS, filters)):  # against each place on its own
+        plain = np.array([p["E"][own[j : j + w]].ravel() @ f for j in range(len(own) - w + 1)])
+        assert np.allclose(best[i], plain.max(axis=0)) and np.allclose(plain[places[i], np.arange(T.FILTERS)], best[i])
+    monkeypatch.setattr(T, "PIECE", 7)
+    again, at = T._pooled(p["E"], filters, own)
+    assert np.allclose(again, best) and (at == places).all()

@@ -13,17 +13,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavepanel.llm.common import map_arrow
+from wavepanel.llm.common import forget, map_arrow, materialise
 from wavepanel.llm.textblocks import WHITE, grouped, hash_words, words_by_text
 
-ROWS = 2_000  # labelled rows of each class that are learnt from, at most
-CHARS = 20_000  # longer texts are scored whole but not learnt from
+NUMBERS = 1 << 18  # the hashes of words are cut to so many numbers, so that the model doesn't grow with the corpus
+SHARD = 1 << 20  # words, about, that one task learns from in a round
+PIECE = 1 << 16  # words of a text that are looked at together when learning
+GRID = 256  # thresholds are settled on logits to 1 / GRID
+FIXED = 1 << 24  # parameters are added up as whole numbers of 1 / FIXED
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 SEEN = 5  # training texts that a word must be in to have an embedding
-EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.02, 3e-4
+ROUNDS, BATCH, RATE, DECAY = 8, 32, 0.02, 3e-4
 PRIOR = 20.0  # texts of a language that weigh as much as the common threshold
 
 SEPARATORS = WHITE.copy()
@@ -67,9 +71,13 @@ def languages(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.argmax(sums[at[1:]] - sums[at[:-1]], axis=1)
 
 
+def numbers(hashes: np.ndarray) -> np.ndarray:
+    return hashes % np.uint64(NUMBERS)
+
+
 @dataclass
 class Model:
-    keys: np.ndarray  # hashes of the known words, sorted
+    keys: np.ndarray  # numbers of the known words, sorted
     embeddings: np.ndarray  # one more row, of zeros, for all other words
     filters: list[np.ndarray]  # (width * DIM, FILTERS) of each width
     biases: list[np.ndarray]
@@ -77,13 +85,13 @@ class Model:
     bias: float
     thresholds: np.ndarray  # on the logit, by language
 
-    def logits(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the texts of a block: ``at`` is where the words of each begin."""
+    def logits(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the texts of a block, by the numbers of their words: ``at`` is where the words of each begin."""
         sizes = np.diff(at)
         pad = max(WIDTHS)  # unknown words after each text
-        ids = np.full(len(hashes) + pad * len(sizes), len(self.keys), np.int64)
+        ids = np.full(len(words) + pad * len(sizes), len(self.keys), np.int64)
         starts = at[:-1] + pad * np.arange(len(sizes))
-        ids[np.arange(len(hashes)) + pad * np.repeat(np.arange(len(sizes)), sizes)] = _lookup(self.keys, hashes)
+        ids[np.arange(len(words)) + pad * np.repeat(np.arange(len(sizes)), sizes)] = _lookup(self.keys, words)
         out = np.full(len(sizes), self.bias)
         for n, (width, f, b) in enumerate(zip(WIDTHS, self.filters, self.biases)):
             total = np.zeros((len(ids), FILTERS), np.float32)
@@ -100,97 +108,147 @@ class Model:
         parts = [np.zeros(0)]
         for _, run in grouped(texts):
             hashes, at = words_by_text(run, SEPARATORS)
-            z = self.logits(hashes, at) - self.thresholds[languages(hashes, at)]
+            z = self.logits(numbers(hashes), at) - self.thresholds[languages(hashes, at)]
             parts.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return np.concatenate(parts)
 
 
+def _pooled(embeddings: np.ndarray, filters: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each filter of each width: the greatest response to a text, and the place in ``own`` where it begins."""
+    best, places = np.full((len(WIDTHS), FILTERS), -np.inf), np.zeros((len(WIDTHS), FILTERS), np.int64)
+    for lo in range(0, len(own), PIECE):
+        vectors = embeddings[own[lo : lo + PIECE + max(WIDTHS) - 1]]
+        for i, (w, f) in enumerate(zip(WIDTHS, filters)):
+            n = min(PIECE, len(vectors) - w + 1)
+            if n <= 0:
+                continue
+            response = vectors[:n] @ f[:DIM]
+            for k in range(1, w):
+                response += vectors[k : k + n] @ f[k * DIM : (k + 1) * DIM]
+            at = response.argmax(axis=0)
+            top = response[at, np.arange(FILTERS)]
+            more = top > best[i]
+            best[i, more], places[i, more] = top[more], at[more] + lo
+    return best, places
+
+
+def start(known: int, seed: int) -> dict[str, np.ndarray]:
+    """The parameters that learning begins with; the last row of the embeddings, of zeros, is for unknown words."""
+    rng = np.random.default_rng(seed)
+    p = {"E": rng.normal(0, 0.1, (known + 1, DIM)).astype(np.float32), "u": rng.normal(0, 0.3, len(WIDTHS) * FILTERS), "c": np.zeros(1)}
+    p["E"][-1] = 0
+    for w in WIDTHS:
+        p[f"F{w}"], p[f"b{w}"] = rng.normal(0, 0.5, (w * DIM, FILTERS)), np.zeros(FILTERS)
+    return p
+
+
+def learn(p: dict[str, np.ndarray], words: list[np.ndarray], y: np.ndarray, share: float, rng: np.random.Generator) -> None:
+    """One round of Adam, in place, over all texts (the embeddings' rows of their words); ``share`` of all texts have label 1."""
+    m1, m2, g, work = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(4))
+    pad = np.full(max(WIDTHS), len(p["E"]) - 1)
+    order = rng.permutation(len(words))
+    for step, lo in enumerate(range(0, len(order), BATCH), 1):
+        filters, biases = [p[f"F{w}"].astype(np.float32) for w in WIDTHS], np.stack([p[f"b{w}"] for w in WIDTHS])
+        touched, pushes = [], []  # rows of embeddings and their gradients
+        for d in order[lo : lo + BATCH]:
+            own = np.concatenate([words[d], pad])
+            best, places = _pooled(p["E"], filters, own)
+            flat = (best + biases).ravel()
+            a = np.maximum(flat, 0)
+            z = a @ p["u"] + p["c"][0]
+            dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[d]) * (0.5 / share if y[d] else 0.5 / (1 - share))
+            g["u"] += dz * a
+            g["c"] += dz
+            back = dz * p["u"] * (flat > 0)
+            for n, w in enumerate(WIDTHS):
+                db = back[n * FILTERS : (n + 1) * FILTERS]
+                g[f"b{w}"] += db
+                for k in range(w):
+                    at = own[places[n] + k]
+                    g[f"F{w}"][k * DIM : (k + 1) * DIM] += p["E"][at].T * db
+                    touched.append(at)
+                    pushes.append(db[:, None] * p[f"F{w}"][k * DIM : (k + 1) * DIM].T)
+        np.add.at(g["E"], np.concatenate(touched), np.concatenate(pushes))
+        for k in p:  # in place: the embeddings are large
+            grad, t = g[k], work[k]
+            grad /= BATCH
+            if k != "c":
+                grad += np.multiply(p[k], DECAY, out=t)
+            m1[k] *= 0.9
+            m1[k] += np.multiply(grad, 0.1, out=t)
+            m2[k] *= 0.999
+            np.multiply(grad, grad, out=grad)
+            m2[k] += np.multiply(grad, 0.001, out=grad)
+            np.sqrt(np.multiply(m2[k], 1 / (1 - 0.999**step), out=t), out=t)
+            t += 1e-8
+            np.divide(m1[k], t, out=t)
+            t *= RATE / (1 - 0.9**step)
+            p[k] -= t
+            grad[:] = 0
+        p["E"][-1] = 0
+
+
+def _sure(label: int) -> Model:
+    """The model where nothing can be learnt: every score is 0 or 1, as all labels are."""
+    none = [np.zeros((w * DIM, FILTERS)) for w in WIDTHS]
+    rest = [np.zeros(FILTERS) for _ in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), 30.0 if label else -30.0, np.zeros(len(LANGUAGES))
+    return Model(np.zeros(0, np.uint64), np.zeros((1, DIM)), none, *rest)
+
+
+def _model(keys: np.ndarray, p: dict[str, np.ndarray]) -> Model:
+    return Model(keys, p["E"], [p[f"F{w}"] for w in WIDTHS], [p[f"b{w}"] for w in WIDTHS], p["u"], float(p["c"][0]), np.zeros(len(LANGUAGES)))
+
+
 def train(texts: list[str], labels: list[int], calibrate: list[bool], seed: int = 7) -> Model:
-    """Fit a model on the texts, but for those to ``calibrate`` by, which set the thresholds.
+    """Fit a model on texts in memory, but for those to ``calibrate`` by, which set the thresholds; ``fit`` does the same for tables.
 
     With no text, or texts of one class only, nothing can be learnt: every score
     is then 0 (all labels 0, or none) or 1.
     """
-    rng = np.random.default_rng(seed)
     y = np.array(labels, float)
     held = np.array(calibrate, bool)
     if len(set(labels)) < 2 or len(set(y[~held])) < 2:
-        sure = 30.0 if len(labels) and y.min() == 1 else -30.0
-        none = [np.zeros((w * DIM, FILTERS)) for w in WIDTHS]
-        return Model(np.zeros(0, np.uint64), np.zeros((1, DIM)), none, [np.zeros(FILTERS) for _ in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), sure, np.zeros(len(LANGUAGES)))
-    words = [hash_words(t.encode("utf-8", "surrogatepass"), SEPARATORS)[0] for t in texts]
+        return _sure(len(labels) and y.min() == 1)
+    hashes = [hash_words(t.encode("utf-8", "surrogatepass"), SEPARATORS)[0] for t in texts]
+    words = [numbers(h) for h in hashes]
     found, counts = np.unique(np.concatenate([np.unique(w) for w, h in zip(words, held) if not h]), return_counts=True)
     keys = found[counts >= SEEN]
-    ids = [_lookup(keys, w) for w in words]
-    p = {"E": rng.normal(0, 0.1, (len(keys) + 1, DIM)), "u": rng.normal(0, 0.3, len(WIDTHS) * FILTERS), "c": np.zeros(1)}
-    p["E"][-1] = 0
-    for w in WIDTHS:
-        p[f"F{w}"], p[f"b{w}"] = rng.normal(0, 0.5, (w * DIM, FILTERS)), np.zeros(FILTERS)
-    m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    order, step = np.flatnonzero(~held), 0
-    share = y[order].mean()
-    pad = np.full(max(WIDTHS), len(keys))
-    for _ in range(EPOCHS):
-        rng.shuffle(order)
-        for lo in range(0, len(order), BATCH):
-            g = {k: np.zeros_like(v) for k, v in p.items()}
-            for d in order[lo : lo + BATCH]:
-                own = np.concatenate([ids[d], pad])
-                vectors = p["E"][own]
-                pooled, places = [], []
-                for w in WIDTHS:
-                    n = len(own) - w + 1
-                    response = sum(vectors[k : k + n] @ p[f"F{w}"][k * DIM : (k + 1) * DIM] for k in range(w))
-                    places.append(response.argmax(axis=0))
-                    pooled.append(response[places[-1], np.arange(FILTERS)] + p[f"b{w}"])
-                flat = np.concatenate(pooled)
-                a = np.maximum(flat, 0)
-                z = a @ p["u"] + p["c"][0]
-                dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[d]) * (0.5 / share if y[d] else 0.5 / (1 - share))
-                g["u"] += dz * a
-                g["c"] += dz
-                back = dz * p["u"] * (flat > 0)
-                for n, w in enumerate(WIDTHS):
-                    db = back[n * FILTERS : (n + 1) * FILTERS]
-                    g[f"b{w}"] += db
-                    for k in range(w):
-                        at = places[n] + k
-                        g[f"F{w}"][k * DIM : (k + 1) * DIM] += vectors[at].T * db
-                        np.add.at(g["E"], own[at], db[:, None] * p[f"F{w}"][k * DIM : (k + 1) * DIM].T)
-            step += 1
-            for k in p:
-                grad = g[k] / BATCH + (DECAY * p[k] if k != "c" else 0)
-                m1[k] = 0.9 * m1[k] + 0.1 * grad
-                m2[k] = 0.999 * m2[k] + 0.001 * grad * grad
-                p[k] -= RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-            p["E"][-1] = 0
-    model = Model(keys, p["E"], [p[f"F{w}"] for w in WIDTHS], [p[f"b{w}"] for w in WIDTHS], p["u"], float(p["c"][0]), np.zeros(len(LANGUAGES)))
+    p = start(len(keys), seed)
+    for k in range(ROUNDS):
+        learn(p, [_lookup(keys, w) for w, h in zip(words, held) if not h], y[~held], y[~held].mean(), np.random.default_rng([seed, k, 0]))
+    model = _model(keys, p)
     at = np.cumsum([0] + [len(w) for w in words])
-    every = np.concatenate(words)
-    model.thresholds = _thresholds(model.logits(every, at), y, held, languages(every, at))
+    language = languages(np.concatenate(hashes), at)
+    cell = cells(model.logits(np.concatenate(words), at))
+    model.thresholds = _thresholds(*(v[held] for v in (language, y, cell)), np.ones(held.sum(), np.int64))
     return model
 
 
-def _thresholds(z: np.ndarray, y: np.ndarray, held: np.ndarray, language: np.ndarray) -> np.ndarray:
-    """Of each language: the logit with the fewest errors of both kinds on the texts held for it, drawn to the common one."""
+def cells(z: np.ndarray) -> np.ndarray:
+    """Logits, cut off at -30 and 30, on the grid that thresholds are settled on."""
+    return np.floor((np.clip(z, -30, 30) + 30) * GRID).astype(np.int64)
+
+
+def _thresholds(language: np.ndarray, y: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each language: the logit with the fewest errors of both kinds on the ``n`` texts of each cell held for it, drawn to the common one."""
 
     def best(use: np.ndarray) -> float:
         if not (use & (y == 1)).any() or not (use & (y == 0)).any():
             return 0.0
-        cuts = np.unique(z[use])
-        cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
-        missed = np.searchsorted(np.sort(z[use & (y == 1)]), cuts)
-        wrong = (use & (y == 0)).sum() - np.searchsorted(np.sort(z[use & (y == 0)]), cuts)
-        errors = missed + wrong
-        good = cuts[errors == errors.min()]
-        return float((good[0] + good[-1]) / 2)
-
-    common = best(held)
+        bad, good = (np.bincount(cell[use & (y == v)], n[use & (y == v)], 60 * GRID + 1) for v in (1, 0))
+        cuts = np.arange(cell[use].min(), cell[use].max() + 2)  # texts of lesser cells are scored under 0.5
+        missed = np.concatenate([[0], np.cumsum(bad)])[cuts]
+        wrong = good.sum() - np.concatenate([[0], np.cumsum(good)])[cuts]
+        least = cuts[missed + wrong == (missed + wrong).min()]
+        return float((least[0] + least[-1]) / 2 / GRID - 30)
+
+    common = best(np.ones(len(y), bool))
     out = np.full(len(LANGUAGES), common)
     for k in range(len(LANGUAGES)):
-        own = held & (language == k)
+        own = language == k
         if (own & (y == 1)).any() and (own & (y == 0)).any():
-            out[k] = (best(own) * own.sum() + common * PRIOR) / (own.sum() + PRIOR)
+            total = n[own].sum()
+            out[k] = (best(own) * total + common * PRIOR) / (total + PRIOR)
     return out
 
 
@@ -199,23 +257,135 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS) -> DataFrame:
-    """A bounded sample (text, y, calibrate) of labelled rows outside fold 0: of each class the ``rows`` first by a hash of doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """All labelled rows outside fold 0, whole: (doc_id, text, y, calibrate)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    mixed = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = [known.where(F.col("y") == v).orderBy(mixed, "doc_id").limit(rows) for v in (0, 1)]
-    few = F.broadcast(chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "_doc"))  # 2 * rows at most
-    short = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.char_length("text") <= CHARS))
-    found = short.join(few, F.col("doc_id") == F.col("_doc"))
+    known = known.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(label).cast("int").alias("y"))
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(known, F.col("doc_id") == F.col("_doc"))
     one = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))  # a doc_id with several texts: the least
     return one.select("doc_id", "text", "y", (fold(F.col("doc_id")) == 1).alias("calibrate"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Train on the bounded sample, on the driver: at most 2 * ``ROWS`` texts of ``CHARS`` characters."""
-    rows = sorted(training_rows(docs, labels, label).collect(), key=lambda r: str(r["doc_id"]))
-    return train([r["text"] for r in rows], [r["y"] for r in rows], [r["calibrate"] for r in rows])
+def _words(batches):
+    """(mixed, y, calibrate, language, n_words, words) of rows (mixed, y, calibrate, text)."""
+    for batch in batches:
+        for first, run in grouped(batch.column(3).to_pylist()):
+            hashes, at = words_by_text(run, SEPARATORS)
+            own = numbers(hashes).astype(np.uint32)
+            sent = pa.array([own[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+            rest = pa.array(languages(hashes, at).astype(np.int32)), pa.array(np.diff(at).astype(np.int64)), sent
+            yield pa.RecordBatch.from_arrays([*batch.slice(first, len(run)).columns[:3], *rest], names=["mixed", "y", "calibrate", "language", "n_words", "words"])
+
+
+def _seen(batches):
+    """(word, n): in how many of a task's texts each word is."""
+    total = np.zeros(NUMBERS, np.int64)
+    for batch in batches:
+        for words in batch.column(0):
+            total[np.unique(np.frombuffer(words.as_py(), np.uint32))] += 1
+    word = np.flatnonzero(total)
+    for lo in range(0, len(word), 1 << 16):
+        some = word[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["word", "n"])
+
+
+_DENSE = ["u", "c", *(f"{kind}{w}" for w in WIDTHS for kind in "Fb")]  # the parameters besides the embeddings
+_MEANS = ["row int", "weight long", *(f"v{k} long" for k in range(DIM))]
+
+
+def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The parameters besides the embeddings, in rows as long as an embedding."""
+    flat = np.concatenate([p[k].ravel() for k in _DENSE])
+    return np.pad(flat, (0, -len(flat) % DIM)).reshape(-1, DIM)
+
+
+def _unflat(rows: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([like[k].size for k in _DENSE])
+    return {k: part.reshape(like[k].shape).copy() for k, part in zip(_DENSE, np.split(rows.ravel(), ends))}
+
+
+def _round(sent, share: float, seed: int, turn: int):
+    """A function for one round over one shard: its parameters times the number of texts that each counts for.
+
+    An embedding counts for the texts with its word, all else for all texts.
+    Values are fixed-point numbers, whose sums don't depend on their order.
+    """
+
+    def run(shard):
+        keys, p = sent.value
+        rows = sorted(zip(*(shard.column(c).to_pylist() for c in ("mixed", "y", "words"))))
+        words = [_lookup(keys, np.frombuffer(w, np.uint32)) for _, _, w in rows]
+        known, counts = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
+        known, counts = known[known < len(keys)], counts[known < len(keys)]
+        own = {k: v.copy() for k, v in p.items() if k != "E"} | {"E": np.concatenate([p["E"][known], p["E"][-1:]])}
+        rng = np.random.default_rng([seed, turn, shard.column("shard")[0].as_py()])
+        learn(own, [_lookup(known, w) for w in words], np.array([y for _, y, _ in rows], float), share, rng)
+        values = np.concatenate([own["E"][:-1], _flat(own)])
+        rest = np.arange(len(values) - len(known))
+        row = np.concatenate([known, len(keys) + rest])
+        weight = np.concatenate([counts, np.full(len(rest), len(rows))])
+        fixed = np.rint(values * weight[:, None] * FIXED).astype(np.int64)
+        return pa.table([pa.array(row.astype(np.int32)), pa.array(weight.astype(np.int64)), *map(pa.array, fixed.T)], names=[c.split()[0] for c in _MEANS])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 7, size: int = SHARD) -> Model:
+    """Train on all labelled rows outside fold 0, whole, in rounds of Spark jobs.
+
+    The texts are dealt by their ids into shards of about ``size`` words.  In
+    each round every shard goes on alone from the common parameters, which then
+    are the mean of the shards': of an embedding weighted by the texts that have
+    its word, else by all texts.  So what a task holds is bounded by a shard,
+    what the driver holds by ``NUMBERS``, and the result depends on neither the
+    cluster nor the order of rows.
+    """
+    mixed = F.xxhash64(F.col("doc_id").cast("string")).alias("mixed")
+    rows = training_rows(docs, labels, label).select(mixed, "y", "calibrate", "text")
+    rows = materialise(map_arrow(rows, _words, "mixed long, y int, calibrate boolean, language int, n_words long, words binary"), "toxic-words")
+    classes = {(r["calibrate"], r["y"]): r for r in rows.groupBy("calibrate", "y").agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).collect()}
+    ours = {y: r for (calibrate, y), r in classes.items() if not calibrate}
+    if len(ours) < 2:
+        forget(rows)
+        return _sure(len(classes) > 0 and min(y for _, y in classes) == 1)
+    texts = rows.where(~F.col("calibrate")).select("mixed", "y", "words")
+    seen = map_arrow(texts.select("words"), _seen, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    keys = np.sort(seen.select("word").toArrow().column(0).to_numpy()).astype(np.uint64)  # NUMBERS at most
+    p = start(len(keys), seed)
+    share = sum(y * r["n"] for y, r in ours.items()) / sum(r["n"] for r in ours.values())
+    shards = max(1, -(-sum(r["words"] for r in ours.values()) // size))
+    dealt = texts.withColumn("shard", F.pmod("mixed", F.lit(shards))).repartition("shard").persist(StorageLevel.DISK_ONLY)
+    for turn in range(ROUNDS):
+        sent = docs.sparkSession.sparkContext.broadcast((keys, p))
+        shares = dealt.groupBy("shard").applyInArrow(_round(sent, share, seed, turn), ", ".join(_MEANS))
+        means = shares.groupBy("row").agg(*(F.sum(c.split()[0]) for c in _MEANS[1:])).toArrow()
+        row, weight, *values = (c.to_numpy() for c in means.columns)
+        every = np.concatenate([p["E"][:-1], _flat(p)])
+        every[row] = np.stack(values, 1) / FIXED / weight[:, None]
+        p = {"E": np.concatenate([every[: len(keys)], p["E"][-1:]]).astype(np.float32), **_unflat(every[len(keys) :], p)}
+        sent.destroy()
+    dealt.unpersist()
+    model = _model(keys, p)
+    if any(calibrate for calibrate, _ in classes):
+        model.thresholds = _calibrated(rows.where("calibrate"), model)
+    forget(rows)
+    return model
+
+
+def _calibrated(rows: DataFrame, model: Model) -> np.ndarray:
+    """Thresholds by all ``rows``, counted by language, label and cell."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                words = [np.frombuffer(w.as_py(), np.uint32) for w in part.column(2)]
+                z = sent.value.logits(np.concatenate(words), np.cumsum([0] + [len(w) for w in words]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells(z))], names=["language", "y", "cell"])
+
+    found = map_arrow(rows.select("language", "y", "words"), run, "language int, y int, cell long").groupBy("language", "y", "cell").count().toArrow()
+    return _thresholds(*(c.to_numpy() for c in found.columns))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -227,7 +397,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     rest = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("score", "predicted")])
     at = rest.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of the training sample
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by NUMBERS
 
     def run(batches):
         for batch in batches:
