@@ -3,13 +3,15 @@
 Words are hashed; those seen often enough in training have an embedding, all
 others share a vector of zeros.  Filters of several widths run over the whole
 text, the greatest response of each is kept, and a logistic layer scores them.
-Thresholds are calibrated by language, which is guessed from the text itself;
+All labelled texts are learnt from, in rounds over shards of them whose
+parameters are averaged.  Thresholds are calibrated by language, which is guessed from the text itself;
 the score is shifted so that each language's threshold lies at 0.5.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -85,19 +87,30 @@ class Model:
     bias: float
     thresholds: np.ndarray  # on the logit, by language
 
+    @cached_property
+    def _places(self) -> np.ndarray:
+        """The embedding's row of each number that a word may have."""
+        out = np.full(NUMBERS, len(self.keys), np.int64)
+        out[self.keys] = np.arange(len(self.keys))
+        return out
+
+    @cached_property
+    def _responses(self) -> list[list[np.ndarray]]:
+        """Of each width and place of the filters: each known word's responses."""
+        return [[(self.embeddings @ f[k * DIM : (k + 1) * DIM]).astype(np.float32) for k in range(w)] for w, f in zip(WIDTHS, self.filters)]
+
     def logits(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the texts of a block, by the numbers of their words: ``at`` is where the words of each begin."""
         sizes = np.diff(at)
         pad = max(WIDTHS)  # unknown words after each text
         ids = np.full(len(words) + pad * len(sizes), len(self.keys), np.int64)
         starts = at[:-1] + pad * np.arange(len(sizes))
-        ids[np.arange(len(words)) + pad * np.repeat(np.arange(len(sizes)), sizes)] = _lookup(self.keys, words)
+        ids[np.arange(len(words)) + pad * np.repeat(np.arange(len(sizes)), sizes)] = self._places[words]
         out = np.full(len(sizes), self.bias)
-        for n, (width, f, b) in enumerate(zip(WIDTHS, self.filters, self.biases)):
+        for n, (width, b) in enumerate(zip(WIDTHS, self.biases)):
             total = np.zeros((len(ids), FILTERS), np.float32)
-            for k in range(width):  # each word's response at each place of the filter, once per known word
-                own = (self.embeddings @ f[k * DIM : (k + 1) * DIM]).astype(np.float32)
-                total[: len(ids) - k] += own[ids[k:]]
+            for k in range(width):
+                total[: len(ids) - k] += self._responses[n][k][ids[k:]]
             for k in range(1, width):  # places from which the filter would reach into the next text
                 total[starts + sizes + pad - k] = -np.inf
             best = np.maximum.reduceat(total, starts, axis=0) + b
@@ -143,12 +156,18 @@ def start(known: int, seed: int) -> dict[str, np.ndarray]:
 
 
 def learn(p: dict[str, np.ndarray], words: list[np.ndarray], y: np.ndarray, share: float, rng: np.random.Generator) -> None:
-    """One round of Adam, in place, over all texts (the embeddings' rows of their words); ``share`` of all texts have label 1."""
-    m1, m2, g, work = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(4))
+    """One round of Adam, in place, over all texts (the embeddings' rows of their words); ``share`` of all texts have label 1.
+
+    Of the embeddings a step changes those that its texts push; those that no
+    text of the round pushes decay to zeros.
+    """
+    m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    pushed = np.zeros(len(p["E"]), bool)
     pad = np.full(max(WIDTHS), len(p["E"]) - 1)
     order = rng.permutation(len(words))
     for step, lo in enumerate(range(0, len(order), BATCH), 1):
         filters, biases = [p[f"F{w}"].astype(np.float32) for w in WIDTHS], np.stack([p[f"b{w}"] for w in WIDTHS])
+        g = {k: np.zeros_like(v) for k, v in p.items() if k != "E"}
         touched, pushes = [], []  # rows of embeddings and their gradients
         for d in order[lo : lo + BATCH]:
             own = np.concatenate([words[d], pad])
@@ -168,24 +187,19 @@ def learn(p: dict[str, np.ndarray], words: list[np.ndarray], y: np.ndarray, shar
                     g[f"F{w}"][k * DIM : (k + 1) * DIM] += p["E"][at].T * db
                     touched.append(at)
                     pushes.append(db[:, None] * p[f"F{w}"][k * DIM : (k + 1) * DIM].T)
-        np.add.at(g["E"], np.concatenate(touched), np.concatenate(pushes))
-        for k in p:  # in place: the embeddings are large
-            grad, t = g[k], work[k]
-            grad /= BATCH
-            if k != "c":
-                grad += np.multiply(p[k], DECAY, out=t)
-            m1[k] *= 0.9
-            m1[k] += np.multiply(grad, 0.1, out=t)
-            m2[k] *= 0.999
-            np.multiply(grad, grad, out=grad)
-            m2[k] += np.multiply(grad, 0.001, out=grad)
-            np.sqrt(np.multiply(m2[k], 1 / (1 - 0.999**step), out=t), out=t)
-            t += 1e-8
-            np.divide(m1[k], t, out=t)
-            t *= RATE / (1 - 0.9**step)
-            p[k] -= t
-            grad[:] = 0
-        p["E"][-1] = 0
+        rows, to = np.unique(np.concatenate(touched), return_inverse=True)
+        g["E"] = np.zeros((len(rows), DIM), np.float32)
+        np.add.at(g["E"], to, np.concatenate(pushes))
+        some = g["E"].any(axis=1) & (rows < len(pushed) - 1)
+        rows, g["E"] = rows[some], g["E"][some]
+        pushed[rows] = True
+        for k in p:
+            at = rows if k == "E" else slice(None)
+            grad = g[k] / BATCH + (DECAY * p[k][at] if k != "c" else 0)
+            m1[k][at] = 0.9 * m1[k][at] + 0.1 * grad
+            m2[k][at] = 0.999 * m2[k][at] + 0.001 * grad * grad
+            p[k][at] -= RATE * (m1[k][at] / (1 - 0.9**step)) / (np.sqrt(m2[k][at] / (1 - 0.999**step)) + 1e-8)
+    p["E"][~pushed] = 0
 
 
 def _sure(label: int) -> Model:
@@ -290,7 +304,7 @@ def _seen(batches):
 
 
 _DENSE = ["u", "c", *(f"{kind}{w}" for w in WIDTHS for kind in "Fb")]  # the parameters besides the embeddings
-_MEANS = ["row int", "weight long", *(f"v{k} long" for k in range(DIM))]
+_SUMS = ["row int", *(f"v{k} long" for k in range(DIM))]
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -307,8 +321,9 @@ def _unflat(rows: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 def _round(sent, share: float, seed: int, turn: int):
     """A function for one round over one shard: its parameters times the number of texts that each counts for.
 
-    An embedding counts for the texts with its word, all else for all texts.
-    Values are fixed-point numbers, whose sums don't depend on their order.
+    An embedding counts for the texts with its word, all else for all texts;
+    embeddings of zeros are left out.  Values are fixed-point numbers, whose
+    sums don't depend on their order.
     """
 
     def run(shard):
@@ -320,12 +335,11 @@ def _round(sent, share: float, seed: int, turn: int):
         own = {k: v.copy() for k, v in p.items() if k != "E"} | {"E": np.concatenate([p["E"][known], p["E"][-1:]])}
         rng = np.random.default_rng([seed, turn, shard.column("shard")[0].as_py()])
         learn(own, [_lookup(known, w) for w in words], np.array([y for _, y, _ in rows], float), share, rng)
-        values = np.concatenate([own["E"][:-1], _flat(own)])
-        rest = np.arange(len(values) - len(known))
-        row = np.concatenate([known, len(keys) + rest])
-        weight = np.concatenate([counts, np.full(len(rest), len(rows))])
-        fixed = np.rint(values * weight[:, None] * FIXED).astype(np.int64)
-        return pa.table([pa.array(row.astype(np.int32)), pa.array(weight.astype(np.int64)), *map(pa.array, fixed.T)], names=[c.split()[0] for c in _MEANS])
+        some, rest = np.flatnonzero(own["E"][:-1].any(axis=1)), _flat(own)
+        row = np.concatenate([known[some], len(keys) + np.arange(len(rest))])
+        weight = np.concatenate([counts[some], np.full(len(rest), len(rows))])
+        fixed = np.rint(np.concatenate([own["E"][some], rest]) * weight[:, None] * FIXED).astype(np.int64)
+        return pa.table([pa.array(row.astype(np.int32)), *map(pa.array, fixed.T)], names=[c.split()[0] for c in _SUMS])
 
     return run
 
@@ -350,19 +364,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 7,
         return _sure(len(classes) > 0 and min(y for _, y in classes) == 1)
     texts = rows.where(~F.col("calibrate")).select("mixed", "y", "words")
     seen = map_arrow(texts.select("words"), _seen, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
-    keys = np.sort(seen.select("word").toArrow().column(0).to_numpy()).astype(np.uint64)  # NUMBERS at most
+    keys, counts = (c.to_numpy() for c in seen.toArrow().sort_by("word").columns)  # NUMBERS at most
+    keys = keys.astype(np.uint64)
     p = start(len(keys), seed)
-    share = sum(y * r["n"] for y, r in ours.items()) / sum(r["n"] for r in ours.values())
+    total = sum(r["n"] for r in ours.values())
+    share = sum(y * r["n"] for y, r in ours.items()) / total
+    weight = np.concatenate([counts, np.full(len(_flat(p)), total)])
     shards = max(1, -(-sum(r["words"] for r in ours.values()) // size))
     dealt = texts.withColumn("shard", F.pmod("mixed", F.lit(shards))).repartition("shard").persist(StorageLevel.DISK_ONLY)
     for turn in range(ROUNDS):
         sent = docs.sparkSession.sparkContext.broadcast((keys, p))
-        shares = dealt.groupBy("shard").applyInArrow(_round(sent, share, seed, turn), ", ".join(_MEANS))
-        means = shares.groupBy("row").agg(*(F.sum(c.split()[0]) for c in _MEANS[1:])).toArrow()
-        row, weight, *values = (c.to_numpy() for c in means.columns)
-        every = np.concatenate([p["E"][:-1], _flat(p)])
-        every[row] = np.stack(values, 1) / FIXED / weight[:, None]
-        p = {"E": np.concatenate([every[: len(keys)], p["E"][-1:]]).astype(np.float32), **_unflat(every[len(keys) :], p)}
+        shares = dealt.groupBy("shard").applyInArrow(_round(sent, share, seed, turn), ", ".join(_SUMS))
+        row, *values = (c.to_numpy() for c in shares.groupBy("row").agg(*(F.sum(c.split()[0]) for c in _SUMS[1:])).toArrow().columns)
+        mean = np.zeros((len(weight), DIM))
+        mean[row] = np.stack(values, 1) / FIXED / weight[row, None]
+        p = {"E": np.concatenate([mean[: len(keys)], p["E"][-1:]]).astype(np.float32), **_unflat(mean[len(keys) :], p)}
         sent.destroy()
     dealt.unpersist()
     model = _model(keys, p)
