@@ -4,8 +4,9 @@ Words are hashed; those seen often enough in training have an embedding, all
 others share a vector of zeros.  Filters of several widths run over the whole
 text, the greatest response of each is kept, and a logistic layer scores them.
 All labelled texts are learnt from, in rounds over shards of them whose
-parameters are averaged.  Thresholds are calibrated by language, which is guessed from the text itself;
-the score is shifted so that each language's threshold lies at 0.5.
+parameters are averaged.  Thresholds are calibrated by language, which is
+guessed from the text itself; the score is shifted so that each language's
+threshold lies at 0.5.
 """
 
 from __future__ import annotations
