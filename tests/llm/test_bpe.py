@@ -72,3 +72,13 @@ def test_whole_tables_and_edges(spark, docs, spec, pair):
     assert once.columns == [*[c for c in t.columns if c not in ("text", "ids")], "ids", "decoded"]
     assert sorted(map(str, once.select("doc_id", "ids", "decoded").collect())) == sorted(map(str, bpe.decode(bpe.encode(t, spec), spec).select("doc_id", "ids", "decoded").collect()))
     assert bpe.round_trip(docs([]), spec).count() == 0
+
+
+def test_a_worker_holds_one_vocabulary_and_bounded_pairs(pair, sample, monkeypatch):
+    own, _ = pair
+    assert own._own.get_vocab_size() == 0  # of the file only the rules of normalising and splitting
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    own._joins.clear(), own._words.clear()
+    for _, t in list(sample)[:50]:
+        assert same(pair, t)
+        assert len(own._joins) <= 50 and len(own._words) <= 50

@@ -26,7 +26,8 @@ from wavepanel.llm.common import map_arrow
 
 END = "</w>"
 _END = "\n"  # stands for the end of a word; the byte alphabet has no line feed
-CACHE = 300_000  # pre-tokens that a worker remembers
+CACHE = 300_000  # pre-tokens, and pairs of tokens, that a worker remembers
+PART = 1 << 20  # bytes of a column that are worked on together
 DECODED_AT_ONCE = 1 << 18  # tokens
 #: Code points on whose case, class or composition the libraries used here may differ: texts
 #: with any of them are normalised and split by the tokenizer file's own rules.
@@ -50,7 +51,8 @@ class BacktrackingBpe:
         model = data["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != END or data["decoder"] is not None:
             raise ValueError("a BPE file with word ends and no decoder is asked for")
-        self._own = Tokenizer.from_str(spec)
+        # the file's normaliser and splitter alone: no second vocabulary in memory
+        self._own = Tokenizer.from_str(json.dumps(data | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self._split = regex.compile(_SPLIT)
         alphabet = byte_alphabet()
         self._shown = str.maketrans({chr(b): c for b, c in enumerate(alphabet)})
@@ -67,7 +69,7 @@ class BacktrackingBpe:
             x, y, made = vocab[x], vocab[y], vocab[x + y]
             self._rank[x, y] = rank
             self._made.setdefault(made, (x, y, rank))
-        self._joins: dict[tuple[int, int], bool] = {}
+        self._joins: dict[int, bool] = {}  # by left << 32 | right
         # a token that its own merges don't give is never in an encoding
         usable = {i for i in form if i not in self._made}
         for i in sorted(self._made, key=lambda t: self._made[t][2]):
@@ -118,11 +120,12 @@ class BacktrackingBpe:
                 return True
 
     def _compatible(self, left: int, right: int) -> bool:
-        found = self._joins.get((left, right))
+        key = left << 32 | right
+        found = self._joins.get(key)
         if found is None:
-            if len(self._joins) > 4 * CACHE:
+            if len(self._joins) >= CACHE:
                 self._joins.clear()
-            found = self._joins[left, right] = self._apart(left, right)
+            found = self._joins[key] = self._apart(left, right)
         return found
 
     def _encode_word(self, word: str) -> bytes:
@@ -209,12 +212,16 @@ def _load(spec: str) -> BacktrackingBpe:
     return _loaded[key]
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes in a column, so that results stay small too."""
+def _slices(batch: pa.RecordBatch, column: int, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes in a column, so that results stay small too.
+
+    After the last part Arrow's free memory goes back to the system: workers live on between tasks.
+    """
     size = max(1, batch.column(column).nbytes // max(1, batch.num_rows))
     step = max(1, most // size)
     for lo in range(0, batch.num_rows, step):
         yield batch.slice(lo, step)
+    pa.default_memory_pool().release_unused()
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: str, arrow: pa.DataType, spec: str, method: str) -> DataFrame:
